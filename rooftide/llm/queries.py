@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,88 @@ def op1_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words the mix takes from it."""
+    from . import mixing
+
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+@query
+def op6_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the model learns from those that are not held out."""
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_jpeg_dc_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as the DC terms of baseline JPEG, read back, with digests and thumbnail hashes."""
+    from . import jpeg
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "payload")
+    read = jpeg.describe(jpeg.store(docs))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("thumbnail").cast("long").alias("payload_bytes"),
+        F.sha2("thumbnail", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(thumbnail, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "frames", "thumb_hash").alias("feature"),
+    )
+
+
+@query
+def op9_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot of 24; shard sizes in rows differ by one at most."""
+    from . import shard
+
+    placed = shard.external_shuffle(table(spark, sf_dir, "documents", "doc_id", "text"), 24)
+    return placed.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op7_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 % of their 3-word shingles or more."""
+    from . import neardup
+
+    return neardup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
+
+
+@query
+def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a context-tree model of those that are not held out."""
+    from . import ctw
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model, rare = ctw.fit(docs.where(~held_out(F.col("doc_id"), 7)))
+    found = ctw.score(docs, model, rare)
+    return found.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _oracles() -> None:
+    from . import mixing, neardup
+
+    ORACLES["op5_capped_water_filling"] = mixing.ORACLE
+    ORACLES["op7_setsketch_groups"] = neardup.ORACLE
+
+
+_oracles()
