@@ -138,18 +138,19 @@ def predict_text(model: Model, text: str | None, cache: dict[str, tuple[float, .
     return model.languages[best], 1.0 / sum(math.exp(max(x - sums[best], -700.0)) for x in sums)
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` (a learned language or ``und``) and ``score``, the winner's posterior."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``lang_pred`` (a learned language or ``und``), ``score`` (the winner's posterior) and the columns in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    caches: dict[int, dict[str, tuple[float, ...]]] = {}
+    cache: dict[str, tuple[float, ...]] = {}
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cache = caches.setdefault(0, {})
         for part in slices(batch, 1):
             if len(cache) > CACHE_WORDS:
                 cache.clear()
             found = [predict_text(shared.value, t, cache) for t in part.column(1).to_pylist()]
             names, scores = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *part.columns[2:]], [key, "lang_pred", "score", *(f"kept_{c}" for c in keep)])
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = ", ".join([f"`{key}` {kind(key)}, lang_pred string, score double", *(f"`kept_{c}` {kind(c)}" for c in keep)])
+    return map_arrow(docs.select(key, text, *keep), run, schema)

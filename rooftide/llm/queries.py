@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import cut, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,47 @@ def op1_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from . import html_extract
+
+    found = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records of two replicas, the second one with damage at fixed ids, and what the audit finds."""
+    from . import warc
+
+    records = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    first = cut(warc.leaves(records, "page_id"))
+    flipped = F.concat(F.expr("substring(content, 1, octet_length(content) - 1)"), F.lit(b"?"))
+    second = records.where(F.coalesce(F.col("page_id") % 89 != 7, F.lit(True)))
+    second = second.withColumn("content", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("content")))
+    found = warc.audit(first, warc.leaves(second)).select("archive", "offset", "verdict")
+    joined = first.join(found, ["archive", "offset"], "left").join(warc.roots(first), "archive")
+    return joined.select(
+        "page_id",
+        "archive",
+        F.col("offset").alias("record_offset"),
+        F.col("length").alias("record_length"),
+        F.col("digest").alias("record_sha256"),
+        F.col("root").alias("root_sha256"),
+        F.coalesce("verdict", F.lit("ok")).alias("verdict"),
+    )
+
+
+@query
+def op4_pivot_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for each vector whose id is divisible by 20."""
+    from . import topk
+
+    found = topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes from it."""
@@ -112,8 +153,10 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from . import mixing, neardup
+    from . import mixing, neardup, topk, warc
 
+    ORACLES["op3_merkle_fixity"] = warc.ORACLE
+    ORACLES["op4_pivot_elimination"] = topk.ORACLE
     ORACLES["op5_capped_water_filling"] = mixing.ORACLE
     ORACLES["op7_setsketch_groups"] = neardup.ORACLE
 
