@@ -39,10 +39,10 @@ def density(features: DataFrame, per: tuple[str, ...] = (), sources: DataFrame |
     ``sources`` adds tiles that hold no feature; without it, tiles are those with features.
     """
     tile = F.struct("z", "x", "y")
-    counted = features.select(*per, tile.alias("tile"), F.lit(1).alias("n"))
+    counted = features.select(*per, tile.alias("source_tile"), F.lit(1).alias("n"))
     if sources is not None:
-        counted = counted.unionByName(sources.select(*per, tile.alias("tile"), F.lit(0).alias("n")))
-    by_tile = counted.groupBy(*per, "tile").agg(F.sum("n").alias("n"))
+        counted = counted.unionByName(sources.select(*per, tile.alias("source_tile"), F.lit(0).alias("n")))
+    by_tile = counted.groupBy(*per, "source_tile").agg(F.sum("n").alias("n"))
     return by_tile.groupBy(*per).agg((F.sum("n") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_features"))
 
 

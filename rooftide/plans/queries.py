@@ -78,11 +78,11 @@ def density_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("tile", rounded("mean_features", 6), CFG.level(F.col("mean_features")).alias("density_level"))
 
 
-@query(f"WITH {FEATURES}, {MERGED} SELECT feature_id, n_fragments, round(height, 4) AS height, num_floors::BIGINT AS num_floors, class, subtype, round(first_area, 3) AS first_area_m2 FROM m")
+@query(f"WITH {FEATURES}, {MERGED} SELECT feature_id, n_fragments, round(height, 6) AS height, num_floors::BIGINT AS num_floors, class, subtype, round(first_area, 3) AS first_area_m2 FROM m")
 def first_fragment_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes that a building takes from its first fragment."""
     merged = buildings.merge(buildings.fragments(data.features(spark, sf_dir)), data.ORDER)
-    return merged.select("feature_id", "n_fragments", rounded("height", 4), "num_floors", "class", "subtype", rounded("first_area_m2", 3))
+    return merged.select("feature_id", "n_fragments", rounded("height", 6), "num_floors", "class", "subtype", rounded("first_area_m2", 3))
 
 
 @query(f"WITH {FEATURES}, {MERGED} SELECT feature_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM m")
@@ -189,7 +189,7 @@ def residuals(pairs: DataFrame, estimates: DataFrame, *keys: str) -> DataFrame:
     return joined.withColumn("residual_m", (F.col("height_m") - F.col("truth_m")).cast("float"))
 
 
-@query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()} SELECT truth_id, feature_id, n_candidates, round(r, 3) AS residual_m FROM p")
+@query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()} SELECT truth_id, feature_id, n_candidates, round(r, 3) + 0.0::DOUBLE AS residual_m FROM p")
 def truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each measured point with the first building whose outline holds it, and the error of its height."""
     return residuals(matched(spark, sf_dir), data.extracted(spark, sf_dir)).select("truth_id", "feature_id", "n_candidates", rounded("residual_m", 3))
@@ -201,7 +201,7 @@ def unmatched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.unmatched(data.truth(spark, sf_dir), matched(spark, sf_dir)).select("truth_id")
 
 
-STATS_OUT = ", ".join(f"round({c}, 3) AS {c}" if c != "n" else "n" for c in metrics.STATS)
+STATS_OUT = ", ".join(f"round({c}, 3) + 0.0::DOUBLE AS {c}" if c != "n" else "n" for c in metrics.STATS)
 
 
 def shown(stats: DataFrame, *keys: str) -> DataFrame:
@@ -233,7 +233,7 @@ def both_configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return stats.where("config = 0").drop("config"), stats.where("config = 1").drop("config")
 
 
-COMPARED = ", ".join(f"round(coalesce({t}.{c}, 0), 3) AS {n}_{c}" if c != "n" else f"coalesce({t}.n, 0) AS {n}_n" for t, n in (("s", "base"), ("u", "cand")) for c in metrics.STATS)
+COMPARED = ", ".join(f"round(coalesce({t}.{c}, 0), 3) + 0.0::DOUBLE AS {n}_{c}" if c != "n" else f"coalesce({t}.n, 0) AS {n}_n" for t, n in (("s", "base"), ("u", "cand")) for c in metrics.STATS)
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {buildings_sql(TALL, 'q')}, {TRUTH}, {pairs_sql()}, {pairs_sql('q', 'p2')}, {stats_sql('p')}, {stats_sql('p2', 'u')} SELECT slice_kind, slice, {COMPARED} FROM s FULL JOIN u USING (slice_kind, slice)")
@@ -283,7 +283,7 @@ def wall_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_vertices"), *[F.round(f(c), 2).alias(f"{n}_{c[1]}") for c in ("px", "pz") for f, n in ((F.min, "min"), (F.max, "max"))], F.round(F.sum("py"), 3).alias("sum_y"), F.round(F.sum(F.abs("nx")), 3).alias("sum_abs_nx"))
 
 
-@query(f"WITH {FEATURES} SELECT feature_id, 8 * count(*) AS n_triangles, 180 * count(*) AS index_sum FROM v GROUP BY feature_id")
+@query(f"WITH {FEATURES} SELECT feature_id, 8 * count(*) AS n_triangles, 176 * count(*) AS index_sum FROM v GROUP BY feature_id")
 def wall_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles of each feature's walls, with the sum of their vertex numbers."""
     t = mesh.wall_triangles(walls(spark, sf_dir), "feature_id")
