@@ -81,7 +81,7 @@ def test_archive_source(spark: SparkSession, tmp_path: Path) -> None:
     rows = spark.read.format("tile_archive").option("path", f"{tmp_path}/a.pmtiles").option("z", 3).load().collect()
     assert {(r.z, r.x, r.y): bytes(r.content) for r in rows} == tiles
     box = spark.read.format("tile_archive").options(path=f"{tmp_path}/a.pmtiles", z="3", west="1", east="44", south="1", north="40").load()
-    assert {(r.x, r.y) for r in box.collect()} == {(4, 3)} or box.count() >= 1
+    assert {(r.x, r.y) for r in box.collect()} == {p for p in ((4, 3), (4, 2)) if (3, *p) in tiles}
 
 
 def area(p: np.ndarray) -> float:
@@ -99,16 +99,15 @@ def test_ear_clipping_covers_the_polygon() -> None:
     outer = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
     holes = [np.array([(2, 2), (4, 2), (4, 4), (2, 4)], float), np.array([(6, 6), (8, 6), (8, 8), (6, 8)], float)]
     points = np.concatenate([outer, *holes])
-    assert sum(abs(area(points[list(k)])) for k in mesh.triangulate(outer[::-1], holes)) == pytest.approx(92) or True
     assert sum(abs(area(points[list(k)])) for k in mesh.triangulate(outer, holes)) == pytest.approx(92)
 
 
 def test_walls(spark: SparkSession) -> None:
     ring = [{"e": float(x), "n": float(y)} for x, y in SQUARE]
-    rows = spark.createDataFrame([(1, ring, 0.0, 5.0)], "k int, ring array<struct<e:double,n:double>>, base double, top double")
-    quads = mesh.wall_quads(rows, "k").cache()
-    v, t = mesh.wall_vertices(quads, "k").orderBy("edge", "corner").collect(), mesh.wall_triangles(quads, "k").orderBy("edge", "half").collect()
-    assert len(v) == 16 and len(t) == 8 and [(r.i, r.j, r.k_ if "k_" in r else r[5]) for r in t[:2]] == [(0, 2, 1), (0, 3, 2)]
+    rows = spark.createDataFrame([(1, ring, 0.0, 5.0)], "fid int, ring array<struct<e:double,n:double>>, base double, top double")
+    quads = mesh.wall_quads(rows, "fid").cache()
+    v, t = mesh.wall_vertices(quads, "fid").orderBy("edge", "corner").collect(), mesh.wall_triangles(quads, "fid").orderBy("edge", "half").collect()
+    assert len(v) == 16 and len(t) == 8 and [(r.i, r.j, r.k) for r in t[:2]] == [(0, 2, 1), (0, 3, 2)]
     for r in v:  # normals point away from the middle (50, -50)
         assert (r.px - 50) * r.nx + (r.pz + 50) * r.nz > 0
 
@@ -141,7 +140,7 @@ def test_manifest(spark: SparkSession, tmp_path: Path) -> None:
 
 
 def test_stream_renders_each_content_once(spark: SparkSession, tmp_path: Path) -> None:
-    tile = encode_tile([{"id": i, "rings": [[(x + 200 * i, y) for x, y in SQUARE]], "height": 10.0} for i in range(3)])
+    tile = encode_tile([{"id": i, "rings": [[(x // 5 + 200 * i, y // 5) for x, y in SQUARE]], "height": 10.0} for i in range(3)])
     rows = lambda *ys: spark.createDataFrame([(14, 14552, y, tile) for y in ys], rerender.TILES)
     go = lambda: rerender.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", "v1").awaitTermination()
     rows(6451, 6452).write.mode("append").parquet(f"{tmp_path}/in")
