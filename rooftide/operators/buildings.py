@@ -68,14 +68,14 @@ def merge(parts: DataFrame, order: tuple[str, ...] = ORDER, per: tuple[str, ...]
     """
     first = F.struct(*order)
     alone = F.when(F.col("feature_id").isNull(), F.struct("source_idx", "feat_idx", "poly_idx"))
-    props = F.struct(*KEPT, F.col("area_m2").alias("first_area_m2"), F.struct("z", "x", "y", "extent").alias("tile"), "polygon")
+    props = F.struct(*KEPT, F.col("area_m2").alias("first_area_m2"), F.struct("z", "x", "y", "extent").alias("tile"))
     area = F.sum("area_m2")
     weighted = lambda c: (F.sum(F.col(f"center.{c}") * F.col("area_m2")) / F.nullif(area, F.lit(0.0))).alias(c)
     more = [F.transform(F.sort_array(F.collect_list(F.struct(first.alias("at"), F.struct("z", "x", "y", "extent", "polygon").alias("part")))), lambda s: s["part"]).alias("parts")] if with_rings else []
     grouped = parts.groupBy(*per, "feature_id", alone.alias("alone")).agg(
         area.alias("merged_area_m2"), weighted("lon"), weighted("lat"), F.count(F.lit(1)).alias("n_fragments"), F.min_by(props, first).alias("p"), F.min(first).alias("first"), *more
     )
-    return grouped.select(*per, "feature_id", F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, "first_area_m2", "tile", "polygon")), *(["parts"] if with_rings else []))
+    return grouped.select(*per, "feature_id", F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, "first_area_m2", "tile")), *(["parts"] if with_rings else []))
 
 
 def resolve(buildings: DataFrame, cfg: HeightConfig, level: Column, area: Column | None = None) -> DataFrame:
@@ -95,8 +95,8 @@ def extract_buildings(features: DataFrame, cfg: HeightConfig | None = None, orde
     cfg = cfg or HeightConfig()
     means = density(features, density_per, sources)
     merged = merge(fragments(features), order, density_per, with_rings)
-    # One row of means, or one for each key: the former is a scalar, the latter an equi-join.
-    joined = merged.join(means, list(density_per)) if density_per else merged.crossJoin(F.broadcast(means))
+    # One row of means, or one for each key: the former is a scalar subquery, the latter an equi-join.
+    joined = merged.join(means, list(density_per)) if density_per else merged.withColumn("mean_features", means.scalar())
     area = F.col("footprint_m2") if height_area == "merged" else F.col("first_area_m2").cast("float")
     return resolve(joined, cfg, cfg.level(F.col("mean_features")), area)
 

@@ -213,9 +213,9 @@ def residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over all matched points, with the counters of the run."""
     points, estimates = data.truth(spark, sf_dir), data.extracted(spark, sf_dir)
     pairs = matched(spark, sf_dir)
-    counts = points.agg(F.count(F.lit(1)).alias("n_truth")).crossJoin(estimates.agg(F.count(F.lit(1)).alias("n_estimate"))).crossJoin(spatial.unmatched(points, pairs).agg(F.count(F.lit(1)).alias("unmatched_truth")))
-    overall = metrics.report(residuals(pairs, estimates)).where("slice_kind = 'overall'").drop("n_truth", "n_estimate")
-    return shown(overall.crossJoin(counts), "n_truth", "n_estimate", "unmatched_truth")
+    number = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    overall = metrics.report(residuals(pairs, estimates), number(points), number(estimates)).where("slice_kind = 'overall'")
+    return shown(overall.withColumn("unmatched_truth", number(spatial.unmatched(points, pairs))), "n_truth", "n_estimate", "unmatched_truth")
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()}, {stats_sql('p')} SELECT slice_kind, slice, {STATS_OUT} FROM s")
@@ -227,7 +227,7 @@ def residual_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def both_configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Statistics under both parameter sets; features are merged once and resolved twice."""
     rows = data.features(spark, sf_dir)
-    merged = buildings.merge(buildings.fragments(rows), data.ORDER).crossJoin(F.broadcast(buildings.density(rows)))
+    merged = buildings.merge(buildings.fragments(rows), data.ORDER).withColumn("mean_features", buildings.density(rows).scalar())
     sets = [buildings.resolve(merged, cfg, cfg.level(F.col("mean_features"))).withColumn("config", F.lit(k)) for k, cfg in enumerate((CFG, TALL))]
     stats = metrics.slice_statistics(residuals(matched(spark, sf_dir), sets[0].unionByName(sets[1]), "config"), ("config",))
     return stats.where("config = 0").drop("config"), stats.where("config = 1").drop("config")
