@@ -31,7 +31,7 @@ from .common import cut, map_arrow
 
 PIVOTS, PIVOT_SAMPLE = 16, 128
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Candidates that are evaluated at once.
+#: Candidates that are evaluated at once at first; each further wave is three times as large.
 WAVE = 256
 
 
@@ -62,16 +62,21 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list, int]:
     """The k best candidates of each query; also how many products were evaluated."""
-    wide = max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0)) ** 2 * queries.shape[1] >= 2.0**53
-    exact = np.int64 if wide else np.float64
+    most = max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0)) ** 2 * queries.shape[1]
+    exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     c, q = candidates.astype(exact), queries.astype(exact)
-    to_c, to_q = distances(candidates, pivots), distances(queries, pivots)
+    # One row per pivot, in single precision; the slack covers its rounding many times over.
+    to_c, to_q = (np.ascontiguousarray(distances(x, pivots).T, np.float32) for x in (candidates, queries))
     norm_c, norm_q = (candidates * candidates).sum(1), (queries * queries).sum(1)
-    slack = 1e-9 * (norm_c.max(initial=0) + norm_q.max(initial=0)) + 0.25
+    slack = 1e-5 * (norm_c.max(initial=0) + norm_q.max(initial=0)) + 0.5
+    half = norm_c / 2
+    apart, gap = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
     out_q, out_c, out_s, evaluated = [], [], [], 0
     for i in range(len(q)):
-        apart = np.abs(to_c - to_q[i]).max(1)
-        bound = (norm_c + norm_q[i] - apart * apart) / 2 + slack
+        apart.fill(0)
+        for row, own in zip(to_c, to_q[:, i], strict=True):
+            np.maximum(apart, np.abs(np.subtract(row, own, out=gap), out=gap), out=apart)
+        bound = half - (apart * apart) * np.float32(0.5) + (norm_q[i] / 2 + slack)
         bound[ids == query_ids[i]] = -np.inf
         first = np.argpartition(-bound, WAVE)[:WAVE] if len(bound) > WAVE else np.arange(len(bound))
         first = first[bound[first] > -np.inf]
@@ -80,11 +85,12 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidat
         rest = bound >= least
         rest[first] = False
         rest = np.flatnonzero(rest & (bound > -np.inf))
-        rest = rest[np.argsort(-bound[rest], kind="stable")]
-        at = 0
+        rest = rest[np.argsort(-bound[rest])]
+        at, size = 0, WAVE
         while at < len(rest) and bound[rest[at]] >= least:
-            wave = rest[at : at + WAVE]
-            found, score, at = np.append(found, wave), np.append(score, c[wave] @ q[i]), at + len(wave)
+            wave = rest[at : at + size]
+            product = (c @ q[i])[wave] if 4 * len(wave) > len(c) else c[wave] @ q[i]
+            found, score, at, size = np.append(found, wave), np.append(score, product), at + len(wave), 3 * size
             if len(score) >= k:
                 least = np.partition(score, -k)[-k]
                 near = score >= least
