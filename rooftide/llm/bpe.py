@@ -29,7 +29,7 @@ from .common import map_arrow, slices
 
 END = "\ue000"
 #: Chunks, words and pairs kept in a worker's memory before it starts afresh.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 500_000, 300_000, 1_000_000
+CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 150_000, 100_000, 300_000
 NONE = 1 << 60
 _LOADED: dict[str, WordBpe] = {}
 

@@ -34,7 +34,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
 #: Words of more letters count as unseen; they would only fill the table.
 LONGEST_KNOWN = 24
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 
 
 @dataclass

@@ -44,7 +44,7 @@ REGISTERS, BASE = 256, 1.02
 BLOCK = 2048
 #: Bits of the filter that says which full sets may be needed; too small a filter only lets more through.
 FILTER_BITS = 22
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
 _RANDOM = np.random.default_rng(7)
 LOW, HIGH = (_RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
