@@ -5,12 +5,14 @@ tags with their classes, its presentation styles are the child sequences it has
 on the pages, its contents are the texts below it.  The entropy of the styles
 over the pages, and of each text over the pages that show it, give a node's
 importance: what many pages show alike says little.  Branches of low importance
-go from each page.
+go from each page, and so do single texts, the leaves of the tree, whose own
+importance on their host is low, inside article and main parts and on hosts of
+two pages as well.
 
 Markup that names its own role (navigation, notices, adverts, forms, comments
-and the like) goes too, also on hosts of few pages; and what a page marks as
-its article or main part is never judged by repetition, so that an article that
-is published twice stays.
+and the like) goes too.  An article that is published again stays: a text is
+not judged where copies of one article are half of the pages that show it, and
+where most of a part would go, only texts that half of the host's pages show do.
 
 Cases: null html is the empty page, whose text is empty; a null or odd url has
 the empty host; pages of any length are read whole; unclosed and misplaced
@@ -56,7 +58,7 @@ FURNITURE_NAMES = frozenset(
 #: Parts of longer names that say the same, and names of navigation in one word.
 FURNITURE_PARTS = re.compile(r"comment(?!ar)|cookie|advert|sidebar|newsletter|breadcrumb|footer|sponsor|masthead|popup|^(?:top|main|site|page|sub|side)?(?:nav|menu)(?:bar|menu|list)?$")
 BODY = frozenset(("article", "main"))
-#: A branch goes if at least MIN_PAGES pages of its host have it and its importance is below LEAST.
+#: A branch goes if at least MIN_PAGES pages of its host have it and its importance is below LEAST; a text that is repeated, by its importance alone.
 MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
 
 
@@ -65,13 +67,14 @@ class Block:
     path: tuple[str, ...]
     text: str
     furniture: bool
-    body: bool
+    #: how many elements of the path lead to the outer article or main part; 0 outside
+    body: int
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    #: element path -> child labels in order; elements below an article or main part are left out
+    #: element path -> child labels in order
     children: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
 
 
@@ -79,12 +82,12 @@ def read(source: str) -> Page:
     """Blocks of text in page order, with the path, role and place of each."""
     page, parts = Page(), []
     #: (tag, label, furniture so far, body so far)
-    stack: list[tuple[str, str, bool, bool]] = []
+    stack: list[tuple[str, str, bool, int]] = []
     at = 0
 
     def flush() -> None:
         if parts and (text := " ".join("".join(parts).split())):
-            page.blocks.append(Block(tuple(x[1] for x in stack), text, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            page.blocks.append(Block(tuple(x[1] for x in stack), text, bool(stack) and stack[-1][2], stack[-1][3] if stack else 0))
         parts.clear()
 
     def pop_to(i: int) -> None:
@@ -137,26 +140,57 @@ def read(source: str) -> Page:
             continue
         names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
         marks = {x.lower() for x in NAMES.findall(f"{names.get('class', '')} {names.get('id', '')}")}
-        furniture, body = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        furniture, body = (stack[-1][2], stack[-1][3]) if stack else (False, 0)
         hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
         own = tag in FURNITURE or tag == "header" and not body or names.get("role", "").lower() in ROLES or hidden
         named = bool(marks & FURNITURE_NAMES) or any(map(FURNITURE_PARTS.search, marks)) or "header" in marks and not body
         own = own or named and tag not in ("html", "body", "main") and (tag != "article" or body or any(x.startswith(("comment", "repl")) for x in marks))
         label = ".".join([tag, *sorted(names.get("class", "").split())])
-        if not body:
-            page.children.setdefault(tuple(x[1] for x in stack), []).append(label)
-        stack.append((tag, label, furniture or own, body or tag in BODY))
+        page.children.setdefault(tuple(x[1] for x in stack), []).append(label)
+        stack.append((tag, label, furniture or own, body or (len(stack) + 1 if tag in BODY else 0)))
     flush()
     return page
 
 
-def main_text(page: Page, low: frozenset[str]) -> str:
-    """The text without furniture and without branches of low importance; of the article or main part, if there is one."""
+def content_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def main_part(page: Page) -> list[Block]:
+    """The blocks that are not furniture; those of the article or main part, if there is one."""
     good = [b for b in page.blocks if not b.furniture]
-    if any(b.body for b in good):
-        good = [b for b in good if b.body]
-    elif low:
-        good = [b for b in good if not any(">".join(b.path[: i + 1]) in low for i in range(len(b.path)))]
+    return [b for b in good if b.body] or good
+
+
+@dataclass
+class Site:
+    """What the tree of a host says: its pages, branches of low importance, and how many pages show a repeated text or copy of a main part."""
+
+    pages: int
+    low: frozenset[str]
+    texts: dict[int, int]
+    copies: dict[int, int]
+
+
+def main_text(page: Page, site: Site | frozenset[str]) -> str:
+    """The text without furniture and without branches and texts of low importance; of the article or main part, if there is one."""
+    part = main_part(page)
+    if not site:
+        return " ".join(b.text for b in part)
+    size = lambda blocks: sum(len(b.text) for b in blocks)
+    good = part
+    if site.low:
+        good = [b for b in part if not any(">".join(b.path[: i + 1]) in site.low for i in range(b.body, len(b.path)))]
+        if part and part[0].body and 2 * size(good) < size(part):
+            good = part
+    if site.texts:
+        copies = site.copies.get(content_hash(" ".join(b.text for b in part)), 1)
+        shown = [site.texts.get(content_hash(b.text), 0) for b in good]
+        shown = [0 if copies > 1 and 2 * copies >= n else n for n in shown]
+        kept = [b for b, n in zip(good, shown, strict=True) if not n]
+        if 2 * size(kept) < size(good):
+            kept = [b for b, n in zip(good, shown, strict=True) if site.pages < MIN_PAGES or 2 * n < site.pages] or good
+        good = kept
     return " ".join(b.text for b in good)
 
 
@@ -164,8 +198,8 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path, pages, importance) of every element path outside article and main parts."""
+def features(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """(host, path, kind, feature, n, times): how many pages show what, features of one page counted together; the empty path is the host."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str, str, int]] = Counter()
@@ -173,11 +207,11 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
             for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 page = read(source or "")
                 own = {(">".join((*p, x)), "page", 0) for p, below in page.children.items() for x in below}
-                own |= {(">".join(p), "style", xxhash.xxh3_64_intdigest(">".join(below)) >> 1) for p, below in page.children.items() if p}
+                own |= {(">".join(p), "style", content_hash(">".join(below))) for p, below in page.children.items() if p}
                 for b in page.blocks:
-                    if not b.body:
-                        h = xxhash.xxh3_64_intdigest(b.text) >> 1
-                        own |= {(">".join(b.path[: i + 1]), "text", h) for i in range(len(b.path))}
+                    h = content_hash(b.text)
+                    own |= {(">".join(b.path[:i]), "text", h) for i in range(len(b.path) + 1)}
+                own |= {("", "page", 0), ("", "copy", content_hash(" ".join(b.text for b in main_part(page))))}
                 seen.update((host, *x) for x in own)
         columns = zip(*((*k, n) for k, n in seen.items()), strict=True) if seen else [()] * 5
         types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
@@ -185,38 +219,64 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
     rows = map_arrow(pages.select(host_of(F.col(url)).alias("host"), html), run, "host string, path string, kind string, feature bigint, n bigint")
     summed = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    return summed.groupBy("host", "path", "kind", F.when(F.col("n") > 1, F.col("feature")).alias("feature"), "n").agg(F.count(F.lit(1)).alias("times"))
+
+
+def nodes(seen: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of every element path of :func:`features`."""
     only = lambda kind, value: F.when(F.col("kind") == kind, value)
-    n = F.col("n").cast("double")
-    nodes = summed.groupBy("host", "path").agg(
+    n, times = F.col("n").cast("double"), F.col("times")
+    found = seen.where("path != ''").groupBy("host", "path").agg(
         F.max(only("page", F.col("n"))).alias("pages"),
-        F.avg(only("text", F.log(n))).alias("shared"),
-        F.sum(only("style", n)).alias("styled"),
-        F.sum(only("style", n * F.log(n))).alias("alike"),
+        (F.sum(only("text", times * F.log(n))) / F.sum(only("text", times))).alias("shared"),
+        F.sum(only("style", times * n)).alias("styled"),
+        F.sum(only("style", times * n * F.log(n))).alias("alike"),
     )
     base = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     content = F.coalesce(1 - F.col("shared") / base, F.lit(0.0))
     styles = F.coalesce((F.log("styled") - F.col("alike") / F.col("styled")) / base, F.lit(0.0))
-    return nodes.select("host", "path", "pages", ((1 - GAMMA) * styles + GAMMA * content).alias("importance"))
+    return found.select("host", "path", "pages", ((1 - GAMMA) * styles + GAMMA * content).alias("importance"))
+
+
+def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """(host, path, pages, importance) of every element path."""
+    return nodes(features(pages, html, url))
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url", broadcast_bytes: int = 8 << 20) -> DataFrame:
     """``key``, ``url`` and the main ``text`` of every page."""
-    low = style_tree(pages, html, url).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST))
-    low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")))
-    size = low.agg(F.coalesce(F.sum(F.length(F.concat_ws("|", "host", "low")) + 64), F.lit(0))).first()[0]
+    seen = cut(features(pages, html, url))
+    low = nodes(seen).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).groupBy("host").agg(F.collect_set("path").alias("low"))
+    root = seen.where((F.col("path") == "") & ((F.col("n") > 1) | (F.col("kind") == "page")))
+    hosts = root.where(F.col("kind") == "page").select("host", F.col("n").alias("pages"))
+    n, log_pages = F.col("n").cast("double"), F.log(F.col("pages").cast("double"))
+    poor = (F.col("kind") == "text") & (GAMMA * (1 - F.log(n) / log_pages) < LEAST)
+    #: fewer copies can't be half of the pages that show a text of low importance
+    copied = (F.col("kind") == "copy") & (2 * n >= F.exp(log_pages * (1 - LEAST / GAMMA)) * (1 - 1e-9))
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("feature", "n")))
+    often = root.where("kind != 'page'").join(hosts, "host").where(poor | copied).groupBy("host").agg(listed("text").alias("texts"), listed("copy").alias("copies"))
+    told = cut(hosts.join(low, "host", "left").join(often, "host", "left").where("low is not null or size(texts) > 0").select("host", F.struct("pages", "low", "texts", "copies").alias("site")))
+    size = told.agg(F.coalesce(F.sum(F.length(F.concat_ws("|", "host", "site.low")) + 16 * (F.greatest(F.size("site.texts"), F.lit(0)) + F.greatest(F.size("site.copies"), F.lit(0))) + 64), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        low = F.broadcast(low)
-    joined = pages.select(F.col(key), F.col(url), F.col(html), host_of(F.col(url)).alias("host")).join(low, "host", "left").select(key, url, html, "low")
-    kept: dict[tuple[str, ...], frozenset[str]] = {}
+        told = F.broadcast(told)
+    joined = pages.select(F.col(key), F.col(url), F.col(html), host_of(F.col(url)).alias("host")).join(told, "host", "left").select(key, url, html, "host", "site")
+    kept: dict[str, Site | frozenset[str]] = {}
+
+    def site_of(row: dict | None) -> Site | frozenset[str]:
+        if row is None:
+            return frozenset()
+        texts, copies = ({x["feature"]: x["n"] for x in row[k] or ()} for k in ("texts", "copies"))
+        return Site(row["pages"], frozenset(row["low"] or ()), texts, copies)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 2):
             texts = []
-            for source, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                if len(kept) > 1000:
-                    kept.clear()
-                names = tuple(paths or ())
-                texts.append(main_text(read(source or ""), kept.setdefault(names, frozenset(names))))
+            for i, (source, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                if host not in kept:
+                    if len(kept) > 1000:
+                        kept.clear()
+                    kept[host] = site_of(part.column(4)[i].as_py())
+                texts.append(main_text(read(source or ""), kept[host]))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
     kind = lambda c: pages.schema[c].dataType.simpleString()

@@ -95,6 +95,19 @@ def test_style_tree_drops_what_a_host_repeats(spark: SparkSession) -> None:
     assert tree["html>body>div.box"] < html_extract.LEAST < tree["html>body>div.story"]
 
 
+def test_style_tree_judges_articles_and_small_hosts(spark: SparkSession) -> None:
+    story = lambda i: f"<p>Story {i} {'w' * (i + 1)} of the day</p><p>More of {i} with other words</p>"
+    one = lambda i: page(f"<article>{story(i)}<p>Follow us</p><div class=box><p>Texts under a licence</p></div></article>")
+    rows = [(i, f"https://a.example/{i}", one(min(i, 20))) for i in range(30)]  # one article is published ten times
+    rows += [(100 + i, f"https://b.example/{i}", page(f"<main>{story(i)}<p>Follow us</p></main>")) for i in range(3)]
+    rows += [(200 + i, f"https://c.example/{i}", page(f"<main>{story(7)}</main>")) for i in range(9)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Story {i} {'w' * (i + 1)} of the day More of {i} with other words"
+    assert [found[i] for i in range(30)] == [text(min(i, 20)) for i in range(30)]
+    assert [found[100 + i] for i in range(3)] == [text(i) for i in range(3)]
+    assert [found[200 + i] for i in range(9)] == [text(7)] * 9
+
+
 def test_warc_round_trip_and_audit(spark: SparkSession) -> None:
     rows = [(i, f"https://a.example/{i}", "é" * (i % 50) * 40) for i in range(3000)] + [(None, None, None)]
     records = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
