@@ -10,7 +10,8 @@ importance on their host is low, inside article and main parts and on hosts of
 two pages as well.
 
 Markup that names its own role (navigation, notices, adverts, forms, comments
-and the like) goes too.  An article that is published again stays: a text is
+and the like) goes too; a class or id name alone removes no branch that holds
+the page's only article or main part, or most of its text.  An article that is published again stays: a text is
 not judged where copies of one article are half of the pages that show it, and
 where most of a part would go, only texts that half of the host's pages show do.
 
@@ -57,6 +58,8 @@ FURNITURE_NAMES = frozenset(
 )
 #: Parts of longer names that say the same, and names of navigation in one word.
 FURNITURE_PARTS = re.compile(r"comment(?!ar)|cookie|advert|sidebar|newsletter|breadcrumb|footer|sponsor|masthead|popup|^(?:top|main|site|page|sub|side)?(?:nav|menu)(?:bar|menu|list)?$")
+#: How names of sections that readers write begin; these may be longer than the article.
+REPLIES = ("comment", "repl", "respond", "disqus")
 BODY = frozenset(("article", "main"))
 #: A branch goes if at least MIN_PAGES pages of its host have it and its importance is below LEAST; a text that is repeated, by its importance alone.
 MIN_PAGES, LEAST, GAMMA = 8, 0.3, 0.9
@@ -69,6 +72,8 @@ class Block:
     furniture: bool
     #: how many elements of the path lead to the outer article or main part; 0 outside
     body: int
+    #: the elements of the path whose class or id alone says furniture
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -81,13 +86,15 @@ class Page:
 def read(source: str) -> Page:
     """Blocks of text in page order, with the path, role and place of each."""
     page, parts = Page(), []
-    #: (tag, label, furniture so far, body so far)
-    stack: list[tuple[str, str, bool, int]] = []
+    #: (tag, label, furniture so far, body so far, named so far)
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
+    #: of each named element, whether its name says that readers wrote it
+    replies: list[bool] = []
     at = 0
 
     def flush() -> None:
         if parts and (text := " ".join("".join(parts).split())):
-            page.blocks.append(Block(tuple(x[1] for x in stack), text, bool(stack) and stack[-1][2], stack[-1][3] if stack else 0))
+            page.blocks.append(Block(tuple(x[1] for x in stack), text, *(stack[-1][2:] if stack else (False, 0))))
         parts.clear()
 
     def pop_to(i: int) -> None:
@@ -140,18 +147,42 @@ def read(source: str) -> Page:
             continue
         names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] and not m[3].isspace() else {}
         marks = {x.lower() for x in NAMES.findall(f"{names.get('class', '')} {names.get('id', '')}")}
-        furniture, body = (stack[-1][2], stack[-1][3]) if stack else (False, 0)
+        furniture, body, above = stack[-1][2:] if stack else (False, 0, ())
         hidden = "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
         own = tag in FURNITURE or tag == "header" and not body or names.get("role", "").lower() in ROLES or hidden
         named = bool(marks & FURNITURE_NAMES) or any(map(FURNITURE_PARTS.search, marks)) or "header" in marks and not body
-        own = own or named and tag not in ("html", "body", "main") and (tag != "article" or body or any(x.startswith(("comment", "repl")) for x in marks))
+        named = not own and named and tag not in ("html", "body", "main") and (tag != "article" or body or any(x.startswith(("comment", "repl")) for x in marks))
         label = ".".join([tag, *sorted(names.get("class", "").split())])
         page.children.setdefault(tuple(x[1] for x in stack), []).append(label)
-        stack.append((tag, label, furniture or own, body or (len(stack) + 1 if tag in BODY else 0)))
+        if named:
+            above = (*above, len(replies))
+            replies.append(any(x.lower().startswith(REPLIES) for x in f"{names.get('class', '')} {names.get('id', '')}".split()))
+        stack.append((tag, label, furniture or own, body or (len(stack) + 1 if tag in BODY else 0), above))
     flush()
+    judge_names(page, replies)
     return page
 
 
+def judge_names(page: Page, replies: list[bool]) -> None:
+    """Mark what is below a named element as furniture, but for elements that hold the page's only article or main part or most of its text."""
+    if not replies:
+        return
+    shown = [b for b in page.blocks if not b.furniture]
+    held: Counter[int] = Counter()
+    for b in shown:
+        held.update(dict.fromkeys(b.named, len(b.text)))
+    total = sum(len(b.text) for b in shown)
+    spared = {i for i, n in held.items() if 2 * n > total and not replies[i]}
+    parts = [b for b in shown if b.body]
+    while parts and all(set(b.named) - spared for b in parts):
+        outer: Counter[int] = Counter()
+        for b in parts:
+            outer[next(i for i in b.named if i not in spared)] += len(b.text)
+        spared.add(max(outer, key=lambda i: (not replies[i], outer[i], -i)))
+    for b in page.blocks:
+        b.furniture = b.furniture or bool(set(b.named) - spared)
+
+
 def content_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 

@@ -86,6 +86,16 @@ def test_html_keeps_the_article_only() -> None:
     assert html_extract.main_text(html_extract.read("<!-- never closed <p>x"), frozenset()) == ""
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "content-sidebar-wrap", "ad-free", "site-header-fixed"])
+def test_html_keeps_what_a_named_wrapper_holds(name: str) -> None:
+    side = "<div class=sidebar><article>Teaser</article></div><div class=comments><p>A reader who writes more than the article does</p></div>"
+    text = lambda body: html_extract.main_text(html_extract.read(page(body)), frozenset())
+    assert text(f"<div class='{name}'><article><p>The story</p></article>{side}</div>") == "The story"
+    assert text(f"<main><h1>Title</h1><div class='{name}'><p>The story of the day</p></div><div class=share>Share</div></main>") == "Title The story of the day"
+    assert text(f"<div id='{name}'><p>The story of the day</p><div class=promo>Buy</div></div>") == "The story of the day"
+    assert text(f"<article><p>The story</p></article><div class='{name}'><article>Teaser</article></div>") == "The story"
+
+
 def test_style_tree_drops_what_a_host_repeats(spark: SparkSession) -> None:
     one = lambda i: page(f"<div class=box><p>Same line on all pages</p></div><div class=story><p>Story {i} {'w' * i}</p><p>More of {i}</p></div>")
     rows = [(i, f"https://a.example/{i}", one(i)) for i in range(30)] + [(100, None, None), (101, "odd", ""), (None, "https://b.example/", page("<p>lone</p>"))]
