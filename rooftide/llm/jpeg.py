@@ -306,12 +306,19 @@ def _lockstep(frames: list[Frame], blocks: tuple, restart: int, tables: dict, wo
 def thumbnail_hash(luma: np.ndarray) -> str:
     """64 bits: which cells of an 8x8 pooling are brighter than their mean."""
     rows, columns = (np.arange(8) * n // 8 for n in luma.shape)
-    cells = np.add.reduceat(np.add.reduceat(luma.astype(np.float64), rows, 0), columns, 1)
+    cells = np.add.reduceat(np.add.reduceat(luma, rows, 0, dtype=np.float64), columns, 1)
     tall, wide = (np.maximum(np.diff(np.append(x, n)), 1) for x, n in zip((rows, columns), luma.shape, strict=True))
     cells /= tall[:, None] * wide[None, :]
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 
+def picture(frames: list[Frame]) -> tuple[int, int, str]:
+    """Width, height and thumbnail hash of all frames of a stream, one below the other."""
+    wide = max(f.luma.shape[1] for f in frames)
+    luma = np.concatenate([np.pad(f.luma, ((0, 0), (0, wide - f.luma.shape[1]))) if f.luma.shape[1] < wide else f.luma for f in frames])
+    return max(f.width for f in frames), sum(f.height for f in frames), thumbnail_hash(luma)
+
+
 def store(docs: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
     """Padded payloads as JPEG streams: ``key``, ``n_bytes`` before padding, ``media``."""
 
@@ -326,7 +333,7 @@ def store(docs: DataFrame, key: str = "doc_id", payload: str = "payload") -> Dat
 
 
 def describe(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Read streams back: dimensions, frames, thumbnail samples (rows joined) and the first frame's hash.
+    """Read streams back: dimensions, frames, thumbnail samples and hash, all frames joined.
 
     All other columns of ``media`` stay as they are, but for the result's own names.
     """
@@ -338,7 +345,8 @@ def describe(media: DataFrame, key: str = "doc_id", column: str = "media") -> Da
             streams = [x or b"" for x in part.column(0).to_pylist()]
             ends = np.cumsum([len(x) for x in streams]).tolist()
             found = decode(b"".join(streams), [(e - len(x), e) for e, x in zip(ends, streams, strict=True)])
-            rows = [(f[0].width, f[0].height, len(f), b"".join(x.luma.tobytes() for x in f), thumbnail_hash(f[0].luma)) if f else (None,) * 5 for f in found]
+            seen = [picture(f) if f else (None,) * 3 for f in found]
+            rows = [(w, h, len(f) if f else None, b"".join(x.luma.tobytes() for x in f) if f else None, mark) for f, (w, h, mark) in zip(found, seen, strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [column, *kept, *own])
 

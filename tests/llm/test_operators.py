@@ -299,6 +299,16 @@ def test_jpeg_is_lossless(spark: SparkSession) -> None:
             assert bytes(r.thumbnail) == jpeg.pad(raw) and r.n_bytes == len(raw)
 
 
+def test_jpeg_feature_sees_all_frames(spark: SparkSession) -> None:
+    one = "a" * (jpeg.ROW * jpeg.FRAME_ROWS)
+    texts = [one + "a" * 300_000, one + "a" * 100_000 + "z" * 200_000, one]
+    rows = {r.doc_id: r for r in jpeg.describe(jpeg.store(docs(spark, texts).withColumnRenamed("text", "payload"))).collect()}
+    assert [rows[i].height for i in range(3)] == [8 * -(-len(t) // jpeg.ROW) for t in texts] and [rows[i].frames for i in range(3)] == [2, 2, 1]
+    assert rows[0].thumb_hash != rows[1].thumb_hash
+    joined = np.frombuffer(bytes(rows[1].thumbnail), np.uint8).reshape(-1, jpeg.ROW)
+    assert rows[1].thumb_hash == jpeg.thumbnail_hash(joined)
+
+
 def bits_to_bytes(bits: str) -> bytes:
     bits += "1" * (-len(bits) % 8)
     return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
