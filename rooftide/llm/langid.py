@@ -5,8 +5,11 @@ falls back to its character n-grams, from the longest length down: a position
 uses the longest n-gram that the model knows.  The language with the highest
 sum wins.
 
-The model is fitted on labelled rows picked by a hash of their text, about
-``max_documents`` of them (the documented bound of the sample), and keeps the
+The model is fitted on labelled rows picked by a hash, about ``max_documents``
+of them (the documented bound of the sample): all rows of small languages, and
+of each larger one about as many as fit.  Frequencies are mixed with a uniform
+share over one vocabulary, so that an unseen word costs the same in each
+language, however little of it was seen.  The model keeps the
 ``max_words`` most frequent words and ``max_grams`` most frequent n-grams of
 each language.  That bounds the broadcast model, whatever the corpus holds.
 
@@ -35,6 +38,8 @@ SIZES = (4, 3, 2, 1)
 #: Words of more letters count as unseen; they would only fill the table.
 LONGEST_KNOWN = 24
 CACHE_WORDS = 80_000
+#: The share of a uniform choice over the vocabulary in each language's frequencies.
+UNIFORM = 0.01
 
 
 @dataclass
@@ -68,13 +73,31 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return map_arrow(docs.select(lang, text), run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def fair_share(totals: list[int], most: int) -> int:
+    """Rows that each language may give so that all give ``most`` together; smaller ones give all they have."""
+    rest = most
+    for i, n in enumerate(sorted(totals)):
+        share = rest // (len(totals) - i)
+        if n > share:
+            return max(share, 1)
+        rest -= n
+    return max(totals, default=0)
+
+
+def sample(labelled: DataFrame, text: str, lang: str, max_documents: int) -> DataFrame:
+    """(text, lang) of about ``max_documents`` rows with a language: all of small languages, at least one row's text of each."""
+    hashed = [c for c in labelled.columns if "map<" not in labelled.schema[c].dataType.simpleString()]
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.shiftrightunsigned(F.xxhash64(*hashed), 33).alias("h"))
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    share = fair_share([r["n"] for r in totals], max_documents)
+    bounds = [(r["lang"], max(r["least"], (1 << 31) * share // r["n"])) for r in totals]
+    most = labelled.sparkSession.createDataFrame(bounds, "lang string, most bigint")
+    return rows.join(F.broadcast(most), "lang").where("h <= most").select("text", "lang")
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_documents: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000) -> Model:
-    """Fit on about ``max_documents`` rows with a language, chosen by the hash of their text."""
-    rows = labelled.select(text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = rows.count()
-    share = min(1.0, max_documents / max(total, 1))
-    sample = rows.where(F.crc32(text) < int(share * (1 << 32)) + 1)
-    counts = word_counts(sample, text, lang).persist()
+    """Fit on about ``max_documents`` rows with a language, chosen by :func:`sample`."""
+    counts = word_counts(sample(labelled, text, lang, max_documents), "text", "lang").persist()
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
 
     def top(df: DataFrame, most: int) -> list:
@@ -91,7 +114,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_documen
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     counts.unpersist()
     languages = sorted(totals)
-    return Model(languages, _logs(words, languages, totals), _logs(pieces, languages, _by_size(pieces)), tuple(-math.log(totals[k] + 1.0) for k in languages))
+    return Model(languages, _logs(words, languages, totals), _logs(pieces, languages, _by_size(pieces)), (0.0,) * len(languages))
 
 
 def _by_size(pieces: list) -> dict[tuple[str, int], int]:
@@ -102,12 +125,15 @@ def _by_size(pieces: list) -> dict[tuple[str, int], int]:
 
 
 def _logs(rows: list, languages: list[str], totals: dict) -> dict[str, tuple[float, ...]]:
-    """Add-half log frequencies of each gram in all languages."""
+    """Log frequencies of each gram in all languages, a share of them uniform over the grams of its size (or all words)."""
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in rows:
         counts[r["gram"]][r["lang"]] = r["n"]
-    total = lambda k, g: totals.get(k, totals.get((k, len(g)), 0))
-    return {g: tuple(math.log((c.get(k, 0) + 0.5) / (total(k, g) + 1.0)) for k in languages) for g, c in counts.items()}
+    size = Counter(map(len, counts))
+    words = all(k in totals for k in languages)
+    many = lambda g: len(counts) if words else size[len(g)]
+    share = lambda n, k, g: n / max(totals.get(k, totals.get((k, len(g)), 0)), 1)
+    return {g: tuple(math.log((1 - UNIFORM) * share(c.get(k, 0), k, g) + UNIFORM / many(g)) for k in languages) for g, c in counts.items()}
 
 
 def word_scores(model: Model, word: str) -> tuple[float, ...]:

@@ -222,6 +222,28 @@ def test_language_of_held_out_text(spark: SparkSession) -> None:
     assert {r.lang_pred for r in langid.predict(odd(spark), empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("few", [1, 4, 20])
+def test_a_small_language_is_learned_and_swallows_none(spark: SparkSession, few: int) -> None:
+    rng = random.Random(11)
+    stems = {k: ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(60)] for k, letters in {"de": "aeschrtu", "en": "aeothnwi", "es": "aeolsrdq"}.items()}
+    one = lambda k: " ".join("".join(rng.choices(stems[k], k=rng.randint(1, 2))) for _ in range(30))
+    sizes = {"de": 1500, "en": 1500, "es": few}
+    rows = [(i, one(k), k) for k, n in sizes.items() for i in range(n)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_documents=1000)
+    tests = [(i, one(k), k) for k in sizes for i in range(100)]
+    found = [(k, langid.predict_text(model, t, {})[0]) for _, t, k in tests]
+    assert model.languages == ["de", "en", "es"]
+    right = Counter(k for k, got in found if k == got)
+    assert right["de"] >= 97 and right["en"] >= 97 and right["es"] >= 80
+
+
+def test_fair_share_and_sample(spark: SparkSession) -> None:
+    assert [langid.fair_share(x, 100) for x in ([], [5], [5, 1000], [5, 1000, 2000], [200] * 300)] == [0, 5, 95, 47, 1]
+    rows = [(i, "same text", "en") for i in range(900)] + [(i, f"text {i}", "de") for i in range(900)] + [(1, "texto", "es")]
+    got = Counter(r.lang for r in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", 301).collect())
+    assert got["es"] == 1 and 100 < got["en"] < 200 and 100 < got["de"] < 200
+
+
 def groups_by_force(rows: list[tuple], words: int, percent: int) -> dict:
     sets = {}
     for i, t in rows:
