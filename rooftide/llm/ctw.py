@@ -8,11 +8,15 @@ estimate and half the product of its children; these weights, taken over the
 whole training corpus, mix the estimates of all depths.
 
 Estimates depend on counts alone, so training is one count of byte n-grams over
-all training texts.  The tree keeps the most frequent contexts, at most
-``max_contexts``; what the kept children of a context don't cover is one more
-child, so no count is lost.  Mixing weights and estimates then fold into one
-table, log10 P(byte | longest kept context), of at most max_contexts x 256
-floats, and scoring is a walk down the context trie and one lookup per byte.
+all training texts.  All contexts are kept: the n-grams of training and of the
+texts to score form one table, partitioned by the last ROOT bytes of the
+context.  Each partition sums its part of the tree upwards, the driver joins
+the parts at contexts of fewer bytes (at most 256 ** (ROOT - 1), whatever the
+corpus holds), and each partition mixes downwards and gives every n-gram its
+log10 P(byte | context), which is joined back to the chunks of text that have it.
+
+With ``max_contexts`` the tree is one small broadcast table of the most frequent
+contexts; what they don't cover is one more child of each.
 
 The base score is an add-one unigram over tokens.  Frequent tokens, at most
 ``max_frequent``, are looked up in a broadcast table; all others are joined.
@@ -34,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER_ASCII, cut, map_arrow, slices
 
@@ -41,6 +46,8 @@ END = b"\n"
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
 #: Entries of a task's counters before they are handed on.
 FLUSH = 400_000
+#: Bytes of context by which the tree is partitioned; n-grams of a partition that are worked on at once; bytes of text in a chunk.
+ROOT, RUN, CHUNK = 3, 200_000, 8 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -218,22 +225,133 @@ def byte_scores(tree: Tree, joined: list[bytes]) -> np.ndarray:
     return sums[starts + lengths] - sums[starts]
 
 
+@dataclass
+class Level:
+    """The decisions on one bit of the next byte: keys (context, bits before), counts and products of children, by context depth."""
+
+    keys: list[np.ndarray]
+    ups: list[np.ndarray]
+    p: list[np.ndarray]
+    beta: list[np.ndarray]
+    above: np.ndarray
+
+
+def climb(bit: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, low: int, high: int, product: np.ndarray | None = None) -> Level:
+    """Sum from contexts of ``high`` bytes up to ``low``; without ``product`` the deepest have no children."""
+    all_keys, ups, ps, betas = [keys], [], [], []
+    for k in range(high, low - 1, -1):
+        own = block(a, b)
+        ps.append((b + 0.5) / (a + b + 1))
+        betas.append(np.ones(len(own)) if product is None else 1 / (1 + np.exp(np.clip(product - own, -700, 700))))
+        above = own if product is None else np.logaddexp(own, product) - math.log(2)
+        if k > low:
+            keys, up = np.unique(keys & ((1 << 8 * (k - 1) + bit) - 1), return_inverse=True)
+            a, b, product = (np.bincount(up, x, len(keys)) for x in (a, b, above))
+            all_keys.append(keys)
+            ups.append(up)
+    return Level(all_keys, ups, ps, betas, above)
+
+
+def descend(level: Level, mixed: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mixtures and the weight that is left at the deepest contexts, from those above the highest."""
+    for i in range(len(level.p) - 1, -1, -1):
+        mixed, weight = mixed + weight * level.beta[i] * level.p[i], weight * (1 - level.beta[i])
+        if i:
+            mixed, weight = mixed[level.ups[i - 1]], weight[level.ups[i - 1]]
+    return mixed, weight
+
+
+def part_levels(code: np.ndarray, n: np.ndarray, depth: int, root: int) -> Iterator[tuple[int, Level, np.ndarray]]:
+    """Of each bit, its level from depth up to root, and the place of each n-gram in the deepest keys."""
+    for bit in range(8):
+        keys, where = np.unique(code >> (8 - bit), return_inverse=True)
+        one = (code >> (7 - bit)) & 1
+        yield bit, climb(bit, keys, np.bincount(where, n * (1 - one), len(keys)), np.bincount(where, n * one, len(keys)), root, depth), where
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (root, code, n, ...), sorted by root, in tables that hold all rows of their roots."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= RUN:
+            whole = pa.Table.from_batches(held)
+            roots = whole.column("root").to_numpy()
+            if (end := int(np.searchsorted(roots, roots[-1]))) > 0:
+                yield whole.slice(0, end)
+                held = whole.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
+    """(code, log10p, chunks) of all n-grams (root, code, n, chunks), which lie together by root and in its order."""
+    root = min(ROOT, depth)
+
+    def upwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            for bit, level, where in part_levels(t.column("code").to_numpy(), t.column("n").to_numpy(), depth, root):
+                one = (t.column("code").to_numpy() >> (7 - bit)) & 1
+                n = t.column("n").to_numpy()
+                top = level.keys[-1] & ((1 << 8 * (root - 1) + bit) - 1)
+                keys, up = np.unique(top, return_inverse=True)
+                for x in level.ups:
+                    where = x[where]
+                a, b = (np.bincount(up[where], n * y, len(keys)) for y in (1 - one, one))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bit, np.int32)), pa.array(keys), pa.array(a), pa.array(b), pa.array(np.bincount(up, level.above, len(keys)))], ["bit", "key", "a", "b", "product"])
+
+    sums = spread.select("root", "code", "n").mapInArrow(upwards, "bit int, key bigint, a double, b double, product double")
+    top = sums.groupBy("bit", "key").agg(*(F.sum(c).alias(c) for c in ("a", "b", "product"))).orderBy("bit", "key").toArrow()
+    bits, *columns = (top.column(k).to_numpy() for k in range(5))
+    mixtures = []
+    for bit in range(8):
+        keys, a, b, product = (c[bits == bit] for c in columns)
+        if not len(keys):
+            continue
+        level = climb(bit, keys, a, b, 0, root - 1, product)
+        n = len(level.keys[-1])
+        mixtures.append((keys, *descend(level, np.zeros(n), np.ones(n))))
+    shared = spread.sparkSession.sparkContext.broadcast(mixtures)
+
+    def downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            code = t.column("code").to_numpy()
+            total = np.zeros(len(code))
+            for bit, level, where in part_levels(code, t.column("n").to_numpy(), depth, root):
+                keys, mixed, weight = shared.value[bit]
+                at = np.searchsorted(keys, level.keys[-1] & ((1 << 8 * (root - 1) + bit) - 1))
+                one = np.clip(descend(level, mixed[at], weight[at])[0], 1e-12, 1 - 1e-7)[where]
+                total += np.log10(np.where((code >> (7 - bit)) & 1, one, 1 - one))
+            yield from pa.table({"code": t.column("code"), "log10p": total, "chunks": t.column("chunks")}).combine_chunks().to_batches(20_000)
+
+    return spread.mapInArrow(downwards, "code bigint, log10p double, chunks array<int>")
+
+
 @dataclass
 class Model:
-    tree: Tree
+    tree: Tree | None
     #: counts of frequent tokens; ``rare`` holds the others as a DataFrame (word, c)
     frequent: dict[bytes, int]
     train_tokens: int
     distinct: int
+    depth: int
+    #: (code, n): all byte n-grams of training, where there is no small tree
+    codes: DataFrame
 
 
-def fit(training: DataFrame, depth: int = 5, max_contexts: int = 32_768, max_frequent: int = 100_000, text: str = "text") -> tuple[Model, DataFrame]:
+def fit(training: DataFrame, depth: int = 5, max_contexts: int | None = None, max_frequent: int = 100_000, text: str = "text") -> tuple[Model, DataFrame]:
     """The model, and (word, c) of the training tokens that are not frequent."""
     table = cut(counts(training, depth, text))
     words = table.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = least_count(words, "c", max_frequent)
     frequent = words.where(F.col("c") >= least).toArrow()
+    known = dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True))
+    codes, rare = table.where(F.col("code").isNotNull()).select("code", "n"), words.where(F.col("c") < least)
+    if max_contexts is None:
+        return Model(None, known, int(n), int(v), depth, codes), rare
     spans = [F.struct(F.lit(k).alias("d"), F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")) for k in range(depth + 1)]
     by_depth = table.where(F.col("code").isNotNull()).select(F.explode(F.array(*spans)).alias("s"), "n").groupBy("s.d", "s.code").agg(F.sum("n").alias("n"))
     by_depth = cut(by_depth)
@@ -246,17 +364,16 @@ def fit(training: DataFrame, depth: int = 5, max_contexts: int = 32_768, max_fre
     rows = rows.unionByName(by_depth.where("d = 0").select("d", "code", "n")).toArrow()
     d, code, times = (rows.column(k).to_numpy() for k in range(3))
     tree = build(depth, d, code, times)
-    known = dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True))
-    return Model(tree, known, int(n), int(v)), words.where(F.col("c") < least)
+    return Model(tree, known, int(n), int(v), depth, codes), rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` (log10) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, depth = docs.sparkSession.sparkContext.broadcast((model.frequent, model.tree)), model.depth
     pairs = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value.frequent
+    def run(batch: pa.RecordBatch, codes: np.ndarray | None = None, log10p: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        frequent, tree = shared.value
         for part in slices(batch, 1, 1 << 21):
             split = [tokens(t) for t in part.column(1).to_pylist()]
             sums, seen, others = [], [], []
@@ -274,7 +391,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", t
                 sums.append(total)
                 seen.append(known)
                 others.append(unknown)
-            scores = byte_scores(shared.value.tree, [b" ".join(w) + END for w in split])
+            joined = [b" ".join(w) + END for w in split]
+            if tree is not None:
+                scores = byte_scores(tree, joined)
+            else:
+                sums_to = np.concatenate([[0.0], np.cumsum(log10p[np.searchsorted(codes, grams(joined, depth))])])
+                scores = np.diff(sums_to[np.cumsum([0, *map(len, joined)])])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(others, pairs)],
                 [key, "n_tokens", "known", "logs", "score", "others"],
@@ -282,7 +404,32 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, known bigint, logs double, score double, others array<struct<word: binary, times: int>>"
-    walked = cut(map_arrow(docs.select(key, text), run, schema)).withColumn("row", F.monotonically_increasing_id())
+
+    def seen_grams(t: pa.Table) -> pa.Table:
+        codes = np.empty(0, np.int64)
+        for batch in t.select(["chunk", text]).combine_chunks().to_batches():
+            for part in slices(batch, 1, 1 << 21):
+                codes = np.union1d(codes, grams([b" ".join(tokens(x)) + END for x in part.column(1).to_pylist()], depth))
+        return pa.table({"code": codes, "chunk": pa.array(np.full(len(codes), t.column("chunk")[0].as_py(), np.int32))})
+
+    def run_chunk(t: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(codes := found.column("code").to_numpy())
+        batches = t.select([key, text]).combine_chunks().to_batches()
+        return pa.Table.from_batches([x for b in batches for x in run(b, codes[order], found.column("log10p").to_numpy()[order])], empty) if t.num_rows else empty.empty_table()
+
+    def whole() -> DataFrame:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+        chunk = F.pmod(F.xxhash64(key, text), F.lit(size // CHUNK + 1)).cast("int").alias("chunk")
+        placed = docs.select(chunk, key, text)
+        mine = placed.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
+        both = mine.unionByName(model.codes.withColumn("chunk", F.lit(None).cast("int"))).groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
+        top = F.shiftright("code", 8).bitwiseAND((1 << 8 * min(ROOT, depth)) - 1).alias("root")
+        spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"))
+        told = gram_scores(spread, depth).select(F.explode("chunks").alias("chunk"), "code", "log10p")
+        return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_chunk, schema)
+
+    empty = pa.schema([(key, to_arrow_type(docs.schema[key].dataType)), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pairs)])
+    walked = cut(map_arrow(docs.select(key, text), run, schema) if model.tree is not None else whole()).withColumn("row", F.monotonically_increasing_id())
     walked_pairs = walked.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     log: Column = F.log10(F.col("c") + 1)
     more = walked_pairs.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum("times").alias("also"))

@@ -464,6 +464,21 @@ def test_scores_and_base(spark: SparkSession) -> None:
     assert blank[0].n_known == 0 and blank[0].score == pytest.approx(8 * math.log10(0.5) * len((texts[0] + "\n").encode()), rel=1e-4)
 
 
+def test_the_whole_tree_is_kept_and_spread(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcde é", k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "unseen XYZ"]
+    table = docs(spark, texts)
+    monkeypatch.setattr(ctw, "CHUNK", 500)
+    monkeypatch.setattr(ctw, "RUN", 50)
+    for depth in (2, 5):
+        one, rare = ctw.fit(table.where("doc_id < 60"), depth=depth, max_contexts=1 << 20)
+        want = {r.doc_id: r.score for r in ctw.score(table, one, rare).collect()}
+        model, rare = ctw.fit(table.where("doc_id < 60"), depth=depth)
+        assert model.tree is None
+        found = {r.doc_id: r.score for r in ctw.score(table, model, rare).collect()}
+        assert len(found) == len(texts) and all(found[i] == pytest.approx(want[i], rel=1e-4) for i in want)
+
+
 def test_queries_run_on_odd_documents(spark: SparkSession, tmp_path) -> None:
     odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting"):
