@@ -4,15 +4,20 @@ Greedy longest match proposes tokens for every word not met before.  A token
 sequence is the true BPE encoding exactly if each token encodes to itself and
 each adjacent pair encodes to that pair, so all adjacent pairs of a batch are
 tested together as integer codes against a table of pairs known to hold.  Only
-words with a failing pair go through exact merging.
+words with a failing pair go through exact merging, which takes n log n steps
+for a word of n letters.
 
-Cases: null text is the empty text; an empty text has no tokens; texts of any
-length are taken whole; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+A task reads the vocabulary once and frees it at its end; decoding reads the
+tokens alone.  What a task remembers of words is bounded in bytes.
+
+Cases: null text is the empty text; an empty text has no tokens; texts and words
+of any length are taken whole; repeated rows give repeated results; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import struct
@@ -25,13 +30,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, slices
+from .common import slices
 
 END = "\ue000"
-#: Chunks, words and pairs kept in a worker's memory before it starts afresh.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS = 150_000, 100_000, 300_000
+#: Bytes of chunks and words, and number of pairs, that a task remembers before it starts afresh.
+CACHE_BYTES, CACHE_PAIRS = 24 << 20, 300_000
+#: Bytes that a remembered string takes beside its letters and ids.
+ENTRY = 200
+#: Symbols of a word up to which a plain scan finds the best pair faster than a heap.
+SCAN = 40
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
 NONE = 1 << 60
-_LOADED: dict[str, WordBpe] = {}
 
 
 def byte_letters() -> list[str]:
@@ -41,25 +51,40 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class Tokens:
+    """The tokens of a tokenizers file as they are shown."""
+
+    def __init__(self, spec: dict) -> None:
+        found = {**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}
+        self.shown = [b""] * (max(found.values()) + 1)
+        for t, i in found.items():
+            self.shown[i] = t.encode()
+
+    def decode(self, ids: bytes) -> bytes:
+        """The tokens of the ids joined by spaces, in UTF-8; the file names no decoder of its own."""
+        return b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizers file."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict) -> None:
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         mark = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) and len(s) > len(suffix) else s
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ids = {mark(t): i for t, i in model["vocab"].items() if t not in self.specials}
-        self.shown = [b""] * (max([*model["vocab"].values(), *self.specials.values()]) + 1)
-        for t, i in [*model["vocab"].items(), *self.specials.items()]:
-            self.shown[i] = t.encode()
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         #: (left id, right id) as one integer -> (rank, merged id) as one integer
         self.merge = {self.ids[mark(a)] << 16 | self.ids[mark(b)]: r << 16 | self.ids[mark(a) + mark(b)] for r, (a, b) in enumerate(merges)}
-        if len(self.shown) > 1 << 16:
+        if max([*model["vocab"].values(), *self.specials.values()]) >= 1 << 16:
             raise ValueError("ids of more than 16 bits are not supported")
         self.text_of = {i: t for t, i in self.ids.items()}
+        self.longest = max(map(len, self.ids))
         self.trie = ahocorasick.Automaton()
         for t in self.ids:
             self.trie.add_word(t, True)
@@ -70,12 +95,14 @@ class WordBpe:
         self.ids_of: dict[str, bytes] = {}
         self.pairs, self.holds = np.empty(0, np.int64), np.empty(0, bool)
         self.alone: dict[int, bool] = {}
-        self.merged = 0
+        self.merged, self.held = 0, 0
 
     def exact(self, symbols: list[str]) -> list[int]:
         """Ids after merging the lowest-ranked pair, leftmost first, until none is left."""
         ids = [self.ids[x] for x in symbols]
         get = self.merge.get
+        if len(ids) > SCAN:
+            return self.exact_long(ids)
         ranks = [get(a << 16 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) != NONE:
             i = ranks.index(best)
@@ -87,15 +114,36 @@ class WordBpe:
                 ranks[i] = get(made << 16 | ids[i + 1], NONE)
         return ids
 
+    def exact_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of pairs over a linked list; an entry counts if its place still holds that pair."""
+        n, get = len(ids), self.merge.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found, i) for i in range(n - 1) if (found := get(ids[i] << 16 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == n or get(ids[i] << 16 | ids[j]) != best:
+                continue
+            ids[i], ids[j] = best & 0xFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := get(ids[i] << 16 | ids[k])) is not None:
+                    heapq.heappush(heap, (found, i))
+            if (h := before[i]) >= 0 and (found := get(ids[h] << 16 | ids[i])) is not None:
+                heapq.heappush(heap, (found, h))
+        return [x for x in ids if x >= 0]
+
     @staticmethod
     def split(token: str) -> list[str]:
         return [*token[:-2], token[-2:]] if token.endswith(END) else list(token)
 
     def greedy(self, word: str) -> list[int]:
         """Longest match from the left; the last letter is never parted from the word end."""
-        out, i, n, get, prefix = [], 0, len(word), self.ids.get, self.trie.longest_prefix
+        out, i, n, get, prefix, longest = [], 0, len(word), self.ids.get, self.trie.longest_prefix, self.longest
         while i < n:
-            j = i + prefix(word[i:])
+            j = i + prefix(word[i : i + longest])
             while j > i and (j == n - 1 or (k := get(word[i:j])) is None):
                 j -= 1
             if j == i:
@@ -160,7 +208,9 @@ class WordBpe:
             some = fresh_words[start : start + 20_000]
             got = self.words_to_ids([fresh[w] for w in some])
             ids.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(some, got, strict=True))
-        self.known.update((chunk, ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found])) for chunk, found in zip(order, parts, strict=True))
+        made = [ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found]) for found in parts]
+        self.known.update(zip(order, made, strict=True))
+        self.held += sum(map(len, order)) + sum(map(len, made)) + ENTRY * len(order) + sum(len(w) + len(ids[w]) + ENTRY for w in fresh)
 
     def chunks(self, text: str) -> list[str]:
         """Special strings and the runs between white space, in order."""
@@ -177,10 +227,10 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
-        if len(self.ids_of) > CACHE_WORDS:
             self.ids_of.clear()
+            self.held = 0
         split = [self.chunks(t) for t in texts]
         known = self.known
         known.update({s: np.array([i], "<u4").tobytes() for s, i in self.specials.items()})
@@ -190,38 +240,28 @@ class WordBpe:
         self.learn(fresh)
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The tokens of the ids joined by spaces, in UTF-8; the file names no decoder of its own."""
-        return b" ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def load(path: str) -> WordBpe:
-    """One vocabulary per worker and path."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
-
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every whole text: ``key``, ``ids`` binary (little-endian unsigned 32-bit)."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for part in slices(batch, 1):
-            ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = WordBpe(read_spec(path))
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Texts of encoded rows: ``key``, ``ids``, ``decoded`` binary (UTF-8)."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for part in slices(batch, 1):
-            texts = [bpe.decode(x or b"") for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], [key, ids, "decoded"])
-
-    return map_arrow(tokens.select(key, ids), run, f"`{key}` {tokens.schema[key].dataType.simpleString()}, `{ids}` binary, decoded binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = Tokens(read_spec(path))
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                texts = [shown.decode(x or b"") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], [key, ids, "decoded"])
 
+    return tokens.select(key, ids).mapInArrow(run, f"`{key}` {tokens.schema[key].dataType.simpleString()}, `{ids}` binary, decoded binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,7 +56,7 @@ def test_bpe_equals_the_library(spark: SparkSession) -> None:
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=list("abcdeXYZ  '.,!<|>/éÉİΣẞ你१½\t\n\x1c\xa0'stll019_-"), max_size=60))
 def test_bpe_on_any_text(text: str) -> None:
-    ids = np.frombuffer(bpe.load(PATH).encode_batch([text])[0], "<u4").tolist()
+    ids = np.frombuffer(word_bpe_cached().encode_batch([text])[0], "<u4").tolist()
     assert ids == reference_cached().encode(text, add_special_tokens=False).ids
 
 
@@ -64,12 +65,36 @@ def reference_cached(found: list = []) -> Tokenizer:  # noqa: B006
     return found[0]
 
 
+def word_bpe_cached(found: list = []) -> bpe.WordBpe:  # noqa: B006
+    found.append(found[0] if found else bpe.WordBpe(bpe.read_spec(PATH)))
+    return found[0]
+
+
 def test_bpe_verifies_what_it_speculates() -> None:
-    b = bpe.WordBpe(PATH)
+    b = bpe.WordBpe(bpe.read_spec(PATH))
     b.encode_batch(["thnterble atst onthtionhent erth reeant blest ndwhst"])
     assert b.merged > 0 and b.pairs.size > 0 and not b.holds.all()
 
 
+def test_bpe_takes_very_long_words_whole() -> None:
+    rng, b, t = random.Random(3), word_bpe_cached(), reference_tokenizer()
+    for n in (bpe.SCAN, bpe.SCAN + 1, 300, 20_000):
+        for letters in ("abcdefghijklmnop", "aab", "é"):
+            word = "".join(rng.choices(letters, k=n))
+            assert np.frombuffer(b.encode_batch([word])[0], "<u4").tolist() == t.encode(word, add_special_tokens=False).ids
+    start = time.perf_counter()
+    b.encode_batch(["".join(rng.choices("abcdefghijklmnop", k=200_000))])
+    assert time.perf_counter() - start < 20
+
+
+def test_bpe_memory_is_bounded(monkeypatch: pytest.MonkeyPatch) -> None:
+    b = bpe.WordBpe(bpe.read_spec(PATH))
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    for i in range(20):
+        b.encode_batch([" ".join(f"w{i}x{k}" for k in range(50))])
+    assert b.held <= 40_000 and len(b.known) < 150
+
+
 def page(body: str) -> str:
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
 
