@@ -7,11 +7,11 @@ sum wins.
 
 The model is fitted on labelled rows picked by a hash, about ``max_documents``
 of them (the documented bound of the sample): all rows of small languages, and
-of each larger one about as many as fit.  Frequencies are mixed with a uniform
-share over one vocabulary, so that an unseen word costs the same in each
-language, however little of it was seen.  The model keeps the
-``max_words`` most frequent words and ``max_grams`` most frequent n-grams of
-each language.  That bounds the broadcast model, whatever the corpus holds.
+of each larger one about as many as fit.  All words and n-grams of the sample
+are kept.  Frequencies are mixed with a uniform share over one vocabulary, so
+that an unseen word costs the same in each language, however little of it was
+seen.  Words and n-grams are told apart by 64-bit hashes, and a model is a few
+arrays whose size the sample bounds.
 
 Cases: null text, or text without letters, gives ``und`` with score 0; texts of
 any length are read whole; ties go to the smaller language name; repeated rows
@@ -21,35 +21,58 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import cut, map_arrow, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
-#: Words of more letters count as unseen; they would only fill the table.
-LONGEST_KNOWN = 24
-CACHE_WORDS = 80_000
+#: Words that a task remembers before it starts afresh; longer ones than LONG are scored anew each time.
+CACHE_WORDS, LONG = 80_000, 64
 #: The share of a uniform choice over the vocabulary in each language's frequencies.
 UNIFORM = 0.01
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
+#: Seed of Spark's xxhash64.
+SEED = 42
+
+
+@dataclass
+class Table:
+    """Sorted hashes and one row of log frequencies, a column per language, for each."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
 
 
 @dataclass
 class Model:
-    """Log frequencies: word or (marked) n-gram -> one value per language."""
+    """Log frequencies of words and of n-grams (their ends marked) in each language."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    floor: tuple[float, ...]
+    words: Table
+    grams: Table
+
+
+def hashed(strings: list[str]) -> np.ndarray:
+    """The hashes that Spark's xxhash64 gives."""
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode(), SEED) for x in strings), np.uint64, len(strings)).view(np.int64)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -63,7 +86,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter[str]] = defaultdict(Counter)
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, SLICE):
             for language, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 seen[language].update(LETTERS.findall(t.lower()))
         rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
@@ -95,88 +118,100 @@ def sample(labelled: DataFrame, text: str, lang: str, max_documents: int) -> Dat
     return rows.join(F.broadcast(most), "lang").where("h <= most").select("text", "lang")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_documents: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_documents: int = 20_000) -> Model:
     """Fit on about ``max_documents`` rows with a language, chosen by :func:`sample`."""
-    counts = word_counts(sample(labelled, text, lang, max_documents), "text", "lang").persist()
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-
-    def top(df: DataFrame, most: int) -> list:
-        return df.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= most).select("lang", "gram", "n").collect()
-
-    short = counts.where(F.length("word") <= LONGEST_KNOWN)
-    words = top(short.select("lang", F.col("word").alias("gram"), "n"), max_words)
+    counts = cut(word_counts(sample(labelled, text, lang, max_documents), "text", "lang"))
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    pieces: list = []
-    for n in SIZES:
-        spans = F.expr(f"transform(sequence(1, greatest(length(w) - {n - 1}, 1)), i -> substring(w, i, {n}))")
-        split = counts.select("lang", "n", marked.alias("w")).select("lang", "n", F.explode(spans).alias("gram")).where(F.length("gram") == n)
-        pieces += top(split.groupBy("lang", "gram").agg(F.sum("n").alias("n")), max_grams)
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    counts.unpersist()
-    languages = sorted(totals)
-    return Model(languages, _logs(words, languages, totals), _logs(pieces, languages, _by_size(pieces)), (0.0,) * len(languages))
-
-
-def _by_size(pieces: list) -> dict[tuple[str, int], int]:
-    out: dict[tuple[str, int], int] = defaultdict(int)
-    for r in pieces:
-        out[r["lang"], len(r["gram"])] += r["n"]
+    spans = [F.expr(f"if(length(w) >= {n}, transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})), array())") for n in SIZES]
+    split = counts.select("lang", "n", marked.alias("w")).select("lang", "n", F.explode(F.concat(*spans)).alias("gram"))
+    pieces = split.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = counts.select("lang", F.lit(0).alias("size"), F.xxhash64("word").alias("h"), "n").unionByName(pieces.select("lang", F.length("gram").alias("size"), F.xxhash64("gram").alias("h"), "n")).toArrow()
+    names, size, h, n = (rows.column(k) for k in range(4))
+    languages = sorted(set(names.to_pylist()))
+    of = np.searchsorted(np.array(languages, dtype=object), np.array(names.to_pylist(), dtype=object)) if languages else np.empty(0, int)
+    size, h, n = size.to_numpy(), h.to_numpy(), n.to_numpy()
+    tables = [_logs(size[own], h[own], of[own], n[own], len(languages)) for own in (size == 0, size > 0)]
+    return Model(languages, *tables)
+
+
+def _logs(size: np.ndarray, h: np.ndarray, of: np.ndarray, n: np.ndarray, languages: int) -> Table:
+    """Log frequencies in all languages, a share of them uniform over the entries of a size."""
+    keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+    counts = np.zeros((len(keys), languages))
+    np.add.at(counts, (at, of), n)
+    logs = np.empty((len(keys), languages), np.float64)
+    own = size[first]
+    for k in np.unique(own):
+        rows = own == k
+        share = counts[rows] / np.maximum(counts[rows].sum(0), 1)
+        logs[rows] = np.log((1 - UNIFORM) * share + UNIFORM / rows.sum())
+    return Table(keys, logs)
+
+
+def word_scores(model: Model, words: list[str]) -> np.ndarray:
+    """Per-language scores of words: a word's own log frequency, else the mean of its longest known n-grams, else 0."""
+    at = model.words.find(hashed(words))
+    out = np.zeros((len(words), len(model.languages)))
+    out[at >= 0] = model.words.logs[at[at >= 0]]
+    for i in np.flatnonzero(at < 0).tolist():
+        best = np.full(len(words[i]) + 2, -1)
+        for n in sorted(SIZES):  # longer ones overwrite shorter ones
+            found = model.grams.find(hashed(grams(words[i], n)))
+            best[: len(found)] = np.where(found >= 0, found, best[: len(found)])
+        if (known := best[best >= 0]).size:
+            out[i] = model.grams.logs[known].mean(0)
     return out
 
 
-def _logs(rows: list, languages: list[str], totals: dict) -> dict[str, tuple[float, ...]]:
-    """Log frequencies of each gram in all languages, a share of them uniform over the grams of its size (or all words)."""
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in rows:
-        counts[r["gram"]][r["lang"]] = r["n"]
-    size = Counter(map(len, counts))
-    words = all(k in totals for k in languages)
-    many = lambda g: len(counts) if words else size[len(g)]
-    share = lambda n, k, g: n / max(totals.get(k, totals.get((k, len(g)), 0)), 1)
-    return {g: tuple(math.log((1 - UNIFORM) * share(c.get(k, 0), k, g) + UNIFORM / many(g)) for k in languages) for g, c in counts.items()}
-
-
-def word_scores(model: Model, word: str) -> tuple[float, ...]:
-    """Per-language score of a word: its own log frequency, else the mean of its longest known n-grams."""
-    if (own := model.words.get(word)) is not None:
-        return own
-    marked, found = f"^{word}$", []
-    for i in range(len(marked)):
-        for n in SIZES:
-            if i + n <= len(marked) and (s := model.grams.get(marked[i : i + n])) is not None:
-                found.append(s)
-                break
-    return tuple(sum(x) / len(found) for x in zip(*found, strict=True)) if found else model.floor
-
-
-def predict_text(model: Model, text: str | None, cache: dict[str, tuple[float, ...]]) -> tuple[str, float]:
-    words = Counter(LETTERS.findall(text.lower())) if text else {}
-    if not words or not model.languages:
-        return "und", 0.0
-    sums = [0.0] * len(model.languages)
-    for w, n in words.items():
-        s = cache.get(w)
-        if s is None:
-            s = cache[w] = word_scores(model, w)
-        for i, x in enumerate(s):
-            sums[i] += n * x
-    best = max(range(len(sums)), key=lambda i: (sums[i], -i))
-    return model.languages[best], 1.0 / sum(math.exp(max(x - sums[best], -700.0)) for x in sums)
+class Predictor:
+    """Predictions of one task; scores of words are kept between texts."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.at = model, {}
+        self.scores = np.empty((0, len(model.languages)))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The best language and its posterior for each text."""
+        names, posteriors = ["und"] * len(texts), [0.0] * len(texts)
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not self.model.languages:
+            return names, posteriors
+        if len(self.at) > CACHE_WORDS:
+            self.at.clear()
+            self.scores = self.scores[:0]
+        fresh = list({w for ws in found for w in ws} - self.at.keys())
+        start = len(self.scores)
+        self.scores = np.concatenate([self.scores, word_scores(self.model, fresh)])
+        self.at.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        told = [i for i, ws in enumerate(found) if ws]
+        if told:
+            sizes = np.array([len(found[i]) for i in told])
+            rows = np.fromiter((self.at[w] for i in told for w in found[i]), np.int64, int(sizes.sum()))
+            sums = np.add.reduceat(self.scores[rows], np.cumsum(sizes) - sizes, 0)
+            best = sums.argmax(1)
+            share = 1 / np.exp(np.maximum(sums - sums.max(1, keepdims=True), -700)).sum(1)
+            for i, k, x in zip(told, best.tolist(), share.tolist(), strict=True):
+                names[i], posteriors[i] = self.model.languages[k], x
+        if any(len(w) > LONG for w in fresh):
+            self.at.clear()
+            self.scores = self.scores[:0]
+        return names, posteriors
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``lang_pred`` (a learned language or ``und``), ``score`` (the winner's posterior) and the columns in ``keep``."""
+    """``key``, ``lang_pred`` (a learned language or ``und``), ``score`` (the winner's posterior) and the columns in ``keep`` as ``kept_*``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cache: dict[str, tuple[float, ...]] = {}
+    read = list(dict.fromkeys([key, text, *keep]))
+    at = [read.index(c) for c in (key, *keep)]
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            found = [predict_text(shared.value, t, cache) for t in part.column(1).to_pylist()]
-            names, scores = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *part.columns[2:]], [key, "lang_pred", "score", *(f"kept_{c}" for c in keep)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = Predictor(shared.value)
+        for batch in batches:
+            for part in slices(batch, read.index(text), SLICE):
+                names, scores = told(part.column(read.index(text)).to_pylist())
+                kept = [part.column(i) for i in at]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *kept[1:]], [key, "lang_pred", "score", *(f"kept_{c}" for c in keep)])
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     schema = ", ".join([f"`{key}` {kind(key)}, lang_pred string, score double", *(f"`kept_{c}` {kind(c)}" for c in keep)])
-    return map_arrow(docs.select(key, text, *keep), run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
