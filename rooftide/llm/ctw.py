@@ -15,9 +15,6 @@ the parts at contexts of fewer bytes (at most 256 ** (ROOT - 1), whatever the
 corpus holds), and each partition mixes downwards and gives every n-gram its
 log10 P(byte | context), which is joined back to the chunks of text that have it.
 
-With ``max_contexts`` the tree is one small broadcast table of the most frequent
-contexts; what they don't cover is one more child of each.
-
 The base score is an add-one unigram over tokens.  Frequent tokens, at most
 ``max_frequent``, are looked up in a broadcast table; all others are joined.
 
@@ -40,14 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER_ASCII, cut, map_arrow, slices
+from .common import LOWER_ASCII, cut, slices
 
 END = b"\n"
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
 #: Entries of a task's counters before they are handed on.
 FLUSH = 400_000
 #: Bytes of context by which the tree is partitioned; n-grams of a partition that are worked on at once; bytes of text in a chunk.
-ROOT, RUN, CHUNK = 3, 200_000, 8 << 20
+ROOT, RUN, CHUNK = 3, 200_000, 32 << 20
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,11 +55,11 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def grams(joined: list[bytes], depth: int) -> np.ndarray:
-    """For every byte of the texts its depth preceding bytes and itself as one integer; texts begin after ends."""
-    flat = np.frombuffer(b"".join(END * depth + t for t in joined), np.uint8).astype(np.int64)
-    code = np.zeros(max(len(flat) - depth, 0), np.int64)
-    for k in range(depth + 1):
-        code = code << 8 | flat[k : k + len(code)]
+    """For every byte of the texts its depth preceding bytes and itself as one integer (depth 7 at most); texts begin after ends."""
+    flat = np.frombuffer(b"".join([bytes(7 - depth), *(END * depth + t for t in joined)]), np.uint8)
+    if len(flat) < 8:
+        return np.empty(0, np.int64)
+    code = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, 8)).view(">i8").ravel().astype(np.int64) & ((1 << 8 * (depth + 1)) - 1)
     real = np.ones(len(code), bool)
     starts = np.cumsum([len(t) + depth for t in joined[:-1]], dtype=np.int64)
     for k in range(depth):  # positions that lie in the padding of the next text
@@ -68,31 +67,45 @@ def grams(joined: list[bytes], depth: int) -> np.ndarray:
     return code[real]
 
 
+def summed(codes: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their numbers."""
+    if not codes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found, where = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(where, weights=np.concatenate(numbers), minlength=len(found)).astype(np.int64)
+
+
 def counts(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
     """(word, code, n): tokens with a null code, byte n-grams with a null word, over all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        codes, numbers = np.empty(0, np.int64), np.empty(0, np.int64)
+        codes: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            n, m = len(words), len(codes)
+            found, times = summed(codes, numbers)
+            n, m = len(words), len(found)
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(n, pa.int64()), pa.array(words.values(), pa.int64())], ["word", "code", "n"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.array(codes), pa.array(numbers)], ["word", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.array(found), pa.array(times)], ["word", "code", "n"])
 
         for batch in batches:
-            for part in slices(batch, 0, 1 << 21):
+            for part in slices(batch, 0, SLICE):
                 split = [tokens(t) for t in part.column(0).to_pylist()]
                 for own in split:
                     words.update(own)
                 words[END] += len(split)
                 more, times = np.unique(grams([b" ".join(w) + END for w in split], depth), return_counts=True)
-                codes, where = np.unique(np.concatenate([codes, more]), return_inverse=True)
-                numbers = np.bincount(where, weights=np.concatenate([numbers, times]), minlength=len(codes)).astype(np.int64)
-                if len(words) > FLUSH or len(codes) > 3 * FLUSH:
+                codes.append(more)
+                numbers.append(times)
+                if sum(map(len, codes)) > 5 * FLUSH:
+                    found, times = summed(codes, numbers)
+                    codes[:], numbers[:] = [found], [times]
+                if len(words) > FLUSH or sum(map(len, codes)) > 3 * FLUSH and len(codes) == 1:
                     yield from out()
                     words.clear()
-                    codes, numbers = codes[:0], numbers[:0]
+                    codes.clear()
+                    numbers.clear()
         yield from out()
 
     rows = docs.select(text).mapInArrow(run, "word binary, code bigint, n bigint")
@@ -126,105 +139,6 @@ def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - math.log(math.pi) - lgamma(a + b + 1)
 
 
-def decisions(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 inner nodes (heap order) of each row's byte tree."""
-    heap = np.zeros((len(leaves), 512))
-    heap[:, 256:] = leaves
-    for level in range(7, -1, -1):
-        a, b = 1 << level, 2 << level
-        heap[:, a:b] = heap[:, 2 * a : 2 * b : 2] + heap[:, 2 * a + 1 : 2 * b : 2]
-    return heap[:, 2:512:2], heap[:, 3:512:2]
-
-
-def _chunks(n: int, size: int = 1024) -> Iterator[slice]:
-    """Slices that bound what is held at once beside the tables themselves."""
-    return (slice(a, min(a + size, n)) for a in range(0, n, size))
-
-
-@dataclass
-class Tree:
-    """The folded tree: ``child[node, byte]`` (0: none) and ``log10p[node, byte]``; node 0 is the empty context."""
-
-    depth: int
-    child: np.ndarray
-    log10p: np.ndarray
-
-
-def build(depth: int, d: np.ndarray, code: np.ndarray, n: np.ndarray) -> Tree:
-    """Fold counts (context depth, context << 8 | byte, n); each context's parent must be there too."""
-    contexts = [np.unique(code[d == k] >> 8) if k else np.zeros(1, np.int64) for k in range(depth + 1)]
-    first = np.cumsum([0, *map(len, contexts)])
-    total = int(first[-1])
-    child = np.zeros((total, 256), np.int32)
-    parent: list[np.ndarray] = [np.zeros(1, np.int64)]
-    for k in range(1, depth + 1):
-        up = np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))
-        parent.append(up)
-        child[first[k - 1] + up, contexts[k] >> 8 * (k - 1)] = first[k] + np.arange(len(up))
-    leaves = []
-    for k in range(depth + 1):
-        own = d == k
-        table = np.zeros((len(contexts[k]), 256))
-        np.add.at(table, (np.searchsorted(contexts[k], code[own] >> 8), code[own] & 255), n[own])
-        leaves.append(table)
-    beta: list[np.ndarray] = [np.ones((1, 255), np.float32)] * (depth + 1)
-    rest: list[np.ndarray] = [np.empty(0)] * (depth + 1)
-    below = np.empty((0, 255))
-    for k in range(depth, -1, -1):
-        n_nodes, up = len(leaves[k]), parent[k + 1] if k < depth else None
-        above = np.empty((n_nodes, 255))
-        if k < depth:
-            left, weighted = leaves[k].copy(), np.zeros((n_nodes, 255))
-            np.subtract.at(left, up, leaves[k + 1])
-            np.add.at(weighted, up, below)
-            beta[k], rest[k] = np.empty((n_nodes, 255), np.float32), np.empty((n_nodes, 255), np.float32)
-        for s in _chunks(n_nodes):
-            own = block(*decisions(leaves[k][s]))
-            if k == depth:
-                above[s] = own
-                continue
-            a, b = decisions(left[s])
-            rest[k][s] = (b + 0.5) / (a + b + 1)
-            product = weighted[s] + block(a, b)
-            beta[k][s] = 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
-            above[s] = np.logaddexp(own, product) - math.log(2)
-        below = above
-    log10p = np.zeros((total, 256), np.float32)
-    mixed, weight = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
-    for k in range(depth + 1):
-        if k:
-            mixed, weight = mixed[parent[k]], weight[parent[k]]
-        for s in _chunks(len(leaves[k])):
-            a, b = decisions(leaves[k][s])
-            share = beta[k][s] if k < depth else beta[k]
-            mixed[s] += weight[s] * share * ((b + 0.5) / (a + b + 1)).astype(np.float32)
-            weight[s] *= 1 - share
-            one = np.clip(mixed[s] + weight[s] * rest[k][s] if k < depth else mixed[s], 1e-12, 1 - 1e-7).astype(np.float64)
-            heap = np.zeros((len(one), 512))
-            for level in range(8):
-                a, b = 1 << level, 2 << level
-                heap[:, 2 * a : 2 * b : 2] = heap[:, a:b] + np.log10(1 - one[:, a - 1 : b - 1])
-                heap[:, 2 * a + 1 : 2 * b : 2] = heap[:, a:b] + np.log10(one[:, a - 1 : b - 1])
-            log10p[first[k] : first[k + 1]][s] = heap[:, 256:]
-    return Tree(depth, child, log10p)
-
-
-def byte_scores(tree: Tree, joined: list[bytes]) -> np.ndarray:
-    """log10 probability of each text."""
-    pad = END * tree.depth
-    flat = np.frombuffer(b"".join(pad + t for t in joined), np.uint8)
-    lengths = np.array([len(t) for t in joined])
-    starts = np.cumsum(lengths + tree.depth) - lengths
-    node, alive = np.zeros(len(flat), np.int32), np.arange(tree.depth, len(flat))
-    for k in range(tree.depth):
-        below = tree.child[node[alive], flat[alive - 1 - k]]
-        alive, below = alive[below > 0], below[below > 0]
-        node[alive] = below
-    each = tree.log10p[node, flat].astype(np.float64)
-    sums = np.concatenate([[0.0], np.cumsum(each)])
-    return sums[starts + lengths] - sums[starts]
-
-
 @dataclass
 class Level:
     """The decisions on one bit of the next byte: keys (context, bits before), counts and products of children, by context depth."""
@@ -331,108 +245,82 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
 
 @dataclass
 class Model:
-    tree: Tree | None
     #: counts of frequent tokens; ``rare`` holds the others as a DataFrame (word, c)
     frequent: dict[bytes, int]
+    rare: DataFrame
     train_tokens: int
     distinct: int
     depth: int
-    #: (code, n): all byte n-grams of training, where there is no small tree
+    #: (code, n): all byte n-grams of training
     codes: DataFrame
 
 
-def fit(training: DataFrame, depth: int = 5, max_contexts: int | None = None, max_frequent: int = 100_000, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and (word, c) of the training tokens that are not frequent."""
+def fit(training: DataFrame, depth: int = 5, max_frequent: int = 100_000, text: str = "text") -> Model:
+    """Counts of tokens and byte n-grams over all training rows; ``depth`` is 1 to 7."""
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be 1 to 7")
     table = cut(counts(training, depth, text))
     words = table.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = least_count(words, "c", max_frequent)
     frequent = words.where(F.col("c") >= least).toArrow()
     known = dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True))
-    codes, rare = table.where(F.col("code").isNotNull()).select("code", "n"), words.where(F.col("c") < least)
-    if max_contexts is None:
-        return Model(None, known, int(n), int(v), depth, codes), rare
-    spans = [F.struct(F.lit(k).alias("d"), F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")) for k in range(depth + 1)]
-    by_depth = table.where(F.col("code").isNotNull()).select(F.explode(F.array(*spans)).alias("s"), "n").groupBy("s.d", "s.code").agg(F.sum("n").alias("n"))
-    by_depth = cut(by_depth)
-    contexts = by_depth.groupBy("d", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n")).where("d > 0")
-    enough = least_count(contexts, "n", max_contexts)
-    kept = contexts.where(F.col("n") >= enough).select("d", "context")
-    if kept.count() <= max_contexts:
-        kept = F.broadcast(kept)
-    rows = by_depth.withColumn("context", F.shiftright("code", 8)).join(kept, ["d", "context"], "left_semi").select("d", "code", "n")
-    rows = rows.unionByName(by_depth.where("d = 0").select("d", "code", "n")).toArrow()
-    d, code, times = (rows.column(k).to_numpy() for k in range(3))
-    tree = build(depth, d, code, times)
-    return Model(tree, known, int(n), int(v), depth, codes), rare
-
-
-def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` (log10) of every row."""
-    shared, depth = docs.sparkSession.sparkContext.broadcast((model.frequent, model.tree)), model.depth
-    pairs = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    return Model(known, words.where(F.col("c") < least), int(n), int(v), depth, table.where(F.col("code").isNotNull()).select("code", "n"))
 
-    def run(batch: pa.RecordBatch, codes: np.ndarray | None = None, log10p: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        frequent, tree = shared.value
-        for part in slices(batch, 1, 1 << 21):
-            split = [tokens(t) for t in part.column(1).to_pylist()]
-            sums, seen, others = [], [], []
-            for own in split:
-                c, known, unknown = frequent.get(END, 0), int(END in frequent), []
-                total = math.log10(c + 1)
-                for w, times in Counter(own).items():
-                    if (c := frequent.get(w)) is None:
-                        unknown.append({"word": w, "times": times})
-                    else:
-                        total += times * math.log10(c + 1)
-                        known += times
-                if not int(END in frequent):
-                    unknown.append({"word": END, "times": 1})
-                sums.append(total)
-                seen.append(known)
-                others.append(unknown)
-            joined = [b" ".join(w) + END for w in split]
-            if tree is not None:
-                scores = byte_scores(tree, joined)
-            else:
-                sums_to = np.concatenate([[0.0], np.cumsum(log10p[np.searchsorted(codes, grams(joined, depth))])])
-                scores = np.diff(sums_to[np.cumsum([0, *map(len, joined)])])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(others, pairs)],
-                [key, "n_tokens", "known", "logs", "score", "others"],
-            )
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, known bigint, logs double, score double, others array<struct<word: binary, times: int>>"
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_tokens``, ``n_known``, ``base_score``, ``score`` (log10) and ``bits_per_byte`` (the code length) of every row."""
+    shared, depth = docs.sparkSession.sparkContext.broadcast(model.frequent), model.depth
+    pairs = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    names = [key, "n_tokens", "known", "logs", "score", "n_bytes", "others"]
+    types = [to_arrow_type(docs.schema[key].dataType), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pairs]
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, others array<struct<word: binary, times: int>>"
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    placed = docs.select(F.pmod(F.xxhash64(key, text), F.lit(size // CHUNK + 1)).cast("int").alias("chunk"), key, text)
+
+    def texts_of(t: pa.Table, *columns: str) -> Iterator[pa.RecordBatch]:
+        return (part for batch in t.select([*columns, text]).to_batches() if batch.num_rows for part in slices(batch, len(columns), SLICE))
 
     def seen_grams(t: pa.Table) -> pa.Table:
-        codes = np.empty(0, np.int64)
-        for batch in t.select(["chunk", text]).combine_chunks().to_batches():
-            for part in slices(batch, 1, 1 << 21):
-                codes = np.union1d(codes, grams([b" ".join(tokens(x)) + END for x in part.column(1).to_pylist()], depth))
+        seen = [np.unique(grams([b" ".join(tokens(x)) + END for x in part.column(1).to_pylist()], depth)) for part in texts_of(t, "chunk")]
+        codes = np.unique(np.concatenate(seen))
         return pa.table({"code": codes, "chunk": pa.array(np.full(len(codes), t.column("chunk")[0].as_py(), np.int32))})
 
-    def run_chunk(t: pa.Table, found: pa.Table) -> pa.Table:
+    def base(own: list[bytes], frequent: dict[bytes, int]) -> tuple[int, float, list[dict]]:
+        """Frequent tokens, the sum of their logs, and all other tokens."""
+        known, total, others = 0, 0.0, []
+        for w, times in [*Counter(own).items(), (END, 1)]:
+            if (c := frequent.get(w)) is None:
+                others.append({"word": w, "times": times})
+            else:
+                total += times * math.log10(c + 1)
+                known += times
+        return known, total, others
+
+    def run(t: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(codes := found.column("code").to_numpy())
-        batches = t.select([key, text]).combine_chunks().to_batches()
-        return pa.Table.from_batches([x for b in batches for x in run(b, codes[order], found.column("log10p").to_numpy()[order])], empty) if t.num_rows else empty.empty_table()
-
-    def whole() -> DataFrame:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-        chunk = F.pmod(F.xxhash64(key, text), F.lit(size // CHUNK + 1)).cast("int").alias("chunk")
-        placed = docs.select(chunk, key, text)
-        mine = placed.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
-        both = mine.unionByName(model.codes.withColumn("chunk", F.lit(None).cast("int"))).groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
-        top = F.shiftright("code", 8).bitwiseAND((1 << 8 * min(ROOT, depth)) - 1).alias("root")
-        spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"))
-        told = gram_scores(spread, depth).select(F.explode("chunks").alias("chunk"), "code", "log10p")
-        return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_chunk, schema)
-
-    empty = pa.schema([(key, to_arrow_type(docs.schema[key].dataType)), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pairs)])
-    walked = cut(map_arrow(docs.select(key, text), run, schema) if model.tree is not None else whole()).withColumn("row", F.monotonically_increasing_id())
+        codes, log10p, out = codes[order], found.column("log10p").to_numpy()[order], []
+        for part in texts_of(t, key):
+            split = [tokens(x) for x in part.column(1).to_pylist()]
+            joined = [b" ".join(w) + END for w in split]
+            lengths = np.array([len(x) for x in joined])
+            distinct, where = np.unique(grams(joined, depth), return_inverse=True)
+            scores = np.add.reduceat(log10p[np.searchsorted(codes, distinct)][where], np.cumsum(lengths) - lengths)
+            known, logs, others = zip(*(base(w, shared.value) for w in split), strict=True)
+            columns = [part.column(0), [len(w) + 1 for w in split], known, logs, scores, lengths, others]
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names))
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
+
+    mine = placed.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
+    both = mine.unionByName(model.codes.withColumn("chunk", F.lit(None).cast("int"))).groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
+    top = F.shiftright("code", 8).bitwiseAND((1 << 8 * min(ROOT, depth)) - 1).alias("root")
+    spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"))
+    told = gram_scores(spread, depth).select(F.explode("chunks").alias("chunk"), "code", "log10p")
+    walked = cut(placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
     walked_pairs = walked.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     log: Column = F.log10(F.col("c") + 1)
-    more = walked_pairs.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum("times").alias("also"))
-    base = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.train_tokens + model.distinct + 1)
+    more = walked_pairs.join(model.rare, "word").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum("times").alias("also"))
+    base_score = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(model.train_tokens + model.distinct + 1)
     known = (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known")
-    return walked.drop("others").join(more, "row", "left").select(key, "n_tokens", known, base.alias("base_score"), "score")
+    bits = (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte")
+    return walked.drop("others").join(more, "row", "left").select(key, "n_tokens", known, base_score.alias("base_score"), "score", bits)
