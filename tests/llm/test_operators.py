@@ -8,6 +8,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -99,35 +100,90 @@ def page(body: str) -> str:
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
 
 
+def own_text(source: str) -> str:
+    """The main text of a page that is the only one of its host."""
+    read = html_extract.read(source)
+    tree = html_extract.place(read)
+    return html_extract.main_text(read, html_extract.Site(1, frozenset(x for x in [*tree.nodes, *tree.leaves] if x & 1), {}, {}))
+
+
 def test_html_keeps_the_article_only() -> None:
     body = (
         "<nav><ul><li><a href=/>Home</a></li></ul></nav><!-- x --><div class='cookie-notice'>We use</div><div class=ad>Buy</div>"
         "<article><h1>Ti&amp;tle</h1><p><b>One<br>  two.<p>Thr<i>ee</i></p><form>f</form><section class=comments><p>reader</p></section></article>"
         "<aside>side</aside><footer>&copy; x</footer>"
     )
-    assert html_extract.main_text(html_extract.read(page(body)), frozenset()) == "Ti&tle One two. Three"
-    assert html_extract.main_text(html_extract.read(page("<p>a</p><div>b c</div>")), frozenset()) == "a b c"
-    assert html_extract.main_text(html_extract.read("<p>cut <b>off"), frozenset()) == "cut off"
-    assert html_extract.main_text(html_extract.read("<!-- never closed <p>x"), frozenset()) == ""
+    assert own_text(page(body)) == "Ti&tle One two. Three"
+    assert own_text(page("<p>a</p><div>b c</div>")) == "a b c"
+    assert own_text("<p>cut <b>off") == "cut off"
+    assert own_text("<!-- never closed <p>x") == ""
 
 
 @pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "content-sidebar-wrap", "ad-free", "site-header-fixed"])
 def test_html_keeps_what_a_named_wrapper_holds(name: str) -> None:
     side = "<div class=sidebar><article>Teaser</article></div><div class=comments><p>A reader who writes more than the article does</p></div>"
-    text = lambda body: html_extract.main_text(html_extract.read(page(body)), frozenset())
+    text = lambda body: own_text(page(body))
     assert text(f"<div class='{name}'><article><p>The story</p></article>{side}</div>") == "The story"
     assert text(f"<main><h1>Title</h1><div class='{name}'><p>The story of the day</p></div><div class=share>Share</div></main>") == "Title The story of the day"
     assert text(f"<div id='{name}'><p>The story of the day</p><div class=promo>Buy</div></div>") == "The story of the day"
     assert text(f"<article><p>The story</p></article><div class='{name}'><article>Teaser</article></div>") == "The story"
 
 
+def test_html_silent_elements_and_names() -> None:
+    assert own_text("<p>a<svg><svg><text>in</text></svg><text>label</text></svg>b</p>") == "ab"
+    assert own_text("<button>open<p>rest of page</p>") == "rest of page"
+    assert own_text("<div><button>x</div><p>stays</p><button>y</button>") == "stays"
+    for name in ("class='story social-housing'", "class=widget-text", "id=notice-of-death"):
+        assert own_text(f"<article><h1>T</h1><div {name}><p>All that is told here</p></div></article>") == "T All that is told here"
+    assert own_text("<div>" * 9000 + "x" + "</div>" * 9000) == "x"
+    start = time.perf_counter()
+    html_extract.page_features(html_extract.read("<div class=a>y" * 8000))
+    assert time.perf_counter() - start < 2
+
+
+def importance_by_force(htmls: list[str]) -> dict[int, float]:
+    """Entropies of one host's nodes, straight from the definition."""
+    seen, styles, texts = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for source in htmls:
+        for node, kind, feature in html_extract.page_features(html_extract.read(source)):
+            if node and kind == "page":
+                seen[node] += 1
+            elif node:
+                (styles if kind == "style" else texts)[node][feature] += 1
+    out = {}
+    for node, m in seen.items():
+        entropy = lambda c, m=m: -sum(n / c.total() * math.log(n / c.total()) for n in c.values()) / math.log(m) if c else 0.0
+        own = (1 - html_extract.GAMMA) * entropy(styles[node]) + html_extract.GAMMA * entropy(texts[node]) if m > 1 else 1.0
+        out[node] = (m * own + html_extract.DOUBT) / (m + html_extract.DOUBT) * (html_extract.MARKED if node & 1 else 1)
+    return out
+
+
 def test_style_tree_drops_what_a_host_repeats(spark: SparkSession) -> None:
-    one = lambda i: page(f"<div class=box><p>Same line on all pages</p></div><div class=story><p>Story {i} {'w' * i}</p><p>More of {i}</p></div>")
+    one = lambda i: page(f"<nav>{i}</nav><div class=box><p>Same line on all pages</p></div><div class=story><p>Story {i} {'w' * i}</p>{'<p>x</p>' * (i % 3)}<p>More of {i}</p></div>")
     rows = [(i, f"https://a.example/{i}", one(i)) for i in range(30)] + [(100, None, None), (101, "odd", ""), (None, "https://b.example/", page("<p>lone</p>"))]
-    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found[3] == "Story 3 www More of 3" and found[100] == "" and found[101] == "" and found[None] == "lone"
-    tree = {r.path: r.importance for r in html_extract.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).where("host = 'a.example'").collect()}
-    assert tree["html>body>div.box"] < html_extract.LEAST < tree["html>body>div.story"]
+    rows += [(102, "https://c.example/", one(1)), (102, "https://c.example/", one(1))]
+    table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, site string")
+    for size in (8 << 20, 0):  # broadcast and joined
+        found = {r.page_id: r.text for r in html_extract.extract(table, broadcast_bytes=size).collect()}
+        assert found[3] == "Story 3 www More of 3" and found[100] == "" and found[101] == "" and found[None] == "lone"
+        assert found[102] == "Same line on all pages Story 1 w x More of 1"
+    tree = {r.node: r.importance for r in html_extract.style_tree(table).where("host = 'a.example'").collect()}
+    want = importance_by_force([one(i) for i in range(30)])
+    assert tree.keys() == want.keys() and all(tree[k] == pytest.approx(want[k]) for k in want)
+    read = html_extract.read(one(4))
+    named = dict(zip(read.label, html_extract.place(read).nodes, strict=True))
+    assert tree[named["div.box"]] < html_extract.LEAST < tree[named["div.story"]] and tree[named["nav"]] < html_extract.LEAST
+    assert html_extract.extract(table.limit(0)).count() == 0
+
+
+def test_the_tree_decides_pages_of_the_tables(spark: SparkSession) -> None:
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no tables here")
+    table = spark.read.parquet(str(path))
+    with_tree = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    changed = sum(html_extract.main_text(html_extract.read(r.html or ""), None) != with_tree[r.page_id] for r in table.collect())
+    assert changed > len(with_tree) / 2
 
 
 def test_style_tree_judges_articles_and_small_hosts(spark: SparkSession) -> None:
