@@ -36,8 +36,8 @@ from .common import cut, map_arrow, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
-#: Words that a task remembers before it starts afresh; longer ones than LONG are scored anew each time.
-CACHE_WORDS, LONG = 80_000, 64
+#: Words and n-grams that a task remembers before it starts afresh; words of more letters than LONG are scored anew each time.
+CACHE_WORDS, CACHE_GRAMS, LONG = 80_000, 200_000, 64
 #: The share of a uniform choice over the vocabulary in each language's frequencies.
 UNIFORM = 0.01
 #: Bytes of text that are worked on at once.
@@ -148,28 +148,47 @@ def _logs(size: np.ndarray, h: np.ndarray, of: np.ndarray, n: np.ndarray, langua
     return Table(keys, logs)
 
 
-def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    """Per-language scores of words: a word's own log frequency, else the mean of its longest known n-grams, else 0."""
-    at = model.words.find(hashed(words))
-    out = np.zeros((len(words), len(model.languages)))
-    out[at >= 0] = model.words.logs[at[at >= 0]]
-    for i in np.flatnonzero(at < 0).tolist():
-        best = np.full(len(words[i]) + 2, -1)
-        for n in sorted(SIZES):  # longer ones overwrite shorter ones
-            found = model.grams.find(hashed(grams(words[i], n)))
-            best[: len(found)] = np.where(found >= 0, found, best[: len(found)])
-        if (known := best[best >= 0]).size:
-            out[i] = model.grams.logs[known].mean(0)
-    return out
-
-
 class Predictor:
-    """Predictions of one task; scores of words are kept between texts."""
+    """Predictions of one task; scores of words and rows of n-grams are kept between texts."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.at = model, {}
+        self.model, self.at, self.gram_rows = model, {}, {}
         self.scores = np.empty((0, len(model.languages)))
 
+    def rows_of(self, found: list[str]) -> np.ndarray:
+        """Rows of n-grams in the model, -1 for unknown ones."""
+        known = self.gram_rows
+        if len(known) > CACHE_GRAMS:
+            known.clear()
+        fresh = list(set(found) - known.keys())
+        known.update(zip(fresh, self.model.grams.find(hashed(fresh)).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words: the mean over the longest n-gram known at each place, 0 where there is none."""
+        places = np.array([len(w) + 2 for w in words])
+        start = np.cumsum(places) - places
+        best = np.full(int(places.sum()), -1)
+        for n in sorted(SIZES):  # longer ones overwrite shorter ones
+            many = np.maximum(places - n + 1, 0)
+            rows = self.rows_of([g for w in words for g in grams(w, n)])
+            at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(len(rows))
+            best[at[rows >= 0]] = rows[rows >= 0]
+        of, rows = np.repeat(np.arange(len(words)), places)[best >= 0], best[best >= 0]
+        out = np.zeros((len(words), len(self.model.languages)))
+        np.add.at(out, of, self.model.grams.logs[rows])
+        return out / np.maximum(np.bincount(of, minlength=len(words)), 1)[:, None]
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Per-language scores of words: a word's own log frequencies, else what it backs off to."""
+        at = self.model.words.find(hashed(words))
+        out = np.zeros((len(words), len(self.model.languages)))
+        out[at >= 0] = self.model.words.logs[at[at >= 0]]
+        unseen = np.flatnonzero(at < 0)
+        for k in range(0, len(unseen), 5000):
+            out[unseen[k : k + 5000]] = self.backed_off([words[i] for i in unseen[k : k + 5000].tolist()])
+        return out
+
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The best language and its posterior for each text."""
         names, posteriors = ["und"] * len(texts), [0.0] * len(texts)
@@ -181,7 +200,7 @@ class Predictor:
             self.scores = self.scores[:0]
         fresh = list({w for ws in found for w in ws} - self.at.keys())
         start = len(self.scores)
-        self.scores = np.concatenate([self.scores, word_scores(self.model, fresh)])
+        self.scores = np.concatenate([self.scores, self.word_scores(fresh)])
         self.at.update(zip(fresh, range(start, start + len(fresh)), strict=True))
         told = [i for i, ws in enumerate(found) if ws]
         if told:
