@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +48,35 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most_rows: int, most_bytes: int = 32 << 20) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` in tables that hold all rows of their keys; each is cut near ``most_rows`` and ``most_bytes`` where a key ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for part in (batch.slice(a, most_rows) for a in range(0, batch.num_rows, most_rows)):
+            held.append(part)
+            if sum(x.num_rows for x in held) >= most_rows or sum(x.nbytes for x in held) >= most_bytes:
+                whole = pa.Table.from_batches(held)
+                last = whole.column(key)[whole.num_rows - 1]
+                end = int(pc.index(whole.column(key), last).as_py())
+                if end > 0:
+                    yield whole.slice(0, end)
+                    held = whole.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """What is run inside sends Arrow batches of at most so many bytes: an executor's memory holds a few of them for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def crc_remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string")) % n
@@ -61,5 +91,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no rerun."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rooftide-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; only a local session may do without it."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="rooftide-")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER_ASCII, cut, slices
+from .common import LOWER_ASCII, cut, slices, whole_groups
 
 END = b"\n"
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
@@ -183,29 +183,12 @@ def part_levels(code: np.ndarray, n: np.ndarray, depth: int, root: int) -> Itera
         yield bit, climb(bit, keys, np.bincount(where, n * (1 - one), len(keys)), np.bincount(where, n * one, len(keys)), root, depth), where
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows (root, code, n, ...), sorted by root, in tables that hold all rows of their roots."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= RUN:
-            whole = pa.Table.from_batches(held)
-            roots = whole.column("root").to_numpy()
-            if (end := int(np.searchsorted(roots, roots[-1]))) > 0:
-                yield whole.slice(0, end)
-                held = whole.slice(end).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
     """(code, log10p, chunks) of all n-grams (root, code, n, chunks), which lie together by root and in its order."""
     root = min(ROOT, depth)
 
     def upwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches):
+        for t in whole_groups(batches, "root", RUN):
             for bit, level, where in part_levels(t.column("code").to_numpy(), t.column("n").to_numpy(), depth, root):
                 one = (t.column("code").to_numpy() >> (7 - bit)) & 1
                 n = t.column("n").to_numpy()
@@ -230,7 +213,7 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
     shared = spread.sparkSession.sparkContext.broadcast(mixtures)
 
     def downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches):
+        for t in whole_groups(batches, "root", RUN):
             code = t.column("code").to_numpy()
             total = np.zeros(len(code))
             for bit, level, where in part_levels(code, t.column("n").to_numpy(), depth, root):

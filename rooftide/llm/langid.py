@@ -160,7 +160,7 @@ class Predictor:
         known = self.gram_rows
         if len(known) > CACHE_GRAMS:
             known.clear()
-        fresh = list(set(found) - known.keys())
+        fresh = [g for g in set(found) if g not in known]
         known.update(zip(fresh, self.model.grams.find(hashed(fresh)).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
@@ -198,7 +198,7 @@ class Predictor:
         if len(self.at) > CACHE_WORDS:
             self.at.clear()
             self.scores = self.scores[:0]
-        fresh = list({w for ws in found for w in ws} - self.at.keys())
+        fresh = [w for w in {w for ws in found for w in ws} if w not in self.at]
         start = len(self.scores)
         self.scores = np.concatenate([self.scores, self.word_scores(fresh)])
         self.at.update(zip(fresh, range(start, start + len(fresh)), strict=True))

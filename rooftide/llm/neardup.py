@@ -7,23 +7,30 @@ to 16 bits; registers of a union are the larger of the two, and two sets agree
 in a register about as often as their similarity.
 
 Bands of registers bring classes together in buckets.  Buckets with the same
-members are one list.  In each list, the joint likelihood of the registers'
-order and the known set sizes gives an estimate for each pair; members without
-a likely partner leave.  What is left meets with full sets, and links are
-confirmed there exactly.  A list only hands on links that join two groups not
-yet joined in it, so no step makes all pairs of a group.  Buckets above
-``BLOCK`` members are met block by block with every other block of theirs, so
-no task holds an unbounded group and no pair is left out.
-
-At the similarity asked for, a pair shares no band with a probability of about
-1e-9 or less, and the estimate is 4.5 standard deviations below it.
+members are one list.  In a list, the joint likelihood of the registers' order
+and the known set sizes gives an estimate for each pair; members without a
+likely partner leave.  What is left meets with full sets, and links are
+confirmed there exactly: first each class in its largest list only, then in the
+other lists that still join two groups.  No step makes all pairs of a group: a
+list only hands on links that join two of its groups, found by a count of
+shared shingles with one member of each.
+
+A list of more members or bytes than a task should hold is dealt into blocks,
+each with the list's first member.  What a block doesn't join to that member
+then meets the other blocks.  Lists of more than ``BLOCK`` members skip the
+estimate.
+
+The number of registers in a band follows from the threshold: a pair at it
+shares no band with a probability of 3e-9 at most.  Its estimate is
+``deviations`` standard deviations too low with one of 1e-9 (at 6); with None
+every member of a bucket is confirmed exactly.
 
 Cases: null and empty texts, and texts of white space, have the empty set: they
 link with nothing, and are their own component; with fewer words than a
-shingle has, the whole sequence is the one shingle; ``doc_id`` names a
-document, so rows that repeat it count as one; rows with a null key are never
-linked and their component is null; texts of any length are taken whole; an
-empty table gives an empty result; other columns are ignored.
+shingle has, the whole sequence is the one shingle; rows that share a key may
+have different texts, each of which is linked by itself; rows with a null key
+are never linked and their component is null; texts of any length are taken
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +44,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, cut, map_arrow, slices
+from .common import LOWER_ASCII, WORD, cut, map_arrow, slices, small_batches, whole_groups
 
 REGISTERS, BASE = 256, 1.02
-#: Members of a list, and bytes of full sets that a task takes at once, at most (a larger set comes alone).
-BLOCK = 2048
-#: Bits of the filter that says which full sets may be needed; too small a filter only lets more through.
-FILTER_BITS = 22
-CACHE_WORDS = 150_000
+#: Members of a list, and bytes of full sets, that a task takes at once (a larger set comes with the list's first one).
+BLOCK, BLOCK_BYTES = 2048, 24 << 20
+#: Bits of the filter that says which full sets may be needed, and sets up to which it is used; beyond, a join says it.
+FILTER_BITS, FILTER_SETS = 25, 4_000_000
+CACHE_WORDS, LONG = 100_000, 256
+#: Bytes of text that are worked on at once; rows of a sorted table.
+SLICE, ROWS = 1 << 20, 8192
+#: Members of a list up to which its pairs are looked at together with those of other lists.
+SMALL = 24
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
 _RANDOM = np.random.default_rng(7)
 LOW, HIGH = (_RANDOM.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -72,10 +83,11 @@ class Shingler:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        fresh = [w for w in set(words) if w not in known]
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if any(len(w) > LONG for w in fresh):
+            known.clear()
         n = min(self.words, len(h))
         out = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
@@ -98,40 +110,62 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Most likely similarity given how many registers are larger, smaller and equal, and the set sizes."""
+def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Of similarity j, given how many registers of the first set are larger, smaller and equal, and the set sizes; concave in j."""
     u, v = n / (n + m), m / (n + m)
-    top = np.minimum(n, m) / np.maximum(n, m)
     chance = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE), 1e-12, 1)
-    best, at = np.full(len(n), -np.inf), np.zeros(len(n))
-    for step in range(101):
-        j = top * (step / 100)
-        p, q = chance(u - v * j), chance(v - u * j)
-        fit = more * np.log(p) + less * np.log(q) + equal * np.log(np.clip(1 - p - q, 1e-12, 1))
-        at = np.where(fit > best, j, at)
-        best = np.maximum(best, fit)
-    return at
-
-
-def likely(regs: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which members have a partner that may be similar enough."""
-    margin = 4.5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
-    keep = np.zeros(len(regs), bool)
-    for i in range(len(regs) - 1):
-        equal = (regs[i + 1 :] == regs[i]).sum(1)
-        ratio = np.minimum(sizes[i + 1 :], sizes[i]) / np.maximum(sizes[i + 1 :], sizes[i])
-        at = np.flatnonzero((equal >= (threshold - 1.4 * margin) * REGISTERS) & (ratio >= threshold))
-        if not len(at) or keep[i] and keep[at + i + 1].all():
-            continue
-        others = regs[at + i + 1]
-        more = (others < regs[i]).sum(1)
-        found = at[estimate(more, REGISTERS - more - equal[at], equal[at], np.full(len(at), float(sizes[i])), sizes[at + i + 1].astype(float)) >= threshold - margin]
-        if len(found):
-            keep[i] = True
-            keep[found + i + 1] = True
+    p, q = chance(u - v * j), chance(v - u * j)
+    return more * np.log(p) + less * np.log(q) + equal * np.log(np.clip(1 - p - q, 1e-12, 1))
+
+
+def estimate(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The most likely similarity, in hundredths of the greatest that the sizes allow."""
+    grid = np.linspace(0, 1, 101)[:, None] * (np.minimum(n, m) / np.maximum(n, m))
+    return np.take_along_axis(grid, log_likelihood(grid, more, less, equal, n, m).argmax(0)[None], 0)[0]
+
+
+def at_least(least: float, regs: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs have a most likely similarity of at least ``least``: the likelihood still rises there."""
+    equal = (others == regs).sum(1)
+    may = np.minimum(n, m) >= least * np.maximum(n, m)
+    more = (others < regs).sum(1)
+    found = (more, REGISTERS - more - equal, equal, n.astype(float), m.astype(float))
+    return may & (log_likelihood(np.float64(least), *found) >= log_likelihood(np.float64(least - 1e-3), *found))
+
+
+def likely(regs: np.ndarray, sizes: np.ndarray, bounds: list[tuple[int, int]], least: float) -> np.ndarray:
+    """Which rows have a partner in their group that may be similar enough."""
+    keep, end, large = np.zeros(len(regs), bool), np.arange(len(regs)), []
+    for a, b in bounds:
+        if b - a > SMALL:
+            large.append((a, b))
+        else:
+            end[a:b] = b
+    for step in range(1, SMALL):  # all pairs of small groups
+        i = np.flatnonzero(np.arange(len(regs)) + step < end)
+        i = i[~(keep[i] & keep[i + step])]
+        if len(i):
+            found = i[at_least(least, regs[i], regs[i + step], sizes[i], sizes[i + step])]
+            keep[found] = keep[found + step] = True
+    for a, b in large:
+        for i in range(a, b - 1):
+            later = np.arange(i + 1, b)
+            later = later[~keep[later]] if keep[i] else later
+            if len(later):
+                found = later[at_least(least, regs[i], regs[later], np.full(len(later), sizes[i]), sizes[later])]
+                keep[found] = True
+                keep[i] |= len(found) > 0
     return keep
 
 
+def rows_per_band(threshold: float) -> int:
+    """Registers of a band: the most with which a pair at the threshold misses all bands with a probability of 3e-9 at most."""
+    fit = [r for r in range(1, 17) if (1 - threshold**r) ** (REGISTERS // r) <= 3e-9]
+    if not fit:
+        raise ValueError(f"{REGISTERS} registers can't find pairs as dissimilar as {threshold}")
+    return max(fit)
+
+
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join all members which the links of these sets connect."""
     n = len(sets)
@@ -164,20 +198,22 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, class, regs) of every row; class is a 128-bit hash of the set, null for the empty set."""
-    shingler = Shingler(words)
+    """(doc, text_hash, n_shingles, class, regs) of every row; class is a 128-bit hash of the set, null for the empty set."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1):
-            sets = [shingler(t) for t in part.column(1).to_pylist()]
-            kinds = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            regs: dict[bytes, bytes] = {}
-            for k, s in zip(kinds, sets, strict=True):
-                if k is not None and k not in regs:
-                    regs[k] = registers(s).tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(kinds, pa.binary()), pa.array([regs.get(k) for k in kinds], pa.binary())], ["doc", "n_shingles", "class", "regs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                sets = [shingler(t) for t in part.column(1).to_pylist()]
+                kinds = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                regs: dict[bytes, bytes] = {}
+                for k, s in zip(kinds, sets, strict=True):
+                    if k is not None and k not in regs:
+                        regs[k] = registers(s).tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()), pa.array(kinds, pa.binary()), pa.array([regs.get(k) for k in kinds], pa.binary())], ["doc", "text_hash", "n_shingles", "class", "regs"])
 
-    return map_arrow(docs.select(key, text), run, f"doc {docs.schema[key].dataType.simpleString()}, n_shingles bigint, class binary, regs binary")
+    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return read.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, text_hash bigint, n_shingles bigint, class binary, regs binary")
 
 
 def band_rows(classes: DataFrame, per_band: int) -> DataFrame:
@@ -197,81 +233,130 @@ def band_rows(classes: DataFrame, per_band: int) -> DataFrame:
 
 
 def lists(bands: DataFrame) -> DataFrame:
-    """(list, rep): the distinct member lists of all buckets with two members or more, in blocks of bounded size."""
-    many = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("one"), F.max("rep").alias("two")).where(F.col("n") > 1)
-    pairs = many.where("n = 2").select(F.array("one", "two").alias("reps"))
-    blocks = F.ceil(F.col("n") / BLOCK * 2).cast("int")
-    members = bands.join(many.where("n > 2").select("band", F.when(F.col("n") <= BLOCK, 1).otherwise(blocks).alias("blocks")), "band")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("a"), F.greatest(k, own).alias("b")))
-    spread = members.select("band", "rep", F.explode(meets).alias("pair"))
-    groups = spread.groupBy("band", "pair").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps")
-    distinct = pairs.unionByName(groups).select(F.xxhash64("reps").alias("list"), F.size("reps").alias("n"), F.element_at("reps", 1).alias("first"), "reps")
-    # equal lists have equal hashes, sizes and first members; the hash of distinct lists is 64 bits wide
-    once = distinct.groupBy("list", "n", "first").agg(F.any_value("reps").alias("reps")).where("n > 1")
-    return once.select(F.xxhash64("list", "n", "first").alias("list"), F.explode("reps").alias("rep"))
-
-
-def likely_members(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The (list, rep) rows whose member has a likely partner in the list."""
-    full = members.join(classes.select("rep", "n_shingles", "regs"), "rep")
-    held = full.groupBy("list").agg(F.collect_list(F.struct("rep", "n_shingles", "regs")).alias("m"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, reps = [], []
-        for at in range(batch.num_rows):
-            m = batch.column(1)[at].values
-            regs = np.frombuffer(b"".join(m.field("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            keep = likely(regs, m.field("n_shingles").to_numpy(), threshold)
-            found = m.field("rep").to_numpy()[keep]
-            reps.append(found)
-            names.append(np.full(len(found), batch.column(0)[at].as_py(), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(reps))], ["list", "rep"])
-
-    return map_arrow(held, run, "list bigint, rep bigint")
-
-
-def needed_bits(reps: DataFrame) -> np.ndarray:
-    """A bounded filter of keys: at most 2**FILTER_BITS bits reach the driver."""
-    at = reps.select(F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[at.column(0).to_numpy()] = True
-    return np.packbits(bits)
-
-
-def full_sets(docs: DataFrame, bits: np.ndarray, words: int, key: str, text: str) -> DataFrame:
-    """(doc, class, shingles) of the documents that the filter lets through."""
-    shared, shingler = docs.sparkSession.sparkContext.broadcast(bits), Shingler(words)
-    marked = docs.select(key, text, F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = batch.column(2).to_numpy()
-        wanted = np.flatnonzero(shared.value[at >> 3] >> (7 - (at & 7)) & 1)
-        chosen = batch.take(pa.array(wanted))
-        for part in slices(chosen, 1) if len(wanted) else ():
-            sets = [shingler(t) for t in part.column(1).to_pylist()]
-            kinds = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kinds, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "class", "shingles"])
-
-    return map_arrow(marked, run, f"doc {docs.schema[key].dataType.simpleString()}, class binary, shingles binary")
-
-
-def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): exact links that join what is connected within each list."""
-    held = members.join(sets, "rep").groupBy("list").agg(F.collect_list(F.struct("rep", "shingles")).alias("m"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for at in range(batch.num_rows):
-            m = batch.column(1)[at].values
-            by_rep = dict(zip(m.field("rep").to_pylist(), m.field("shingles"), strict=True))
-            reps = list(by_rep)
-            for i, j in links([np.frombuffer(by_rep[r].as_buffer(), np.uint64) for r in reps], percent) if len(reps) > 1 else ():
-                a.append(reps[i])
-                b.append(reps[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return map_arrow(held, run, "a bigint, b bigint")
+    """(list, rep, n): the members of all buckets with two or more, those with the same members once."""
+    dealt = bands.repartition("band")
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep"))
+    many = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("one"), F.max("rep").alias("two"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
+    once = many.groupBy("n", "one", "two", "x", "y").agg(F.min("band").alias("list"))
+    pairs = once.where("n = 2").select("list", F.explode(F.array("one", "two")).alias("rep"), "n")
+    others = dealt.withColumnRenamed("band", "list").join(once.where("n > 2").select("list", "n"), "list").select("list", "rep", "n")
+    return pairs.unionByName(others)
+
+
+def by_group(t: pa.Table) -> list[tuple[int, int]]:
+    """The bounds of a sorted table's groups."""
+    keys = t.column("group").to_numpy()
+    starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1) if len(keys) else np.empty(0, int)
+    ends = np.append(starts[1:], len(keys)).astype(int)
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a group side by side."""
+    return rows.repartition("group").sortWithinPartitions("group")
+
+
+def likely_members(members: DataFrame, classes: DataFrame, threshold: float, deviations: float | None) -> DataFrame:
+    """The (list, rep, n) rows whose member has a likely partner in the list."""
+    if deviations is None:
+        return members
+    least = threshold - deviations * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    full = members.where(F.col("n") <= BLOCK).join(classes.select("rep", "n_shingles", "regs"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "group", ROWS):
+            regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            keep = likely(regs, t.column("n_shingles").to_numpy(), by_group(t), least)
+            yield from t.filter(pa.array(keep)).select(["group", "rep", "n"]).rename_columns(["list", "rep", "n"]).combine_chunks().to_batches()
+
+    found = dealt(full.select(F.col("list").alias("group"), "rep", "n", "n_shingles", "regs")).mapInArrow(run, "list bigint, rep bigint, n bigint")
+    return found.unionByName(members.where(F.col("n") > BLOCK))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(rep, shingles) of the classes (rep, doc, class) that are wanted, from one of their documents."""
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).cast("int").alias("bit")
+    bits = None
+    if wanted.count() <= FILTER_SETS:  # at most that many numbers reach the driver, and 2**FILTER_BITS bits each task
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits[wanted.select(bit).distinct().toArrow().column(0).to_numpy()] = True
+        bits = spark.sparkContext.broadcast(np.packbits(bits))
+        read = read.select("doc", "text", bit)
+    else:
+        read = read.join(wanted.select("doc").distinct(), "doc", "left_semi").select("doc", "text", F.lit(0).alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            if bits is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.take(pa.array(np.flatnonzero(bits.value[at >> 3] >> (7 - (at & 7)) & 1)))
+            for part in slices(batch, 1, SLICE) if batch.num_rows else ():
+                sets = [shingler(t) for t in part.column(1).to_pylist()]
+                kinds = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kinds, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "class", "shingles"])
+
+    found = read.mapInArrow(run, f"doc {kind}, class binary, shingles binary")
+    # a key that repeats with one text gives its set more than once: equal rows, side by side after the join
+    return found.join(wanted, ["doc", "class"]).groupBy("doc", "class").agg(F.any_value("rep").alias("rep"), F.any_value("shingles").alias("shingles")).select("rep", "shingles")
+
+
+def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): exact links that join what is connected within each list of (list, rep)."""
+    wanted = cut(members.select("rep").distinct().join(classes.select("rep", "doc", "class", "n_shingles"), "rep"))
+    sets = cut(full_sets(docs, wanted.select("rep", "doc", "class"), words, key, text))
+    placed = members.select("list", "rep").join(wanted.select("rep", "n_shingles"), "rep")
+    size = placed.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("rep").alias("first"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = cut(placed.join(size, "list").select("list", "rep", "first", "blocks", block.alias("block")))
+    firsts = size.where("blocks > 1").select("list", F.col("first").alias("rep"), "first", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = own.unionByName(firsts)
+
+    def meet(met: DataFrame) -> DataFrame:
+        """(a, b) links of (list, rep, first, blocks) in groups; a null b marks a member that isn't joined to the first one of a list in blocks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in whole_groups(batches, "group", ROWS):
+                reps, lead, many, of = (t.column(c).to_numpy() for c in ("rep", "first", "blocks", "list"))
+                held = t.column("shingles").combine_chunks()
+                at = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] // 8
+                flat = np.frombuffer(held.buffers()[2], np.uint64, int(at[-1]))
+                out: list[tuple[int, int, int | None]] = []
+                for a, b in by_group(t):
+                    chosen = a + np.unique(reps[a:b], return_index=True)[1]
+                    if len(chosen) < 2:
+                        continue
+                    found = links([flat[at[i] : at[i + 1]] for i in chosen], percent)
+                    out += [(of[a], reps[chosen[i]], reps[chosen[j]]) for i, j in found]
+                    if many[a] > 1:
+                        group = joined(len(chosen), found)
+                        first = group[np.searchsorted(reps[chosen], lead[a])]
+                        out += [(of[a], reps[i], None) for i, g in zip(chosen, group, strict=True) if g != first]
+                columns = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
+
+        full = met.join(sets, "rep").select("group", "list", "rep", "first", "blocks", "shingles")
+        return dealt(full).mapInArrow(run, "list bigint, a bigint, b bigint")
+
+    one = cut(meet(met.withColumn("group", F.xxhash64("list", "block"))))
+    alone = one.where(F.col("b").isNull()).select("list", F.col("a").alias("rep")).distinct().join(classes.select("rep", "n_shingles"), "rep")
+    parts = alone.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(parts, "list").select("list", "rep", "first", "blocks", "block", every("parts").alias("part"))
+    right = alone.select("list", "rep").join(parts, "list").join(size, "list").select("list", "rep", "first", "blocks", every("blocks").alias("block"), part.alias("part"))
+    two = meet(left.unionByName(right).withColumn("group", F.xxhash64(F.lit(2), "list", "block", "part")))
+    return one.unionByName(two).where(F.col("b").isNotNull()).select("a", "b")
+
+
+def joined(n: int, found: list[tuple[int, int]]) -> np.ndarray:
+    """The group of each of n members under links."""
+    group = np.arange(n)
+    for i, j in found:
+        group[group == group[j]] = group[i]
+    return group
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,24 +373,55 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, deviations: float | None) -> DataFrame:
+    """(doc, text_hash, n_shingles, group, first) of every row: the group's number and its smallest key, null for the empty set."""
+    with small_batches(docs.sparkSession):
+        return _placed(docs, words, percent, key, text, deviations)
+
+
+def _placed(docs: DataFrame, words: int, percent: int, key: str, text: str, deviations: float | None) -> DataFrame:
+    threshold = percent / 100
+    rows = cut(sketch(docs, words, key, text))
+    full = rows.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
+    classes = cut(full.groupBy("class").agg(F.min("doc").alias("doc"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("regs").alias("regs")))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id())
+    members = cut(likely_members(lists(band_rows(classes, rows_per_band(threshold))), classes, threshold, deviations))
+    # each class in its largest list first
+    largest = members.groupBy("rep").agg(F.max(F.struct("n", "list")).alias("l")).select("rep", F.col("l.list").alias("list"))
+    first = cut(confirmed(largest, classes, docs, words, percent, key, text))
+    found = components(first)
+    # then in the lists that were not met whole and hold members of two groups
+    met = largest.groupBy("list").agg(F.count(F.lit(1)).alias("met"))
+    of = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("component"))
+    rest = of.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("one"), F.max("component").alias("two")).join(met, "list", "left")
+    rest = rest.where((F.col("one") != F.col("two")) & (F.coalesce("met", F.lit(0)) < F.col("n"))).select("list")
+    more = cut(members.join(rest, "list", "left_semi").select("list", "rep"))
+    if not more.isEmpty():
+        found = components(first.unionByName(confirmed(more, classes, docs, words, percent, key, text)))
+    of_class = classes.select("class", "rep", "doc").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    smallest = of_class.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc").alias("first"))
+    of_class = of_class.join(smallest, "component", "left").select("class", F.coalesce("component", "rep").alias("group"), F.coalesce("first", "doc").alias("first"))
+    own = ("doc", "text_hash", "n_shingles")
+    empty = rows.where(F.col("class").isNull() | F.col("doc").isNull()).select(*own, F.lit(None).cast("long").alias("group"), F.lit(None).cast(docs.schema[key].dataType).alias("first"))
+    return full.join(of_class, "class").select(*own, "group", "first").unionByName(empty)
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", deviations: float | None = 6.0) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest key that links reach) and ``kept`` of every row.
 
     Documents link if 100 * shared shingles >= percent * shingles in either.
     """
-    threshold, per_band = percent / 100, 6 if percent >= 85 else 5
-    rows = cut(sketch(docs, words, key, text))
-    classes = rows.where(F.col("class").isNotNull() & F.col("doc").isNotNull()).groupBy("class").agg(F.min("doc").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("regs").alias("regs"))
-    classes = cut(classes)
-    members = cut(likely_members(lists(band_rows(classes, per_band)), classes, threshold))
-    sets = full_sets(docs, needed_bits(members), words, key, text)
-    wanted = members.select("rep").distinct().join(classes.select("rep", "class"), "rep")
-    sets = sets.withColumnRenamed("doc", "rep").join(wanted, ["rep", "class"]).select("rep", "shingles")
-    found = components(confirmed(members, sets, percent))
-    of_class = classes.select("class", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    placed = rows.select("doc", "n_shingles", "class").join(of_class, "class", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return placed.select(F.col("doc").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    rows = placed(docs, words, percent, key, text, deviations)
+    component = F.coalesce("first", "doc").alias("component_id")
+    return rows.select(F.col("doc").alias(key), "n_shingles", component).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", deviations: float | None = 6.0) -> DataFrame:
+    """The rows of ``docs`` without those that a group has beside its smallest key's; rows without a word or a key all stay."""
+    best = placed(docs, words, percent, key, text, deviations).where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("doc", "text_hash")).alias("best")).select("best.*")
+    told = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("word"))
+    once = told.where("word").join(best, ["doc", "text_hash"]).groupBy("doc", "text_hash").agg(F.any_value("row").alias("row"))
+    return once.select("row.*").unionByName(told.where("not word or doc is null").select("row.*"))
 
 
 ORACLE = r"""

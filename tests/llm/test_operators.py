@@ -403,8 +403,8 @@ def queries_words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").translate(LOWER_ASCII))
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_lose_no_link(spark: SparkSession, words: int, percent: int, monkeypatch: pytest.MonkeyPatch) -> None:
+@pytest.mark.parametrize(("words", "percent", "block", "size", "deviations"), [(3, 85, 20, 1 << 20, 6.0), (5, 80, 2048, 4000, None), (3, 70, 2048, 1 << 20, 6.0), (2, 60, 30, 9000, 6.0), (3, 50, 2048, 1 << 20, None)])
+def test_near_duplicates_lose_no_link(spark: SparkSession, words: int, percent: int, block: int, size: int, deviations: float | None, monkeypatch: pytest.MonkeyPatch) -> None:
     rng = random.Random(words)
     lexicon = [f"w{i}" for i in range(400)]
     rows, base = [], [rng.choices(lexicon, k=80) for _ in range(6)]
@@ -414,14 +414,36 @@ def test_near_duplicates_lose_no_link(spark: SparkSession, words: int, percent:
             text[rng.randrange(len(text))] = rng.choice(lexicon)
         rows.append((i, " ".join(text)))
     rows += [(300, None), (301, ""), (302, "one"), (303, "One"), (304, "one two"), (305, " \n"), (306, rows[1][1].upper())]
-    monkeypatch.setattr(neardup, "BLOCK", 20)  # several blocks to a bucket
-    found = neardup.groups(spark.createDataFrame([*rows, (None, "one")], "doc_id long, text string"), words, percent).collect()
+    monkeypatch.setattr(neardup, "BLOCK", block)  # several blocks to a bucket, by members and by bytes
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(neardup, "FILTER_SETS", 10 if words == 5 else 1000)
+    found = neardup.groups(spark.createDataFrame([*rows, (None, "one")], "doc_id long, text string"), words, percent, deviations=deviations).collect()
     want = groups_by_force(rows, words, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
     assert len(found) == len(rows) + 1 and sum(r.component_id != r.doc_id for r in found) > 50
 
 
+def test_near_duplicates_keep_texts_that_share_a_key(spark: SparkSession) -> None:
+    long = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, long("a")), (1, long("b")), (2, long("a") + " x"), (3, long("b")), (3, long("b")), (4, long("c")), (4, long("c")), (None, long("a")), (5, None), (5, ""), (6, long("d")), ("7", None)]
+    table = spark.createDataFrame([(str(i) if i is not None else None, t, "clash", 1) for i, t in rows], "doc_id string, text string, text_hash string, class int")
+    found = Counter((r.doc_id, r.component_id) for r in neardup.groups(table).collect())
+    assert found == {("1", "1"): 2, ("2", "1"): 1, ("3", "1"): 2, ("4", "4"): 2, (None, None): 1, ("5", "5"): 2, ("6", "6"): 1, ("7", "7"): 1}
+    kept = Counter((r.doc_id, r.text, r.text_hash) for r in neardup.one_of_each(table).collect())
+    want = [("1", long("a")), ("1", long("b")), ("4", long("c")), (None, long("a")), ("5", None), ("5", ""), ("6", long("d")), ("7", None)]
+    assert kept == Counter((*x, "clash") for x in want)
+    assert neardup.one_of_each(table.limit(0)).count() == 0 and neardup.groups(table.limit(0)).count() == 0
+
+
+def test_bands_miss_few_pairs_at_any_threshold() -> None:
+    for percent in range(10, 100):
+        r, t = neardup.rows_per_band(percent / 100), percent / 100
+        assert (1 - t**r) ** (neardup.REGISTERS // r) <= 3e-9
+    with pytest.raises(ValueError, match="registers"):
+        neardup.rows_per_band(0.05)
+
+
 def test_registers_merge_and_estimate() -> None:
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (2000, 300))
