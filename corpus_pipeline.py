@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rooftide.llm import bpe, langid, mixing, neardup
@@ -30,12 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 % of its 5-word shingles; rows without a word or a key all stay."""
-    grouped = neardup.groups(docs, words=5, percent=80)
-    kept = grouped.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    again = Window.partitionBy("doc_id").orderBy(F.crc32("text"), "text")
-    placed = docs.select(*COLUMNS).join(kept, "doc_id").withColumn("again", F.row_number().over(again))
-    once = placed.where((F.col("again") == 1) | (F.col("n") == 0)).select(*COLUMNS)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    return neardup.one_of_each(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
