@@ -22,35 +22,6 @@ def signed_area(ring: Column, x: str = "px", y: str = "py") -> Column:
     return F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) * 0.5
 
 
-def polygons(rings: Column) -> Column:
-    """Rings as array<struct<outer, holes>>: a positive area opens a polygon, others are holes of the last one opened.
-
-    Closing points are dropped, rings of fewer than three points are skipped, holes before the first polygon are lost.
-    """
-    clean = F.filter(F.transform(rings, strip_closure), lambda r: F.size(r) >= 3)
-    kind = "array<struct<outer:array<struct<px:int,py:int>>,holes:array<array<struct<px:int,py:int>>>>>"
-
-    def fold(done: Column, ring: Column) -> Column:
-        opened = F.concat(done, F.array(F.struct(ring.alias("outer"), F.array().cast("array<array<struct<px:int,py:int>>>").alias("holes"))))
-        last = F.get(done, F.size(done) - 1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["outer"].alias("outer"), F.concat(last["holes"], F.array(ring)).alias("holes"))))
-        return F.when(signed_area(ring) > 0, opened).when(F.size(done) > 0, joined).otherwise(done)
-
-    return F.aggregate(clean, F.array().cast(kind), fold)
-
-
-def polygon_area(polygon: Column, scale: Column) -> Column:
-    """Outer area less the holes, not below 0; ``scale`` is the area of one unit square."""
-    holes = F.aggregate(F.transform(polygon["holes"], lambda h: F.abs(signed_area(h))), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(0.0), (F.abs(signed_area(polygon["outer"])) - holes) * scale)
-
-
-def mean_point(ring: Column, x: str = "px", y: str = "py") -> Column:
-    """Mean of the vertices (not of the area)."""
-    mean = lambda f: F.aggregate(F.transform(ring, lambda p: p[f].cast("double")), F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(ring), F.lit(0))
-    return F.struct(mean(x).alias(x), mean(y).alias(y))
-
-
 def bounds(ring: Column, x: str = "lon", y: str = "lat") -> Column:
     """Least and greatest coordinates; null for an empty ring."""
     xs, ys = F.transform(ring, lambda p: p[x]), F.transform(ring, lambda p: p[y])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, rings
+from ..functions import geo, kernels, rings
 from ..functions.config import HeightConfig, cascade
 
 ATTRIBUTES = {
@@ -49,12 +49,13 @@ def density(features: DataFrame, per: tuple[str, ...] = (), sources: DataFrame |
 def fragments(features: DataFrame, per_polygon: tuple[str, ...] = ()) -> DataFrame:
     """One row per polygon of the features above ground, with its area in square metres and its mean vertex in degrees."""
     rows = complete(features).where(above_ground())
-    rows = rows.select("*", F.posexplode(rings.polygons(F.col("rings"))).alias("poly_idx", "polygon"))
+    rows = rows.select("*", F.posexplode(kernels.measured(F.col("rings"))).alias("poly_idx", "m"))
+    ring = lambda i: rings.strip_closure(F.get(F.col("rings"), i))
+    polygon = F.struct(ring(F.col("m.outer")).alias("outer"), F.transform("m.holes", ring).alias("holes"))
     east, south = geo.pixel_scale(F.col("z"), F.col("x"), F.col("y"), F.col("extent"))
-    mean = rings.mean_point(F.col("polygon.outer"))
-    rows = rows.withColumn("area_m2", rings.polygon_area(F.col("polygon"), east * south)).withColumn("mean", mean)
-    at = geo.pixel_to_lonlat(F.col("z"), F.col("x"), F.col("y"), F.col("extent"), F.col("mean.px"), F.col("mean.py"))
-    return rows.withColumn("center", at).drop("mean", "rings", *per_polygon)
+    at = geo.pixel_to_lonlat(F.col("z"), F.col("x"), F.col("y"), F.col("extent"), F.col("m.px"), F.col("m.py"))
+    rows = rows.withColumns({"polygon": polygon, "area_m2": F.col("m.area") * east * south, "center": at})
+    return rows.drop("m", "rings", *per_polygon)
 
 
 def merge(parts: DataFrame, order: tuple[str, ...] = ORDER, per: tuple[str, ...] = (), with_rings: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, rings, scalars
+from ..functions import geo, kernels, rings, scalars
 from ..functions.config import HeightConfig
 from ..operators import buildings, glb, lod, manifest, mesh, metrics, raster, spatial, tileset
 from ..sources import truth, vector_tiles
@@ -111,7 +111,7 @@ def polygon_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.when(turn == 1, outer).when(turn == 2, hole).otherwise(flat)
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     held = data.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), ring.alias("ring")))).alias("r"))
-    found = held.select("l_orderkey", F.posexplode(rings.polygons(F.transform("r", lambda x: x["ring"]))).alias("poly_idx", "p"))
+    found = held.select("l_orderkey", F.posexplode(kernels.measured(F.transform("r", lambda x: x["ring"]))).alias("poly_idx", "p"))
     return found.select("l_orderkey", "poly_idx", F.size("p.holes").cast("long").alias("n_holes"))
 
 
@@ -265,13 +265,11 @@ def terrain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.ground_elevation(merged, rasters).select("feature_id", rounded("ground_elev", 2))
 
 
-def walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wall edges of every fragment, relative to its tile's centre, from 0 to 10 metres."""
+def local_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of every fragment relative to its tile's centre, with a range of heights from 0 to 10 metres."""
     rows = buildings.fragments(data.features(spark, sf_dir))
-    tile = F.struct("z", "x", "y", "extent")
-    anchor = geo.tile_center(F.col("z"), F.col("x"), F.col("y"))
-    rows = rows.withColumn("own", tile).withColumn("anchor", anchor).withColumn("ring", mesh.local_ring(F.col("polygon.outer"), F.col("own"), F.col("anchor")))
-    return mesh.wall_quads(rows.withColumn("base", F.lit(0.0)).withColumn("top", F.lit(10.0)), "feature_id")
+    placed = kernels.local_rings(F.array("polygon.outer"), F.struct("z", "x", "y", "extent"), geo.tile_center(F.col("z"), F.col("x"), F.col("y")))
+    return rows.select("feature_id", F.get(placed, F.lit(0)).alias("ring"), F.lit(0.0).alias("base"), F.lit(10.0).alias("top"))
 
 
 @query(f"""WITH {FEATURES}, q AS (SELECT *, radians(east - west) * 6378137 * cos(radians((north + south) / 2)) AS we, radians(north - south) * 6378137 AS hn FROM v)
@@ -279,14 +277,14 @@ SELECT feature_id, 16 * count(*) AS n_vertices, round(min((px0 / 4096.0::DOUBLE
 round(min((py0 / 4096.0::DOUBLE - 0.5::DOUBLE) * hn), 2) AS min_z, round(max(((py0 + h) / 4096.0::DOUBLE - 0.5::DOUBLE) * hn), 2) AS max_z, 80.0::DOUBLE * count(*) AS sum_y, 8.0::DOUBLE * count(*) AS sum_abs_nx FROM q GROUP BY feature_id""")
 def wall_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices of each feature's walls: number, extent, and checks of heights and normals."""
-    v = mesh.wall_vertices(walls(spark, sf_dir), "feature_id")
+    v = mesh.walls(local_pieces(spark, sf_dir), "feature_id").select("feature_id", F.inline("vertices"))
     return v.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_vertices"), *[F.round(f(c), 2).alias(f"{n}_{c[1]}") for c in ("px", "pz") for f, n in ((F.min, "min"), (F.max, "max"))], F.round(F.sum("py"), 3).alias("sum_y"), F.round(F.sum(F.abs("nx")), 3).alias("sum_abs_nx"))
 
 
 @query(f"WITH {FEATURES} SELECT feature_id, 8 * count(*) AS n_triangles, 176 * count(*) AS index_sum FROM v GROUP BY feature_id")
 def wall_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triangles of each feature's walls, with the sum of their vertex numbers."""
-    t = mesh.wall_triangles(walls(spark, sf_dir), "feature_id")
+    t = mesh.walls(local_pieces(spark, sf_dir), "feature_id").select("feature_id", F.inline("triangles"))
     return t.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.sum(F.col("i") + F.col("j") + F.col("k")).cast("long").alias("index_sum"))
 
 
@@ -353,18 +351,11 @@ def mvt_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FEATURES} SELECT feature_id, 2 * count(*) AS n_triangles, round(sum(area_m2), 2) AS area_m2 FROM v GROUP BY feature_id")
 def roof_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ear-clipped roofs of every fragment: triangles and their area, by feature."""
-    rows = buildings.fragments(data.features(spark, sf_dir))
-    anchor, own = geo.tile_center(F.col("z"), F.col("x"), F.col("y")), F.struct("z", "x", "y", "extent")
-    rows = rows.withColumn("own", own).withColumn("anchor", anchor).withColumn("outer", mesh.local_ring(F.col("polygon.outer"), F.col("own"), F.col("anchor")))
-    flat = mesh.roofs(rows.withColumn("holes", F.transform("polygon.holes", lambda h: mesh.local_ring(h, F.col("own"), F.col("anchor")))).withColumn("top", F.lit(10.0)), "feature_id")
-    corner = lambda t, c: F.get(F.col("vertices"), t[c])
-
-    def area(t: Column) -> Column:
-        a, b, c = corner(t, "i"), corner(t, "j"), corner(t, "k")
-        return F.abs((b["px"] - a["px"]) * (c["pz"] - a["pz"]) - (c["px"] - a["px"]) * (b["pz"] - a["pz"])) / 2
-
-    total = F.aggregate(F.transform("triangles", area), F.lit(0.0), lambda s, v: s + v)
-    return flat.groupBy("feature_id").agg(F.sum(F.size("triangles")).cast("long").alias("n_triangles"), F.round(F.sum(total), 2).alias("area_m2"))
+    rows = local_pieces(spark, sf_dir).select("feature_id", F.col("ring").alias("outer"), F.array().cast("array<array<struct<e:double,n:double>>>").alias("holes"), "top")
+    flat = mesh.roofs(rows, "feature_id").select("feature_id", "vertices", F.explode("triangles").alias("t"))
+    a, b, c = (F.get("vertices", F.col(f"t.{k}")) for k in "ijk")
+    area = F.abs((b["px"] - a["px"]) * (c["pz"] - a["pz"]) - (c["px"] - a["px"]) * (b["pz"] - a["pz"])) / 2
+    return flat.select("feature_id", area.alias("area")).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.round(F.sum("area"), 2).alias("area_m2"))
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rooftide.functions import rings
+from rooftide.functions import kernels
 from rooftide.functions.config import HeightConfig, cascade
 from rooftide.operators import buildings, lod
 
@@ -88,10 +90,38 @@ def test_density_counts_hidden_features_and_empty_tiles(spark: SparkSession) ->
 def test_ring_grouping(spark: SparkSession) -> None:
     outer, hole, flat = [(0, 0), (9, 0), (9, 9)], [(0, 0), (9, 9), (9, 0)], [(0, 0), (4, 4), (8, 8)]
     row = spark.createDataFrame([([hole, outer, hole, flat, outer, [(1, 1), (2, 2)]],)], "rings array<array<struct<px:int,py:int>>>")
-    got = row.select(rings.polygons(F.col("rings")).alias("p")).first().p
+    got = row.select(kernels.polygons(F.col("rings")).alias("p")).first().p
     assert [len(p.holes) for p in got] == [2, 0]
 
 
+def polygons_by_hand(rows: list) -> list:
+    """(outer, holes, area, mean) of each polygon of a row of rings."""
+    out = []
+    for k, ring in enumerate(rows or []):
+        ring = ring[:-1] if ring and len(ring) > 1 and ring[0] == ring[-1] else ring or []
+        if len(ring) < 3 or any(c is None for p in ring for c in p):
+            continue
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
+        if area > 0:
+            out.append([k, [], area, [sum(c) / len(ring) for c in zip(*ring, strict=True)]])
+        elif out:
+            out[-1][1].append(k)
+            out[-1][2] -= abs(area)
+    return [(a, b, max(c, 0.0), d) for a, b, c, d in out]
+
+
+def test_rings_by_hand(spark: SparkSession) -> None:
+    rng = random.Random(5)
+    point = lambda: (rng.randint(0, 30), rng.randint(0, 30))
+    ring = lambda: (lambda r: r + r[:1] if r and rng.random() < 0.5 else r)([point() for _ in range(rng.randint(0, 6))])
+    rows = [(i, [ring() for _ in range(rng.randint(0, 5))]) for i in range(300)] + [(300, None), (301, []), (302, [None, [(0, 0), (9, 0), (9, 9)]]), (303, [[(0, 0), (None, 1), (9, 9), (0, 9)]])]
+    table = spark.createDataFrame(rows, "id int, rings array<array<struct<px:int,py:int>>>").repartition(3)
+    for r in table.select("id", kernels.measured(F.col("rings")).alias("m")).collect():
+        want = polygons_by_hand(rows[r.id][1])
+        assert [(p.outer, p.holes) for p in r.m] == [w[:2] for w in want]
+        assert [x for p in r.m for x in (p.area, p.px, p.py)] == pytest.approx([x for w in want for x in (w[2], *w[3])])
+
+
 def test_area_ranges(spark: SparkSession) -> None:
     areas = [4.99, 5.0, 1999.9, 2000.0, 9999.9, 10000.0]
     rows = spark.createDataFrame([(a,) for a in areas], "a double").orderBy("a")

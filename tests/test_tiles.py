@@ -105,9 +105,10 @@ def test_ear_clipping_covers_the_polygon() -> None:
 def test_walls(spark: SparkSession) -> None:
     ring = [{"e": float(x), "n": float(y)} for x, y in SQUARE]
     rows = spark.createDataFrame([(1, ring, 0.0, 5.0)], "fid int, ring array<struct<e:double,n:double>>, base double, top double")
-    quads = mesh.wall_quads(rows, "fid").cache()
-    v, t = mesh.wall_vertices(quads, "fid").orderBy("edge", "corner").collect(), mesh.wall_triangles(quads, "fid").orderBy("edge", "half").collect()
-    assert len(v) == 16 and len(t) == 8 and [(r.i, r.j, r.k) for r in t[:2]] == [(0, 2, 1), (0, 3, 2)]
+    made = mesh.walls(rows.unionByName(rows.withColumn("ring", F.reverse("ring")).withColumn("fid", F.lit(2))).unionByName(rows.withColumn("ring", F.lit(None).cast(rows.schema["ring"].dataType)).withColumn("fid", F.lit(3))), "fid").cache()
+    assert {r.fid: (len(r.vertices), len(r.triangles)) for r in made.collect()} == {1: (16, 8), 2: (16, 8), 3: (0, 0)}
+    v, t = (made.select("fid", F.inline(c)).collect() for c in ("vertices", "triangles"))
+    assert [(r.i, r.j, r.k) for r in t[:2]] == [(0, 2, 1), (0, 3, 2)]
     for r in v:  # normals point away from the middle (50, -50)
         assert (r.px - 50) * r.nx + (r.pz + 50) * r.nz > 0
 
