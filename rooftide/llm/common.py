@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +20,7 @@ LOWER_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; unnamed columns are never read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -65,16 +64,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most_rows: int, mo
         yield pa.Table.from_batches(held)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
-    """What is run inside sends Arrow batches of at most so many bytes: an executor's memory holds a few of them for each task."""
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> SparkSession:
+    """Let Python functions of this session take Arrow batches of at most so many bytes, if they may take more.
+
+    Each task holds a few batches in the executor's memory and in Python's; 64 MB, Spark's own bound, is meant for larger ones.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(most_bytes))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > most_bytes:
+        spark.conf.set(name, str(most_bytes))
+    return spark
 
 
 def crc_remainder(key: Column, n: int) -> Column:

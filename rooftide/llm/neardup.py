@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WORD, cut, map_arrow, slices, small_batches, whole_groups
+from .common import LOWER_ASCII, WORD, cut, map_arrow, slices, whole_groups
 
 REGISTERS, BASE = 256, 1.02
 #: Members of a list, and bytes of full sets, that a task takes at once (a larger set comes with the list's first one).
@@ -375,11 +375,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, deviations: float | None) -> DataFrame:
     """(doc, text_hash, n_shingles, group, first) of every row: the group's number and its smallest key, null for the empty set."""
-    with small_batches(docs.sparkSession):
-        return _placed(docs, words, percent, key, text, deviations)
-
-
-def _placed(docs: DataFrame, words: int, percent: int, key: str, text: str, deviations: float | None) -> DataFrame:
     threshold = percent / 100
     rows = cut(sketch(docs, words, key, text))
     full = rows.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
