@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = langid.fit(docs)
     found = langid.predict(docs, model, keep=COLUMNS)
-    told = found.where(F.col("lang_pred") != "und") if model.languages else found.where(F.coalesce(F.col("kept_text").rlike(r"\\p{L}"), F.lit(False)))
+    told = found.where(F.col("lang_pred") != "und") if model.languages else found.where(F.coalesce(F.col("kept_text").rlike(r"\p{L}"), F.lit(False)))
     lang = F.coalesce("kept_lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))).alias("lang")
     return told.select(*(lang if c == "lang" else F.col(f"kept_{c}").alias(c) for c in COLUMNS))
 
