@@ -50,13 +50,14 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records of two replicas, the second one with damage at fixed ids, and what the audit finds."""
     from . import warc
 
-    records = warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    first = cut(warc.leaves(records, "page_id"))
     flipped = F.concat(F.expr("substring(content, 1, octet_length(content) - 1)"), F.lit(b"?"))
-    second = records.where(F.coalesce(F.col("page_id") % 89 != 7, F.lit(True)))
-    second = second.withColumn("content", F.when(F.col("page_id") % 97 == 13, flipped).otherwise(F.col("content")))
-    found = warc.audit(first, warc.leaves(second)).select("archive", "offset", "verdict")
-    joined = first.join(found, ["archive", "offset"], "left").join(warc.roots(first), "archive")
+    other = F.when(F.col("page.page_id") % 97 == 13, F.sha2(flipped, 256))
+    records = cut(warc.inventory(table(spark, sf_dir, "pages", "page_id", "url", "html"), also={"other": other}))
+    first = records.select("page_id", "archive", "offset", "length", "digest")
+    second = records.where(F.coalesce(F.col("page_id") % 89 != 7, F.lit(True))).select("archive", "offset", "length", F.coalesce("other", "digest").alias("digest"))
+    tree = warc.nodes(first)
+    found = warc.audit(first, second, tree).select("archive", "offset", "verdict")
+    joined = first.join(found, ["archive", "offset"], "left").join(warc.roots(tree), "archive")
     return joined.select(
         "page_id",
         "archive",

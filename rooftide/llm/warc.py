@@ -6,17 +6,21 @@ hash; ranges of 16 times the size are hashed from those below, up to the
 archive's root.  The audit compares roots and goes down only where they differ,
 level by level, until it holds the records of the ranges that differ.
 
-Everything is grouped by archive and offset range, so no task holds an archive.
-Records have at least their header's bytes, which bounds the records of a range.
-
-Cases: null text or url is an empty one; archives that one replica lacks are
-damage in all their records; records that stand at one offset more than once are
-hashed in the order of their hashes; empty replicas give an empty result; other
-columns are ignored.
+Records are measured and hashed where they are read: what is shuffled is their
+archive, offset, length and digest, never their content.  Hashes are grouped by
+archive and offset range; records have at least their header's bytes, which
+bounds the records of a range.
+
+Cases: null text or url is an empty one; rows without a key are dealt to
+archives of their own (-1 and below) by their digest; archives that one replica
+lacks are damage in all their records; records that stand at one offset more
+than once are hashed in the order of their hashes; empty replicas give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -39,15 +43,47 @@ def record(page: Column, url: Column, body: Column, when: str = "2024-01-01T00:0
     return F.concat(*[F.coalesce(x, F.lit("")) for x in lines]).cast("binary")
 
 
-def archive(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(archive, offset, key, content): pages as the records of archives of ``per_archive`` ids, in the order of ids.
+def _number(key: Column, digest: Column, per_archive: int) -> Column:
+    lost = -1 - F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+    return F.coalesce(F.floor(key / per_archive).cast("long"), lost)
+
+
+def inventory(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html", also: dict[str, Column] | None = None) -> DataFrame:
+    """(archive, offset, key, length, digest) of pages as the records of archives of ``per_archive`` ids, in the order of ids.
 
-    Rows without a key are the archive -1.
+    ``also`` names columns that are computed where the page is read, of its columns and of ``content``, its record.
     """
-    number = F.coalesce(F.floor(F.col(key) / per_archive), F.lit(-1)).cast("long")
-    rows = pages.select(number.alias("archive"), F.col(key), record(F.col(key), F.col(url), F.col(html)).alias("content"))
-    before = Window.partitionBy("archive").orderBy(key, F.sha2("content", 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("content")).over(before), F.lit(0)).cast("long"))
+    more = also or {}
+    read = pages.select(F.struct(key, url, html).alias("page"), record(F.col(key), F.col(url), F.col(html)).alias("content"))
+    narrow = read.select(F.col(f"page.`{key}`").alias(key), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("digest"), *(c.alias(name) for name, c in more.items()))
+    rows = narrow.withColumn("archive", _number(F.col(key), F.col("digest"), per_archive))
+    before = Window.partitionBy("archive").orderBy(key, "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("archive", "offset", key, "length", "digest", *more)
+
+
+def archive(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(archive, offset, key, content): the records of :func:`inventory` with their content, for writing archives."""
+    rows = pages.select(F.col(key).alias(key), record(F.col(key), F.col(url), F.col(html)).alias("content"))
+    digest = F.sha2("content", 256)
+    before = Window.partitionBy("archive").orderBy(key, digest).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select(_number(F.col(key), digest, per_archive).alias("archive"), key, "content")
+    return placed.withColumn("offset", F.coalesce(F.sum(F.octet_length("content")).over(before), F.lit(0)).cast("long"))
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of an archive, or of the whole where it isn't compressed."""
+    if data[:2] != b"\x1f\x8b":
+        yield 0, len(data), data
+        return
+    at = 0
+    while at < len(data):
+        unpack = zlib.decompressobj(31)
+        content = unpack.decompress(data[at:])
+        if not unpack.eof:
+            raise ValueError(f"the gzip member at offset {at} is cut off")
+        size = len(data) - at - len(unpack.unused_data)
+        yield at, size, content
+        at += size
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -66,16 +102,32 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(archive, offset, url, time, content): the records of files read as ``binaryFile``; archive is the path."""
+    """(archive, offset, length, url, time, content): the records of files read as ``binaryFile``; archive is the path.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(path, at, h.get("warc-target-uri"), datetime.fromisoformat(h["warc-date"]).astimezone(UTC) if "warc-date" in h else None, data[at : at + n]) for at, n, h, _ in parse(data or b"")]
-            types = (pa.string(), pa.int64(), pa.string(), pa.timestamp("us", "UTC"), pa.binary())
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["archive", "offset", "url", "time", "content"])
+    Offset and length are those in the file: of the gzip member, where each record is one.  A file is a row, as that
+    source reads it (2 GB at most); its records come out in batches of some megabytes.
+    """
+    types = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(), "url": pa.string(), "time": pa.timestamp("us", "UTC"), "content": pa.binary()}
 
-    return map_arrow(files.select("path", "content"), run, "archive string, offset bigint, url string, time timestamp, content binary")
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            path, rows, held = batch.column(0)[i].as_py(), [], 0
+            for start, size, data in members(batch.column(1)[i].as_py() or b""):
+                for at, n, h, _ in parse(data):
+                    when = datetime.fromisoformat(h["warc-date"]).astimezone(UTC) if "warc-date" in h else None
+                    whole = n == len(data)
+                    rows.append((path, start + (0 if whole else at), size if whole else n, h.get("warc-target-uri"), when, data[at : at + n]))
+                    held += n
+                    if held > 8 << 20:
+                        yield packed(rows)
+                        rows, held = [], 0
+            yield packed(rows)
+
+    return map_arrow(files.select("path", "content"), run, "archive string, offset bigint, length bigint, url string, time timestamp, content binary")
 
 
 def leaves(replica: DataFrame, *also: str) -> DataFrame:
@@ -98,30 +150,34 @@ def nodes(records: DataFrame) -> list[DataFrame]:
     return found[::-1]
 
 
-def audit(one: DataFrame, two: DataFrame) -> DataFrame:
+def audit(one: DataFrame, two: DataFrame, tree: list[DataFrame] | None = None) -> DataFrame:
     """(archive, offset, length, verdict) of the records of two :func:`leaves` tables that differ.
 
-    ``verdict`` is ``changed``, ``missing`` (the second replica lacks it) or ``extra``.
+    ``verdict`` is ``changed``, ``missing`` (the second replica lacks it) or ``extra``; ``tree`` is what :func:`nodes`
+    gave for the first one, if it is at hand.  Each level's differences are written before the next one is compared.
     """
     differ = None
-    for level, (a, b) in enumerate(zip(nodes(one), nodes(two), strict=True)):
+    for level, (a, b) in enumerate(zip(tree or nodes(one), nodes(two), strict=True)):
         if differ is not None:
-            up = LEVEL_BITS if level > 1 else 63
-            inside = lambda x, up=up, differ=differ: x.withColumn("up", F.shiftright("at", up)).join(differ.select("archive", F.col("at").alias("up")), ["archive", "up"], "left_semi").drop("up")
-            a, b = inside(a), inside(b)
+            a, b = (_inside(x, differ, F.shiftright("at", LEVEL_BITS if level > 1 else 63)) for x in (a, b))
         both = a.withColumnRenamed("digest", "one").join(b.withColumnRenamed("digest", "two"), ["archive", "at"], "full")
-        differ = both.where(~F.col("one").eqNullSafe(F.col("two"))).select("archive", "at")
-    inside = lambda x: x.withColumn("at", F.shiftright("offset", RANGE_BITS)).join(differ, ["archive", "at"], "left_semi").drop("at")
-    a = inside(one).select("archive", "offset", "length", F.col("digest").alias("one"))
-    b = inside(two).select("archive", "offset", F.col("length").alias("length_two"), F.col("digest").alias("two"))
+        differ = cut(both.where(~F.col("one").eqNullSafe(F.col("two"))).select("archive", "at"))
+    a, b = (_inside(x, differ, F.shiftright("offset", RANGE_BITS)) for x in (one, two))
+    a = a.select("archive", "offset", "length", F.col("digest").alias("one"))
+    b = b.select("archive", "offset", F.col("length").alias("length_two"), F.col("digest").alias("two"))
     both = a.join(b, ["archive", "offset"], "full").where(~F.col("one").eqNullSafe(F.col("two")))
     verdict = F.when(F.col("two").isNull(), "missing").when(F.col("one").isNull(), "extra").otherwise("changed")
     return both.select("archive", "offset", F.coalesce("length", "length_two").alias("length"), verdict.alias("verdict"))
 
 
-def roots(records: DataFrame) -> DataFrame:
-    """(archive, root) of a :func:`leaves` table."""
-    return nodes(records)[0].select("archive", F.col("digest").alias("root"))
+def _inside(rows: DataFrame, ranges: DataFrame, up: Column) -> DataFrame:
+    """The rows that lie in one of the ranges (archive, at)."""
+    return rows.withColumn("up", up).join(ranges.select("archive", F.col("at").alias("up")), ["archive", "up"], "left_semi").drop("up")
+
+
+def roots(tree: list[DataFrame]) -> DataFrame:
+    """(archive, root) of what :func:`nodes` gave."""
+    return tree[0].select("archive", F.col("digest").alias("root"))
 
 
 def _sql() -> str:

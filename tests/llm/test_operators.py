@@ -221,7 +221,35 @@ def test_warc_round_trip_and_audit(spark: SparkSession) -> None:
             up[k >> 4].append(level[k])
         level = {k: hashlib.sha256("".join(v).encode()).hexdigest() for k, v in up.items()}
     root = hashlib.sha256("".join(level[k] for k in sorted(level)).encode()).hexdigest()
-    assert warc.roots(warc.leaves(records)).where("archive = 1").first().root == root
+    assert warc.roots(warc.nodes(warc.leaves(records))).where("archive = 1").first().root == root
+    table = spark.createDataFrame([(*r, "clash", 1, 2) for r in [*rows, rows[3], (None, "u", "x")]], "page_id long, url string, html string, content string, offset int, archive int")
+    both = [{(r.archive, r.offset, r.page_id, r.length, r.digest) for r in x.collect()} for x in (warc.inventory(table), warc.archive(table).select("page_id", "archive", "offset", F.octet_length("content").alias("length"), F.sha2("content", 256).alias("digest")))]
+    assert both[0] == both[1] and len(both[0]) == 3003 and {r[0] for r in both[0] if r[2] is None} != {-1}
+    assert warc.inventory(table.limit(0)).count() == 0 and warc.audit(warc.leaves(records.limit(0)), warc.leaves(records.limit(0))).count() == 0
+
+
+def test_warc_files_are_scanned(spark: SparkSession, tmp_path) -> None:
+    import gzip
+
+    rows = [(i, f"https://a.example/{i}", "é" * i) for i in range(40)]
+    listed = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("offset").collect()
+    parts = [bytes(r.content) for r in listed]
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "records.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = defaultdict(list)
+    for r in warc.scan(spark.read.format("binaryFile").load(str(tmp_path))).collect():
+        found[Path(r.archive).name].append(r)
+    assert set(found) == {"plain.warc", "records.warc.gz", "whole.warc.gz"}
+    for name, got in found.items():
+        got.sort(key=lambda r: r.offset)
+        assert [bytes(r.content) for r in got] == parts and [r.url for r in got] == [r[1] for r in rows], name
+    assert [r.offset for r in found["plain.warc"]] == [r.offset for r in listed] and found["plain.warc"][0].time.year == 2024
+    sizes = [len(gzip.compress(p)) for p in parts]
+    assert [(r.offset, r.length) for r in found["records.warc.gz"]] == [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(gzip.compress(parts[0])[:-9]))
 
 
 def test_top_k_is_exact(spark: SparkSession) -> None:
