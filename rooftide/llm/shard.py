@@ -5,17 +5,19 @@ Pass two holds one bucket at a time, puts its rows in a fixed order, applies a
 Fisher-Yates permutation whose draws are seeded hashes of (bucket, step), and
 deals the result out.  All buckets end to end are one random order of the whole
 table; row g of it goes to shard g mod n at slot g div n, so shard sizes differ
-by one row at most and slots have no gaps.
+by one row at most and slots have no gaps.  Under this law equal texts are not
+kept together: each copy has a place of its own, as any other row.
 
 Every step is a function of the rows and the seed, so a task that runs again
 after an executor is lost gives the same result.
 
 Cases: a null key or text is a value like any other; empty and very long texts
 are rows like any other (a row larger than a bucket is a bucket's worth by
-itself); equal rows are interchangeable, and where they repeat by the
-thousand each copy is scattered by a number of its own; an empty table gives an empty result; input columns named
-``shard`` or ``slot`` are replaced; columns that have no order (maps) raise
-ValueError.
+itself); equal rows are interchangeable, and where their copies would fill an
+eighth of a bucket, in rows or bytes, each copy is scattered by a number of its
+own; an empty table gives an empty result; input columns named ``shard`` or
+``slot`` are replaced, all others are kept, whatever their names; columns that
+have no order (maps) raise ValueError.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import cut
 BUCKET_BYTES, BUCKET_ROWS = 8 << 20, 8192
 #: Hashes (8 bytes each) of much repeated rows up to which they are broadcast.
 BROADCAST_HASHES = 500_000
+#: Buckets whose offsets one task finds; it then takes one task for the runs, of which there are so many times fewer.
+RUN = 4096
 
 
 def fisher_yates(n: Column, bucket: Column, seed: int) -> Column:
@@ -54,26 +58,35 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 9, payload: str = "
         raise ValueError(f"columns without an order: {bad}")
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()
     buckets = max(1, -(-size // bucket_bytes), -(-rows // bucket_rows))
-    counted = df.select(F.xxhash64(*kept).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(counted.where(F.col("n") > max(1, bucket_rows // 8)).select("__h"))
-    numbered = df.select(*kept, F.lit(0).alias("__ordinal"))
-    if most := hot.count():  # rows that repeat by the thousand: count them, and give each copy a place of its own
+    df = df.select(F.struct(*kept).alias("row"), F.xxhash64(*kept).alias("h"), F.coalesce(F.octet_length(payload), F.lit(0)).alias("size"))
+    # copies of a row are hot where they would fill an eighth of a bucket
+    counted = df.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    hot = cut(counted.where((F.col("n") > 1) & ((F.col("n") > bucket_rows // 8) | (F.col("n") * F.col("size") > bucket_bytes // 8))).select("h"))
+    numbered = df.select("row", F.lit(0).alias("ordinal"))
+    if most := hot.count():  # count them, and give each copy a place of its own
         hot = F.broadcast(hot) if most <= BROADCAST_HASHES else hot
-        keyed, same = df.select(*kept, F.xxhash64(*kept).alias("__h")), "__h"
-        copies = keyed.join(hot, same, "left_semi").groupBy(*kept).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-        copies = copies.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__ordinal"))
-        numbered = keyed.join(hot, same, "left_anti").select(*kept, F.lit(0).alias("__ordinal")).unionByName(copies)
-    place = F.pmod(F.xxhash64(F.lit(seed), "__ordinal", *kept), F.lit(buckets)).cast("int")
-    scattered = numbered.select(place.alias("bucket"), F.struct(F.xxhash64(F.lit(~seed), "__ordinal", *kept).alias("__h"), *kept).alias("row"))
+        copies = df.join(hot, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        copies = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("ordinal"))
+        numbered = df.join(hot, "h", "left_anti").select("row", F.lit(0).alias("ordinal")).unionByName(copies)
+    values = [F.col(f"row.`{c}`") for c in kept]
+    place = F.pmod(F.xxhash64(F.lit(seed), "ordinal", *values), F.lit(buckets)).cast("int")
+    scattered = numbered.select(place.alias("bucket"), F.struct(F.xxhash64(F.lit(~seed), "ordinal", *values).alias("h"), "row").alias("row"))
     counts = cut(numbered.select(place.alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    held = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(offsets, "bucket")
+    held = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(offsets(counts), "bucket")
     order = fisher_yates(F.size("rows"), F.col("bucket"), seed)
     dealt = held.select("offset", F.transform(order, lambda k: F.get(F.col("rows"), k)).alias("rows"))
     flat = dealt.select("offset", F.posexplode("rows").alias("at", "row"))
     place = F.col("offset") + F.col("at")
-    return flat.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+    return flat.select(*[F.col(f"row.row.`{c}`").alias(c) for c in kept], F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
+
+
+def offsets(counts: DataFrame) -> DataFrame:
+    """(bucket, offset): rows in the buckets before, summed in runs of RUN buckets first."""
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
+    starts = runs.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(before.orderBy("run")), F.lit(0)).alias("start"))
+    inner = F.coalesce(F.sum("n").over(before.partitionBy("run").orderBy("bucket")), F.lit(0))
+    return runs.select("bucket", "run", inner.alias("inner")).join(starts, "run").select("bucket", (F.col("start") + F.col("inner")).alias("offset"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
