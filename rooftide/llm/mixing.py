@@ -8,15 +8,17 @@ finds the level at which that ends.
 
 A source is then repeated floor(target / size) times as a whole; the fractional
 rest takes documents in the order of a seeded hash until its words are used up.
-To find where that is, words are summed by source and hash cell; only the one
-cell of each source that holds the border is ordered row by row, so no task
-sees a whole source.
+To find where that is, words are summed by source and hash cell, and the cell that
+holds the border is divided into cells again; only the one of those that holds
+it, a share of 2**-24 of a source, is ordered row by row.
 
 Cases: null text has size 0; sources are ordered by code point, null last, as a
 source of its own; a source of size 0 has target 0; ties in the hash are
 ordered by key, size and text hash (rows equal in all of these are
-interchangeable); an empty table gives an empty result; columns with the names
-of the result are replaced, all others are kept.
+interchangeable); empty texts are taken where their place is before the border
+or their source is taken once as a whole; an empty table gives an empty result;
+columns with the names of the result are replaced, all others are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -64,34 +66,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """
     own = ("size", "source_size", "target", "repeats")
     kept = [c for c in docs.columns if c.lower() not in own]
-    h = draw(F.col(key), seed)
-    cell = F.shiftright(h, 60 - CELL_BITS)
-    plain = docs.select(F.col(source).alias("source"), cell.alias("cell"), word_count(F.col(text)).alias("size"))
-    cells = cut(plain.groupBy("source", "cell").agg(F.sum("size").alias("words")))
+    row = F.struct(*kept).alias("row") if kept else F.lit(None).alias("row")
+    rows = docs.select(row, F.col(key).alias("key"), F.col(source).alias("source"), draw(F.col(key), seed).alias("h"), F.crc32(F.col(text)).alias("crc"), word_count(F.col(text)).alias("size"))
+    rows = rows.withColumn("cell", F.shiftright("h", 60 - CELL_BITS)).withColumn("fine", F.shiftright("h", 60 - 2 * CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1))
+    cells = cut(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")))
     targets = levels(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    running = Window.partitionBy("c.source").orderBy("c.cell").rowsBetween(Window.unboundedPreceding, -1)
-    borders = (
-        cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-        .select(F.col("c.source").alias("source"), "c.cell", "c.words", "t.rest", F.coalesce(F.sum("c.words").over(running), F.lit(0)).alias("before"))
-        .where((F.col("before") + F.col("words") > F.col("rest")))
-        .groupBy("source").agg(F.min(F.struct("cell", "before")).alias("border"))
-    )
-    plan = cut(
-        targets.alias("t").join(borders.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left")
-        .select(F.col("t.source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), F.coalesce(F.col("b.border.cell"), F.lit(1 << CELL_BITS)).alias("_border"), F.coalesce(F.col("b.border.before"), F.lit(0)).alias("_before"))
-    )
+    start = targets.select("*", F.lit(0).cast("long").alias("before"))
+    coarse = cut(border(cells, start, "cell"))
+    inside = told(rows, coarse).where(F.col("cell") == F.col("border_cell"))
+    fine = inside.groupBy("source", "fine").agg(F.sum("size").alias("words"))
+    plan = cut(border(fine, coarse, "fine"))
+    placed = told(rows, plan)
+    past = (F.col("cell") < F.col("border_cell")) | (F.col("cell") == F.col("border_cell")) & (F.col("fine") < F.col("border_fine"))
+    at = (F.col("cell") == F.col("border_cell")) & (F.col("fine") == F.col("border_fine"))
+    sure = placed.where(~at).select("row", "size", "source_size", "target", (F.col("whole") + past.cast("int")).alias("repeats"))
+    line = Window.partitionBy("source").orderBy("h", "key", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.col("before") + F.coalesce(F.sum("size").over(line), F.lit(0))
+    last = placed.where(at).select("row", "size", "source_size", "target", (F.col("whole") + (used + F.col("size") / 2 <= F.col("rest")).cast("int")).alias("repeats"))
+    mixed = sure.unionByName(last)
+    return mixed.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *own)
+
+
+def border(cells: DataFrame, plan: DataFrame, name: str) -> DataFrame:
+    """``plan`` with ``border_<name>``, the first cell of each source in which the rest is used up (behind the last one if none), and ``before``, the words before it."""
+    running = Window.partitionBy("c.source").orderBy(f"c.{name}").rowsBetween(Window.unboundedPreceding, -1)
+    joined = cells.alias("c").join(plan.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
+    summed = joined.select(F.col("c.source").alias("source"), f"c.{name}", "c.words", "t.rest", (F.col("t.before") + F.coalesce(F.sum("c.words").over(running), F.lit(0))).alias("so_far"))
+    found = summed.where(F.col("so_far") + F.col("words") > F.col("rest")).groupBy("source").agg(F.min(F.struct(name, "so_far")).alias("border"))
+    others = [c for c in plan.columns if c != "before"]
+    both = plan.alias("t").join(found.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left")
+    return both.select(*(F.col(f"t.{c}").alias(c) for c in others), F.coalesce(F.col(f"b.border.{name}"), F.lit(1 << CELL_BITS)).alias(f"border_{name}"), F.coalesce(F.col("b.border.so_far"), F.col("t.before")).alias("before"))
+
+
+def told(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with what the plan says of their source."""
+    plan = plan.withColumnRenamed("source", "of")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    placed = docs.select(*kept, h.alias("_h"), cell.alias("_cell")).join(plan, F.col(source).eqNullSafe(F.col("_source")))
-    sized = word_count(F.col(text)).alias("size")
-    sure = placed.where(F.col("_cell") != F.col("_border")).select(*kept, sized, "source_size", "target", (F.col("_whole") + (F.col("_cell") < F.col("_border")).cast("int")).alias("repeats"))
-    line = Window.partitionBy("_source").orderBy("_h", key, "size", "_crc").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.col("_before") + F.coalesce(F.sum("size").over(line), F.lit(0))
-    border = placed.where(F.col("_cell") == F.col("_border")).select("*", sized, F.crc32(F.col(text)).alias("_crc"))
-    border = border.select(*kept, "size", "source_size", "target", (F.col("_whole") + (used + F.col("size") / 2 <= F.col("_rest")).cast("int")).alias("repeats"))
-    return sure.unionByName(border)
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ o AS (
   SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS rest,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-x AS (SELECT *, min(CASE WHEN used + size > rest THEN used END) OVER () AS unused FROM o)
+x AS (SELECT * FROM o)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN used + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM x

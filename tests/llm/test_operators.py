@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -549,6 +550,70 @@ def test_two_pass_shuffle(spark: SparkSession) -> None:
     assert shard.external_shuffle(table.limit(0), 3).count() == 0 and shard.external_shuffle(odd(spark), 3).count() == len(ODD) + 2
 
 
+def clashing(spark: SparkSession, texts: list):
+    """Columns with the names that the operators use inside."""
+    names = ["_h", "__h", "h", "row", "bucket", "ordinal", "cell", "fine", "of", "border_cell", "before", "rest", "whole", "key", "n", "offset", "_cell", "_source", "__ordinal"]
+    rows = [(i, t, "s", *([f"x{i}"] * len(names))) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{c}` string" for c in names)]))
+
+
+def test_columns_with_clashing_names_are_kept(spark: SparkSession) -> None:
+    table = clashing(spark, [*ODD, *["same"] * 40])
+    want = Counter(map(tuple, table.collect()))
+    for found in (mixing.mix(table), shard.external_shuffle(table, 5, bucket_rows=16)):
+        assert found.columns[: len(table.columns)] == table.columns
+        assert Counter(map(tuple, found.select(*table.columns).collect())) == want
+
+
+def test_large_copies_are_spread_by_bytes(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(shard, "RUN", 4)
+    table = docs(spark, ["x" * 3000] * 60 + [f"t{i}" for i in range(40)], [7] * 60 + list(range(100, 140)))
+    found = shard.external_shuffle(table, 4, bucket_bytes=8000, bucket_rows=1000).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter((r.doc_id, r.text) for r in table.collect())
+    places = sorted((r.slot * 4 + r.shard, r.doc_id) for r in found)
+    assert [p for p, _ in places] == list(range(100))
+    runs = max(len(list(g)) for k, g in itertools.groupby(i == 7 for _, i in places) if k)
+    assert runs < 20  # in one bucket they would stand together
+
+
+def shuffled_by_hand(buckets: dict, shards: int, orders: dict) -> dict:
+    """Places of rows that are sorted in their buckets, permuted by the given orders, and dealt out."""
+    out, at = {}, 0
+    for b in sorted(buckets):
+        for k in orders[b]:
+            out[buckets[b][k]] = (at % shards, at // shards)
+            at += 1
+    return out
+
+
+def test_shuffle_by_hand(spark: SparkSession) -> None:
+    table = docs(spark, [f"text {i}" for i in range(300)]).select("doc_id", "text")
+    found = {r.doc_id: (r.shard, r.slot) for r in shard.external_shuffle(table, 7, bucket_rows=40).collect()}
+    values = [F.col("doc_id"), F.col("text")]
+    drawn = table.select("doc_id", F.pmod(F.xxhash64(F.lit(9), F.lit(0), *values), F.lit(8)).alias("b"), F.xxhash64(F.lit(~9), F.lit(0), *values).alias("h")).collect()
+    buckets = defaultdict(list)
+    for r in sorted(drawn, key=lambda r: r.h):
+        buckets[r.b].append(r.doc_id)
+    draws = spark.createDataFrame([(b, i) for b, x in buckets.items() for i in range(len(x))], "b int, i int").select("b", "i", F.pmod(F.xxhash64(F.lit(9), "b", "i"), F.col("i") + 1).alias("j")).collect()
+    orders = {b: [] for b in buckets}
+    for r in sorted(draws):
+        done = orders[r.b]
+        done.append(r.i)
+        done[r.i], done[r.j] = done[r.j], done[r.i]
+    assert found == shuffled_by_hand(buckets, 7, orders)
+
+
+def test_shards_are_written_in_slot_order(spark: SparkSession, tmp_path) -> None:
+    table = docs(spark, [f"text {i}" for i in range(200)])
+    shard.write_shards(shard.external_shuffle(table, 6, bucket_rows=30), f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter(r.text for r in back.collect()) == Counter(f"text {i}" for i in range(200))
+    for k in range(6):
+        parts = sorted(Path(f"{tmp_path}/shards/shard={k}").glob("*.parquet"))
+        slots = [r.slot for p in parts for r in spark.read.parquet(str(p)).collect()]
+        assert sorted(slots) == list(range(len(slots))) and all(x == sorted(x) for x in [[r.slot for r in spark.read.parquet(str(p)).collect()] for p in parts])
+
+
 def test_fisher_yates_is_a_permutation(spark: SparkSession) -> None:
     rows = spark.range(200).select(F.col("id").alias("b"), (F.col("id") % 40).cast("int").alias("n"))
     found = rows.select("n", shard.fisher_yates(F.col("n"), F.col("b"), 3).alias("p")).collect()
