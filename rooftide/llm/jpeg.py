@@ -13,15 +13,18 @@ in further frames of the same stream, each with its own markers.
 Cases: null is the empty payload; a payload is padded with zero bytes to a
 positive multiple of 64; payloads of any length are kept whole; equal payloads
 give equal streams; an empty table gives an empty result; a null stream gives
-null features; a stream that is not baseline JPEG raises ValueError.
+null features and no error; a stream that is damaged or not baseline JPEG gives
+null features and says why in ``error``.  Long payloads and streams are worked
+on frame by frame, which bounds what a task holds beside them.
 """
 
 from __future__ import annotations
 
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ from .common import map_arrow, slices
 ROW = 64
 #: Block rows of one frame: the height field is 16 bits of pixels.
 FRAME_ROWS = 8184
+#: Bytes of payloads or streams that are worked on at once.
+WORK = 1 << 19
+#: What a damaged stream raises.
+DAMAGE = (ValueError, IndexError, KeyError, struct.error)
 # The luminance DC table of ITU-T T.81 annex K, and an AC table with the end-of-block code alone.
 DC_COUNTS, DC_SYMBOLS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
 AC_COUNTS, AC_SYMBOLS = (1,) + (0,) * 15, (0,)
@@ -97,8 +104,32 @@ def pad(payload: bytes) -> bytes:
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
-    """One stream per padded payload."""
-    frames = [min(FRAME_ROWS, len(p) // ROW - start) for p in payloads for start in range(0, len(p) // ROW, FRAME_ROWS)]
+    """One stream per padded payload, in batches of frames."""
+    size = FRAME_ROWS * ROW
+    pieces = [(i, p[a : a + size]) for i, p in enumerate(payloads) for a in range(0, len(p), size)]
+    streams: list[list[bytes]] = [[] for _ in payloads]
+    for some in batched(pieces, lambda x: len(x[1])):
+        for (i, _), stream in zip(some, write_frames([p for _, p in some]), strict=True):
+            streams[i].append(stream)
+    return [b"".join(x) for x in streams]
+
+
+def batched(items: list, size: Callable[[Any], int]) -> Iterator[list]:
+    """Runs of items of about WORK bytes together."""
+    some, total = [], 0
+    for x in items:
+        if some and total + size(x) > WORK:
+            yield some
+            some, total = [], 0
+        some.append(x)
+        total += size(x)
+    if some:
+        yield some
+
+
+def write_frames(payloads: list[bytes]) -> list[bytes]:
+    """One stream of one frame for each payload of 64 to 64 * FRAME_ROWS bytes."""
+    frames = [len(p) // ROW for p in payloads]
     samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW).astype(np.int64)
     before = np.concatenate([np.full((len(samples), 1), 128), samples[:, :-1]], axis=1)
     diff = (samples - before + 255).ravel()
@@ -129,15 +160,8 @@ def write(payloads: list[bytes]) -> list[bytes]:
     final[row_end + 1] = 0xD0 + (np.arange(len(row_bytes)) - first[frame_of]) % 8
     closing = row_end[first + frames - 1]
     final[closing + 1] = 0xD9
-    data, streams, f, start = final.tobytes(), [], 0, 0
-    for p in payloads:
-        parts = []
-        for left in range(len(p) // ROW, 0, -FRAME_ROWS):
-            rows = min(left, FRAME_ROWS)
-            parts += [HEADERS.setdefault(rows, header(rows)), data[start : (start := int(closing[f]) + 2)]]
-            f += 1
-        streams.append(b"".join(parts))
-    return streams
+    data, ends = final.tobytes(), (closing + 2).tolist()
+    return [HEADERS.setdefault(rows, header(rows)) + data[a:b] for rows, a, b in zip(frames, [0, *ends[:-1]], ends, strict=True)]
 
 
 @dataclass
@@ -323,7 +347,7 @@ def store(docs: DataFrame, key: str = "doc_id", payload: str = "payload") -> Dat
     """Padded payloads as JPEG streams: ``key``, ``n_bytes`` before padding, ``media``."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 1, 1 << 21):
+        for part in slices(batch, 1, 1 << 20):
             raw = [x or b"" for x in part.column(1).to_pylist()]
             media = write([pad(x) for x in raw])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
@@ -332,24 +356,62 @@ def store(docs: DataFrame, key: str = "doc_id", payload: str = "payload") -> Dat
     return map_arrow(docs.select(key, F.col(payload).cast("binary").alias(payload)), run, f"`{key}` {kind}, n_bytes bigint, media binary")
 
 
+def frames_of(stream: bytes) -> Iterator[tuple[int, int]]:
+    """Where each frame of a stream begins and ends."""
+    raw = np.frombuffer(stream, np.uint8)
+    ff = np.flatnonzero(raw[:-1] == 255)
+    after = raw[ff + 1]
+    marks = ff[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))]
+    at = 0
+    while at < len(stream):
+        _, end = parse(stream, at, len(stream), marks)
+        yield at, end
+        at = end
+
+
+def read(streams: list[bytes]) -> list[tuple[int, int, int, bytes, str, None] | tuple[None, None, None, None, None, str]]:
+    """(width, height, frames, thumbnail, hash, error) of each stream."""
+    pieces, errors = [], {}
+    for i, s in enumerate(streams):
+        try:
+            pieces += [(i, s[a:b]) for a, b in frames_of(s)]
+        except DAMAGE as e:
+            errors[i] = f"{type(e).__name__}: {e}"
+    found: list[list[Frame]] = [[] for _ in streams]
+
+    def add(some: list[tuple[int, bytes]]) -> None:
+        ends = np.cumsum([len(p) for _, p in some]).tolist()
+        for (i, _), f in zip(some, decode(b"".join(p for _, p in some), [(e - len(p), e) for (_, p), e in zip(some, ends, strict=True)]), strict=True):
+            found[i] += f
+
+    for some in batched([x for x in pieces if x[0] not in errors], lambda x: len(x[1])):
+        try:
+            add(some)
+        except DAMAGE:
+            for piece in some:  # find the damaged one
+                try:
+                    add([piece])
+                except DAMAGE as e:
+                    errors[piece[0]] = f"{type(e).__name__}: {e}"
+    return [(None,) * 5 + (errors[i],) if i in errors else (*picture(f)[:2], len(f), b"".join(x.luma.tobytes() for x in f), picture(f)[2], None) for i, f in enumerate(found)]
+
+
 def describe(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Read streams back: dimensions, frames, thumbnail samples and hash, all frames joined.
+    """Read streams back: dimensions, frames, thumbnail samples and hash, all frames joined; ``error`` where that fails.
 
     All other columns of ``media`` stay as they are, but for the result's own names.
     """
-    own = {"width": "int", "height": "int", "frames": "int", "thumbnail": "binary", "thumb_hash": "string"}
+    own = {"width": "int", "height": "int", "frames": "int", "thumbnail": "binary", "thumb_hash": "string", "error": "string"}
     kept = [c for c in media.columns if c.lower() not in own and c != column]
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, 0, 1 << 22):
-            streams = [x or b"" for x in part.column(0).to_pylist()]
-            ends = np.cumsum([len(x) for x in streams]).tolist()
-            found = decode(b"".join(streams), [(e - len(x), e) for e, x in zip(ends, streams, strict=True)])
-            seen = [picture(f) if f else (None,) * 3 for f in found]
-            rows = [(w, h, len(f) if f else None, b"".join(x.luma.tobytes() for x in f) if f else None, mark) for f, (w, h, mark) in zip(found, seen, strict=True)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
+        for part in slices(batch, 0, 1 << 20):
+            streams = part.column(0).to_pylist()
+            some = iter(read([x for x in streams if x]))
+            rows = [next(some) if x else (None,) * 5 + (None if x is None else "ValueError: not a JPEG stream",) for x in streams]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [column, *kept, *own])
 
     schema = ", ".join([f"`{column}` binary", *(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept), *(f"{c} {t}" for c, t in own.items())])
     return map_arrow(media.select(column, *kept), run, schema)
-

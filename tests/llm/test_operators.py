@@ -503,6 +503,73 @@ def test_jpeg_is_lossless(spark: SparkSession) -> None:
             assert bytes(r.thumbnail) == jpeg.pad(raw) and r.n_bytes == len(raw)
 
 
+def test_jpeg_damage_is_a_row(spark: SparkSession) -> None:
+    good = jpeg.write([jpeg.pad(b"some payload " * 40), jpeg.pad(b"another")])
+    cuts = [good[0], b"PNG stuff", b"", None, good[0][:120], good[0].replace(b"\xff\xd0", b"\xff\x00"), good[0][:-40] + bytes(40), good[1], b"\xff\xd8\xff", good[0][:60] + b"\xff\xda\x00"]
+    rows = {r.doc_id: r for r in jpeg.describe(spark.createDataFrame(list(enumerate(cuts)), "doc_id int, media binary")).collect()}
+    assert len(rows) == len(cuts) and bytes(rows[0].thumbnail) == jpeg.pad(b"some payload " * 40) and bytes(rows[7].thumbnail) == jpeg.pad(b"another")
+    assert rows[0].error is None and rows[7].error is None and rows[3].error is None and rows[3].thumbnail is None
+    for i in (1, 2, 4, 5, 8, 9):
+        assert rows[i].error and rows[i].thumbnail is None and rows[i].thumb_hash is None, i
+
+
+def slow_decode(stream: bytes) -> bytes:
+    """DC luminance of the frames of a grey stream, bit by bit, straight from the format's definition."""
+    out, at = b"", 0
+    while at < len(stream):
+        tables, quant, height, width, at = {}, 0, 0, 0, at + 2
+        while stream[at + 1] != 0xDA:
+            kind, size = stream[at + 1], int.from_bytes(stream[at + 2 : at + 4], "big")
+            body = stream[at + 4 : at + 2 + size]
+            if kind == 0xDB:
+                quant = body[1]
+            elif kind == 0xC0:
+                height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            elif kind == 0xC4:
+                code, k, found = 0, 17, {}
+                for n in range(1, 17):
+                    for _ in range(body[n]):
+                        found[f"{code:0{n}b}"] = body[k]
+                        code, k = code + 1, k + 1
+                    code *= 2
+                tables[body[0]] = found
+            at += 2 + size
+        at += 2 + int.from_bytes(stream[at + 2 : at + 4], "big")
+        rows = []
+        for _ in range(height // 8):
+            bits = ""
+            while not (stream[at] == 0xFF and stream[at + 1] != 0):
+                bits += f"{stream[at]:08b}"
+                at += 2 if stream[at] == 0xFF else 1
+            at, k, dc = at + 2, 0, 0
+
+            def symbol(table: dict) -> int:
+                nonlocal k
+                n = next(n for n in range(1, 17) if bits[k : k + n] in table)  # noqa: B023
+                k += n
+                return table[bits[k - n : k]]  # noqa: B023
+
+            for _ in range(width // 8):
+                size = symbol(tables[0])
+                if size:
+                    v = int(bits[k : k + size], 2)
+                    dc += v if bits[k] == "1" else v - (1 << size) + 1
+                k += size
+                assert symbol(tables[0x10]) == 0
+                rows.append(round(dc * quant / 8 + 128))
+        out += bytes(rows)
+        if stream[at - 2 : at] != b"\xff\xd9":
+            at += 2
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=400))
+def test_jpeg_by_a_decoder_of_its_own(payload: bytes) -> None:
+    (stream,) = jpeg.write([jpeg.pad(payload)])
+    assert slow_decode(stream) == jpeg.pad(payload) == jpeg.read([stream])[0][3]
+
+
 def test_jpeg_feature_sees_all_frames(spark: SparkSession) -> None:
     one = "a" * (jpeg.ROW * jpeg.FRAME_ROWS)
     texts = [one + "a" * 300_000, one + "a" * 100_000 + "z" * 200_000, one]
