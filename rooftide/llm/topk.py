@@ -3,19 +3,23 @@
 Vectors are compared by integer inner product.  With a and b the squared norms
 and d the distance of two vectors, their product is (a + b - d * d) / 2, so a
 lower bound of the distance is an upper bound of the product.  Distances from
-every vector to a few pivots are tabled; the largest difference to the query's
-own distances is that lower bound.  Candidates are evaluated in the order of
-their bounds until the next bound is below the k-th score found.
+every vector to many pivots are tabled once, as a column; the largest difference
+to the query's own distances is that lower bound.  Candidates are evaluated in
+the order of their bounds until the next bound is below the k-th score found.
 
 Queries and candidates meet block by block, so neither side is broadcast and no
-task holds more than one block of each; the k best of each block are merged.
+task holds more than one block of each.  Blocks hold vectors of one
+neighbourhood (near the same pivot, at like distances).  Each query meets the
+block of its own neighbourhood first; its k-th score there is where its search
+in all other blocks begins, and the k best of all blocks are merged.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
-no part; shorter vectors count as padded with zeros; components are integers of
-32 bits (larger ones are clipped); rows without an id take no part; rows that
-share an id are one (the smallest vector); equal scores go to the smaller id;
-with fewer than k candidates there are fewer rows; an empty table gives an
-empty result; other columns are ignored.
+no part; shorter vectors count as padded with zeros; components may be of any
+size, and products are exact: in integers of any length where 53 bits don't
+hold them (a score that no long holds raises OverflowError); rows without an id
+take no part; rows that share an id are one (the smallest vector); equal scores
+go to the smaller id; with fewer than k candidates there are fewer rows; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-PIVOTS, PIVOT_SAMPLE = 16, 128
+PIVOTS, PIVOT_SAMPLE = 32, 512
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
 #: Candidates that are evaluated at once at first; each further wave is three times as large.
 WAVE = 256
@@ -39,8 +43,7 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
     """(id, v): usable vectors as arrays of floor(scale * component), one row per id."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     usable = F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    limit = float((1 << 31) - 1)
-    v = F.transform(x, lambda c: F.least(F.greatest(F.floor(c * scale), F.lit(-limit)), F.lit(limit)).cast("int"))
+    v = F.transform(x, lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c * scale).cast("double")).otherwise(c * scale))
     return vectors.where(usable).select(F.col(key).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
@@ -60,46 +63,57 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list, list, list, int]:
-    """The k best candidates of each query; also how many products were evaluated."""
-    most = max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0)) ** 2 * queries.shape[1]
-    exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of a vector with rows of whole numbers."""
+    if q.dtype == object:
+        return np.array([sum(int(x) * int(y) for x, y in zip(q, row, strict=True)) for row in c], object)
+    return c @ q
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, to_q: np.ndarray, ids: np.ndarray, candidates: np.ndarray, to_c: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[list, list, list, int]:
+    """The k best candidates of each query whose scores reach ``least``, by pivot distances ``to_q`` and ``to_c``; also how many products were evaluated."""
+    most = float(max(np.abs(queries).max(initial=0), np.abs(candidates).max(initial=0))) ** 2 * queries.shape[1]
+    exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
     c, q = candidates.astype(exact), queries.astype(exact)
     # One row per pivot, in single precision; the slack covers its rounding many times over.
-    to_c, to_q = (np.ascontiguousarray(distances(x, pivots).T, np.float32) for x in (candidates, queries))
+    narrow = most < 2.0**100
+    to_c, to_q = np.ascontiguousarray(to_c.T, np.float32 if narrow else np.float64), to_q.astype(np.float32 if narrow else np.float64)
     norm_c, norm_q = (candidates * candidates).sum(1), (queries * queries).sum(1)
     slack = 1e-5 * (norm_c.max(initial=0) + norm_q.max(initial=0)) + 0.5
     half = norm_c / 2
-    apart, gap = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
+    apart, gap = np.empty(len(c), to_c.dtype), np.empty(len(c), to_c.dtype)
     out_q, out_c, out_s, evaluated = [], [], [], 0
     for i in range(len(q)):
         apart.fill(0)
-        for row, own in zip(to_c, to_q[:, i], strict=True):
+        for row, own in zip(to_c, to_q[i], strict=True):
             np.maximum(apart, np.abs(np.subtract(row, own, out=gap), out=gap), out=apart)
-        bound = half - (apart * apart) * np.float32(0.5) + (norm_q[i] / 2 + slack)
+        bound = half - np.square(apart, dtype=np.float64) / 2 + (norm_q[i] / 2 + slack) if most < 1e300 else np.full(len(c), np.inf)
         bound[ids == query_ids[i]] = -np.inf
+        lowest = -np.inf if least is None else least[i]
         first = np.argpartition(-bound, WAVE)[:WAVE] if len(bound) > WAVE else np.arange(len(bound))
-        first = first[bound[first] > -np.inf]
-        found, score = first, c[first] @ q[i]
-        least = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
-        rest = bound >= least
+        first = first[(bound[first] > -np.inf) & (bound[first] >= lowest)]
+        found, score = first, products(q[i], c[first])
+        kth = lambda score, lowest=lowest: max(lowest, np.partition(score, -k)[-k] if len(score) >= k else -np.inf)
+        reach = kth(score)
+        rest = bound >= reach
         rest[first] = False
         rest = np.flatnonzero(rest & (bound > -np.inf))
         rest = rest[np.argsort(-bound[rest])]
         at, size = 0, WAVE
-        while at < len(rest) and bound[rest[at]] >= least:
+        while at < len(rest) and bound[rest[at]] >= reach:
             wave = rest[at : at + size]
-            product = (c @ q[i])[wave] if 4 * len(wave) > len(c) else c[wave] @ q[i]
+            product = products(q[i], c)[wave] if 4 * len(wave) > len(c) else products(q[i], c[wave])
             found, score, at, size = np.append(found, wave), np.append(score, product), at + len(wave), 3 * size
-            if len(score) >= k:
-                least = np.partition(score, -k)[-k]
-                near = score >= least
-                found, score = found[near], score[near]
+            reach = kth(score)
+            near = score >= reach
+            found, score = found[near], score[near]
         evaluated += len(first) + at
+        near = score >= lowest
+        found, score = found[near], score[near]
         best = np.lexsort((ids[found], -score))[:k]
         out_q.append(np.full(len(best), query_ids[i]))
         out_c.append(ids[found[best]])
-        out_s.append(score[best].astype(np.int64))
+        out_s.append(np.array([int(x) for x in score[best]], np.int64))
     return out_q, out_c, out_s, evaluated
 
 
@@ -114,6 +128,21 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def tabled(rows: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
+    """Rows (id, v) with ``far``, their distances to the pivots, and ``near``, the number of the nearest one."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = distances(matrix(batch.column(1), width), shared.value)
+            if not far.shape[1]:
+                far = np.zeros((len(far), 1))
+            lists = pa.ListArray.from_arrays(np.arange(0, far.size + 1, far.shape[1], dtype=np.int32), pa.array(far.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(far.argmin(1).astype(np.int32)), pa.array(far.min(1))], ["id", "v", "far", "near", "apart"])
+
+    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<double>, far array<double>, near int, apart double")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k best of all other rows for each row where ``is_query`` (of the column ``id``) holds."""
     rows = cut(quantised(vectors, key, vector, scale))
@@ -122,27 +151,48 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     padded = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         padded[i, : len(r["v"])] = r["v"]
-    pivots = rows.sparkSession.sparkContext.broadcast(choose_pivots(padded))
-    query_blocks, candidate_blocks = -(-max(n_queries, 1) // QUERY_BLOCK), -(-max(n, 1) // CANDIDATE_BLOCK)
-    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
+    pivots = choose_pivots(padded)
+    query_blocks, blocks = -(-max(n_queries, 1) // QUERY_BLOCK), -(-max(n, 1) // CANDIDATE_BLOCK)
+    # neighbourhoods: ranges of (nearest pivot, distance to it); the blocks are fixed by what is written
+    table = tabled(rows, width, pivots).repartitionByRange(blocks, "near", "apart", "id")
+    table = cut(table.select(F.spark_partition_id().alias("home"), "id", "v", "far"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where(is_query).select(F.lit(True).alias("q"), own(1, query_blocks).alias("a"), every(candidate_blocks).alias("b"), "id", "v")
-    offered = rows.select(F.lit(False).alias("q"), own(2, candidate_blocks).alias("b"), every(query_blocks).alias("a"), "id", "v")
-    met = asked.unionByName(offered).groupBy("a", "b").agg(F.collect_list(F.struct("q", "id", "v")).alias("m"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(batch.num_rows):
-            m = batch.column(0)[at].values
-            ids, query = m.field("id").to_numpy(), m.field("q").to_numpy(zero_copy_only=False)
-            v = matrix(m.field("v"), width)
-            order = np.argsort(ids, kind="stable")
-            mine, others = order[query[order]], order[~query[order]]
-            q, c, s, _ = search(ids[mine], v[mine], ids[others], v[others], pivots.value, k)
-            if q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, c, s)], ["query_id", "id", "score"])
-
-    found = map_arrow(met.select("m"), run, "query_id bigint, id bigint, score bigint")
+    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(query_blocks)).cast("int")
+    asked = table.where(is_query)
+    none = F.lit(None).cast("double").alias("least")
+    column = ("id", "v", "far")
+
+    def meet(asked: DataFrame, offered: DataFrame) -> DataFrame:
+        """The best candidates in each block (a, b) of queries and candidates."""
+        both = asked.select(F.lit(True).alias("q"), "a", "b", *column, "least").unionByName(offered.select(F.lit(False).alias("q"), "a", "b", *column, none))
+        met = both.groupBy("a", "b").agg(F.collect_list(F.struct("q", *column, "least")).alias("m"))
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(batch.num_rows):
+                m = batch.column(0)[at].values
+                ids, query = m.field("id").to_numpy(), m.field("q").to_numpy(zero_copy_only=False)
+                v, far = matrix(m.field("v"), width), matrix(m.field("far"), max(len(pivots), 1))
+                least = m.field("least").to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                mine, others = order[query[order]], order[~query[order]]
+                lowest = np.where(np.isnan(least[mine]), -np.inf, least[mine])
+                q, c, s, _ = search(ids[mine], v[mine], far[mine], ids[others], v[others], far[others], k, lowest)
+                if q:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, c, s)], ["query_id", "id", "score"])
+
+        return map_arrow(met.select("m"), run, "query_id bigint, id bigint, score bigint")
+
+    # the home block first; its queries are dealt into blocks of their own
+    home = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    at_home = asked.join(home, "home").select(F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int").alias("a"), F.col("home").alias("b"), *column, none)
+    offered = table.join(home, "home").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), F.col("home").alias("b"), *column)
+    first = cut(meet(at_home, offered))
+    reach = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    known = asked.join(reach.select(F.col("query_id").alias("id"), F.col("least").cast("double")), "id", "left")
+    abroad = known.select(own.alias("a"), every(blocks).alias("b"), "home", *column, "least").where("b != home")
+    others = meet(abroad, table.select(every(query_blocks).alias("a"), F.col("home").alias("b"), *column)) if blocks > 1 else first.limit(0)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = first.unionByName(others)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

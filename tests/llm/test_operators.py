@@ -275,8 +275,26 @@ def test_pivots_rule_candidates_out() -> None:
     far = np.floor(rng.normal(size=(4000, 16)) * 20)
     near = np.floor(rng.normal(size=(30, 16)) * 2 + 300)
     c = np.concatenate([far, near])
-    *_, evaluated = topk.search(np.array([-1]), near[:1], np.arange(len(c)), c, topk.choose_pivots(c[::40]), 20)
+    pivots = topk.choose_pivots(c[::40])
+    far_q, far_c = topk.distances(near[:1], pivots), topk.distances(c, pivots)
+    *_, evaluated = topk.search(np.array([-1]), near[:1], far_q, np.arange(len(c)), c, far_c, 20)
     assert evaluated < len(c) / 4
+    *_, least, _ = topk.search(np.array([-1]), near[:1], far_q, np.arange(len(c)), c, far_c, 20)
+    *_, fewer = topk.search(np.array([-1]), near[:1], far_q, np.arange(100), c[:100], far_c[:100], 20, np.array([float(least[0][-1])]))
+    assert fewer == 0  # nothing in that block can reach the score that another one gave
+
+
+@pytest.mark.parametrize("size", [1.0, 4.0e6, 2.0**40])
+def test_top_k_of_large_components(spark: SparkSession, size: float, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(150, 3)) * size if size < 2.0**40 else rng.integers(-9, 9, size=(150, 3)) * 2.0**20, 3)
+    found = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=7).collect()
+    q = [[math.floor(64 * c) for c in v] for v in x]
+    for i in range(0, 150, 10):
+        want = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in range(150) if j != i)[:7]
+        assert sorted((r["rank"], r.id, r.score) for r in found if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
 
 
 def water_filling(sizes: list[int], weights: list[float], words: float) -> list[float]:
