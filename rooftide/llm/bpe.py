@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import arrow, slices
 
 END = "\ue000"
 #: Bytes of chunks and words, and number of pairs, that a task remembers before it starts afresh.
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+    return docs.select(key, text).mapInArrow(arrow(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -264,4 +264,4 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
                 texts = [shown.decode(x or b"") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], [key, ids, "decoded"])
 
-    return tokens.select(key, ids).mapInArrow(run, f"`{key}` {tokens.schema[key].dataType.simpleString()}, `{ids}` binary, decoded binary")
+    return tokens.select(key, ids).mapInArrow(arrow(run), f"`{key}` {tokens.schema[key].dataType.simpleString()}, `{ids}` binary, decoded binary")

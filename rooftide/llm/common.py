@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +21,24 @@ WORDS = re.compile(WORD)
 LOWER_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
+def tidy() -> None:
+    """Give back what a worker no longer uses: workers are kept for later tasks, whose memory adds up in an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that tidies up at the end of its task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; unnamed columns are never read."""
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -31,7 +52,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(arrow(run), schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER_ASCII, cut, slices, whole_groups
+from .common import LOWER_ASCII, arrow, cut, slices, whole_groups
 
 END = b"\n"
 FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
@@ -108,7 +108,7 @@ def counts(docs: DataFrame, depth: int, text: str = "text") -> DataFrame:
                     numbers.clear()
         yield from out()
 
-    rows = docs.select(text).mapInArrow(run, "word binary, code bigint, n bigint")
+    rows = docs.select(text).mapInArrow(arrow(run), "word binary, code bigint, n bigint")
     return rows.groupBy("word", "code").agg(F.sum("n").alias("n"))
 
 
@@ -199,7 +199,7 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
                 a, b = (np.bincount(up[where], n * y, len(keys)) for y in (1 - one, one))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bit, np.int32)), pa.array(keys), pa.array(a), pa.array(b), pa.array(np.bincount(up, level.above, len(keys)))], ["bit", "key", "a", "b", "product"])
 
-    sums = spread.select("root", "code", "n").mapInArrow(upwards, "bit int, key bigint, a double, b double, product double")
+    sums = spread.select("root", "code", "n").mapInArrow(arrow(upwards), "bit int, key bigint, a double, b double, product double")
     top = sums.groupBy("bit", "key").agg(*(F.sum(c).alias(c) for c in ("a", "b", "product"))).orderBy("bit", "key").toArrow()
     bits, *columns = (top.column(k).to_numpy() for k in range(5))
     mixtures = []
@@ -223,7 +223,7 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
                 total += np.log10(np.where((code >> (7 - bit)) & 1, one, 1 - one))
             yield from pa.table({"code": t.column("code"), "log10p": total, "chunks": t.column("chunks")}).combine_chunks().to_batches(20_000)
 
-    return spread.mapInArrow(downwards, "code bigint, log10p double, chunks array<int>")
+    return spread.mapInArrow(arrow(downwards), "code bigint, log10p double, chunks array<int>")
 
 
 @dataclass

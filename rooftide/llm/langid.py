@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices
+from .common import arrow, cut, map_arrow, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 3, 2, 1)
@@ -233,4 +233,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     schema = ", ".join([f"`{key}` {kind(key)}, lang_pred string, score double", *(f"`kept_{c}` {kind(c)}" for c in keep)])
-    return docs.select(*read).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(arrow(run), schema)

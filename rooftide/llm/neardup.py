@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WORD, cut, map_arrow, slices, whole_groups
+from .common import LOWER_ASCII, WORD, arrow, cut, map_arrow, slices, whole_groups
 
 REGISTERS, BASE = 256, 1.02
 #: Members of a list, and bytes of full sets, that a task takes at once (a larger set comes with the list's first one).
@@ -213,7 +213,7 @@ def sketch(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(map(len, sets), pa.int64()), pa.array(kinds, pa.binary()), pa.array([regs.get(k) for k in kinds], pa.binary())], ["doc", "text_hash", "n_shingles", "class", "regs"])
 
     read = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return read.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, text_hash bigint, n_shingles bigint, class binary, regs binary")
+    return read.mapInArrow(arrow(run), f"doc {docs.schema[key].dataType.simpleString()}, text_hash bigint, n_shingles bigint, class binary, regs binary")
 
 
 def band_rows(classes: DataFrame, per_band: int) -> DataFrame:
@@ -269,7 +269,7 @@ def likely_members(members: DataFrame, classes: DataFrame, threshold: float, dev
             keep = likely(regs, t.column("n_shingles").to_numpy(), by_group(t), least)
             yield from t.filter(pa.array(keep)).select(["group", "rep", "n"]).rename_columns(["list", "rep", "n"]).combine_chunks().to_batches()
 
-    found = dealt(full.select(F.col("list").alias("group"), "rep", "n", "n_shingles", "regs")).mapInArrow(run, "list bigint, rep bigint, n bigint")
+    found = dealt(full.select(F.col("list").alias("group"), "rep", "n", "n_shingles", "regs")).mapInArrow(arrow(run), "list bigint, rep bigint, n bigint")
     return found.unionByName(members.where(F.col("n") > BLOCK))
 
 
@@ -298,7 +298,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: st
                 kinds = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kinds, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "class", "shingles"])
 
-    found = read.mapInArrow(run, f"doc {kind}, class binary, shingles binary")
+    found = read.mapInArrow(arrow(run), f"doc {kind}, class binary, shingles binary")
     # a key that repeats with one text gives its set more than once: equal rows, side by side after the join
     return found.join(wanted, ["doc", "class"]).groupBy("doc", "class").agg(F.any_value("rep").alias("rep"), F.any_value("shingles").alias("shingles")).select("rep", "shingles")
 
@@ -338,7 +338,7 @@ def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
 
         full = met.join(sets, "rep").select("group", "list", "rep", "first", "blocks", "shingles")
-        return dealt(full).mapInArrow(run, "list bigint, a bigint, b bigint")
+        return dealt(full).mapInArrow(arrow(run), "list bigint, a bigint, b bigint")
 
     one = cut(meet(met.withColumn("group", F.xxhash64("list", "block"))))
     alone = one.where(F.col("b").isNull()).select("list", F.col("a").alias("rep")).distinct().join(classes.select("rep", "n_shingles"), "rep")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import arrow, cut, map_arrow
 
 PIVOTS, PIVOT_SAMPLE = 32, 512
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
@@ -140,7 +140,7 @@ def tabled(rows: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, far.size + 1, far.shape[1], dtype=np.int32), pa.array(far.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(far.argmin(1).astype(np.int32)), pa.array(far.min(1))], ["id", "v", "far", "near", "apart"])
 
-    return rows.select("id", "v").mapInArrow(run, "id bigint, v array<double>, far array<double>, near int, apart double")
+    return rows.select("id", "v").mapInArrow(arrow(run), "id bigint, v array<double>, far array<double>, near int, apart double")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
