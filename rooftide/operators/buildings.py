@@ -58,25 +58,25 @@ def fragments(features: DataFrame, per_polygon: tuple[str, ...] = ()) -> DataFra
     return rows.drop("m", "rings", *per_polygon)
 
 
-def merge(parts: DataFrame, order: tuple[str, ...] = ORDER, per: tuple[str, ...] = (), with_rings: bool = False) -> DataFrame:
+def merge(parts: DataFrame, order: tuple[str, ...] = ORDER, per: tuple[str, ...] = (), with_rings: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Fragments of one feature id to one row; fragments without an id stay alone.
 
-    Areas are summed, the centre is weighted by area (null if the weights are
-    0), attributes are those of the first fragment in ``order``.  Sums and the
+    Areas are summed, the centre is weighted by area ((0, 0) if the weights are
+    0), attributes, and the columns in ``also``, are those of the first fragment in ``order``.  Sums and the
     first fragment combine before the shuffle, so a feature of very many
     fragments costs no more than its partial results; ``with_rings`` collects
     outlines as well and is meant for features of ordinary size.
     """
     first = F.struct(*order)
     alone = F.when(F.col("feature_id").isNull(), F.struct("source_idx", "feat_idx", "poly_idx"))
-    props = F.struct(*KEPT, F.col("area_m2").alias("first_area_m2"), F.struct("z", "x", "y", "extent").alias("tile"))
+    props = F.struct(*KEPT, *also, F.col("area_m2").alias("first_area_m2"), F.struct("z", "x", "y", "extent").alias("tile"))
     area = F.sum("area_m2")
-    weighted = lambda c: (F.sum(F.col(f"center.{c}") * F.col("area_m2")) / F.nullif(area, F.lit(0.0))).alias(c)
+    weighted = lambda c: F.coalesce(F.sum(F.col(f"center.{c}") * F.col("area_m2")) / F.nullif(area, F.lit(0.0)), F.lit(0.0)).alias(c)
     more = [F.transform(F.sort_array(F.collect_list(F.struct(first.alias("at"), F.struct("z", "x", "y", "extent", "polygon").alias("part")))), lambda s: s["part"]).alias("parts")] if with_rings else []
     grouped = parts.groupBy(*per, "feature_id", alone.alias("alone")).agg(
         area.alias("merged_area_m2"), weighted("lon"), weighted("lat"), F.count(F.lit(1)).alias("n_fragments"), F.min_by(props, first).alias("p"), F.min(first).alias("first"), *more
     )
-    return grouped.select(*per, "feature_id", F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, "first_area_m2", "tile")), *(["parts"] if with_rings else []))
+    return grouped.select(*per, "feature_id", F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, *also, "first_area_m2", "tile")), *(["parts"] if with_rings else []))
 
 
 def resolve(buildings: DataFrame, cfg: HeightConfig, level: Column, area: Column | None = None) -> DataFrame:
@@ -93,9 +93,13 @@ def extract_buildings(features: DataFrame, cfg: HeightConfig | None = None, orde
     Density is over all sources unless ``density_per`` names keys (the tile's,
     for rendering).  ``height_area`` is ``merged`` or ``first_fragment``.
     """
-    cfg = cfg or HeightConfig()
-    means = density(features, density_per, sources)
     merged = merge(fragments(features), order, density_per, with_rings)
+    return with_heights(merged, density(features, density_per, sources), cfg, density_per, height_area)
+
+
+def with_heights(merged: DataFrame, means: DataFrame, cfg: HeightConfig | None = None, density_per: tuple[str, ...] = (), height_area: str = "merged") -> DataFrame:
+    """Merged buildings with the heights that a parameter set gives them at these densities."""
+    cfg = cfg or HeightConfig()
     # One row of means, or one for each key: the former is a scalar subquery, the latter an equi-join.
     joined = merged.join(means, list(density_per)) if density_per else merged.withColumn("mean_features", means.scalar())
     area = F.col("footprint_m2") if height_area == "merged" else F.col("first_area_m2").cast("float")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import HeightConfig
+from ..functions.session import cut
 from ..operators import buildings
 
 Z, X0, Y0, EXTENT = 14, 14552, 6451, 4096
@@ -47,21 +48,24 @@ def extracted(spark: SparkSession, sf_dir: str, cfg: HeightConfig | None = None,
 
 
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature_id, estimate_idx, outer_rings) of the features above ground in global pixels, north up."""
+    """(feature_id, outer_rings) of the features above ground in global pixels, north up."""
     rows = features(spark, sf_dir).where(F.coalesce(~F.col("is_underground"), F.lit(True)))
     x0, y0 = F.col("x").cast("double") * EXTENT + F.col("px0"), F.col("y").cast("double") * EXTENT + F.col("py0")
     point = lambda x, y: F.struct(x.alias("lon"), (-y).alias("lat"))
     x1, y1 = x0 + F.col("w"), y0 + F.col("h")
-    return rows.select("feature_id", F.col("feature_id").alias("estimate_idx"), F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))).alias("outer_rings"))
+    return rows.select("feature_id", F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))).alias("outer_rings"))
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The building table of a run without heights, with the place of each first fragment."""
+    return cut(buildings.merge(buildings.fragments(features(spark, sf_dir)), ORDER, also=("px0", "py0", "w", "h")))
+
+
+def truth(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     """(truth_id, lon, lat, truth_m): an order's point is the middle of its first fragment, moved away for each fourth order."""
-    rows = features(spark, sf_dir).where(F.coalesce(~F.col("is_underground"), F.lit(True)))
-    first = rows.groupBy("feature_id").agg(F.min_by(F.struct("x", "y", "px0", "py0", "w", "h"), F.struct(*ORDER)).alias("r"))
-    at = lambda axis, corner, side: F.col(f"r.{axis}").cast("double") * EXTENT + F.col(f"r.{corner}") + F.col(f"r.{side}") / 2
+    at = lambda axis, corner, side: F.col(f"tile.{axis}").cast("double") * EXTENT + F.col(corner) + F.col(side) / 2
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    joined = orders.join(first, F.col("o_orderkey") == F.col("feature_id"))
+    joined = orders.join(found.select("feature_id", "tile", "px0", "py0", "w", "h"), F.col("o_orderkey") == F.col("feature_id"))
     moved = F.when(F.col("o_orderkey") % 4 == 0, F.lit(5000.0)).otherwise(F.lit(0.0))
     return joined.select(F.col("o_orderkey").alias("truth_id"), (at("x", "px0", "w") + moved).alias("lon"), (-at("y", "py0", "h")).alias("lat"), (3 + F.col("o_totalprice") / 10000).cast("float").alias("truth_m"))
 

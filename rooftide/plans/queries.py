@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, kernels, rings, scalars
+from .. import engine
+from ..functions import geo, kernels, scalars
 from ..functions.config import HeightConfig
 from ..operators import buildings, glb, lod, manifest, mesh, metrics, raster, spatial, tileset
 from ..sources import truth, vector_tiles
 from . import bindings as data
-from .oracles import FEATURES, MERGED, TRUTH, buildings_sql, level_sql, pairs_sql, stats_sql
+from .oracles import FEATURES, MERGED, ORDER, TRUTH, buildings_sql, cascade_sql, level_sql, pairs_sql, stats_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,27 +179,23 @@ def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", "a", "b", F.explode(F.sequence("a.x", "b.x")).alias("x")).select("name", F.lit(14).alias("z"), "x", F.explode(F.sequence("a.y", "b.y")).alias("y"))
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(truth_id, feature_id, n_candidates, truth_m) of truth points within an outline."""
-    pairs = spatial.match_points(data.truth(spark, sf_dir), data.outlines(spark, sf_dir), size=64.0)
-    return pairs.select("truth_id", F.col("estimate.feature_id").alias("feature_id"), "n_candidates", "truth_m")
-
-
-def residuals(pairs: DataFrame, estimates: DataFrame, *keys: str) -> DataFrame:
-    joined = pairs.join(estimates.select(*keys, "feature_id", "height_m", "height_method", "class", "subtype"), "feature_id")
-    return joined.withColumn("residual_m", (F.col("height_m") - F.col("truth_m")).cast("float"))
+def evaluated(spark: SparkSession, sf_dir: str, *sets: HeightConfig) -> list[engine.Evaluation]:
+    """The run's features against its measured points, for each parameter set."""
+    found = data.merged(spark, sf_dir)
+    return engine.compare(data.features(spark, sf_dir), data.truth(spark, sf_dir, found), sets or (CFG,), data.ORDER, found, data.outlines(spark, sf_dir), 64.0)
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()} SELECT truth_id, feature_id, n_candidates, round(r, 3) + 0.0::DOUBLE AS residual_m FROM p")
 def truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each measured point with the first building whose outline holds it, and the error of its height."""
-    return residuals(matched(spark, sf_dir), data.extracted(spark, sf_dir)).select("truth_id", "feature_id", "n_candidates", rounded("residual_m", 3))
+    return evaluated(spark, sf_dir)[0].pairs.select("truth_id", "feature_id", "n_candidates", rounded("residual_m", 3))
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {TRUTH} SELECT truth_id FROM t WHERE truth_id NOT IN (SELECT truth_id FROM h)")
 def unmatched_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured points within no outline."""
-    return spatial.unmatched(data.truth(spark, sf_dir), matched(spark, sf_dir)).select("truth_id")
+    run = evaluated(spark, sf_dir)[0]
+    return spatial.unmatched(run.truth, run.matched).select("truth_id")
 
 
 STATS_OUT = ", ".join(f"round({c}, 3) + 0.0::DOUBLE AS {c}" if c != "n" else "n" for c in metrics.STATS)
@@ -211,26 +208,16 @@ def shown(stats: DataFrame, *keys: str) -> DataFrame:
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()}, {stats_sql('p')} SELECT {STATS_OUT}, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM b) AS n_estimate, (SELECT count(*) FROM t WHERE truth_id NOT IN (SELECT truth_id FROM h)) AS unmatched_truth FROM s WHERE slice_kind = 'overall'")
 def residual_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over all matched points, with the counters of the run."""
-    points, estimates = data.truth(spark, sf_dir), data.extracted(spark, sf_dir)
-    pairs = matched(spark, sf_dir)
-    number = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    overall = metrics.report(residuals(pairs, estimates), number(points), number(estimates)).where("slice_kind = 'overall'")
-    return shown(overall.withColumn("unmatched_truth", number(spatial.unmatched(points, pairs))), "n_truth", "n_estimate", "unmatched_truth")
+    run = evaluated(spark, sf_dir)[0]
+    counted = run.counters()
+    overall = metrics.report(run.pairs, *(counted.select(c).scalar() for c in ("n_truth", "n_estimate"))).where("slice_kind = 'overall'")
+    return shown(overall.withColumn("unmatched_truth", counted.select("unmatched_truth").scalar()), "n_truth", "n_estimate", "unmatched_truth")
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()}, {stats_sql('p')} SELECT slice_kind, slice, {STATS_OUT} FROM s")
 def residual_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics overall, by method, class and subtype."""
-    return shown(metrics.slice_statistics(residuals(matched(spark, sf_dir), data.extracted(spark, sf_dir))), "slice_kind", "slice")
-
-
-def both_configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Statistics under both parameter sets; features are merged once and resolved twice."""
-    rows = data.features(spark, sf_dir)
-    merged = buildings.merge(buildings.fragments(rows), data.ORDER).withColumn("mean_features", buildings.density(rows).scalar())
-    sets = [buildings.resolve(merged, cfg, cfg.level(F.col("mean_features"))).withColumn("config", F.lit(k)) for k, cfg in enumerate((CFG, TALL))]
-    stats = metrics.slice_statistics(residuals(matched(spark, sf_dir), sets[0].unionByName(sets[1]), "config"), ("config",))
-    return stats.where("config = 0").drop("config"), stats.where("config = 1").drop("config")
+    return shown(evaluated(spark, sf_dir)[0].stats, "slice_kind", "slice")
 
 
 COMPARED = ", ".join(f"round(coalesce({t}.{c}, 0), 3) + 0.0::DOUBLE AS {n}_{c}" if c != "n" else f"coalesce({t}.n, 0) AS {n}_n" for t, n in (("s", "base"), ("u", "cand")) for c in metrics.STATS)
@@ -239,15 +226,14 @@ COMPARED = ", ".join(f"round(coalesce({t}.{c}, 0), 3) + 0.0::DOUBLE AS {n}_{c}"
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {buildings_sql(TALL, 'q')}, {TRUTH}, {pairs_sql()}, {pairs_sql('q', 'p2')}, {stats_sql('p')}, {stats_sql('p2', 'u')} SELECT slice_kind, slice, {COMPARED} FROM s FULL JOIN u USING (slice_kind, slice)")
 def compare_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both parameter sets side by side in every slice."""
-    compared = metrics.compare(*both_configs(spark, sf_dir))
+    compared = metrics.compare(*(x.stats for x in evaluated(spark, sf_dir, CFG, TALL)))
     return compared.select("slice_kind", "slice", *(F.col(c) if c.endswith("_n") else rounded(c, 3) for c in compared.columns[2:]))
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()}, {stats_sql('p')} SELECT slice, n FROM s WHERE slice_kind = 'class' ORDER BY n DESC, slice LIMIT 10")
 def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten classes with most matches."""
-    stats = metrics.slice_statistics(residuals(matched(spark, sf_dir), data.extracted(spark, sf_dir)))
-    return metrics.top_slices(stats, "class").select("slice", "n")
+    return metrics.top_slices(evaluated(spark, sf_dir)[0].stats, "class").select("slice", "n")
 
 
 RASTER_AT = "(x * 31 + y * 17 + {r} * 7 + {c} * 3) % 200"
@@ -358,24 +344,23 @@ def roof_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("feature_id", area.alias("area")).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.round(F.sum("area"), 2).alias("area_m2"))
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tile, glb) of all tiles as zoom 14 shows them: density by tile, heights by first fragment."""
-    rows = data.features(spark, sf_dir)
-    found = buildings.extract_buildings(rows, CFG, data.ORDER, ("z", "x", "y"), "first_fragment", with_rings=True)
-    shown_here = found.where(lod.in_range(F.col("footprint_m2"), *lod.area_range(14))).withColumn("tile", F.struct("z", "x", "y"))
-    rasters = data.terrain(spark, sf_dir).withColumn("elev", raster.decode_pixels(F.col("rgb"))).drop("rgb")
-    placed = raster.ground_elevation(shown_here, rasters).withColumn("e", raster.base_and_top(F.col("ground_elev"), F.col("min_height"), F.col("height_m")))
-    placed = mesh.number_features(placed.withColumn("base", F.col("e.base").cast("double")).withColumn("top", F.col("e.top").cast("double")), "first")
-    table = buildings.export_columns(placed, "tile", "fid")
-    middle = geo.tile_center(F.col("z"), F.col("x"), F.col("y"))
-    matrices = rows.select("z", "x", "y").distinct().select(F.struct("z", "x", "y").alias("tile"), geo.y_up(geo.enu_to_ecef(middle["lon"], middle["lat"], F.lit(0.0))).alias("matrix"))
-    return glb.pack_tiles(mesh.build_mesh(placed), table, matrices)
+TILE_MERGED = f"""
+d AS (SELECT x, y, count(*)::DOUBLE AS mean FROM f GROUP BY x, y),
+m0 AS (SELECT x, y, feature_id, sum(area_m2)::FLOAT AS footprint_m2, count(*) AS n_fragments,
+         arg_min({{'height': height, 'num_floors': num_floors, 'class': class, 'subtype': subtype, 'area': area_m2}}, {ORDER}) AS r
+       FROM v GROUP BY x, y, feature_id),
+m AS (SELECT m0.*, r.height AS height, r.num_floors AS num_floors, r.class AS class, r.subtype AS subtype, r.area::FLOAT::DOUBLE AS first_area, {level_sql("d.mean", CFG)} AS lv FROM m0 JOIN d USING (x, y)),
+b AS (SELECT *, {cascade_sql(CFG, "lv", "first_area")[0]} AS height_m FROM m WHERE footprint_m2 >= 5 AND footprint_m2 < 2000)"""
 
 
-@query()
+@query(f"""WITH {FEATURES}, {TILE_MERGED}, t AS (SELECT DISTINCT x, y FROM f)
+SELECT t.x::INT AS x, t.y::INT AS y, count(feature_id) AS n_buildings, coalesce(20 * sum(n_fragments), 0)::BIGINT AS n_vertices, coalesce(30 * sum(n_fragments), 0)::BIGINT AS n_indices,
+round(coalesce(sum(height_m::DOUBLE), 0), 2) AS sum_height, coalesce(sum(feature_id), 0)::BIGINT AS sum_feature_id FROM t LEFT JOIN b USING (x, y) GROUP BY ALL""")
 def glb_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and digest of each tile's glb."""
-    return rendered(spark, sf_dir).select("tile.x", "tile.y", F.octet_length("glb").cast("long").alias("n_bytes"), F.expr("hex(substring(glb, 1, 4))").alias("magic"))
+    """What each tile's glb holds, read back from its bytes: buildings, vertices, indices, heights and ids."""
+    rasters = data.terrain(spark, sf_dir).withColumn("elev", raster.decode_pixels(F.col("rgb"))).drop("rgb")
+    packed = engine.render_tiles(data.features(spark, sf_dir), rasters, CFG, data.ORDER)
+    return glb.contents(packed).select("tile.x", "tile.y", "n_buildings", "n_vertices", "n_indices", rounded("sum_height", 2), "sum_feature_id")
 
 
 @query("""SELECT c_custkey, CASE WHEN length(u) > 100 THEN u[:60] || '…' || u[-36:] ELSE u END AS short, q AS encoded FROM (
@@ -389,5 +374,5 @@ def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FEATURES}, {MERGED}, {TRUTH} SELECT t.truth_id, printf('%.2f', truth_m::DOUBLE) AS line FROM t WHERE truth_m > 0 AND abs(truth_m + 9999) >= 0.5")
 def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured heights that pass the sentinel filter, as text."""
-    rows = data.truth(spark, sf_dir).where(truth.valid_height(F.col("truth_m")))
+    rows = data.truth(spark, sf_dir, data.merged(spark, sf_dir)).where(truth.valid_height(F.col("truth_m")))
     return rows.select("truth_id", F.format_string("%.2f", F.col("truth_m").cast("double")).alias("line"))

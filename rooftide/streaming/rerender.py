@@ -2,8 +2,12 @@
 
 The stream is a folder of Parquet files of (z, x, y, content).  Each micro-batch
 hashes its tiles, keeps those whose output is not in the manifest, decodes and
-resolves them, and appends the building rows.  The hash makes a batch that runs
-twice write nothing the second time, so no state and no watermark is needed.
+resolves them, and writes the building rows with their tile's hash, then the
+manifest.  Both are written to partitions of the batch's number, which a batch
+that runs again replaces, and one whose manifest is there already finds nothing
+to do: each output is there once, and no state and no watermark is needed.  A
+tile whose content has changed leaves its old rows in their batch;
+:func:`current` reads the latest ones.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..engine import TILE, tile_buildings
 from ..functions.config import HeightConfig
-from ..operators import buildings, lod, manifest
+from ..operators import lod, manifest
 from ..sources.vector_tiles import read_tiles
 
 TILES = "z int, x int, y int, content binary"
@@ -28,8 +33,7 @@ def hashes(tiles: DataFrame, area: tuple[float, float]) -> DataFrame:
 
 def render(tiles: DataFrame, cfg: HeightConfig | None = None, z: int = lod.MAX_Z) -> DataFrame:
     """Buildings of each tile by itself: density of the tile, height by the first fragment, footprints of the zoom."""
-    rows = buildings.extract_buildings(read_tiles(tiles), cfg, density_per=("z", "x", "y"), height_area="first_fragment")
-    return rows.where(lod.in_range(F.col("footprint_m2"), *lod.area_range(z)))
+    return tile_buildings(read_tiles(tiles), cfg, zoom=z)
 
 
 def known(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +42,12 @@ def known(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"z int, x int, y int, {schema}").parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def current(spark: SparkSession, out: str, impl: str) -> DataFrame:
+    """The buildings of each tile's latest content."""
+    latest = spark.read.parquet(f"{out}/manifest").where(F.col("impl") == impl).groupBy(*TILE).agg(F.max(F.struct("batch", "hash")).alias("m")).select(*TILE, "m.batch", "m.hash")
+    return spark.read.parquet(f"{out}/buildings").where(F.col("impl") == impl).join(latest, [*TILE, "batch", "hash"], "left_semi")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Asks the path's own file system, wherever it is."""
     jvm = spark._jvm
@@ -51,10 +61,10 @@ def start(spark: SparkSession, source: str, out: str, checkpoint: str, impl: str
     def batch(tiles: DataFrame, number: int) -> None:
         tiles = tiles.persist()
         todo = manifest.pending(hashes(tiles, lod.area_range(lod.MAX_Z)), known(spark, f"{out}/manifest"), impl).persist()
-        rows = render(tiles.join(todo.select("z", "x", "y"), ["z", "x", "y"], "left_semi"), cfg)
-        kept = ["z", "x", "y", "feature_id", "footprint_m2", "height_m", "height_method", "lon", "lat"]
-        rows.select(*kept).withColumn("impl", F.lit(impl)).write.mode("append").partitionBy("impl").parquet(f"{out}/buildings")
-        todo.select("z", "x", "y", "hash").withColumn("impl", F.lit(impl)).write.mode("append").partitionBy("impl").parquet(f"{out}/manifest")
+        rows = render(tiles.join(todo.select("z", "x", "y"), list(TILE), "left_semi"), cfg).join(todo.select(*TILE, "hash"), list(TILE))
+        for name, found in (("buildings", rows.select(*TILE, "feature_id", "footprint_m2", "height_m", "height_method", "lon", "lat", "hash")), ("manifest", todo.select(*TILE, "hash"))):
+            placed = found.withColumn("impl", F.lit(impl)).withColumn("batch", F.lit(number).cast("long"))
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("impl", "batch").parquet(f"{out}/{name}")
         todo.unpersist()
         tiles.unpersist()
 

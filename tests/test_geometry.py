@@ -72,7 +72,7 @@ def test_points_match_the_first_outline(spark: SparkSession) -> None:
     for i, x, y in points:
         if hit := [k for k, r in polygons if inside(r[0], x, y)]:
             want[i] = (min(hit), len(hit))
-    assert {r.truth_id: (r.estimate.estimate_idx, r.n_candidates) for r in got.collect()} == want
+    assert {r.truth_id: (r.estimate_idx, r.n_candidates) for r in got.collect()} == want
     assert spatial.unmatched(pts, got).count() == 500 - len(want)
 
 

@@ -150,3 +150,8 @@ def test_stream_renders_each_content_once(spark: SparkSession, tmp_path: Path) -
     rows(6452, 6453).write.mode("append").parquet(f"{tmp_path}/in")
     go()
     assert spark.read.parquet(f"{tmp_path}/out/buildings").count() == 9 and spark.read.parquet(f"{tmp_path}/out/manifest").count() == 3
+    spark.createDataFrame([(14, 14552, 6451, encode_tile([{"id": 7, "rings": [[(x // 5, y // 5) for x, y in SQUARE]], "height": 3.0}]))], rerender.TILES).write.mode("append").parquet(f"{tmp_path}/in")
+    go()
+    assert spark.read.parquet(f"{tmp_path}/out/buildings").count() == 10
+    now = rerender.current(spark, f"{tmp_path}/out", "v1").collect()
+    assert len(now) == 7 and [int(r.feature_id) for r in now if r.y == 6451] == [7]
