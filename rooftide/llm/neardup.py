@@ -10,10 +10,12 @@ Bands of registers bring classes together in buckets.  Buckets with the same
 members are one list.  In a list, the joint likelihood of the registers' order
 and the known set sizes gives an estimate for each pair; members without a
 likely partner leave.  What is left meets with full sets, and links are
-confirmed there exactly: first each class in its largest list only, then in the
-other lists that still join two groups.  No step makes all pairs of a group: a
-list only hands on links that join two of its groups, found by a count of
-shared shingles with one member of each.
+confirmed there exactly.  Lists that share members make a cluster: one that a
+task can hold is met as a whole, so that each set moves once.  In larger ones
+each class meets its largest list first, and then the other lists that still
+join two groups.  No step makes all pairs of a group: what meets only hands on
+links that join two of its groups, found by a count of shared shingles with one
+member of each.
 
 A list of more members or bytes than a task should hold is dealt into blocks,
 each with the list's first member.  What a block doesn't join to that member
@@ -48,7 +50,7 @@ from .common import LOWER_ASCII, WORD, arrow, cut, map_arrow, slices, whole_grou
 
 REGISTERS, BASE = 256, 1.02
 #: Members of a list, and bytes of full sets, that a task takes at once (a larger set comes with the list's first one).
-BLOCK, BLOCK_BYTES = 2048, 24 << 20
+BLOCK, BLOCK_BYTES = 4096, 24 << 20
 #: Bits of the filter that says which full sets may be needed, and sets up to which it is used; beyond, a join says it.
 FILTER_BITS, FILTER_SETS = 25, 4_000_000
 CACHE_WORDS, LONG = 100_000, 256
@@ -381,9 +383,17 @@ def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, devia
     classes = cut(full.groupBy("class").agg(F.min("doc").alias("doc"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("regs").alias("regs")))
     classes = classes.withColumn("rep", F.monotonically_increasing_id())
     members = cut(likely_members(lists(band_rows(classes, rows_per_band(threshold))), classes, threshold, deviations))
-    # each class in its largest list first
+    # what lists connect is a cluster; one that a task can hold is met whole, each of its sets there once
+    firsts = members.groupBy("list").agg(F.min("rep").alias("b"))
+    clusters = components(members.join(firsts, "list").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    sizes = clusters.join(classes.select("rep", "n_shingles"), "rep").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    fits = (F.col("n") <= BLOCK) & (F.col("m") * 8 <= BLOCK_BYTES)
+    placed_in = cut(clusters.join(sizes.select("cluster", fits.alias("fits")), "cluster"))
+    whole = placed_in.where("fits").select(F.col("cluster").alias("list"), "rep")
+    members = members.join(placed_in.where("not fits").select("rep"), "rep", "left_semi")
+    # of others, each class is met in its largest list first
     largest = members.groupBy("rep").agg(F.max(F.struct("n", "list")).alias("l")).select("rep", F.col("l.list").alias("list"))
-    first = cut(confirmed(largest, classes, docs, words, percent, key, text))
+    first = cut(confirmed(whole.withColumn("list", F.xxhash64(F.lit("cluster"), "list")).unionByName(largest.select("list", "rep")), classes, docs, words, percent, key, text))
     found = components(first)
     # then in the lists that were not met whole and hold members of two groups
     met = largest.groupBy("list").agg(F.count(F.lit(1)).alias("met"))
