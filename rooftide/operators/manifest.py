@@ -40,6 +40,27 @@ def pending(hashes: DataFrame, manifest: DataFrame, impl: str) -> DataFrame:
     return hashes.join(done, "hash", "left_anti")
 
 
+#: Seconds that a cache may keep a document, by kind; pyramid documents below the root never change.
+KEEP_S = {"glb": 300, "root": 60, "sub": 2_592_000}
+RETRY_S = 2
+
+
+def response(outputs: DataFrame, enabled: bool = True, kind: str = "kind", failed: str = "failed") -> DataFrame:
+    """``outputs`` (with ``hash``, a ``kind`` of :data:`KEEP_S` and ``failed``) with ``status``, ``etag``, ``cache_control`` and ``retry_after``.
+
+    A failed output may be asked for again soon; nothing is kept of it, nor of any where caching is off.
+    """
+    lost = F.coalesce(F.col(failed), F.lit(False))
+    age = F.concat(F.lit("public, max-age="), F.get(F.lit(list(KEEP_S.values())), F.array_position(F.lit(list(KEEP_S)), F.col(kind)).cast("int") - 1).cast("string"), F.when(F.col(kind) == "sub", ", immutable").otherwise(""))
+    keep = F.when(~lost & F.lit(enabled), age).otherwise("no-store")
+    return outputs.withColumns({
+        "status": F.when(lost, 503).otherwise(200),
+        "etag": F.when(~lost, F.concat(F.lit('"'), F.col("hash"), F.lit('"'))),
+        "cache_control": keep,
+        "retry_after": F.when(lost, RETRY_S),
+    })
+
+
 def write_outputs(rendered: DataFrame, path: str, impl: str, mode: str = "append") -> None:
     """(z, x, y, hash, glb) rows under the implementation's partition; ``overwrite`` regenerates."""
     rows = rendered.withColumn("impl", F.lit(impl)).withColumn("etag", F.concat(F.lit('"'), F.col("hash"), F.lit('"')))

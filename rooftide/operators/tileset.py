@@ -75,8 +75,21 @@ def root_tileset(impl: str, copyright: str = "") -> str:
     return json.dumps({"asset": {"version": "1.1"} | ({"copyright": copyright} if copyright else {}), "geometricError": error * 2, "root": root}, ensure_ascii=False)
 
 
-def check_address(z: int, x: int, y: int, least: int, most: int) -> None:
-    """Refuse addresses that are not numbers or lie outside the zooms served."""
+def address_status(version: Column, impl: str, suffix: Column, z: Column, x: Column, y: Column, least: int, most: int, wanted: str = "glb") -> Column:
+    """What asking for an output's address gives: 410 for another version, 404 for another suffix or zoom, 400 where numbers are not finite, else 200."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return (
+        F.when(~version.eqNullSafe(F.lit(impl)), 410).when(~suffix.eqNullSafe(F.lit(wanted)), 404)
+        .when(~(finite(z) & finite(x) & finite(y)), 400).when(~z.between(least, most), 404).otherwise(200)
+    )
+
+
+def check_address(z: float, x: float, y: float, least: int, most: int, version: str = "", impl: str = "", suffix: str = "glb", wanted: str = "glb") -> None:
+    """Refuse an address for the reasons of :func:`address_status`."""
+    if version != impl:
+        raise LookupError("another version is served")
+    if suffix != wanted:
+        raise LookupError(f"only .{wanted} is served")
     if not all(math.isfinite(v) for v in (z, x, y)):
         raise ValueError("not a tile address")
     if not least <= z <= most:

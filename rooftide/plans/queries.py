@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import engine
@@ -376,3 +377,93 @@ def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured heights that pass the sentinel filter, as text."""
     rows = data.truth(spark, sf_dir, data.merged(spark, sf_dir)).where(truth.valid_height(F.col("truth_m")))
     return rows.select("truth_id", F.format_string("%.2f", F.col("truth_m").cast("double")).alias("line"))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || '.5' WHEN 3 THEN ' ' || p_size WHEN 4 THEN p_size || 'd' WHEN 5 THEN '+' || p_size WHEN 6 THEN '4294967296' WHEN 7 THEN '-0' ELSE '1e' || (p_size % 12) END AS t, p_retailprice * CASE p_partkey % 4 WHEN 0 THEN -1 WHEN 1 THEN 1e9 ELSE 1 END AS v FROM part)
+SELECT p_partkey, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN round(t::DOUBLE, 4) + 0.0::DOUBLE END AS as_double,
+CASE WHEN regexp_full_match(t, '[+]?[0-9]+') AND t::HUGEINT <= 4294967295 THEN t::BIGINT END AS as_u32, CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN t::BIGINT END AS as_i64,
+CASE WHEN v >= 0 THEN least(floor(v + 0.5), 4294967295)::BIGINT END AS from_double, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END AS from_whole FROM s""")
+def coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute values of other types as numbers."""
+    text = F.expr("case p_partkey % 9 when 0 then string(p_size) when 1 then concat('-', p_size) when 2 then concat(p_size, '.5') when 3 then concat(' ', p_size) when 4 then concat(p_size, 'd') when 5 then concat('+', p_size) when 6 then '4294967296' when 7 then '-0' else concat('1e', p_size % 12) end")
+    value = F.expr("double(p_retailprice) * case p_partkey % 4 when 0 then -1 when 1 then 1e9 else 1 end")
+    whole = F.when(F.col("p_partkey") % 3 == 0, -F.col("p_partkey") - 1).otherwise(F.col("p_partkey")).cast("long")
+    rows = data.read(spark, sf_dir, "part").select("p_partkey", text.alias("t"), value.alias("v"), whole.alias("w"))
+    return rows.select("p_partkey", rounded(scalars.text_to_double(F.col("t")), 4, "as_double"), scalars.text_to_u32(F.col("t")).alias("as_u32"), scalars.text_to_i64(F.col("t")).alias("as_i64"), scalars.double_to_u32(F.col("v")).alias("from_double"), scalars.integer_to_u32(F.col("w")).alias("from_whole"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'glb' WHEN 1 THEN 'root' ELSE 'sub' END AS kind, o_orderkey % 11 = 0 AS failed FROM orders)
+SELECT k, CASE WHEN failed THEN 503 ELSE 200 END AS status, CASE WHEN NOT failed THEN '"' || md5(k::VARCHAR) || '"' END AS etag,
+CASE WHEN failed THEN 'no-store' WHEN kind = 'glb' THEN 'public, max-age=300' WHEN kind = 'root' THEN 'public, max-age=60' ELSE 'public, max-age=2592000, immutable' END AS cache_control, CASE WHEN failed THEN 2 END AS retry_after FROM t""")
+def response_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, tag, cache policy and retry of outputs."""
+    rows = data.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"), F.expr("case o_orderkey % 3 when 0 then 'glb' when 1 then 'root' else 'sub' end").alias("kind"), (F.col("o_orderkey") % 11 == 0).alias("failed"))
+    return manifest.response(rows).select("k", "status", "etag", "cache_control", "retry_after")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 410 WHEN o_orderkey % 7 = 0 THEN 404 WHEN o_orderkey % 3 = 0 THEN 400 WHEN o_orderkey % 20 NOT BETWEEN 12 AND 14 THEN 404 ELSE 200 END AS status FROM orders""")
+def route_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asking for addresses made of orders gives."""
+    k = F.col("o_orderkey")
+    status = tileset.address_status(F.when(k % 5 != 0, IMPL), IMPL, F.when(k % 7 == 0, "png").otherwise("glb"), (k % 20).cast("double"), F.when(k % 3 == 0, float("nan")).otherwise(1.0), F.lit(2.0), 12, 14)
+    return data.read(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@query(f"""WITH {FEATURES}, t AS (SELECT DISTINCT x, y, radians((west + east) / 2) AS l, radians((north + south) / 2) AS p FROM f),
+n AS (SELECT *, 6378137 / sqrt(1 - 0.00669437999014131699613723 * sin(p) * sin(p)) AS r FROM t)
+SELECT x::INT AS x, y::INT AS y, round(-sin(l), 8) + 0.0::DOUBLE AS m0, round(-cos(l), 8) AS m2, round(cos(p) * cos(l), 8) AS m4, round(sin(p), 8) AS m5, round(-cos(p) * sin(l), 8) AS m6, round(sin(p) * cos(l), 8) AS m8, round(-cos(p), 8) AS m9, round(-sin(p) * sin(l), 8) AS m10,
+round(r * cos(p) * cos(l), 3) AS m12, round(r * (1 - 0.00669437999014131699613723) * sin(p), 3) AS m13, round(-r * cos(p) * sin(l), 3) AS m14 FROM n""")
+def tile_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each tile's mesh stands: the y-up placement of its centre, column by column."""
+    middle = geo.tile_center(F.col("z"), F.col("x"), F.col("y"))
+    rows = tiles_of(spark, sf_dir).select("x", "y", geo.y_up(geo.enu_to_ecef(middle["lon"], middle["lat"], F.lit(0.0))).alias("m"))
+    return rows.select("x", "y", *(rounded(F.get("m", F.lit(k)), 8 if k < 12 else 3, f"m{k}") for k in (0, 2, 4, 5, 6, 8, 9, 10, 12, 13, 14)))
+
+
+@query(f"""WITH {FEATURES}, t AS (SELECT DISTINCT x, y FROM f), u AS (SELECT x, y FROM (SELECT unnest(range(14550, 14556)) AS x), (SELECT unnest(range(6450, 6456)) AS y))
+SELECT u.x::INT AS x, u.y::INT AS y, count(t.x) > 0 AS there FROM u LEFT JOIN t USING (x, y) GROUP BY ALL""")
+def cover_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that cover a box, and whether the run has them."""
+    n = 1 << 14
+    lon, lat = (lambda x: x / n * 360 - 180), (lambda y: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / n)))))
+    asked = tileset.cover(spark, lon(14550.5), lat(6455.5), lon(14555.5), lat(6450.5))
+    return asked.join(tiles_of(spark, sf_dir).select("z", "x", "y", F.lit(True).alias("there")), ["z", "x", "y"], "left").select("x", "y", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as a landed truth set: a catalogue of files per nation, id lists, and attribute batches."""
+    rows = data.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("h"))
+    url = F.concat(F.lit("https://example.org/bldg/"), F.lpad((53394500 + F.col("c_nationkey")).cast("string"), 8, "0"), F.lit("_bldg.gml"))
+    rows = rows.withColumn("url", url)
+    files = rows.select("url").distinct().groupBy().agg(F.sort_array(F.collect_list(F.struct("url"))).alias("bldg"))
+    catalogue = files.select(F.to_json(F.struct(F.array(F.struct(F.struct("bldg").alias("files"))).alias("cities"))).alias("json"))
+    name = F.format_string("id-%09d", "c_custkey")
+    lists = rows.groupBy("url").agg(F.to_json(F.struct(F.collect_list(name).alias("featureIds"))).alias("json"))
+    batch = F.floor((F.row_number().over(Window.partitionBy("url").orderBy("c_custkey")) - 1) / 200).cast("int")
+    centre = F.struct(F.struct((139 + F.col("c_custkey") % 1000 / 1000).alias("lng"), (35 + F.col("c_custkey") % 700 / 1000).alias("lat")).alias("center"))
+    height = F.when(F.col("c_custkey") % 13 == 0, -9999.0).otherwise(F.col("h") / 97)
+    one = F.struct(height.alias("bldg:measuredHeight"), F.when(F.col("c_custkey") % 17 != 0, centre).alias("_bbox"))
+    answers = rows.select("url", batch.alias("batch"), one.alias("r")).groupBy("url", "batch").agg(F.to_json(F.collect_list("r")).alias("json"))
+    return catalogue, lists, answers
+
+
+BOX = {"west": 139.1, "south": 35.1, "east": 139.9, "north": 35.67}
+
+
+@query("""WITH r AS (SELECT 139 + c_custkey % 1000 / 1000 AS lon, 35 + c_custkey % 700 / 1000 AS lat, (CASE WHEN c_custkey % 13 = 0 THEN -9999 ELSE c_acctbal::DOUBLE / 97 END)::DOUBLE AS h, c_custkey, c_nationkey FROM customer),
+k AS (SELECT *, 53394500 + c_nationkey AS code FROM r),
+b AS (SELECT *, substr(code::VARCHAR, 1, 2)::INT / 1.5::DOUBLE + substr(code::VARCHAR, 5, 1)::INT * 5 / 60.0::DOUBLE + substr(code::VARCHAR, 7, 1)::INT * 30 / 3600.0::DOUBLE AS south, substr(code::VARCHAR, 3, 2)::INT + 100 + substr(code::VARCHAR, 6, 1)::INT * 7.5::DOUBLE / 60 + substr(code::VARCHAR, 8, 1)::INT * 45 / 3600.0::DOUBLE AS west FROM k)
+SELECT printf('%.7f,%.7f,%.2f', lon, lat, h::FLOAT::DOUBLE) AS line FROM b
+WHERE h > 0 AND c_custkey % 17 <> 0 AND lon BETWEEN 139.1 AND 139.9 AND lat BETWEEN 35.1 AND 35.67 AND south <= 35.67 AND south + 30 / 3600.0::DOUBLE >= 35.1 AND west <= 139.9 AND west + 45 / 3600.0::DOUBLE >= 139.1""")
+def truth_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured points of a box as text, from the catalogue to the attribute batches."""
+    return truth.csv_lines(truth.composed(*landed(spark, sf_dir), BOX))
+
+
+@query("""WITH i AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 200 AS batch FROM customer)
+SELECT 'https://example.org/bldg/' || (53394500 + c_nationkey) || '_bldg.gml' AS url, batch::INT AS batch, count(*)::INT AS n_ids, 'id-' || lpad(min(c_custkey)::VARCHAR, 9, '0') AS first_id FROM i GROUP BY ALL""")
+def id_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of 200 ids of each file of the catalogue."""
+    catalogue, lists, _ = landed(spark, sf_dir)
+    asked = truth.batches(truth.feature_ids(lists.join(truth.file_urls(catalogue), "url", "left_semi")))
+    return asked.select("url", "batch", F.size("ids").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))

@@ -3,8 +3,12 @@
     spark.dataSource.register(TileArchive)
     spark.read.format("tile_archive").option("path", p).option("z", 14).option("west", ...).load()
 
-The header and directories are read once per worker and path; each partition
-reads the byte ranges of its own tiles only.
+Paths are local ones or those of any file system that Arrow can open (s3, gs,
+hdfs), and http addresses; a read that fails is tried again.  The header and
+directories are read once per worker and path, and each partition reads the byte
+ranges of its own tiles only.  A small box asks for its addresses one by one; a
+large one walks the entries of the directories.  Options: ``z``, the box
+(``west``, ``south``, ``east``, ``north``), or one tile (``x``, ``y``).
 """
 
 from __future__ import annotations
@@ -12,7 +16,10 @@ from __future__ import annotations
 import gzip
 import math
 import struct
-from collections.abc import Iterator
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -20,6 +27,9 @@ from pyspark.sql.types import StructType
 from .vector_tiles import varint
 
 HEADER = 127
+#: Addresses of a box up to which they are asked for one by one; entries of a directory that make a partition.
+FEW, ENTRIES = 4096, 512
+ATTEMPTS, WAIT_S, TIMEOUT_S = 4, 0.5, 60
 _KNOWN: dict[str, Archive] = {}
 
 
@@ -38,6 +48,62 @@ def tile_number(z: int, x: int, y: int) -> int:
     return out
 
 
+def tile_address(number: int) -> tuple[int, int, int]:
+    """The tile at a position: the way back of :func:`tile_number`."""
+    z = 0
+    while number >= ((1 << 2 * (z + 1)) - 1) // 3:
+        z += 1
+    rest = number - ((1 << 2 * z) - 1) // 3
+    x = y = 0
+    for k in range(z):
+        s = 1 << k
+        rx = rest >> 1 & 1
+        ry = (rest ^ rx) & 1
+        if not ry:
+            if rx:
+                x, y = s - 1 - x, s - 1 - y
+            x, y = y, x
+        x, y, rest = x + s * rx, y + s * ry, rest >> 2
+    return z, x, y
+
+
+def again(read: Callable[[], bytes], attempts: int = ATTEMPTS, wait: float = WAIT_S) -> bytes:
+    """A read with further attempts after longer and longer waits; refusals of the request itself are final."""
+    for k in range(1, attempts + 1):
+        try:
+            return read()
+        except urllib.error.HTTPError as e:
+            if k == attempts or e.code < 500 and e.code not in (408, 425, 429):
+                raise
+        except (OSError, TimeoutError):
+            if k == attempts:
+                raise
+        time.sleep(wait * 2**k)
+    raise AssertionError
+
+
+def ranged(path: str) -> Callable[[int, int], bytes]:
+    """A function that reads (offset, size) of a file, wherever it is."""
+    if path.startswith(("http://", "https://")):
+
+        def fetch(at: int, size: int) -> bytes:
+            request = urllib.request.Request(path, headers={"Range": f"bytes={at}-{at + size - 1}"})
+            with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
+                data = answer.read(at + size if answer.status == 200 else size)
+            return data[at : at + size] if answer.status == 200 else data
+
+        return lambda at, size: again(lambda: fetch(at, size))
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    def read(at: int, size: int) -> bytes:
+        with store.open_input_file(name) as f:
+            return f.read_at(min(size, f.size() - at), at)
+
+    return read if isinstance(store, fs.LocalFileSystem) else lambda at, size: again(lambda: read(at, size))
+
+
 def directory(data: bytes) -> list[tuple[int, int, int, int]]:
     """(tile number, run length, length, offset) entries."""
     at, columns = 0, []
@@ -57,27 +123,44 @@ def directory(data: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+#: Compression of directories: none, gzip, zstandard.
+UNPACK: dict[int, Callable[[bytes], bytes]] = {1: bytes, 2: gzip.decompress, 4: _zstd}
+
+
 class Archive:
     """Header and directories of one file."""
 
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.bytes = ranged(path)
         head = self.bytes(0, HEADER)
         if head[:7] != b"PMTiles" or head[7] != 3:
             raise ValueError("not a PMTiles 3 archive")
         self.root_at, self.root_size, _, _, self.leaf_at, _, self.data_at, _ = struct.unpack_from("<8Q", head, 8)
-        self.packed = {1: False, 2: True}[head[97]]
+        if head[97] not in UNPACK:
+            raise ValueError(f"directories in compression {head[97]} can't be read here")
+        self.unpack = UNPACK[head[97]]
         self.root = self.directory(self.root_at, self.root_size)
         self.leaves: dict[int, list[tuple[int, int, int, int]]] = {}
 
-    def bytes(self, at: int, size: int) -> bytes:
-        with open(self.path, "rb") as f:
-            f.seek(at)
-            return f.read(size)
-
     def directory(self, at: int, size: int) -> list[tuple[int, int, int, int]]:
-        raw = self.bytes(at, size)
-        return directory(gzip.decompress(raw) if self.packed else raw)
+        return directory(self.unpack(self.bytes(at, size)))
+
+    def walk(self, entries: list[tuple[int, int, int, int]], first: int, end: int, after: int | None = None) -> Iterator[tuple[int, int, int]]:
+        """(tile number, offset, length) of all tiles with numbers in [first, end) below some entries; ``after`` is where the last one's tiles end."""
+        for k, (number, run, size, offset) in enumerate(entries):
+            stop = entries[k + 1][0] if k + 1 < len(entries) else after
+            if number >= end or (stop is not None and stop <= first):
+                continue
+            if not run:
+                yield from self.walk(self.directory(self.leaf_at + offset, size), first, end, stop)
+            for n in range(max(number, first), min(number + run, end)):
+                yield n, offset, size
 
     def tile(self, z: int, x: int, y: int) -> bytes | None:
         number, entries = tile_number(z, x, y), self.root
@@ -109,6 +192,13 @@ class Column(InputPartition):
         self.x, self.y0, self.y1 = x, y0, y1
 
 
+class Entries(InputPartition):
+    """Entries of the root directory, and where the tiles of the last one end."""
+
+    def __init__(self, entries: list[tuple[int, int, int, int]], after: int | None) -> None:
+        self.entries, self.after = entries, after
+
+
 class TileReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.z = options["path"], int(options.get("z", "14"))
@@ -117,15 +207,31 @@ class TileReader(DataSourceReader):
         row = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n
         self.x0, self.x1 = clamp((box[0] + 180) / 360 * n), clamp((box[2] + 180) / 360 * n)
         self.y0, self.y1 = clamp(row(box[3])), clamp(row(box[1]))
+        if "x" in options:
+            self.x0 = self.x1 = int(options["x"])
+        if "y" in options:
+            self.y0 = self.y1 = int(options["y"])
 
     def partitions(self) -> list[InputPartition]:
-        return [Column(x, self.y0, self.y1) for x in range(self.x0, self.x1 + 1)]
-
-    def read(self, partition: Column) -> Iterator[tuple[int, int, int, bytes]]:
+        if (self.x1 - self.x0 + 1) * (self.y1 - self.y0 + 1) <= FEW:
+            return [Column(x, self.y0, self.y1) for x in range(self.x0, self.x1 + 1)]
+        root = opened(self.path).root
+        starts = range(0, len(root), ENTRIES if any(e[1] for e in root) else 1)  # a leaf directory is a partition of its own
+        step = starts.step
+        return [Entries(root[a : a + step], root[a + step][0] if a + step < len(root) else None) for a in starts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[int, int, int, bytes]]:
         archive = opened(self.path)
-        for y in range(partition.y0, partition.y1 + 1):
-            if data := archive.tile(self.z, partition.x, y):
-                yield self.z, partition.x, y, data
+        if isinstance(partition, Column):
+            for y in range(partition.y0, partition.y1 + 1):
+                if data := archive.tile(self.z, partition.x, y):
+                    yield self.z, partition.x, y, data
+            return
+        first, end = (((1 << 2 * z) - 1) // 3 for z in (self.z, self.z + 1))
+        for number, offset, size in archive.walk(partition.entries, first, end, partition.after):
+            _, x, y = tile_address(number)
+            if self.x0 <= x <= self.x1 and self.y0 <= y <= self.y1 and size:
+                yield self.z, x, y, archive.bytes(archive.data_at + offset, size)
 
 
 class TileArchive(DataSource):

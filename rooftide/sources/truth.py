@@ -67,6 +67,17 @@ def records(landed: DataFrame, column: str = "json") -> DataFrame:
     return flat.where(valid_height(F.col("h")) & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("lon", "lat", F.col("h").cast("float").alias("measured_height_m"))
 
 
+def composed(catalogues: DataFrame, lists: DataFrame, landed: DataFrame, box: dict[str, float]) -> DataFrame:
+    """(lon, lat, measured_height_m) within a box, from landed JSON: the catalogue's files that meet it, their ids' records.
+
+    ``catalogues`` has ``json``; ``lists`` has ``url`` and ``json``; ``landed`` has ``url``, ``batch`` and ``json``, the
+    answers to :func:`batches`.  Only answers to batches of files that meet the box are read.
+    """
+    urls = prune(file_urls(catalogues), box).distinct()
+    asked = batches(feature_ids(lists.join(urls, "url", "left_semi")))
+    return in_box(records(landed.join(asked.select("url", "batch"), ["url", "batch"], "left_semi")).withColumnRenamed("measured_height_m", "h"), box).withColumnRenamed("h", "measured_height_m")
+
+
 def in_box(truth: DataFrame, box: dict[str, float]) -> DataFrame:
     return truth.where(geo.contains(box, F.col("lon"), F.col("lat")))
 

@@ -119,6 +119,16 @@ def test_scalars(spark: SparkSession) -> None:
     assert text[:] == (3.5, None, None, None, None, 3, 4294967295, None)
     assert one(spark, scalars.percent_encode(F.lit("a b*~-_.é")))[0] == "a%20b%2A~-_.%C3%A9"
     assert one(spark, scalars.fnv1a64(F.lit("a")))[0] == "af63dc4c8601ec8c"
+    texts = ["", None, "a", "foobar", "é" * 50, "x"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+
+    def slow(t: str) -> str:
+        h = 0xCBF29CE484222325
+        for b in t.encode():
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        return f"{h:016x}"
+
+    assert {r.i: r.h for r in table.select("i", scalars.fnv1a64(F.col("t")).alias("h")).collect()} == {i: None if t is None else slow(t) for i, t in enumerate(texts)}
     assert [scalars.truthy(v) for v in (None, "", "0", "False", "1", "yes")] == [False] * 4 + [True] * 2
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
+import http.server
 import json
 import random
 import struct
+import threading
 from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -59,16 +63,82 @@ def test_read_tiles(spark: SparkSession) -> None:
         vector_tiles.read_tiles(tiles, mode="FAILFAST").collect()
 
 
-def build_archive(tiles: dict[tuple[int, int, int], bytes]) -> bytes:
+def build_archive(tiles: dict[tuple[int, int, int], bytes], leaf: int = 0, packed: int = 2) -> bytes:
+    """A pyramid file; with ``leaf`` its directory is split into leaves of so many entries."""
+    pack = {1: bytes, 2: gzip.compress, 4: zstandard.compress}[packed]
     entries, data = [], b""
     for number, content in sorted((archive.tile_number(*k), v) for k, v in tiles.items()):
-        entries.append((number, len(content), len(data)))
+        entries.append((number, 1, len(content), len(data)))
         data += content
-    columns = [[n - (entries[i - 1][0] if i else 0) for i, (n, _, _) in enumerate(entries)], [1] * len(entries), [s for _, s, _ in entries], [o + 1 for _, _, o in entries]]
-    root = gzip.compress(_varint(len(entries)) + b"".join(_varint(v) for c in columns for v in c))
-    head = b"PMTiles\x03" + struct.pack("<8Q", 127, len(root), 0, 0, 0, 0, 127 + len(root), len(data))
-    head += bytes(97 - len(head)) + b"\x02" + bytes(29)
-    return head + root + data
+
+    def listed(rows: list[tuple[int, int, int, int]]) -> bytes:
+        columns = [[n - (rows[i - 1][0] if i else 0) for i, (n, *_) in enumerate(rows)], [r for _, r, _, _ in rows], [s for _, _, s, _ in rows], [o + 1 for *_, o in rows]]
+        return pack(_varint(len(rows)) + b"".join(_varint(v) for c in columns for v in c))
+
+    leaves, root = b"", entries
+    if leaf:
+        root = []
+        for k in range(0, len(entries), leaf):
+            part = listed(entries[k : k + leaf])
+            root.append((entries[k][0], 0, len(part), len(leaves)))
+            leaves += part
+    top = listed(root)
+    head = b"PMTiles\x03" + struct.pack("<8Q", 127, len(top), 0, 0, 127 + len(top), len(leaves), 127 + len(top) + len(leaves), len(data))
+    head += bytes(97 - len(head)) + bytes([packed]) + bytes(29)
+    return head + top + leaves + data
+
+
+@pytest.mark.parametrize(("leaf", "packed"), [(0, 1), (5, 2), (3, 4)])
+def test_archive_is_walked_and_probed_alike(spark: SparkSession, tmp_path: Path, leaf: int, packed: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    tiles = {(z, x, y): f"{z}/{x}/{y}".encode() for z in range(5) for x in range(1 << z) for y in range(1 << z) if (x * 7 + y) % 3}
+    place = tmp_path / f"{leaf}-{packed}.pmtiles"
+    place.write_bytes(build_archive(tiles, leaf, packed))
+    found = []
+    for few in (4096, 10):
+        monkeypatch.setattr(archive, "FEW", few)
+        for path in (str(place), f"file://{place}"):
+            reader = archive.TileReader({"path": path, "z": "4"})
+            found.append(sorted(row for part in reader.partitions() for row in reader.read(part)))
+    assert all(rows == sorted((*k, v) for k, v in tiles.items() if k[0] == 4) for rows in found)
+    monkeypatch.setattr(archive, "FEW", 0)
+    box = {"path": str(place), "z": "4", "west": "1", "east": "60", "south": "1", "north": "50"}
+    walked = archive.TileReader(box)
+    monkeypatch.setattr(archive, "FEW", 4096)
+    probed = archive.TileReader(box)
+    assert sorted(r for p in walked.partitions() for r in walked.read(p)) == sorted(r for p in probed.partitions() for r in probed.read(p))
+    one = archive.TileReader({"path": str(place), "z": "4", "x": "3", "y": "4"})
+    assert [r for p in one.partitions() for r in one.read(p)] == [(4, 3, 4, b"4/3/4")]
+
+
+def test_archive_addresses_and_retries() -> None:
+    assert all(archive.tile_address(archive.tile_number(z, x, y)) == (z, x, y) for z in range(6) for x in range(1 << z) for y in range(1 << z))
+    assert archive.tile_address(archive.tile_number(14, 14552, 6451)) == (14, 14552, 6451)
+    calls = []
+
+    def flaky() -> bytes:
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("lost")
+        return b"x"
+
+    assert archive.again(flaky, 4, 0.001) == b"x" and len(calls) == 3
+    with pytest.raises(OSError, match="lost"):
+        archive.again(lambda: (_ for _ in ()).throw(OSError("lost")), 2, 0.001)
+
+
+def test_archive_over_http(tmp_path: Path) -> None:
+    tiles = {(2, x, y): f"{x},{y}".encode() for x in range(4) for y in range(4)}
+    (tmp_path / "a.pmtiles").write_bytes(build_archive(tiles, 3))
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *_: object) -> None:
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    reader = archive.TileReader({"path": f"http://127.0.0.1:{server.server_port}/a.pmtiles", "z": "2"})
+    assert len([r for p in reader.partitions() for r in reader.read(p)]) == 16
+    server.shutdown()
 
 
 def test_archive_source(spark: SparkSession, tmp_path: Path) -> None:
