@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from rooftide.operators import glb, manifest, mesh
 from rooftide.plans.bindings import _varint, encode_tile
+from rooftide import engine
 from rooftide.sources import archive, vector_tiles
 from rooftide.streaming import rerender
 
@@ -183,6 +184,32 @@ def test_walls(spark: SparkSession) -> None:
         assert (r.px - 50) * r.nx + (r.pz + 50) * r.nz > 0
 
 
+def test_decimation() -> None:
+    n = 24
+    x, z = (c.ravel() for c in np.meshgrid(np.arange(n, dtype=float), np.arange(n, dtype=float)))
+    points = np.stack([x, np.zeros(n * n), z], 1)
+    corner = (np.arange(n - 1)[:, None] * n + np.arange(n - 1)).ravel()
+    triangles = np.concatenate([np.stack([corner, corner + n, corner + 1], 1), np.stack([corner + 1, corner + n, corner + n + 1], 1)])
+    for ratio in (0.5, 0.25, 0.05):
+        few = mesh.decimate(points, triangles, ratio, 100.0)
+        assert 0 < len(few) <= len(triangles) * ratio and few.max() < len(points)
+        a, b, c = (points[few[:, k]] for k in range(3))
+        assert (np.cross(b - a, c - a)[:, 1] >= 0).all() and np.cross(b - a, c - a)[:, 1].sum() / 2 > 0.6 * (n - 1) ** 2
+    assert mesh.decimate(points, triangles, 1.0, 0.0) is triangles and len(mesh.decimate(points, triangles[:1], 0.5, 1.0)) == 1
+    assert len(mesh.decimate(points, triangles, 0.01, 1e-6)) > len(triangles) // 2  # the error allows no more
+
+
+def test_render_tiles_at_each_zoom(spark: SparkSession) -> None:
+    rings = [[(100 * k, 50 * j) for k, j in ((i, 0), (i + 1, 0), (i + 1, 2), (i, 2), (i, 0))] for i in range(0, 30, 3)]
+    rows = [(i, 12, 3638, 1612, 4096, [r], 0, i, 10.0 + i, None, None) for i, r in enumerate(rings)] + [(99, 12, 3638, 1613, 4096, [[(0, 0), (1, 0), (1, 1)]], 0, 0, 5.0, None, None)]
+    table = spark.createDataFrame(rows, "feature_id long, z int, x int, y int, extent int, rings array<array<struct<px:int,py:int>>>, source_idx int, feat_idx int, height double, class string, subtype string")
+    plain = {r.tile.y: r for r in glb.contents(engine.render_tiles(table, zoom=12)).collect()}
+    assert (plain[1612].n_buildings, plain[1612].n_vertices, plain[1612].n_indices) == (10, 200, 300) and plain[1612].sum_feature_id == 45
+    assert plain[1613].n_buildings == 0 and plain[1613].low is None and plain[1612].low[1] == 0 and plain[1612].high[1] == 19
+    few = {r.tile.y: r for r in glb.contents(engine.render_tiles(table, zoom=12, mode="replace")).collect()}
+    assert few[1613].n_buildings == 1 and few[1612].n_vertices == 200 and 0 < few[1612].n_indices <= 300
+
+
 def test_glb_container() -> None:
     empty = glb.pack(np.zeros((0, 3)), np.zeros((0, 3)), np.zeros(0), np.zeros(0), {}, [1.0] * 16)
     assert empty[:4] == b"glTF" and len(empty) > 20 and struct.unpack("<I", empty[8:12])[0] == len(empty)
