@@ -815,13 +815,35 @@ def test_equal_texts_have_equal_scores(spark: SparkSession) -> None:
     assert len({(r.doc_id % 7, r.score) for r in found}) == 7
 
 
-def test_queries_run_on_odd_documents(spark: SparkSession, tmp_path) -> None:
-    odd(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting"):
-        assert len(queries.QUERIES[name](spark, str(tmp_path)).collect()) == len(ODD) + 2, name
+DOCUMENT_QUERIES = ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting")
+
+
+def odd_pages(spark: SparkSession):
+    """Null and odd urls and pages, a repeated row, a null id, one very long page, and columns whose names the operators use."""
+    rows = [(0, None, None), (1, "odd", ""), (2, "https://a.example/", "<p>x" * 3), (2, "https://a.example/", "<p>x" * 3), (None, "https://a.example/b", "<p>y"), (3, "https://a.example/c", "<div>word " * 30_000)]
+    return spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], "page_id long, url string, html string, host string, content string, offset int")
 
 
-def test_queries_run_on_empty_documents(spark: SparkSession, tmp_path) -> None:
-    odd(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting"):
+def odd_vectors(spark: SparkSession):
+    rows = [(0, None), (20, [1.0, 2.0]), (40, [1.0, 2.0]), (40, [1.0, 2.0]), (60, []), (80, [None, 1.0]), (100, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [0.5, -0.25])]
+    return spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, near string")
+
+
+def test_queries_run_on_odd_tables(spark: SparkSession, tmp_path) -> None:
+    for name, table in (("documents", odd(spark)), ("pages", odd_pages(spark)), ("embeddings", odd_vectors(spark))):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in DOCUMENT_QUERIES:
+        assert len(queries.QUERIES[name](spark, str(tmp_path)).collect()) == len(ODD) + 2, name
+    pages = queries.QUERIES["op2_site_style_tree"](spark, str(tmp_path)).collect()
+    assert Counter(r.page_id for r in pages) == {0: 1, 1: 1, 2: 2, None: 1, 3: 1} and {r.text for r in pages if r.page_id in (0, 1)} == {""}
+    records = queries.QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()
+    assert len(records) >= 6 and {r.verdict for r in records} == {"ok"}
+    found = queries.QUERIES["op4_pivot_elimination"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found} == {(20, 1, 40, 20480), (20, 2, 7, 0), (40, 1, 20, 20480), (40, 2, 7, 0)}
+
+
+def test_queries_run_on_empty_tables(spark: SparkSession, tmp_path) -> None:
+    for name, table in (("documents", odd(spark)), ("pages", odd_pages(spark)), ("embeddings", odd_vectors(spark))):
+        table.limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in (*DOCUMENT_QUERIES, "op2_site_style_tree", "op3_merkle_fixity", "op4_pivot_elimination"):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
