@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
 import random
 
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rooftide import engine
 from rooftide.functions import kernels
 from rooftide.functions.config import HeightConfig, cascade
-from rooftide.operators import buildings, lod
+from rooftide.operators import buildings, lod, metrics
 
 CFG = HeightConfig()
 SQUARE = [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]
@@ -94,6 +97,27 @@ def test_ring_grouping(spark: SparkSession) -> None:
     assert [len(p.holes) for p in got] == [2, 0]
 
 
+def test_evaluate_and_compare(spark: SparkSession) -> None:
+    square = lambda k: [(400 * k, 0), (400 * k + 100, 0), (400 * k + 100, 100), (400 * k, 100)]
+    table = features(spark, [{"feature_id": k, "rings": [square(k)], "height": 10.0 * k if k < 3 else None, "class": "office" if k == 3 else None} for k in range(1, 6)])
+    n = 1 << 14
+    lon = lambda px: px / 4096 / n * 360 - 180
+    north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / n)))) for y in (8000, 8001))
+    lat = north + (south - north) * 50 / 4096
+    points = [(k, lon(400 * k + 50), lat, 12.0 * k) for k in range(1, 6)] + [(99, lon(399), lat, 5.0)]
+    truth = spark.createDataFrame(points, "truth_id int, lon double, lat double, truth_m float")
+    plain, tall = engine.compare(table, truth, (CFG, dataclasses.replace(CFG, class_height_m=CFG.class_height_m | {"office": 36.0})))
+    pairs = {r.truth_id: (r.feature_id, r.residual_m) for r in plain.pairs.collect()}
+    assert {k: int(f) for k, (f, _) in pairs.items()} == {k: k for k in range(1, 6)} and pairs[1][1] == -2 and pairs[2][1] == -4 and pairs[3][1] == 4
+    assert {r.truth_id: r.residual_m for r in tall.pairs.collect()}[3] == 0
+    assert plain.counters().first().asDict() == {"n_truth": 6, "n_estimate": 5, "unmatched_truth": 1}
+    stats = {(r.slice_kind, r.slice): r.n for r in plain.stats.collect()}
+    assert stats["overall", "all"] == 5 and stats["height_method", "explicit"] == 2 and stats["class", "office"] == 1
+    assert engine.evaluate(table, truth, CFG).stats.where("slice_kind = 'overall'").first().n == 5
+    compared = metrics.compare(plain.stats, tall.stats).withColumn("city", F.lit("here"))
+    assert "| here | 5 |" in metrics.summary(compared) and "n_truth=6" in metrics.console(plain.stats, {"n_truth": 6})
+
+
 def polygons_by_hand(rows: list) -> list:
     """(outer, holes, area, mean) of each polygon of a row of rings."""
     out = []
