@@ -305,16 +305,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, key: str, text: st
     return found.join(wanted, ["doc", "class"]).groupBy("doc", "class").agg(F.any_value("rep").alias("rep"), F.any_value("shingles").alias("shingles")).select("rep", "shingles")
 
 
-def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): exact links that join what is connected within each list of (list, rep)."""
+def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str, whole: bool = False) -> DataFrame:
+    """(a, b): exact links that join what is connected within each list of (list, rep).
+
+    With ``whole``, lists are known to fit into a task, and each member that links join to others has one link, to the
+    smallest of them (itself included).
+    """
     wanted = cut(members.select("rep").distinct().join(classes.select("rep", "doc", "class", "n_shingles"), "rep"))
-    sets = cut(full_sets(docs, wanted.select("rep", "doc", "class"), words, key, text))
-    placed = members.select("list", "rep").join(wanted.select("rep", "n_shingles"), "rep")
-    size = placed.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("rep").alias("first"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    own = cut(placed.join(size, "list").select("list", "rep", "first", "blocks", block.alias("block")))
-    firsts = size.where("blocks > 1").select("list", F.col("first").alias("rep"), "first", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = own.unionByName(firsts)
+    sets = full_sets(docs, wanted.select("rep", "doc", "class"), words, key, text)
+    if not whole:
+        sets = cut(sets)
 
     def meet(met: DataFrame) -> DataFrame:
         """(a, b) links of (list, rep, first, blocks) in groups; a null b marks a member that isn't joined to the first one of a list in blocks."""
@@ -331,6 +331,13 @@ def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: in
                     if len(chosen) < 2:
                         continue
                     found = links([flat[at[i] : at[i + 1]] for i in chosen], percent)
+                    if whole and found:
+                        own, group = reps[chosen], joined(len(chosen), found)
+                        least = np.full(len(own), np.iinfo(np.int64).max)
+                        np.minimum.at(least, group, own)
+                        tied = np.bincount(group, minlength=len(own))[group] > 1
+                        out += [(of[a], x, y) for x, y in zip(own[tied], least[group[tied]], strict=True)]
+                        continue
                     out += [(of[a], reps[chosen[i]], reps[chosen[j]]) for i, j in found]
                     if many[a] > 1:
                         group = joined(len(chosen), found)
@@ -342,6 +349,15 @@ def confirmed(members: DataFrame, classes: DataFrame, docs: DataFrame, words: in
         full = met.join(sets, "rep").select("group", "list", "rep", "first", "blocks", "shingles")
         return dealt(full).mapInArrow(arrow(run), "list bigint, a bigint, b bigint")
 
+    if whole:
+        one = F.lit(0).alias("first"), F.lit(1).alias("blocks")
+        return meet(members.select("list", "rep", *one).withColumn("group", F.col("list"))).select("a", "b")
+    placed = members.select("list", "rep").join(wanted.select("rep", "n_shingles"), "rep")
+    size = placed.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"), F.min("rep").alias("first"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = cut(placed.join(size, "list").select("list", "rep", "first", "blocks", block.alias("block")))
+    firsts = size.where("blocks > 1").select("list", F.col("first").alias("rep"), "first", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = own.unionByName(firsts)
     one = cut(meet(met.withColumn("group", F.xxhash64("list", "block"))))
     alone = one.where(F.col("b").isNull()).select("list", F.col("a").alias("rep")).distinct().join(classes.select("rep", "n_shingles"), "rep")
     parts = alone.groupBy("list").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
@@ -390,10 +406,23 @@ def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, devia
     fits = (F.col("n") <= BLOCK) & (F.col("m") * 8 <= BLOCK_BYTES)
     placed_in = cut(clusters.join(sizes.select("cluster", fits.alias("fits")), "cluster"))
     whole = placed_in.where("fits").select(F.col("cluster").alias("list"), "rep")
+    # no link leaves a cluster: in one that is met whole, links lead straight to the smallest member they reach
+    found = cut(confirmed(whole, classes, docs, words, percent, key, text, whole=True)).select(F.col("a").alias("id"), F.col("b").alias("component"))
     members = members.join(placed_in.where("not fits").select("rep"), "rep", "left_semi")
-    # of others, each class is met in its largest list first
+    if not members.isEmpty():
+        found = found.unionByName(by_lists(cut(members), classes, docs, words, percent, key, text))
+    of_class = classes.select("class", "rep", "doc").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    smallest = of_class.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc").alias("first"))
+    of_class = of_class.join(smallest, "component", "left").select("class", F.coalesce("component", "rep").alias("group"), F.coalesce("first", "doc").alias("first"))
+    own = ("doc", "text_hash", "n_shingles")
+    empty = rows.where(F.col("class").isNull() | F.col("doc").isNull()).select(*own, F.lit(None).cast("long").alias("group"), F.lit(None).cast(docs.schema[key].dataType).alias("first"))
+    return full.join(of_class, "class").select(*own, "group", "first").unionByName(empty)
+
+
+def by_lists(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """(id, component) of the members of clusters that no task holds: each class is met in its largest list first."""
     largest = members.groupBy("rep").agg(F.max(F.struct("n", "list")).alias("l")).select("rep", F.col("l.list").alias("list"))
-    first = cut(confirmed(whole.withColumn("list", F.xxhash64(F.lit("cluster"), "list")).unionByName(largest.select("list", "rep")), classes, docs, words, percent, key, text))
+    first = cut(confirmed(largest, classes, docs, words, percent, key, text))
     found = components(first)
     # then in the lists that were not met whole and hold members of two groups
     met = largest.groupBy("list").agg(F.count(F.lit(1)).alias("met"))
@@ -401,14 +430,7 @@ def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, devia
     rest = of.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("one"), F.max("component").alias("two")).join(met, "list", "left")
     rest = rest.where((F.col("one") != F.col("two")) & (F.coalesce("met", F.lit(0)) < F.col("n"))).select("list")
     more = cut(members.join(rest, "list", "left_semi").select("list", "rep"))
-    if not more.isEmpty():
-        found = components(first.unionByName(confirmed(more, classes, docs, words, percent, key, text)))
-    of_class = classes.select("class", "rep", "doc").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    smallest = of_class.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc").alias("first"))
-    of_class = of_class.join(smallest, "component", "left").select("class", F.coalesce("component", "rep").alias("group"), F.coalesce("first", "doc").alias("first"))
-    own = ("doc", "text_hash", "n_shingles")
-    empty = rows.where(F.col("class").isNull() | F.col("doc").isNull()).select(*own, F.lit(None).cast("long").alias("group"), F.lit(None).cast(docs.schema[key].dataType).alias("first"))
-    return full.join(of_class, "class").select(*own, "group", "first").unionByName(empty)
+    return found if more.isEmpty() else components(first.unionByName(confirmed(more, classes, docs, words, percent, key, text)))
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", deviations: float | None = 6.0) -> DataFrame:
