@@ -401,7 +401,10 @@ def placed(docs: DataFrame, words: int, percent: int, key: str, text: str, devia
     members = cut(likely_members(lists(band_rows(classes, rows_per_band(threshold))), classes, threshold, deviations))
     # what lists connect is a cluster; one that a task can hold is met whole, each of its sets there once
     firsts = members.groupBy("list").agg(F.min("rep").alias("b"))
-    clusters = components(members.join(firsts, "list").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    # each class and the first members of its lists (one a band at most) lead to the least of them
+    led = members.join(firsts, "list").groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("all"))
+    edges = led.select(F.explode(F.array_union("all", F.array("rep"))).alias("a"), "b").where("a != b").distinct()
+    clusters = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     sizes = clusters.join(classes.select("rep", "n_shingles"), "rep").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
     fits = (F.col("n") <= BLOCK) & (F.col("m") * 8 <= BLOCK_BYTES)
     placed_in = cut(clusters.join(sizes.select("cluster", fits.alias("fits")), "cluster"))
