@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, table
+from .common import crc_remainder, cut, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,8 +153,43 @@ def op10_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
+@query
+def op11_rank_select_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text that is rebuilt from it."""
+    from . import fim
+
+    moved = fim.split(table(spark, sf_dir, "documents", "doc_id", "text"), keep=("doc_id",))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_forward_reversed_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more with the near word whose misspelling it seems to be."""
+    from . import spelling
+
+    counted = spelling.words(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spelling.variants(counted)
+
+
+@query
+def op13_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its lines; the model learns from labels of documents that are not held out."""
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    hidden = F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(~hidden)
+    model = quality.fit(docs, labels)
+    found = quality.score(docs, model)
+    return found.select("doc_id", hidden.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _oracles() -> None:
-    from . import mixing, neardup, topk, warc
+    from . import fim, mixing, neardup, spelling, topk, warc
+
+    ORACLES["op11_rank_select_middle"] = fim.ORACLE
+    ORACLES["op12_forward_reversed_dictionaries"] = spelling.ORACLE
 
     ORACLES["op3_merkle_fixity"] = warc.ORACLE
     ORACLES["op4_pivot_elimination"] = topk.ORACLE
