@@ -46,6 +46,12 @@ def density(features: DataFrame, per: tuple[str, ...] = (), sources: DataFrame |
     return by_tile.groupBy(*per).agg((F.sum("n") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_features"))
 
 
+def key(feature_id: Column, *alone: Column) -> Column:
+    """A text that names a building and sorts by its id; features without an id come last, by the columns that tell them apart."""
+    own = F.concat(F.lit("1:"), F.concat_ws(":", *(F.lpad(c.cast("string"), 12, "0") for c in alone))) if alone else F.lit(None).cast("string")
+    return F.coalesce(F.concat(F.lit("0:"), F.lpad(feature_id.cast("string"), 20, "0")), own)
+
+
 def fragments(features: DataFrame, per_polygon: tuple[str, ...] = ()) -> DataFrame:
     """One row per polygon of the features above ground, with its area in square metres and its mean vertex in degrees."""
     rows = complete(features).where(above_ground())
@@ -76,7 +82,8 @@ def merge(parts: DataFrame, order: tuple[str, ...] = ORDER, per: tuple[str, ...]
     grouped = parts.groupBy(*per, "feature_id", alone.alias("alone")).agg(
         area.alias("merged_area_m2"), weighted("lon"), weighted("lat"), F.count(F.lit(1)).alias("n_fragments"), F.min_by(props, first).alias("p"), F.min(first).alias("first"), *more
     )
-    return grouped.select(*per, "feature_id", F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, *also, "first_area_m2", "tile")), *(["parts"] if with_rings else []))
+    name = key(F.col("feature_id"), *(F.col(f"alone.{c}") for c in ("source_idx", "feat_idx", "poly_idx"))).alias("building")
+    return grouped.select(*per, "feature_id", name, F.col("merged_area_m2").cast("float").alias("footprint_m2"), "lon", "lat", "n_fragments", "first", *(F.col(f"p.{c}").alias(c) for c in (*KEPT, *also, "first_area_m2", "tile")), *(["parts"] if with_rings else []))
 
 
 def resolve(buildings: DataFrame, cfg: HeightConfig, level: Column, area: Column | None = None) -> DataFrame:

@@ -7,13 +7,15 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.config import HeightConfig
-from ..functions.session import cut
 from ..operators import buildings
 
 Z, X0, Y0, EXTENT = 14, 14552, 6451, 4096
 #: Total order of the fragments of a feature.
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Columns that features are made of.
+LINE = ("l_orderkey", *ORDER)
 RASTER = 8
 
 
@@ -21,13 +23,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows over all cores where their table comes in fewer files than there are cores; rows of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(table.inputFiles()) < cores else df
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rectangle per line item; parts give class and subtype."""
-    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    lines = read(spark, sf_dir, "lineitem").select(*LINE)
+    rows = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     tile = F.expr("if(l_orderkey % 1000 < 5, 100 + l_orderkey % 1000, ((l_orderkey % 500) * (l_orderkey % 500)) div 2500) + if(l_linenumber = 2 and l_orderkey % 7 = 0, 1, 0)")
     side = lambda n: F.expr(f"cast(if(l_orderkey % 97 = 1, 3, ({n}) * if(l_orderkey % 50 = 0, 5, 1)) as int)")
     px, py = F.expr("cast((l_partkey * 37) % 3800 as int)"), F.expr("cast((l_suppkey * 101) % 3800 as int)")
-    rows = rows.withColumns({"tile": tile, "px0": px, "py0": py, "w": side("4 + cast(l_quantity as int)"), "h": side("4 + 8 * l_linenumber")})
+    rows = dealt(rows.withColumns({"tile": tile, "px0": px, "py0": py, "w": side("4 + cast(l_quantity as int)"), "h": side("4 + 8 * l_linenumber")}), lines)
     point = lambda x, y: F.struct(x.alias("px"), y.alias("py"))
     a, b, c, d = F.col("px0"), F.col("py0"), F.col("px0") + F.col("w"), F.col("py0") + F.col("h")
     return rows.select(
@@ -48,28 +57,61 @@ def extracted(spark: SparkSession, sf_dir: str, cfg: HeightConfig | None = None,
 
 
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(feature_id, outer_rings) of the features above ground in global pixels, north up."""
+    """(feature_id, ring) of the features above ground in global pixels, north up."""
     rows = features(spark, sf_dir).where(F.coalesce(~F.col("is_underground"), F.lit(True)))
     x0, y0 = F.col("x").cast("double") * EXTENT + F.col("px0"), F.col("y").cast("double") * EXTENT + F.col("py0")
     point = lambda x, y: F.struct(x.alias("lon"), (-y).alias("lat"))
     x1, y1 = x0 + F.col("w"), y0 + F.col("h")
-    return rows.select("feature_id", F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))).alias("outer_rings"))
-
+    return rows.select("feature_id", F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1)).alias("ring"))
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The building table of a run without heights, with the place of each first fragment."""
-    return cut(buildings.merge(buildings.fragments(features(spark, sf_dir)), ORDER, also=("px0", "py0", "w", "h")))
 
-
-def truth(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(truth_id, lon, lat, truth_m): an order's point is the middle of its first fragment, moved away for each fourth order."""
-    at = lambda axis, corner, side: F.col(f"tile.{axis}").cast("double") * EXTENT + F.col(corner) + F.col(side) / 2
+    placed = buildings.complete(features(spark, sf_dir)).where(buildings.above_ground())
+    first = placed.groupBy("feature_id").agg(F.min_by(F.struct("x", "y", "px0", "py0", "w", "h"), F.struct(*ORDER)).alias("p"))
+    at = lambda axis, corner, side: F.col(f"p.{axis}").cast("double") * EXTENT + F.col(f"p.{corner}") + F.col(f"p.{side}") / 2
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    joined = orders.join(found.select("feature_id", "tile", "px0", "py0", "w", "h"), F.col("o_orderkey") == F.col("feature_id"))
+    joined = orders.join(first, F.col("o_orderkey") == F.col("feature_id"))
     moved = F.when(F.col("o_orderkey") % 4 == 0, F.lit(5000.0)).otherwise(F.lit(0.0))
     return joined.select(F.col("o_orderkey").alias("truth_id"), (at("x", "px0", "w") + moved).alias("lon"), (-at("y", "py0", "h")).alias("lat"), (3 + F.col("o_totalprice") / 10000).cast("float").alias("truth_m"))
 
 
+def truth_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same points in degrees, moved by a part of a pixel so that none lies on an outline."""
+    gx, gy = F.col("lon") + 0.123, -F.col("lat") + 0.217
+    tile_y = F.floor(gy / EXTENT)
+    north, south = geo.lat_of(F.lit(Z), tile_y), geo.lat_of(F.lit(Z), tile_y + 1)
+    return truth(spark, sf_dir).select("truth_id", geo.lon_of(F.lit(Z), gx / EXTENT).alias("lon"), (north + (south - north) * (gy / EXTENT - tile_y)).alias("lat"), "truth_m")
+
+
+def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of some two by two tiles for each nation; neighbours overlap."""
+    k = F.col("n_nationkey")
+    x, y = X0 + k % 5 * 2 + F.lit(0.3), Y0 + F.floor(k / 5) * 2 + F.lit(0.2)
+    lon, lat = (lambda v: geo.lon_of(F.lit(Z), v)), (lambda v: geo.lat_of(F.lit(Z), v))
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("city"), lon(x).alias("west"), lat(y + 1.9).alias("south"), lon(x + 2.3).alias("east"), lat(y).alias("north"))
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_id, ring) in global pixels, by line number a triangle, an angle of two arms, or a rectangle."""
+    rows = features(spark, sf_dir).where(F.coalesce(~F.col("is_underground"), F.lit(True)))
+    x0, y0 = F.col("x").cast("double") * EXTENT + F.col("px0"), F.col("y").cast("double") * EXTENT + F.col("py0")
+    x1, y1, xm, ym = x0 + F.col("w"), y0 + F.col("h"), x0 + F.col("w") / 2, y0 + F.col("h") / 2
+    ring = lambda *points: F.array(*(F.struct(x.alias("lon"), y.alias("lat")) for x, y in points))
+    kind = F.col("l_linenumber") % 3
+    found = F.when(kind == 0, ring((x0, y0), (x1, y0), (x0, y1))).when(kind == 1, ring((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1))).otherwise(ring((x0, y0), (x1, y0), (x1, y1), (x0, y1)))
+    return rows.select("feature_id", found.alias("ring"))
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(truth_id, lon, lat) in global pixels: a point at some part of each line item's box, by its number."""
+    rows = features(spark, sf_dir).where("l_linenumber <= 3")
+    part = lambda axis, corner, side, k: F.col(axis).cast("double") * EXTENT + F.col(corner) + F.col(side) * k + 0.123
+    across, down = F.expr("(feature_id % 10) / 10d"), F.expr("(feature_id % 7) / 7d")
+    name = F.col("feature_id") * 8 + F.col("l_linenumber")
+    return rows.select(name.alias("truth_id"), part("x", "px0", "w", across).alias("lon"), part("y", "py0", "h", down).alias("lat"))
+
+
 def raster_value(x: Column, y: Column, column: Column, row: Column) -> Column:
     """Height in whole metres of a pixel of the synthetic terrain."""
     return (x * 31 + y * 17 + row * 7 + column * 3) % 200

@@ -81,13 +81,43 @@ def pairs_sql(name: str = "b", out: str = "p") -> str:
   FROM h JOIN t USING (truth_id) JOIN {name} ON {name}.feature_id = h.feature_id)"""
 
 
-def stats_sql(pairs: str, out: str = "s") -> str:
+def stats_sql(pairs: str, out: str = "s", per: str = "") -> str:
     kinds = [("overall", "'all'"), ("height_method", "height_method"), ("class", "class"), ("subtype", "subtype")]
-    long = " UNION ALL ".join(f"SELECT '{k}' AS slice_kind, {c} AS slice, r, tm FROM {pairs}" for k, c in kinds)
+    long = " UNION ALL ".join(f"SELECT {per} '{k}' AS slice_kind, {c} AS slice, r, tm FROM {pairs}" for k, c in kinds)
     return f"""
 {out}k AS ({long}),
 {out} AS (
-  SELECT slice_kind, slice, count(*) AS n, avg(abs(r)) AS mae, sqrt(avg(r * r)) AS rmse, avg(r) AS bias,
+  SELECT {per} slice_kind, slice, count(*) AS n, avg(abs(r)) AS mae, sqrt(avg(r * r)) AS rmse, avg(r) AS bias,
          list_sort(list(abs(r)))[1 + least(count(*) * 50 // 100, count(*) - 1)] AS p50_abs, list_sort(list(abs(r)))[1 + least(count(*) * 90 // 100, count(*) - 1)] AS p90_abs,
          avg(CASE WHEN tm > 0 AND abs(r) / tm < 0.2::DOUBLE THEN 1 ELSE 0 END) AS within_20pct, avg(CASE WHEN tm > 0 AND abs(r) / tm < 0.5::DOUBLE THEN 1 ELSE 0 END) AS within_50pct
   FROM {out}k WHERE slice IS NOT NULL GROUP BY ALL)"""
+
+
+CITIES = """
+ck AS (SELECT n_name AS city, 14552 + n_nationkey % 5 * 2 + 0.3::DOUBLE AS x0, 6451 + n_nationkey // 5 * 2 + 0.2::DOUBLE AS y0 FROM nation),
+cb AS (SELECT city, floor(x0)::INT AS tx0, floor(x0 + 2.3::DOUBLE)::INT AS tx1, floor(y0)::INT AS ty0, floor(y0 + 1.9::DOUBLE)::INT AS ty1, x0 / 16384 * 360 - 180 AS b_west, (x0 + 2.3::DOUBLE) / 16384 * 360 - 180 AS b_east,
+         degrees(atan(sinh(pi() * (1 - 2 * y0 / 16384)))) AS b_north, degrees(atan(sinh(pi() * (1 - 2 * (y0 + 1.9::DOUBLE) / 16384)))) AS b_south FROM ck)"""
+
+
+def city_sql(cfg: HeightConfig) -> str:
+    """CTEs of features, buildings, points and matches of every city; ends in ``ce`` (estimates), ``ct`` (points) and ``cp`` (pairs)."""
+    metres, method = cascade_sql(cfg, "lv", "footprint_m2::DOUBLE")
+    return f"""
+{CITIES},
+cf AS (SELECT city, f.* FROM f JOIN cb ON f.x BETWEEN tx0 AND tx1 AND f.y BETWEEN ty0 AND ty1),
+cv AS (SELECT * FROM cf WHERE coalesce(NOT is_underground, true)),
+cm0 AS (
+  SELECT city, feature_id, sum(area_m2)::FLOAT AS footprint_m2, sum(lon * area_m2) / sum(area_m2) AS lon, sum(lat * area_m2) / sum(area_m2) AS lat,
+         arg_min({{'height': height, 'num_floors': num_floors, 'class': class, 'subtype': subtype}}, {ORDER}) AS r FROM cv GROUP BY city, feature_id),
+cd AS (SELECT city, {level_sql("count(*) / count(DISTINCT tile)", cfg)} AS lv FROM cf GROUP BY city),
+cm AS (SELECT city, feature_id, footprint_m2, lon, lat, r.height AS height, r.num_floors AS num_floors, r.class AS class, r.subtype AS subtype, lv FROM cm0 JOIN cd USING (city)),
+ch AS (SELECT *, {metres} AS height_m, {method} AS height_method FROM cm),
+ce AS (SELECT ch.* FROM ch JOIN cb USING (city) WHERE lon BETWEEN b_west AND b_east AND lat BETWEEN b_south AND b_north),
+tg AS (SELECT truth_id, truth_m, gx + 0.123::DOUBLE AS gx, gy + 0.217::DOUBLE AS gy, floor((gy + 0.217::DOUBLE) / 4096) AS ty FROM t),
+td AS (SELECT *, gx / 4096 / 16384 * 360 - 180 AS lon, degrees(atan(sinh(pi() * (1 - 2 * ty / 16384)))) AS n, degrees(atan(sinh(pi() * (1 - 2 * (ty + 1) / 16384)))) AS s FROM tg),
+ct AS (SELECT city, truth_id, truth_m, gx, gy FROM td JOIN cb ON lon BETWEEN b_west AND b_east AND n + (s - n) * (gy / 4096 - ty) BETWEEN b_south AND b_north),
+cc AS (
+  SELECT DISTINCT ct.city, truth_id, cv.feature_id FROM ct JOIN cv ON ct.city = cv.city AND gx > x * 4096 + px0 AND gx < x * 4096 + px0 + w AND gy > y * 4096 + py0 AND gy < y * 4096 + py0 + h
+    AND cv.x BETWEEN floor(gx / 4096) - 1 AND floor(gx / 4096) AND cv.y BETWEEN floor(gy / 4096) - 1 AND floor(gy / 4096)),
+cx AS (SELECT city, truth_id, min(feature_id) AS feature_id FROM cc JOIN ce USING (city, feature_id) GROUP BY city, truth_id),
+cp AS (SELECT city, truth_id, feature_id, (height_m::FLOAT - truth_m)::FLOAT::DOUBLE AS r, truth_m::DOUBLE AS tm, height_method, class, subtype FROM cx JOIN ct USING (city, truth_id) JOIN ce USING (city, feature_id))"""

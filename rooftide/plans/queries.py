@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .. import engine
 from ..functions import geo, kernels, scalars
 from ..functions.config import HeightConfig
+from ..operators import cities as city_table
 from ..operators import buildings, glb, lod, manifest, mesh, metrics, raster, spatial, tileset
+from ..operators import cities as city_table
 from ..sources import truth, vector_tiles
 from . import bindings as data
-from .oracles import FEATURES, MERGED, ORDER, TRUTH, buildings_sql, cascade_sql, level_sql, pairs_sql, stats_sql
+from .oracles import CITIES, FEATURES, MERGED, ORDER, TRUTH, buildings_sql, cascade_sql, city_sql, level_sql, pairs_sql, stats_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,21 +171,15 @@ def bbox_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("b", box).agg(F.array(*sums).alias("s")).select(F.inline("s"))
 
 
-@query(f"""WITH c(name, west, south, east, north) AS (VALUES {CITY_VALUES}),
-t AS (SELECT name, floor((west + 180) / 360 * 16384)::INT AS x0, floor((east + 180) / 360 * 16384)::INT AS x1, floor((1 - asinh(tan(radians(north))) / pi()) / 2 * 16384)::INT AS y0, floor((1 - asinh(tan(radians(south))) / pi()) / 2 * 16384)::INT AS y1 FROM c),
-u AS (SELECT name, unnest(range(x0, x1 + 1))::INT AS x, y0, y1 FROM t) SELECT name, 14 AS z, x, unnest(range(y0, y1 + 1))::INT AS y FROM u""")
+@query(f"WITH {CITIES}, u AS (SELECT city, unnest(range(tx0, tx1 + 1))::INT AS x, ty0, ty1 FROM cb) SELECT city, 14 AS z, x, unnest(range(ty0, ty1 + 1))::INT AS y FROM u")
 def tile_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles that cover each city."""
-    cities = truth.cities(spark)
-    corner = lambda lon, lat: geo.lonlat_to_tile(F.lit(14), F.col(lon), F.col(lat))
-    rows = cities.select("name", corner("west", "north").alias("a"), corner("east", "south").alias("b"))
-    return rows.select("name", "a", "b", F.explode(F.sequence("a.x", "b.x")).alias("x")).select("name", F.lit(14).alias("z"), "x", F.explode(F.sequence("a.y", "b.y")).alias("y"))
+    """Tiles that cover the box of each city of a table."""
+    return city_table.cover(data.cities(spark, sf_dir))
 
 
 def evaluated(spark: SparkSession, sf_dir: str, *sets: HeightConfig) -> list[engine.Evaluation]:
     """The run's features against its measured points, for each parameter set."""
-    found = data.merged(spark, sf_dir)
-    return engine.compare(data.features(spark, sf_dir), data.truth(spark, sf_dir, found), sets or (CFG,), data.ORDER, found, data.outlines(spark, sf_dir), 64.0)
+    return engine.compare(data.features(spark, sf_dir), data.truth(spark, sf_dir), sets or (CFG,), data.ORDER, data.outlines(spark, sf_dir))
 
 
 @query(f"WITH {FEATURES}, {MERGED}, {buildings_sql(CFG)}, {TRUTH}, {pairs_sql()} SELECT truth_id, feature_id, n_candidates, round(r, 3) + 0.0::DOUBLE AS residual_m FROM p")
@@ -237,6 +233,35 @@ def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_slices(evaluated(spark, sf_dir)[0].stats, "class").select("slice", "n")
 
 
+def by_city(spark: SparkSession, sf_dir: str, *sets: HeightConfig) -> list[engine.Evaluation]:
+    """The run evaluated in every city's box, all in one plan."""
+    return engine.compare(data.features(spark, sf_dir), data.truth_degrees(spark, sf_dir), sets or (CFG,), data.ORDER, cities=data.cities(spark, sf_dir))
+
+
+@query(f"WITH {FEATURES}, {MERGED}, {TRUTH}, {city_sql(CFG)}, {stats_sql('cp', per='city,')} SELECT city, slice_kind, slice, {STATS_OUT} FROM s")
+def city_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every city by slice; density, buildings and points of each are its own."""
+    return shown(by_city(spark, sf_dir)[0].stats, "city", "slice_kind", "slice")
+
+
+@query(f"""WITH {FEATURES}, {MERGED}, {TRUTH}, {city_sql(CFG)}, n AS (SELECT city, count(*) AS n FROM ct GROUP BY city), e AS (SELECT city, count(*) AS n FROM ce GROUP BY city), k AS (SELECT city, count(*) AS n FROM cx GROUP BY city)
+SELECT city, coalesce(n.n, 0) AS n_truth, coalesce(e.n, 0) AS n_estimate, coalesce(n.n, 0) - coalesce(k.n, 0) AS unmatched_truth FROM cb LEFT JOIN n USING (city) LEFT JOIN e USING (city) LEFT JOIN k USING (city)""")
+def city_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, estimates and unmatched points of every city, also of those without any."""
+    return by_city(spark, sf_dir)[0].counters()
+
+
+@query(f"""WITH {FEATURES}, a AS (SELECT feature_id, x * 4096.0::DOUBLE + px0 AS x0, y * 4096.0::DOUBLE + py0 AS y0, w, h, x, y, l_linenumber % 3 AS kind FROM v),
+p AS (SELECT feature_id * 8 + l_linenumber AS truth_id, x * 4096.0::DOUBLE + px0 + w * (feature_id % 10 / 10.0::DOUBLE) + 0.123::DOUBLE AS gx, y * 4096.0::DOUBLE + py0 + h * (feature_id % 7 / 7.0::DOUBLE) + 0.123::DOUBLE AS gy FROM f WHERE l_linenumber <= 3),
+c AS (SELECT truth_id, feature_id FROM p JOIN a ON gx >= x0 AND gx < x0 + w AND gy >= y0 AND gy < y0 + h AND a.x BETWEEN floor(gx / 4096) - 1 AND floor(gx / 4096) AND a.y BETWEEN floor(gy / 4096) - 1 AND floor(gy / 4096)
+  WHERE CASE kind WHEN 0 THEN (gx - x0) / w + (gy - y0) / h < 1 WHEN 1 THEN gx < x0 + w / 2.0::DOUBLE OR gy < y0 + h / 2.0::DOUBLE ELSE true END)
+SELECT truth_id, min(feature_id) AS feature_id, count(DISTINCT feature_id) AS n_candidates FROM c GROUP BY truth_id""")
+def outline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within triangles, angles and rectangles: the first feature that holds each, and how many do."""
+    found = spatial.match_points(data.probes(spark, sf_dir), data.shapes(spark, sf_dir), order="feature_id", outlines="ring")
+    return found.select("truth_id", "feature_id", "n_candidates")
+
+
 RASTER_AT = "(x * 31 + y * 17 + {r} * 7 + {c} * 3) % 200"
 
 
@@ -375,7 +400,7 @@ def url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FEATURES}, {MERGED}, {TRUTH} SELECT t.truth_id, printf('%.2f', truth_m::DOUBLE) AS line FROM t WHERE truth_m > 0 AND abs(truth_m + 9999) >= 0.5")
 def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured heights that pass the sentinel filter, as text."""
-    rows = data.truth(spark, sf_dir, data.merged(spark, sf_dir)).where(truth.valid_height(F.col("truth_m")))
+    rows = data.truth(spark, sf_dir).where(truth.valid_height(F.col("truth_m")))
     return rows.select("truth_id", F.format_string("%.2f", F.col("truth_m").cast("double")).alias("line"))
 
 

@@ -67,7 +67,7 @@ def test_points_match_the_first_outline(spark: SparkSession) -> None:
     points = [(i, rng.random(), rng.random()) for i in range(500)]
     est = spark.createDataFrame(polygons, "estimate_idx int, outer_rings array<array<struct<lon:double,lat:double>>>")
     pts = spark.createDataFrame(points, "truth_id int, lon double, lat double")
-    got = spatial.match_points(pts, est, size=0.02)
+    got = spatial.match_points(pts, est, target=300)
     want = {}
     for i, x, y in points:
         if hit := [k for k, r in polygons if inside(r[0], x, y)]:

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tab
 def duck() -> duckdb.DuckDBPyConnection:
     c = duckdb.connect()
     c.execute("set timezone='UTC'")
-    for t in ("customer", "orders", "lineitem", "part"):
+    for t in ("customer", "orders", "lineitem", "nation", "part"):
         c.execute(f"create view {t} as select * from '{SF_DIR}/{t}.parquet'")
     return c
 
