@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from .. import engine
 from ..functions import geo, kernels, scalars
 from ..functions.config import HeightConfig
+from ..functions.session import shared_folder
 from ..operators import cities as city_table
 from ..operators import buildings, glb, lod, manifest, mesh, metrics, raster, spatial, tileset
 from ..operators import cities as city_table
-from ..sources import truth, vector_tiles
+from ..sources import outputs, truth, vector_tiles
 from . import bindings as data
 from .oracles import CITIES, FEATURES, MERGED, ORDER, TRUTH, buildings_sql, cascade_sql, city_sql, level_sql, pairs_sql, stats_sql
 
@@ -330,9 +332,14 @@ HASHES = f"""c AS (SELECT tile, x, y, sha1({CONTENT}) AS s, {CONTENT} AS content
 k AS (SELECT tile, x, y, substr(sha1('14/' || x || '/' || y || ';f=5,2000;s=1,0;a=0;t=' || CASE WHEN tile % 5 = 0 THEN 'no-terrain' ELSE substr(sha1('terrain ' || tile), 1, 24) END || ';n=1;' || '14/' || x || '/' || y || ':' || substr(s, 1, 32) || ';'), 1, 24) AS hash FROM c)"""
 
 
+def tile_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each tile's features as its bytes."""
+    return data.features(spark, sf_dir).groupBy("tile", "z", "x", "y").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(":"), F.sum("feature_id").cast("string")).cast("binary").alias("content"))
+
+
 def tile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hashes of tiles whose bytes are a digest of their features."""
-    rows = data.features(spark, sf_dir).groupBy("tile", "z", "x", "y").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(":"), F.sum("feature_id").cast("string")).cast("binary").alias("content"))
+    rows = tile_content(spark, sf_dir)
     land = F.when(F.col("tile") % 5 != 0, F.concat(F.lit("terrain "), F.col("tile").cast("string")).cast("binary"))
     sources = rows.select(F.col("z").alias("out_z"), F.col("x").alias("out_x"), F.col("y").alias("out_y"), "z", "x", "y", "content", F.lit(0).alias("position"))
     return manifest.content_hash(rows.select("z", "x", "y", land.alias("terrain")), sources, lod.area_range(14))
@@ -352,6 +359,18 @@ def incremental_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.pending(hashes, done, IMPL).select("z", "x", "y", "hash")
 
 
+@query(f"WITH {FEATURES}, {HASHES} SELECT 14 AS z, x::INT AS x, y::INT AS y, hash, strlen(content)::BIGINT AS n_bytes, sha256(content) AS content_sha256, '{IMPL}' AS impl FROM k JOIN c USING (x, y)")
+def output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile's output as a file named by its hash: a part of them written, then the rest, and all read back with their manifest."""
+    path = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}"
+    drawn = tile_hashes(spark, sf_dir).join(tile_content(spark, sf_dir).select("z", "x", "y", F.col("content").alias("glb")), ["z", "x", "y"])
+    outputs.write(drawn.where((F.col("x") + F.col("y")) % 3 == 0), path, IMPL)
+    outputs.write(manifest.pending(drawn, outputs.manifest(drawn, path), IMPL), path, IMPL)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.glb").load(f"{path}/{IMPL}")
+    found = files.select(F.regexp_extract("path", r"([^/]+)\.glb$", 1).alias("hash"), F.sha2("content", 256).alias("content_sha256"))
+    return outputs.manifest(drawn, path).join(found, "hash").select("z", "x", "y", "hash", "n_bytes", "content_sha256", "impl")
+
+
 @query(f"WITH {FEATURES} SELECT x::INT AS x, y::INT AS y, feature_id, round(height, 6) AS height, num_floors::BIGINT AS num_floors, class, subtype, is_underground, px0::INT AS px0, py0::INT AS py0, (px0 + w)::INT AS px1, (py0 + h)::INT AS py1 FROM f")
 def mvt_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features written as vector tiles and read back."""

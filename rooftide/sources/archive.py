@@ -8,7 +8,12 @@ hdfs), and http addresses; a read that fails is tried again.  The header and
 directories are read once per worker and path, and each partition reads the byte
 ranges of its own tiles only.  A small box asks for its addresses one by one; a
 large one walks the entries of the directories.  Options: ``z``, the box
-(``west``, ``south``, ``east``, ``north``), or one tile (``x``, ``y``).
+(``west``, ``south``, ``east``, ``north``), or one tile (``x``, ``y``).  Where
+the session pushes filters to Python sources
+(``spark.sql.python.filterPushdown.enabled``), comparisons of ``z``, ``x`` and
+``y`` with constants narrow what is read.  A partition's tiles are neighbours on
+the Hilbert curve, in whose order an archive holds them, and those that lie side
+by side come in one read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from .vector_tiles import varint
@@ -29,6 +34,8 @@ from .vector_tiles import varint
 HEADER = 127
 #: Addresses of a box up to which they are asked for one by one; entries of a directory that make a partition.
 FEW, ENTRIES = 4096, 512
+#: Tiles of a partition of a small box; bytes between tiles that are read along with them, and the largest read.
+NEIGHBOURS, GAP, MOST_READ = 256, 65_536, 16 << 20
 ATTEMPTS, WAIT_S, TIMEOUT_S = 4, 0.5, 60
 _KNOWN: dict[str, Archive] = {}
 
@@ -162,8 +169,9 @@ class Archive:
             for n in range(max(number, first), min(number + run, end)):
                 yield n, offset, size
 
-    def tile(self, z: int, x: int, y: int) -> bytes | None:
-        number, entries = tile_number(z, x, y), self.root
+    def find(self, number: int) -> tuple[int, int] | None:
+        """(offset, size) of a tile's bytes."""
+        entries = self.root
         for _ in range(4):
             low, high = 0, len(entries)
             while low < high:
@@ -173,12 +181,38 @@ class Archive:
                 return None
             first, run, size, offset = entries[low - 1]
             if run:
-                return self.bytes(self.data_at + offset, size) if number < first + run else None
+                return (offset, size) if number < first + run else None
             if offset not in self.leaves:
                 self.leaves[offset] = self.directory(self.leaf_at + offset, size)
             entries = self.leaves[offset]
         return None
 
+    def tile(self, z: int, x: int, y: int) -> bytes | None:
+        found = self.find(tile_number(z, x, y))
+        return self.bytes(self.data_at + found[0], found[1]) if found else None
+
+    def contents(self, places: Iterator[tuple[int, int, int]]) -> Iterator[tuple[int, bytes]]:
+        """(tile number, bytes) of (tile number, offset, size); tiles side by side in the file come in one read."""
+        held: list[tuple[int, int, int]] = []
+
+        def read() -> Iterator[tuple[int, bytes]]:
+            start, stop = min(o for _, o, _ in held), max(o + n for _, o, n in held)
+            data = self.bytes(self.data_at + start, stop - start)
+            for number, offset, size in held:
+                yield number, data[offset - start : offset - start + size]
+
+        for number, offset, size in places:
+            if not size:
+                continue
+            if held:
+                start, stop = min(o for _, o, _ in held), max(o + n for _, o, n in held)
+                if offset > stop + GAP or offset + size < start - GAP or max(stop, offset + size) - min(start, offset) > MOST_READ or len(held) >= NEIGHBOURS:
+                    yield from read()
+                    held = []
+            held.append((number, offset, size))
+        if held:
+            yield from read()
+
 
 def opened(path: str) -> Archive:
     """One archive per worker and path; only a good header is kept."""
@@ -187,9 +221,11 @@ def opened(path: str) -> Archive:
     return _KNOWN[path]
 
 
-class Column(InputPartition):
-    def __init__(self, x: int, y0: int, y1: int) -> None:
-        self.x, self.y0, self.y1 = x, y0, y1
+class Numbers(InputPartition):
+    """Tiles by their numbers, in the order of the curve."""
+
+    def __init__(self, numbers: list[int]) -> None:
+        self.numbers = numbers
 
 
 class Entries(InputPartition):
@@ -211,10 +247,44 @@ class TileReader(DataSourceReader):
             self.x0 = self.x1 = int(options["x"])
         if "y" in options:
             self.y0 = self.y1 = int(options["y"])
+        self.nothing = False
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of z, x and y with whole numbers narrow the range; all others are given back."""
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            if isinstance(f, IsNotNull) and name in ("z", "x", "y"):
+                continue
+            if name not in ("z", "x", "y") or isinstance(value, bool) or not isinstance(value, int):
+                yield f
+            elif name == "z":
+                if isinstance(f, EqualTo | EqualNullSafe):
+                    self.nothing |= value != self.z
+                else:
+                    yield f
+            elif isinstance(f, EqualTo | EqualNullSafe):
+                self._narrow(name, value, value)
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self._narrow(name, value + isinstance(f, GreaterThan), None)
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                self._narrow(name, None, value - isinstance(f, LessThan))
+            else:
+                yield f
+
+    def _narrow(self, name: str, low: int | None, high: int | None) -> None:
+        a, b = getattr(self, f"{name}0"), getattr(self, f"{name}1")
+        a, b = a if low is None else max(a, low), b if high is None else min(b, high)
+        setattr(self, f"{name}0", a)
+        setattr(self, f"{name}1", b)
+        self.nothing |= a > b
 
     def partitions(self) -> list[InputPartition]:
+        if self.nothing:
+            return [Numbers([])]
         if (self.x1 - self.x0 + 1) * (self.y1 - self.y0 + 1) <= FEW:
-            return [Column(x, self.y0, self.y1) for x in range(self.x0, self.x1 + 1)]
+            numbers = sorted(tile_number(self.z, x, y) for x in range(self.x0, self.x1 + 1) for y in range(self.y0, self.y1 + 1))
+            return [Numbers(numbers[a : a + NEIGHBOURS]) for a in range(0, len(numbers), NEIGHBOURS)]
         root = opened(self.path).root
         starts = range(0, len(root), ENTRIES if any(e[1] for e in root) else 1)  # a leaf directory is a partition of its own
         step = starts.step
@@ -222,16 +292,18 @@ class TileReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple[int, int, int, bytes]]:
         archive = opened(self.path)
-        if isinstance(partition, Column):
-            for y in range(partition.y0, partition.y1 + 1):
-                if data := archive.tile(self.z, partition.x, y):
-                    yield self.z, partition.x, y, data
-            return
-        first, end = (((1 << 2 * z) - 1) // 3 for z in (self.z, self.z + 1))
-        for number, offset, size in archive.walk(partition.entries, first, end, partition.after):
-            _, x, y = tile_address(number)
-            if self.x0 <= x <= self.x1 and self.y0 <= y <= self.y1 and size:
-                yield self.z, x, y, archive.bytes(archive.data_at + offset, size)
+        if isinstance(partition, Numbers):
+            places = ((n, *found) for n in partition.numbers if (found := archive.find(n)))
+        else:
+            first, end = (((1 << 2 * z) - 1) // 3 for z in (self.z, self.z + 1))
+            places = (p for p in archive.walk(partition.entries, first, end, partition.after) if self._inside(p[0]))
+        for number, data in archive.contents(places):
+            if data:
+                yield *tile_address(number), data
+
+    def _inside(self, number: int) -> bool:
+        _, x, y = tile_address(number)
+        return self.x0 <= x <= self.x1 and self.y0 <= y <= self.y1
 
 
 class TileArchive(DataSource):

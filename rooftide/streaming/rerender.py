@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..engine import TILE, tile_buildings
+from ..engine import TILE, render_tiles, tile_buildings
 from ..functions.config import HeightConfig
 from ..operators import lod, manifest
+from ..sources import outputs
 from ..sources.vector_tiles import read_tiles
 
 TILES = "z int, x int, y int, content binary"
@@ -55,13 +56,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def start(spark: SparkSession, source: str, out: str, checkpoint: str, impl: str, cfg: HeightConfig | None = None, once: bool = True) -> StreamingQuery:
-    """Buildings go to ``out``/buildings, hashes to ``out``/manifest."""
+def start(spark: SparkSession, source: str, out: str, checkpoint: str, impl: str, cfg: HeightConfig | None = None, once: bool = True, glb: bool = False) -> StreamingQuery:
+    """Buildings go to ``out``/buildings, hashes to ``out``/manifest; with ``glb`` each tile's glb goes to ``out``/tiles as well."""
 
     def batch(tiles: DataFrame, number: int) -> None:
         tiles = tiles.persist()
         todo = manifest.pending(hashes(tiles, lod.area_range(lod.MAX_Z)), known(spark, f"{out}/manifest"), impl).persist()
         rows = render(tiles.join(todo.select("z", "x", "y"), list(TILE), "left_semi"), cfg).join(todo.select(*TILE, "hash"), list(TILE))
+        if glb:
+            drawn = render_tiles(read_tiles(tiles.join(todo.select(*TILE), list(TILE), "left_semi")), cfg=cfg).select("tile.*", "glb")
+            outputs.write(drawn.join(todo.select(*TILE, "hash"), list(TILE)), f"{out}/tiles", impl)
         for name, found in (("buildings", rows.select(*TILE, "feature_id", "footprint_m2", "height_m", "height_method", "lon", "lat", "hash")), ("manifest", todo.select(*TILE, "hash"))):
             placed = found.withColumn("impl", F.lit(impl)).withColumn("batch", F.lit(number).cast("long"))
             placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("impl", "batch").parquet(f"{out}/{name}")
