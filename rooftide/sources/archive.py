@@ -8,10 +8,10 @@ hdfs), and http addresses; a read that fails is tried again.  The header and
 directories are read once per worker and path, and each partition reads the byte
 ranges of its own tiles only.  A small box asks for its addresses one by one; a
 large one walks the entries of the directories.  Options: ``z``, the box
-(``west``, ``south``, ``east``, ``north``), or one tile (``x``, ``y``).  Where
-the session pushes filters to Python sources
-(``spark.sql.python.filterPushdown.enabled``), comparisons of ``z``, ``x`` and
-``y`` with constants narrow what is read.  A partition's tiles are neighbours on
+(``west``, ``south``, ``east``, ``north``), or one tile (``x``, ``y``).  With
+``filters`` set to ``push``, for which the session must push filters to Python
+sources (``spark.sql.python.filterPushdown.enabled``; :func:`read` looks for
+it), comparisons of ``z``, ``x`` and ``y`` with constants narrow what is read.  A partition's tiles are neighbours on
 the Hilbert curve, in whose order an archive holds them, and those that lie side
 by side come in one read.
 """
@@ -26,6 +26,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
@@ -249,6 +250,36 @@ class TileReader(DataSourceReader):
             self.y0 = self.y1 = int(options["y"])
         self.nothing = False
 
+    def partitions(self) -> list[InputPartition]:
+        if self.nothing:
+            return [Numbers([])]
+        if (self.x1 - self.x0 + 1) * (self.y1 - self.y0 + 1) <= FEW:
+            numbers = sorted(tile_number(self.z, x, y) for x in range(self.x0, self.x1 + 1) for y in range(self.y0, self.y1 + 1))
+            return [Numbers(numbers[a : a + NEIGHBOURS]) for a in range(0, len(numbers), NEIGHBOURS)]
+        root = opened(self.path).root
+        starts = range(0, len(root), ENTRIES if any(e[1] for e in root) else 1)  # a leaf directory is a partition of its own
+        step = starts.step
+        return [Entries(root[a : a + step], root[a + step][0] if a + step < len(root) else None) for a in starts]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[int, int, int, bytes]]:
+        archive = opened(self.path)
+        if isinstance(partition, Numbers):
+            places = ((n, *found) for n in partition.numbers if (found := archive.find(n)))
+        else:
+            first, end = (((1 << 2 * z) - 1) // 3 for z in (self.z, self.z + 1))
+            places = (p for p in archive.walk(partition.entries, first, end, partition.after) if self._inside(p[0]))
+        for number, data in archive.contents(places):
+            if data:
+                yield *tile_address(number), data
+
+    def _inside(self, number: int) -> bool:
+        _, x, y = tile_address(number)
+        return self.x0 <= x <= self.x1 and self.y0 <= y <= self.y1
+
+
+class FilteringReader(TileReader):
+    """A reader that takes filters; Spark allows it only where the session pushes them to Python sources."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Comparisons of z, x and y with whole numbers narrow the range; all others are given back."""
         for f in filters:
@@ -279,32 +310,6 @@ class TileReader(DataSourceReader):
         setattr(self, f"{name}1", b)
         self.nothing |= a > b
 
-    def partitions(self) -> list[InputPartition]:
-        if self.nothing:
-            return [Numbers([])]
-        if (self.x1 - self.x0 + 1) * (self.y1 - self.y0 + 1) <= FEW:
-            numbers = sorted(tile_number(self.z, x, y) for x in range(self.x0, self.x1 + 1) for y in range(self.y0, self.y1 + 1))
-            return [Numbers(numbers[a : a + NEIGHBOURS]) for a in range(0, len(numbers), NEIGHBOURS)]
-        root = opened(self.path).root
-        starts = range(0, len(root), ENTRIES if any(e[1] for e in root) else 1)  # a leaf directory is a partition of its own
-        step = starts.step
-        return [Entries(root[a : a + step], root[a + step][0] if a + step < len(root) else None) for a in starts]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[int, int, int, bytes]]:
-        archive = opened(self.path)
-        if isinstance(partition, Numbers):
-            places = ((n, *found) for n in partition.numbers if (found := archive.find(n)))
-        else:
-            first, end = (((1 << 2 * z) - 1) // 3 for z in (self.z, self.z + 1))
-            places = (p for p in archive.walk(partition.entries, first, end, partition.after) if self._inside(p[0]))
-        for number, data in archive.contents(places):
-            if data:
-                yield *tile_address(number), data
-
-    def _inside(self, number: int) -> bool:
-        _, x, y = tile_address(number)
-        return self.x0 <= x <= self.x1 and self.y0 <= y <= self.y1
-
 
 class TileArchive(DataSource):
     """Tiles of a zoom within a box; tiles that are missing or empty give no row."""
@@ -317,4 +322,11 @@ class TileArchive(DataSource):
         return "z int, x int, y int, content binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TileReader(self.options)
+        return (FilteringReader if self.options.get("filters") == "push" else TileReader)(self.options)
+
+
+def read(spark: SparkSession, path: str, z: int = 14, **options: str) -> DataFrame:
+    """(z, x, y, content) of an archive's tiles of one zoom; takes filters where the session pushes them to Python sources."""
+    spark.dataSource.register(TileArchive)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    return spark.read.format("tile_archive").options(path=path, z=str(z), **({"filters": "push"} if push else {}), **options).load()

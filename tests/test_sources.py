@@ -35,7 +35,7 @@ def test_filters_narrow_what_is_read(tmp_path: Path, few: int, monkeypatch: pyte
         ([a.EqualTo(("content",), b"x"), a.GreaterThan(("z",), 1), a.EqualTo(("x",), None)], lambda x, y: True, 3),
     ]
     for filters, want, left in cases:
-        reader = archive.TileReader({"path": str(place), "z": "5"})
+        reader = archive.FilteringReader({"path": str(place), "z": "5"})
         assert len(list(reader.pushFilters(filters))) == left
         assert rows_of(reader) == sorted((*k, v) for k, v in TILES.items() if want(k[1], k[2]))
 
@@ -58,10 +58,10 @@ def test_neighbours_come_in_one_read(tmp_path: Path, monkeypatch: pytest.MonkeyP
 
 def test_the_plan_leaves_pushed_filters_to_the_source(spark: SparkSession, tmp_path: Path) -> None:
     (tmp_path / "c.pmtiles").write_bytes(build_archive(TILES))
-    spark.dataSource.register(archive.TileArchive)
+    assert archive.read(spark, f"{tmp_path}/c.pmtiles", 5).where("x = 9 and y = 3").count() == 1
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        found = spark.read.format("tile_archive").option("path", f"{tmp_path}/c.pmtiles").option("z", 5).load().where("x = 9 and y between 3 and 6")
+        found = archive.read(spark, f"{tmp_path}/c.pmtiles", 5).where("x = 9 and y between 3 and 6")
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "BatchScan tile_archive" in plan and not re.search(r"\bFilter\b", plan)  # the source takes all of it
         kept = found.where("content is not null and length(content) > 6")._jdf.queryExecution().executedPlan().toString()
