@@ -58,7 +58,7 @@ def test_neighbours_come_in_one_read(tmp_path: Path, monkeypatch: pytest.MonkeyP
 
 def test_the_plan_leaves_pushed_filters_to_the_source(spark: SparkSession, tmp_path: Path) -> None:
     (tmp_path / "c.pmtiles").write_bytes(build_archive(TILES))
-    assert archive.read(spark, f"{tmp_path}/c.pmtiles", 5).where("x = 9 and y = 3").count() == 1
+    assert archive.read(spark, f"{tmp_path}/c.pmtiles", 5).where("x = 9 and y = 4").count() == 1
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
         found = archive.read(spark, f"{tmp_path}/c.pmtiles", 5).where("x = 9 and y between 3 and 6")
