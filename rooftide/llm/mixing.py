@@ -15,8 +15,9 @@ it, a share of 2**-24 of a source, is ordered row by row.
 Cases: null text has size 0; sources are ordered by code point, null last, as a
 source of its own; a source of size 0 has target 0; ties in the hash are
 ordered by key, size and text hash (rows equal in all of these are
-interchangeable); empty texts are taken where their place is before the border
-or their source is taken once as a whole; an empty table gives an empty result;
+interchangeable); rows with a null key are drawn by a hash of source and text;
+empty texts are taken where their place is before the border or their source is
+taken once as a whole, never more than ``max_epochs`` times; an empty table gives an empty result;
 columns with the names of the result are replaced, all others are kept, whatever
 their names.
 """
@@ -37,9 +38,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key: Column, seed: int) -> Column:
-    """60 seeded bits of a key; a null key counts as the word null."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+def draw(key: Column, seed: int, row: Column) -> Column:
+    """60 seeded bits of a key; rows without a key are told apart by a hash of what they hold."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("row "), row.cast("string"))))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     own = ("size", "source_size", "target", "repeats")
     kept = [c for c in docs.columns if c.lower() not in own]
     row = F.struct(*kept).alias("row") if kept else F.lit(None).alias("row")
-    rows = docs.select(row, F.col(key).alias("key"), F.col(source).alias("source"), draw(F.col(key), seed).alias("h"), F.crc32(F.col(text)).alias("crc"), word_count(F.col(text)).alias("size"))
+    rows = docs.select(row, F.col(key).alias("key"), F.col(source).alias("source"), draw(F.col(key), seed, F.xxhash64(source, text)).alias("h"), F.crc32(F.col(text)).alias("crc"), word_count(F.col(text)).alias("size"))
     rows = rows.withColumn("cell", F.shiftright("h", 60 - CELL_BITS)).withColumn("fine", F.shiftright("h", 60 - 2 * CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1))
     cells = cut(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")))
     targets = levels(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
@@ -79,12 +80,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     fine = inside.groupBy("source", "fine").agg(F.sum("size").alias("words"))
     plan = cut(border(fine, coarse, "fine"))
     placed = told(rows, plan)
+    # a source that is at its cap has no rest, so nothing of it comes once more, be it empty
+    more = F.col("rest") > 0
     past = (F.col("cell") < F.col("border_cell")) | (F.col("cell") == F.col("border_cell")) & (F.col("fine") < F.col("border_fine"))
     at = (F.col("cell") == F.col("border_cell")) & (F.col("fine") == F.col("border_fine"))
-    sure = placed.where(~at).select("row", "size", "source_size", "target", (F.col("whole") + past.cast("int")).alias("repeats"))
+    sure = placed.where(~at).select("row", "size", "source_size", "target", (F.col("whole") + (more & past).cast("int")).alias("repeats"))
     line = Window.partitionBy("source").orderBy("h", "key", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     used = F.col("before") + F.coalesce(F.sum("size").over(line), F.lit(0))
-    last = placed.where(at).select("row", "size", "source_size", "target", (F.col("whole") + (used + F.col("size") / 2 <= F.col("rest")).cast("int")).alias("repeats"))
+    last = placed.where(at).select("row", "size", "source_size", "target", (F.col("whole") + (more & (used + F.col("size") / 2 <= F.col("rest"))).cast("int")).alias("repeats"))
     mixed = sure.unionByName(last)
     return mixed.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *own)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, cut, held_out, table
@@ -50,13 +50,14 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records of two replicas, the second one with damage at fixed ids, and what the audit finds."""
     from . import warc
 
-    flipped = F.concat(F.expr("substring(content, 1, octet_length(content) - 1)"), F.lit(b"?"))
-    other = F.when(F.col("page.page_id") % 97 == 13, F.sha2(flipped, 256))
-    records = cut(warc.inventory(table(spark, sf_dir, "pages", "page_id", "url", "html"), also={"other": other}))
-    first = records.select("page_id", "archive", "offset", "length", "digest")
-    second = records.where(F.coalesce(F.col("page_id") % 89 != 7, F.lit(True))).select("archive", "offset", "length", F.coalesce("other", "digest").alias("digest"))
+    def damaged(page: Column, content: Column) -> Column:
+        return F.when(page % 97 == 13, F.concat(F.expr("substring(content, 1, octet_length(content) - 1)"), F.lit(b"?"))).otherwise(content)
+
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    first = cut(warc.inventory(pages))
+    second = cut(warc.inventory(pages, stored=damaged).where(F.coalesce(F.col("page_id") % 89 != 7, F.lit(True))))
     tree = warc.nodes(first)
-    found = warc.audit(first, second, tree).select("archive", "offset", "verdict")
+    found = warc.audit(first.drop("page_id"), second.drop("page_id"), tree).select("archive", "offset", "verdict")
     joined = first.join(found, ["archive", "offset"], "left").join(warc.roots(tree), "archive")
     return joined.select(
         "page_id",

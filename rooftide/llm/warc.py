@@ -21,7 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .common import cut, map_arrow
 
 #: Bits of an offset below the lowest range, and more bits for each level above it; the root is above the last level.
 RANGE_BITS, LEVEL_BITS, LEVELS = 16, 4, 3
-CRLF = "\r\n"
+CRLF, GZIP = "\r\n", b"\x1f\x8b"
 
 
 def record(page: Column, url: Column, body: Column, when: str = "2024-01-01T00:00:00Z") -> Column:
@@ -48,17 +48,19 @@ def _number(key: Column, digest: Column, per_archive: int) -> Column:
     return F.coalesce(F.floor(key / per_archive).cast("long"), lost)
 
 
-def inventory(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html", also: dict[str, Column] | None = None) -> DataFrame:
+def inventory(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html", stored: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(archive, offset, key, length, digest) of pages as the records of archives of ``per_archive`` ids, in the order of ids.
 
-    ``also`` names columns that are computed where the page is read, of its columns and of ``content``, its record.
+    ``stored`` tells, from the key and a record's bytes, the bytes that a replica holds in its place; offsets are those of
+    the records as written, lengths and digests those of the bytes as held.
     """
-    more = also or {}
-    read = pages.select(F.struct(key, url, html).alias("page"), record(F.col(key), F.col(url), F.col(html)).alias("content"))
-    narrow = read.select(F.col(f"page.`{key}`").alias(key), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("digest"), *(c.alias(name) for name, c in more.items()))
-    rows = narrow.withColumn("archive", _number(F.col(key), F.col("digest"), per_archive))
-    before = Window.partitionBy("archive").orderBy(key, "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("archive", "offset", key, "length", "digest", *more)
+    written = record(F.col(key), F.col(url), F.col(html))
+    read = pages.select(F.col(key).alias(key), written.alias("content"), (written if stored is None else stored(F.col(key), written)).alias("held"))
+    size = lambda c: F.octet_length(c).cast("long")
+    narrow = read.select(key, size("content").alias("room"), F.sha2("content", 256).alias("order"), size("held").alias("length"), F.sha2("held", 256).alias("digest"))
+    rows = narrow.withColumn("archive", _number(F.col(key), F.col("order"), per_archive))
+    before = Window.partitionBy("archive").orderBy(key, "order").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("room").over(before), F.lit(0)).cast("long")).select("archive", "offset", key, "length", "digest")
 
 
 def archive(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -72,7 +74,7 @@ def archive(pages: DataFrame, per_archive: int = 1024, key: str = "page_id", url
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of the gzip members of an archive, or of the whole where it isn't compressed."""
-    if data[:2] != b"\x1f\x8b":
+    if data[:2] != GZIP:
         yield 0, len(data), data
         return
     at = 0
@@ -97,37 +99,50 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         headers = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines)}
         size = int(headers["content-length"])
         stop = end + 4 + size + 4
+        if stop > len(data):
+            raise ValueError(f"the record at offset {at} is cut off")
         yield at, stop - at, headers, data[end + 4 : end + 4 + size]
         at = stop
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(archive, offset, length, url, time, content): the records of files read as ``binaryFile``; archive is the path.
+    """(archive, offset, length, url, time, content, error): the records of files read as ``binaryFile``; archive is the path.
 
     Offset and length are those in the file: of the gzip member, where each record is one.  A file is a row, as that
-    source reads it (2 GB at most); its records come out in batches of some megabytes.
+    source reads it (2 GB at most); its records come out in batches of some megabytes.  Where a file is damaged its last
+    row has no content but an ``error``, at the offset from which nothing more could be read.
     """
-    types = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(), "url": pa.string(), "time": pa.timestamp("us", "UTC"), "content": pa.binary()}
+    types = {"archive": pa.string(), "offset": pa.int64(), "length": pa.int64(), "url": pa.string(), "time": pa.timestamp("us", "UTC"), "content": pa.binary(), "error": pa.string()}
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(batch.num_rows):
-            path, rows, held = batch.column(0)[i].as_py(), [], 0
-            for start, size, data in members(batch.column(1)[i].as_py() or b""):
+    def records(path: str, file: bytes) -> Iterator[tuple]:
+        reached = 0
+        try:
+            for start, size, data in members(file):
                 for at, n, h, _ in parse(data):
                     when = datetime.fromisoformat(h["warc-date"]).astimezone(UTC) if "warc-date" in h else None
                     whole = n == len(data)
-                    rows.append((path, start + (0 if whole else at), size if whole else n, h.get("warc-target-uri"), when, data[at : at + n]))
-                    held += n
-                    if held > 8 << 20:
-                        yield packed(rows)
-                        rows, held = [], 0
+                    yield path, start + (0 if whole else at), size if whole else n, h.get("warc-target-uri"), when, data[at : at + n], None
+                    reached = start + (0 if file[:2] == GZIP else at + n)
+                reached = start + size
+        except (ValueError, KeyError, zlib.error) as e:
+            yield path, reached, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            rows, held = [], 0
+            for row in records(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""):
+                rows.append(row)
+                held += len(row[5] or b"")
+                if held > 8 << 20:
+                    yield packed(rows)
+                    rows, held = [], 0
             yield packed(rows)
 
-    return map_arrow(files.select("path", "content"), run, "archive string, offset bigint, length bigint, url string, time timestamp, content binary")
+    return map_arrow(files.select("path", "content"), run, "archive string, offset bigint, length bigint, url string, time timestamp, content binary, error string")
 
 
 def leaves(replica: DataFrame, *also: str) -> DataFrame:
@@ -200,10 +215,11 @@ r AS (
   FROM b),
 l0 AS (SELECT archive, pos >> {RANGE_BITS} AS pos, sha256(string_agg(digest, '' ORDER BY pos, digest)) AS digest FROM r GROUP BY archive, pos >> {RANGE_BITS}),
 {", ".join(levels)},
-t AS (SELECT archive, sha256(string_agg(digest, '' ORDER BY pos, digest)) AS root FROM {last} GROUP BY archive)
+t AS (SELECT archive, sha256(string_agg(digest, '' ORDER BY pos, digest)) AS root FROM {last} GROUP BY archive),
+o AS (SELECT page_id, sha256(CASE WHEN page_id % 97 = 13 THEN left(content, length(content) - 1) || '?' ELSE content END) AS other FROM b WHERE page_id % 89 <> 7)
 SELECT r.page_id, r.archive, r.pos AS record_offset, r.length AS record_length, r.digest AS record_sha256, t.root AS root_sha256,
-       CASE WHEN r.page_id % 89 = 7 THEN 'missing' WHEN r.page_id % 97 = 13 THEN 'changed' ELSE 'ok' END AS verdict
-FROM r JOIN t USING (archive)
+       CASE WHEN other IS NULL THEN 'missing' WHEN other <> digest THEN 'changed' ELSE 'ok' END AS verdict
+FROM r JOIN t USING (archive) LEFT JOIN o ON r.page_id = o.page_id
 """
 
 
