@@ -379,6 +379,18 @@ def mvt_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("x", "y", F.col("feature_id").cast("long").alias("feature_id"), rounded("height", 6), "num_floors", "class", "subtype", "is_underground", box(F.array_min, "px").alias("px0"), box(F.array_min, "py").alias("py0"), box(F.array_max, "px").alias("px1"), box(F.array_max, "py").alias("py1"))
 
 
+@query(f"""WITH {FEATURES}, k AS (SELECT x, y, CASE (x + y) % 4 WHEN 0 THEN 'damaged' WHEN 1 THEN 'empty' ELSE 'feature' END AS status, count(*) AS n FROM f GROUP BY x, y), r AS (SELECT * FROM k WHERE status <> 'empty')
+SELECT x::INT AS x, y::INT AS y, status, CASE WHEN status = 'feature' THEN n ELSE 0 END::BIGINT AS n_features, (SELECT count(*) FROM k) AS tiles, (SELECT count(*) FROM k WHERE status = 'damaged') AS damaged, (SELECT count(*) FROM k WHERE status = 'empty') AS empty FROM r""")
+def tile_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector tiles of which some are cut off and some empty: both sides of one pass, with its counts."""
+    side = (F.col("x") + F.col("y")) % 4
+    content = F.when(side == 0, F.expr("substring(content, 1, octet_length(content) - 3)")).when(side == 1, F.lit(b"")).otherwise(F.col("content"))
+    found = vector_tiles.land(data.tiles(spark, sf_dir).withColumn("content", content), f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}", ["height"])
+    good = found.features.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_features")).withColumn("status", F.lit("feature"))
+    both = good.unionByName(found.damaged.select("x", "y", F.lit(0).cast("long").alias("n_features"), F.lit("damaged").alias("status")))
+    return both.select("x", "y", "status", "n_features", *(F.lit(found.counts[c]).cast("long").alias(c) for c in ("tiles", "damaged", "empty")))
+
+
 @query(f"WITH {FEATURES} SELECT feature_id, 2 * count(*) AS n_triangles, round(sum(area_m2), 2) AS area_m2 FROM v GROUP BY feature_id")
 def roof_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ear-clipped roofs of every fragment: triangles and their area, by feature."""

@@ -72,5 +72,6 @@ def start(spark: SparkSession, source: str, out: str, checkpoint: str, impl: str
         todo.unpersist()
         tiles.unpersist()
 
+    spark.dataSource.register(outputs.TileOutputs)  # batches run in copies of this session, which know what it knows
     stream = spark.readStream.schema(TILES).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()

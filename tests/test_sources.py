@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from test_tiles import SQUARE, build_archive
 
 from rooftide.plans.bindings import encode_tile
-from rooftide.sources import archive, outputs
+from rooftide.sources import archive, outputs, vector_tiles
 from rooftide.streaming import rerender
 
 TILES = {(5, x, y): f"{x}/{y} ".encode() * (1 + x % 3) for x in range(32) for y in range(32) if (x * 5 + y) % 4}
@@ -119,3 +120,40 @@ def test_the_stream_writes_each_tile_once(spark: SparkSession, tmp_path: Path) -
     assert sorted(r.y for r in found) == [6451, 6452, 6453]
     names = list((tmp_path / "out/tiles/v1").glob("*.glb"))
     assert {p.stem for p in names} == {r.hash for r in found} and all(p.read_bytes()[:4] == b"glTF" for p in names)
+
+
+def damaged_tiles(spark: SparkSession):
+    good = encode_tile([{"id": k, "rings": [SQUARE], "height": 1.0 * k} for k in range(3)])
+    rows = [(14, 1, 0, good), (14, 1, 1, good[:-4]), (14, 1, 2, b""), (14, 1, 3, None), (14, 1, 4, b"\x1f\x8bnot gzip"), (14, 1, 5, good), (14, 1, 6, encode_tile([{"id": 9, "rings": [SQUARE]}], layer="roads"))]
+    return spark.createDataFrame(rows, rerender.TILES).repartition(3)
+
+
+def test_damaged_tiles_are_kept_aside(spark: SparkSession, tmp_path: Path) -> None:
+    tiles = damaged_tiles(spark)
+    found = vector_tiles.land(tiles, f"{tmp_path}/landed")
+    assert found.counts == {"tiles": 7, "features": 6, "damaged": 2, "empty": 3}
+    bad = {r.y: r for r in found.damaged.collect()}
+    assert sorted(bad) == [1, 4] and all(r.error for r in bad.values()) and bytes(bad[4].content) == b"\x1f\x8bnot gzip"
+    plain = vector_tiles.read_tiles(tiles)
+    assert found.features.columns == plain.columns and sorted(map(str, found.features.collect())) == sorted(map(str, plain.collect()))
+    # the tiles that were put aside can be read again once they are mended
+    again = vector_tiles.land(found.damaged.withColumn("content", F.lit(encode_tile([{"id": 1, "rings": [SQUARE]}]))), f"{tmp_path}/again")
+    assert again.counts == {"tiles": 2, "features": 2, "damaged": 0, "empty": 0} and again.damaged.count() == 0
+    assert vector_tiles.land(tiles.limit(0), f"{tmp_path}/none").counts == {"tiles": 0, "features": 0, "damaged": 0, "empty": 0}
+
+
+def test_a_stream_counts_its_tiles(spark: SparkSession, tmp_path: Path) -> None:
+    damaged_tiles(spark).write.parquet(f"{tmp_path}/in")
+    listener = vector_tiles.TileCounts()
+    spark.streams.addListener(listener)
+    try:
+        rows = vector_tiles.watched(vector_tiles.read_tiles(spark.readStream.schema(rerender.TILES).parquet(f"{tmp_path}/in"), mode="QUARANTINE"))
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(50):
+            if listener.counts:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.counts == {"tiles": 7, "features": 6, "damaged": 2, "empty": 3}
