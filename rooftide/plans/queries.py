@@ -401,6 +401,20 @@ def roof_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("feature_id", area.alias("area")).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n_triangles"), F.round(F.sum("area"), 2).alias("area_m2"))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber % 3 AS kind, (4 + trunc(l_quantity))::DOUBLE AS w, (4 + 8 * l_linenumber)::DOUBLE AS h FROM lineitem)
+SELECT l_orderkey, count(*) AS n_roofs, round(sum(w * h * 0.75::DOUBLE - CASE kind WHEN 0 THEN 0 ELSE kind * w * h / 16 END), 3) AS area_m2 FROM r GROUP BY l_orderkey""")
+def roof_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ear-clipped roofs of two arms with up to two holes: their area, of each order."""
+    w, h = (4 + F.floor("l_quantity")).cast("double"), (4 + 8 * F.col("l_linenumber")).cast("double")
+    ring = lambda *at: F.array(*(F.struct((w * x).alias("e"), (h * y).alias("n")) for x, y in at))
+    outer = ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
+    box = lambda x: ring((x, 0.125), (x + 0.25, 0.125), (x + 0.25, 0.375), (x, 0.375))
+    holes = F.slice(F.array(box(0.125), box(0.625)), F.lit(1), F.col("l_linenumber") % 3)
+    rows = data.read(spark, sf_dir, "lineitem").select("l_orderkey", outer.alias("outer"), holes.alias("holes"), F.lit(3.0).alias("top"), F.monotonically_increasing_id().alias("k"))
+    flat = mesh.roofs(rows, "l_orderkey", "k").select("l_orderkey", F.expr("aggregate(transform(triangles, t -> abs((vertices[t.j].px - vertices[t.i].px) * (vertices[t.k].pz - vertices[t.i].pz) - (vertices[t.k].px - vertices[t.i].px) * (vertices[t.j].pz - vertices[t.i].pz)) / 2), 0d, (s, v) -> s + v)").alias("area"))
+    return flat.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_roofs"), F.round(F.sum("area"), 3).alias("area_m2"))
+
+
 TILE_MERGED = f"""
 d AS (SELECT x, y, count(*)::DOUBLE AS mean FROM f GROUP BY x, y),
 m0 AS (SELECT x, y, feature_id, sum(area_m2)::FLOAT AS footprint_m2, count(*) AS n_fragments,
