@@ -410,7 +410,8 @@ def roof_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
     box = lambda x: ring((x, 0.125), (x + 0.25, 0.125), (x + 0.25, 0.375), (x, 0.375))
     holes = F.slice(F.array(box(0.125), box(0.625)), F.lit(1), F.col("l_linenumber") % 3)
-    rows = data.read(spark, sf_dir, "lineitem").select("l_orderkey", outer.alias("outer"), holes.alias("holes"), F.lit(3.0).alias("top"), F.monotonically_increasing_id().alias("k"))
+    lines = data.read(spark, sf_dir, "lineitem")
+    rows = data.dealt(lines.select("l_orderkey", "l_quantity", "l_linenumber"), lines).select("l_orderkey", outer.alias("outer"), holes.alias("holes"), F.lit(3.0).alias("top"), F.monotonically_increasing_id().alias("k"))
     flat = mesh.roofs(rows, "l_orderkey", "k").select("l_orderkey", F.expr("aggregate(transform(triangles, t -> abs((vertices[t.j].px - vertices[t.i].px) * (vertices[t.k].pz - vertices[t.i].pz) - (vertices[t.k].px - vertices[t.i].px) * (vertices[t.j].pz - vertices[t.i].pz)) / 2), 0d, (s, v) -> s + v)").alias("area"))
     return flat.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_roofs"), F.round(F.sum("area"), 3).alias("area_m2"))
 
