@@ -89,10 +89,13 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     end[np.flatnonzero(rest) - 1] -= 1  # without the break itself
     size = end - start
 
-    sums = lambda marks: np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-    between = lambda s, a, b: s[b] - s[a]
-    upper, lower, symbol, digit, stop, other = (sums(k[data]) for k in (UPPER, LOWER, SYMBOL, DIGIT, STOP, OTHER))
-    letters = upper + lower + other
+    def of_lines(kind: np.ndarray) -> np.ndarray:
+        """Bytes of a kind in each line; one running sum at a time, as it takes several bytes for each byte of text."""
+        total = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)])
+        return total[end] - total[start]
+
+    upper, symbol, digit, stop, other = (of_lines(k) for k in (UPPER, SYMBOL, DIGIT, STOP, OTHER))
+    held = upper + of_lines(LOWER) + other
     solid = ~(SPACE[data] | (data == 10))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -117,11 +120,11 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     _, same, copies = np.unique(mixed, return_inverse=True, return_counts=True)
     final = data[np.maximum(end - 1, 0)] if len(data) else np.zeros(len(start), np.uint8)
     letter = UPPER | LOWER | OTHER
-    held = between(letters, start, end)
+    odd = np.concatenate([[0], np.cumsum(SYMBOL[data], dtype=np.int32 if len(data) < 1 << 31 else np.int64)])
+    bare = odd[stops] - odd[begins] == long
     columns = [
-        np.log1p(size), np.log1p(words), np.sqrt(_share(between(upper, start, end), held)), np.sqrt(_share(between(symbol, start, end), size)),
-        np.sqrt(_share(between(digit, start, end), size)), np.sqrt(_share(between(stop, start, end), size)), np.sqrt(_share(between(other, start, end), size)),
-        np.log1p(_share(many(long), words)), _share(many(long <= 3), words), np.sqrt(_share(many(between(symbol, begins, stops) == long), words)),
+        np.log1p(size), np.log1p(words), np.sqrt(_share(upper, held)), np.sqrt(_share(symbol, size)), np.sqrt(_share(digit, size)), np.sqrt(_share(stop, size)), np.sqrt(_share(other, size)),
+        np.log1p(_share(many(long), words)), _share(many(long <= 3), words), np.sqrt(_share(many(bare), words)),
         np.sqrt(_share(many(SYMBOL[data[stops - 1]]), words)), _share(many(UPPER[data[begins]]), words), _share(_distinct(line, word, len(start)), words),
         _share(_distinct(line[pair], twice, len(start)), pairs), (copies[same] > 1) & (size > 0), (size > 0) & ~letter[final] & ~SYMBOL[final], size == 0,
     ]
