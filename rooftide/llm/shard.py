@@ -28,8 +28,9 @@ from pyspark.sql.types import MapType, VariantType
 
 from .common import cut
 
-#: Text bytes and rows of a bucket: a task holds a few copies of one bucket.
-BUCKET_BYTES, BUCKET_ROWS = 8 << 20, 8192
+#: Text bytes and rows of a bucket: a task holds a few copies of one bucket.  Each step of the permutation copies it (Spark's
+#: arrays can't be changed in place), which is quadratic in the rows of a bucket; so short rows get more buckets, not larger ones.
+BUCKET_BYTES, BUCKET_ROWS = 8 << 20, 256
 #: Hashes (8 bytes each) of much repeated rows up to which they are broadcast.
 BROADCAST_HASHES = 500_000
 #: Buckets whose offsets one task finds; it then takes one task for the runs, of which there are so many times fewer.
@@ -65,8 +66,14 @@ def external_shuffle(df: DataFrame, shards: int, seed: int = 9, payload: str = "
     numbered = df.select("row", F.lit(0).alias("ordinal"))
     if most := hot.count():  # count them, and give each copy a place of its own
         hot = F.broadcast(hot) if most <= BROADCAST_HASHES else hot
-        copies = df.join(hot, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        copies = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("ordinal"))
+        copies = df.join(hot, "h", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("size").alias("size"))
+        # numbered in runs of a bucket's worth, which are dealt over all tasks before copies are made
+        run = F.least(F.lit(bucket_rows), F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / F.greatest(F.col("size"), F.lit(1)))))
+        runs = copies.withColumn("long", run).select("row", "h", "n", "long", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("long")))).alias("run"))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        runs = runs.repartition(tasks, "h", "run")
+        start = F.col("run") * F.col("long")
+        copies = runs.select("row", F.explode(F.sequence(start + 1, F.least(F.col("n"), start + F.col("long")))).alias("ordinal")).select("row", F.col("ordinal").cast("int"))
         numbered = df.join(hot, "h", "left_anti").select("row", F.lit(0).alias("ordinal")).unionByName(copies)
     values = [F.col(f"row.`{c}`") for c in kept]
     place = F.pmod(F.xxhash64(F.lit(seed), "ordinal", *values), F.lit(buckets)).cast("int")
