@@ -9,9 +9,12 @@ import json
 import random
 import struct
 import threading
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import plain_tiles
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import SparkSession
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from rooftide.operators import glb, manifest, mesh
 from rooftide.plans.bindings import _varint, encode_tile
 from rooftide import engine
-from rooftide.sources import archive, vector_tiles
+from rooftide.sources import archive, tile_columns, vector_tiles
 from rooftide.streaming import rerender
 
 SQUARE = [(0, 0), (100, 0), (100, 100), (0, 100)]
@@ -34,13 +37,68 @@ def test_wire_primitives() -> None:
             list(vector_tiles.messages(bad))
 
 
-def test_geometry_commands() -> None:
+def geometry(numbers: list[int]) -> list:
+    found, fault = tile_columns.rings(np.array(numbers, np.uint64), np.array([len(numbers)]))
+    assert not fault[0], tile_columns.FAULTS[fault[0]]
+    return [[(p["px"], p["py"]) for p in ring] for ring in found.to_pylist()[0]]
+
+
+@pytest.mark.parametrize("read", [geometry, plain_tiles.polygon_rings])
+def test_geometry_commands(read: Callable) -> None:
     move, line, close = 1 << 3 | 1, 2 << 3 | 2, 1 << 3 | 7
-    assert vector_tiles.polygon_rings([move, 2, 2, line, 4, 0, 0, 4, close]) == [[(1, 1), (3, 1), (3, 3), (1, 1)]]
-    assert vector_tiles.polygon_rings([close]) == [[]]
-    assert vector_tiles.polygon_rings([move, 0, 0, move, 2, 2]) == [[(0, 0)], [(1, 1)]]
-    with pytest.raises(vector_tiles.TileError):
-        vector_tiles.polygon_rings([3])
+    assert read([move, 2, 2, line, 4, 0, 0, 4, close]) == [[(1, 1), (3, 1), (3, 3), (1, 1)]]
+    assert read([close]) == [[]] and read([close, close]) == [[], []] and read([]) == []
+    assert read([move, 0, 0, move, 2, 2]) == [[(0, 0)], [(1, 1)]] == read([2 << 3 | 1, 0, 0, 2, 2])
+    assert read([line, 2, 2, 0, 0, close, line, 2, 2, 0, 0]) == [[(1, 1), (1, 1)], [(2, 2), (2, 2)]]
+    assert read([move, 2**32 - 2, 0, 1 << 3 | 2, 2, 0]) == [[(2**31 - 1, 0), (-(2**31), 0)]]
+    for bad in ([3], [move, 2], [close, 0], [2**63 | 2, 1, 1]):
+        with pytest.raises((AssertionError, vector_tiles.TileError), match="command|geometry"):
+            read(bad)
+
+
+def rough_tile(rng: random.Random, layer: str) -> bytes:
+    """A tile of odd parts: any command stream, attributes of all types, unknown keys and fields, tags out of range."""
+    field = lambda n, data: _varint(n << 3 | 2) + _varint(len(data)) + data
+    value = lambda: rng.choice([field(1, rng.choice(["3.5", "-7", "Haus", "true"]).encode()), _varint(2 << 3 | 5) + struct.pack("<f", rng.uniform(-9, 9)), _varint(3 << 3 | 1) + struct.pack("<d", rng.uniform(-1e9, 1e20)), *(_varint(k << 3) + _varint(rng.choice([0, 1, 3, 2**63 + 5, 2**64 - 2])) for k in (4, 5, 6, 7)), b""])
+    keys = rng.sample([*vector_tiles.ATTRIBUTES, "@name", "other", "id"], 9)
+    out = []
+    for _ in range(rng.randrange(6)):
+        stream = []
+        for _ in range(rng.randrange(7)):
+            command, count = rng.choice([(1, 1), (1, 2), (2, 0), (2, 3), (7, 1), (7, 1)])
+            stream += [count << 3 | command, *([rng.choice([0, 0, 3, 4, 2**31, 2**32 - 1, 2**40 + 1]) for _ in range(2 * count)] if command < 3 else [])]
+        tags = [rng.choice([*range(11), 2**63]) for _ in range(rng.randrange(14))]
+        parts = [field(2, b"".join(map(_varint, tags))), _varint(3 << 3) + _varint(rng.choice([3, 3, 3, 2])), field(4, b"".join(map(_varint, stream))), field(9, b"any"), _varint(8 << 3 | 5) + b"1234", _varint(7 << 3 | 1) + b"12345678"]
+        parts += [_varint(1 << 3) + _varint(rng.choice([0, 5, 2**64 - 1]))] if rng.random() < 0.7 else []
+        out.append(field(2, b"".join(rng.sample(parts, rng.randrange(len(parts) + 1)))))
+    body = [field(1, layer.encode()), *out, *(field(3, k.encode()) for k in keys), *(field(4, value()) for _ in range(9)), _varint(5 << 3) + _varint(512)]
+    return field(3, b"".join(body if rng.random() < 0.5 else body[::-1]))
+
+
+def test_tiles_by_columns_are_those_read_plainly() -> None:
+    rng, wanted, contents, damaged = random.Random(5), list(vector_tiles.ATTRIBUTES), [b""], 0
+    for _ in range(1500):
+        data = b"".join(rough_tile(rng, rng.choice(["building", "building", "roads"])) for _ in range(rng.randrange(1, 4)))
+        if rng.random() < 0.5:  # damage: a byte changed, or the end cut off
+            at = rng.randrange(len(data))
+            data = data[:at] + (bytes([rng.randrange(256)]) + data[at + 1 :] if rng.random() < 0.7 else b"")
+        contents.append(data)
+    found, reasons = vector_tiles.decode_tiles(contents, wanted)
+    columns = {c: pa.array([vector_tiles.attribute(vector_tiles.ATTRIBUTES[c], v, c) for v in values], vector_tiles.ARROW[vector_tiles.ATTRIBUTES[c]]).take(at).to_pylist() for c, (values, at) in zip(wanted, found.values, strict=True)}
+    got: dict[int, list] = {}
+    for k, (tile, number, extent, ident, rings) in enumerate(zip(found.tile.tolist(), found.number.tolist(), found.extent.tolist(), found.ident.to_pylist(), found.rings.to_pylist(), strict=True)):
+        row = {c: v[k] for c, v in columns.items() if v[k] is not None}
+        got.setdefault(tile, []).append((number, extent, ident, [[(p["px"], p["py"]) for p in r] for r in rings], row))
+    for tile, data in enumerate(contents):
+        try:
+            extent, features = plain_tiles.decode_tile(data, wanted)
+        except vector_tiles.TileError:
+            assert reasons[tile] and tile not in got
+            damaged += 1
+            continue
+        want = [(f["feat_idx"], extent, f["feature_id"], f["rings"], {c: f[c] for c in wanted if f.get(c) is not None}) for f in features]
+        assert reasons[tile] is None and got.get(tile, []) == want
+    assert 300 < damaged < 1000 and len(found.tile) > 500
 
 
 def test_attribute_coercion() -> None:
