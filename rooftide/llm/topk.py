@@ -11,7 +11,10 @@ Queries and candidates meet block by block, so neither side is broadcast and no
 task holds more than one block of each.  Blocks hold vectors of one
 neighbourhood (near the same pivot, at like distances).  Each query meets the
 block of its own neighbourhood first; its k-th score there is where its search
-in all other blocks begins, and the k best of all blocks are merged.
+in all other blocks begins, and the k best of all blocks are merged.  Of every
+block the least and greatest distance to each pivot and the greatest norm are
+kept: they bound all products with it, and a query is sent only to blocks whose
+bound reaches its k-th score, a candidate only to blocks of queries that need it.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take
 no part; shorter vectors count as padded with zeros; components may be of any
@@ -34,7 +37,12 @@ from pyspark.sql import functions as F
 from .common import arrow, cut, map_arrow
 
 PIVOTS, PIVOT_SAMPLE = 32, 512
+#: Rows of a block of queries and of candidates, for vectors of up to 64 components; wider ones make smaller blocks.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Queries, and boxes of blocks, that are bounded against each other at once.
+BOUND_QUERIES, BOUND_BOXES = 8192, 2048
+#: Bound on the rounding of a tabled distance, as a share of the greatest one to that pivot.
+ROUNDING = 1e-6
 #: Candidates that are evaluated at once at first; each further wave is three times as large.
 WAVE = 256
 
@@ -81,12 +89,18 @@ def search(query_ids: np.ndarray, queries: np.ndarray, to_q: np.ndarray, ids: np
     norm_c, norm_q = (candidates * candidates).sum(1), (queries * queries).sum(1)
     slack = 1e-5 * (norm_c.max(initial=0) + norm_q.max(initial=0)) + 0.5
     half = norm_c / 2
+    # a pivot much farther away than the vectors are long is rounded by more than the slack holds
+    top = np.maximum(to_c.max(1, initial=0)[:, None], to_q.T.max(1, initial=0)[:, None]).ravel() if len(q) else np.zeros(len(to_c))
+    rounding = np.where(ROUNDING * np.square(top, dtype=np.float64) > slack, ROUNDING * top, 0).astype(to_c.dtype)
     apart, gap = np.empty(len(c), to_c.dtype), np.empty(len(c), to_c.dtype)
     out_q, out_c, out_s, evaluated = [], [], [], 0
     for i in range(len(q)):
         apart.fill(0)
-        for row, own in zip(to_c, to_q[i], strict=True):
-            np.maximum(apart, np.abs(np.subtract(row, own, out=gap), out=gap), out=apart)
+        for row, own, off in zip(to_c, to_q[i], rounding, strict=True):
+            np.abs(np.subtract(row, own, out=gap), out=gap)
+            if off:
+                np.subtract(gap, off, out=gap)
+            np.maximum(apart, gap, out=apart)
         bound = half - np.square(apart, dtype=np.float64) / 2 + (norm_q[i] / 2 + slack) if most < 1e300 else np.full(len(c), np.inf)
         bound[ids == query_ids[i]] = -np.inf
         lowest = -np.inf if least is None else least[i]
@@ -143,6 +157,74 @@ def tabled(rows: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
     return rows.select("id", "v").mapInArrow(arrow(run), "id bigint, v array<double>, far array<double>, near int, apart double")
 
 
+def boxes(table: DataFrame, width: int) -> DataFrame:
+    """(home, lo, hi, norm): the least and greatest distances to each pivot and the greatest squared norm of the rows (home, v, far) of each block.
+
+    A block that lies in several partitions gets a box in each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            home = batch.column(0).to_numpy()
+            v = matrix(batch.column(1), width)
+            far = matrix(batch.column(2), len(batch.column(2)[0]))
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = (v * v).sum(1)
+            norm[~np.isfinite(far).all(1)] = np.inf
+            for b in np.unique(home):
+                of = home == b
+                lo, hi, most = far[of].min(0), far[of].max(0), norm[of].max()
+                old = found.get(int(b))
+                found[int(b)] = [lo, hi, most] if old is None else [np.minimum(old[0], lo), np.maximum(old[1], hi), np.maximum(old[2], most)]
+        if found:
+            lists = lambda k: pa.array([x[k].tolist() for x in found.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), lists(0), lists(1), pa.array([float(x[2]) for x in found.values()])], ["home", "lo", "hi", "norm"])
+
+    return table.select("home", "v", "far").mapInArrow(arrow(run), "home int, lo array<double>, hi array<double>, norm double")
+
+
+def box_bounds(to_q: np.ndarray, norm_q: float, lo: np.ndarray, hi: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Upper bounds of the products of a query with all that lies in boxes; not a number where sizes overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = np.maximum(lo - to_q, to_q - hi) - ROUNDING * np.maximum(hi, to_q)
+        apart = np.maximum(gap.max(1), 0)
+        return (norm + norm_q - apart * apart) / 2 + 1e-5 * (norm + norm_q) + 0.5
+
+
+def reached(asked: DataFrame, box: DataFrame, width: int, n_queries: int, blocks: int) -> DataFrame:
+    """(id, b): the blocks other than its own whose bound reaches ``least`` of each query (id, home, v, far, least); all blocks where it is null."""
+    groups, parts = -(-blocks // BOUND_BOXES), -(-max(n_queries, 1) // BOUND_QUERIES)
+    dealt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    none = F.lit(None)
+    queries = asked.select(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(parts)).cast("int").alias("part"), dealt(groups).alias("group"), F.col("id"), "home", F.col("far").alias("lo"), none.cast("array<double>").alias("hi"), norm.alias("norm"), "least")
+    offered = box.select(dealt(parts).alias("part"), F.pmod("home", F.lit(groups)).cast("int").alias("group"), none.cast("bigint").alias("id"), "home", "lo", "hi", "norm", none.cast("double").alias("least"))
+    met = queries.unionByName(offered).groupBy("part", "group").agg(F.collect_list(F.struct("id", "home", "lo", "hi", "norm", "least")).alias("m"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(batch.num_rows):
+            m = batch.column(0)[at].values
+            query = np.asarray(m.field("id").is_valid())
+            if query.all() or not query.any():
+                continue
+            own, other = m.filter(pa.array(query)), m.filter(pa.array(~query))
+            lo, hi = (matrix(other.field(c), len(other.field("lo")[0])) for c in ("lo", "hi"))
+            b, most = other.field("home").to_numpy(), other.field("norm").to_numpy()
+            far, norms = matrix(own.field("lo"), lo.shape[1]), own.field("norm").to_numpy()
+            ids, home = own.field("id").to_numpy(), own.field("home").to_numpy()
+            least = own.field("least").to_numpy(zero_copy_only=False).astype(np.float64)
+            found = []
+            for i in range(len(ids)):
+                ruled_out = box_bounds(far[i], norms[i], lo, hi, most) < least[i]  # false for what is not a number
+                found.append(np.unique(b[~ruled_out & (b != home[i])]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(np.concatenate(found).astype(np.int32))], ["id", "b"])
+
+    return map_arrow(met.select("m"), run, "id bigint, b int")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k best of all other rows for each row where ``is_query`` (of the column ``id``) holds."""
     rows = cut(quantised(vectors, key, vector, scale))
@@ -152,12 +234,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     for i, r in enumerate(sample):
         padded[i, : len(r["v"])] = r["v"]
     pivots = choose_pivots(padded)
-    query_blocks, blocks = -(-max(n_queries, 1) // QUERY_BLOCK), -(-max(n, 1) // CANDIDATE_BLOCK)
+    wide = max(96, width + PIVOTS)
+    query_block, candidate_block = max(QUERY_BLOCK * 96 // wide, 1), max(CANDIDATE_BLOCK * 96 // wide, 1)
+    query_blocks, blocks = -(-max(n_queries, 1) // query_block), -(-max(n, 1) // candidate_block)
     # neighbourhoods: ranges of (nearest pivot, distance to it); the blocks are fixed by what is written
     table = tabled(rows, width, pivots).repartitionByRange(blocks, "near", "apart", "id")
-    table = cut(table.select(F.spark_partition_id().alias("home"), "id", "v", "far"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(query_blocks)).cast("int")
+    table = cut(table.select(F.spark_partition_id().alias("home"), "id", "v", "far", "near", "apart"))
     asked = table.where(is_query)
     none = F.lit(None).cast("double").alias("least")
     column = ("id", "v", "far")
@@ -183,14 +265,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
         return map_arrow(met.select("m"), run, "query_id bigint, id bigint, score bigint")
 
     # the home block first; its queries are dealt into blocks of their own
-    home = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    home = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
     at_home = asked.join(home, "home").select(F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int").alias("a"), F.col("home").alias("b"), *column, none)
     offered = table.join(home, "home").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), F.col("home").alias("b"), *column)
     first = cut(meet(at_home, offered))
-    reach = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    known = asked.join(reach.select(F.col("query_id").alias("id"), F.col("least").cast("double")), "id", "left")
-    abroad = known.select(own.alias("a"), every(blocks).alias("b"), "home", *column, "least").where("b != home")
-    others = meet(abroad, table.select(every(query_blocks).alias("a"), F.col("home").alias("b"), *column)) if blocks > 1 else first.limit(0)
+    others = first.limit(0)
+    if blocks > 1:
+        reach = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+        known = asked.join(reach.select(F.col("query_id").alias("id"), F.col("least").cast("double")), "id", "left")
+        # blocks of queries are ranges of neighbourhoods too, so that queries of a block need the same candidates
+        known = cut(known.repartitionByRange(query_blocks, "near", "apart", "id").select(F.spark_partition_id().alias("a"), "home", *column, "least"))
+        sent = cut(reached(known, boxes(table, width), width, n_queries, blocks).join(known.select("id", "a"), "id"))
+        abroad = sent.join(known.drop("a"), "id").select("a", "b", *column, "least")
+        offered = table.join(sent.select("a", F.col("b").alias("home")).distinct(), "home").select("a", F.col("home").alias("b"), *column)
+        others = meet(abroad, offered)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = first.unionByName(others)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

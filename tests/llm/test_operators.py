@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -297,6 +297,55 @@ def test_top_k_of_large_components(spark: SparkSession, size: float, monkeypatch
         assert sorted((r["rank"], r.id, r.score) for r in found if r.query_id == i) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
 
 
+def test_top_k_sends_queries_to_reached_blocks_only(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Clusters: few pairs of query and block are left, ties over blocks are kept, and the result is exact."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(topk, "BOUND_BOXES", 7)
+    monkeypatch.setattr(topk, "BOUND_QUERIES", 30)
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(20, 6))
+    middles *= 40 / np.linalg.norm(middles, axis=1)[:, None]
+    x = np.repeat(middles, 60, 0) + rng.normal(size=(1200, 6)) / 8
+    x[::60] = x[0]  # equal vectors, more than a block holds with their cluster
+    sent = []
+    plain = topk.reached
+
+    def counted(asked: DataFrame, box: DataFrame, *rest: int) -> DataFrame:
+        sent.append((asked.count(), box.select("home").distinct().count(), plain(asked, box, *rest).count()))
+        return plain(asked, box, *rest)
+
+    monkeypatch.setattr(topk, "reached", counted)
+    found = topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=9).collect()
+    (queries_, blocks, pairs), = sent
+    assert queries_ == 120 and blocks >= 20 and pairs < queries_ * blocks / 4
+    q = np.floor(64 * x).astype(int)
+    by = defaultdict(list)
+    for r in found:
+        by[r.query_id].append((r["rank"], r.id, r.score))
+    for i in range(0, 1200, 10):
+        best = sorted((-int(s), j) for j, s in enumerate(q @ q[i]) if j != i)[:9]
+        assert sorted(by[i]) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+
+
+def test_far_pivots_rule_out_no_best_candidate() -> None:
+    """A pivot much farther than the vectors are long is tabled with rounding, which bounds allow for."""
+    rng = np.random.default_rng(13)
+    c = np.floor(rng.normal(size=(3000, 4)) * 40)
+    pivots = np.floor(rng.normal(size=(6, 4)) * 1e9)
+    far = topk.distances(c, pivots)
+    q, s = c[:40], c @ c[:40].T
+    np.fill_diagonal(s[:40], -np.inf)
+    ids = np.arange(len(c))
+    _, got, scores, _ = topk.search(ids[:40], q, far[:40], ids, c, far, 5)
+    for i in range(40):
+        want = np.lexsort((ids, -s[:, i]))[:5]
+        assert got[i].tolist() == want.tolist() and scores[i].tolist() == s[want, i].tolist()
+        assert (topk.box_bounds(far[i], (q[i] ** 2).sum(), far[:1], far[:1], (c[:1] ** 2).sum(1)) >= c[0] @ q[i]).all()
+        box = topk.box_bounds(far[i], (q[i] ** 2).sum(), far.min(0)[None], far.max(0)[None], (c * c).sum(1).max()[None])
+        assert box[0] >= s[:, i].max()
+
+
 def water_filling(sizes: list[int], weights: list[float], words: float) -> list[float]:
     """Clamp and reshare until nothing is above its cap."""
     target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
