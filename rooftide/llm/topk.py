@@ -157,6 +157,13 @@ def tabled(rows: DataFrame, width: int, pivots: np.ndarray) -> DataFrame:
     return rows.select("id", "v").mapInArrow(arrow(run), "id bigint, v array<double>, far array<double>, near int, apart double")
 
 
+def ranged(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """Rows written with the number (below ``n``) of their range of neighbourhoods; a session may make more partitions than ``n``, which are joined."""
+    written = cut(rows.repartitionByRange(n, "near", "apart", "id").withColumn(name, F.spark_partition_id()))
+    ranges = written.agg(F.coalesce(F.max(name), F.lit(0))).first()[0] + 1
+    return written.withColumn(name, F.floor(F.col(name) * n / max(ranges, n)).cast("int"))
+
+
 def boxes(table: DataFrame, width: int) -> DataFrame:
     """(home, lo, hi, norm): the least and greatest distances to each pivot and the greatest squared norm of the rows (home, v, far) of each block.
 
@@ -238,8 +245,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
     query_block, candidate_block = max(QUERY_BLOCK * 96 // wide, 1), max(CANDIDATE_BLOCK * 96 // wide, 1)
     query_blocks, blocks = -(-max(n_queries, 1) // query_block), -(-max(n, 1) // candidate_block)
     # neighbourhoods: ranges of (nearest pivot, distance to it); the blocks are fixed by what is written
-    table = tabled(rows, width, pivots).repartitionByRange(blocks, "near", "apart", "id")
-    table = cut(table.select(F.spark_partition_id().alias("home"), "id", "v", "far", "near", "apart"))
+    table = ranged(tabled(rows, width, pivots), blocks, "home")
     asked = table.where(is_query)
     none = F.lit(None).cast("double").alias("least")
     column = ("id", "v", "far")
@@ -274,9 +280,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ke
         reach = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
         known = asked.join(reach.select(F.col("query_id").alias("id"), F.col("least").cast("double")), "id", "left")
         # blocks of queries are ranges of neighbourhoods too, so that queries of a block need the same candidates
-        known = cut(known.repartitionByRange(query_blocks, "near", "apart", "id").select(F.spark_partition_id().alias("a"), "home", *column, "least"))
+        known = ranged(known.select("home", *column, "near", "apart", "least"), query_blocks, "a")
         sent = cut(reached(known, boxes(table, width), width, n_queries, blocks).join(known.select("id", "a"), "id"))
-        abroad = sent.join(known.drop("a"), "id").select("a", "b", *column, "least")
+        abroad = sent.join(known.select(*column, "least"), "id").select("a", "b", *column, "least")
         offered = table.join(sent.select("a", F.col("b").alias("home")).distinct(), "home").select("a", F.col("home").alias("b"), *column)
         others = meet(abroad, offered)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
