@@ -11,9 +11,12 @@ Estimates depend on counts alone, so training is one count of byte n-grams over
 all training texts.  All contexts are kept: the n-grams of training and of the
 texts to score form one table, partitioned by the last ROOT bytes of the
 context.  Each partition sums its part of the tree upwards, the driver joins
-the parts at contexts of fewer bytes (at most 256 ** (ROOT - 1), whatever the
-corpus holds), and each partition mixes downwards and gives every n-gram its
+the parts at contexts of fewer bytes (at most 255 decisions for each of
+256 ** (ROOT - 1) contexts, whatever the corpus holds), and each partition mixes downwards and gives every n-gram its
 log10 P(byte | context), which is joined back to the chunks of text that have it.
+Chunks are bounded by bytes and by rows.  A row goes to the chunk of its hash;
+copies of a row (same key and text) that would fill a good part of a chunk are
+dealt over several, by the partition they are read from.
 
 The base score is an add-one unigram over tokens.  Frequent tokens, at most
 ``max_frequent``, are looked up in a broadcast table; all others are joined.
@@ -45,6 +48,8 @@ FOLD = bytes(LOWER_ASCII.get(i, i) for i in range(256))
 FLUSH = 400_000
 #: Bytes of context by which the tree is partitioned; n-grams of a partition that are worked on at once; bytes of text in a chunk.
 ROOT, RUN, CHUNK = 3, 200_000, 32 << 20
+#: Rows in a chunk; rows whose copies are dealt over several chunks, at most.
+CHUNK_ROWS, MAX_HOT = 100_000, 1_000_000
 #: Bytes of text that are worked on at once.
 SLICE = 2 << 20
 
@@ -226,6 +231,33 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
     return spread.mapInArrow(arrow(downwards), "code bigint, log10p double, chunks array<int>")
 
 
+def hot_rows(docs: DataFrame, key: str, text: str) -> tuple[int, dict[int, int]]:
+    """The number of chunks, and of rows (by hash) with copies that fill an eighth of a chunk or more the number of chunks for them."""
+    row = F.xxhash64(key, text).alias("hash")
+    sizes = cut(docs.select(row, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("size")).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("size")))
+    size, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    share = F.greatest(F.col("size") / max(CHUNK, 8 * size / MAX_HOT), F.col("copies") / max(CHUNK_ROWS, 8 * rows / MAX_HOT))
+    # each takes an eighth of a chunk at least, and an eighth of all rows or bytes over MAX_HOT: so at most 2 * MAX_HOT of them
+    hot = sizes.where((F.col("copies") > 1) & (share >= 1 / 8)).select("hash", F.least("copies", F.ceil(8 * share)).alias("parts"))
+    return max(size // CHUNK, rows // CHUNK_ROWS) + 1, {r["hash"]: r["parts"] for r in hot.collect()}
+
+
+def deal(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (chunk, key, text), and rows whose texts hold all n-grams that those of each chunk have."""
+    chunks, hot = hot_rows(docs, key, text)
+    chunk = lambda *salt: F.pmod(F.xxhash64(key, text, *salt), F.lit(chunks)).cast("int").alias("chunk")
+    read = placed = docs.select(chunk(), key, text)
+    if hot and chunks > 1:
+        listed = docs.sparkSession.createDataFrame(list(hot.items()), "hash bigint, parts bigint")
+        marked = docs.select(F.xxhash64(key, text).alias("hash"), key, text).join(F.broadcast(listed), "hash", "left")
+        # any copy may go to any chunk of its row, as the n-grams of the row are read for all of them
+        placed = marked.select(F.when(F.col("parts").isNull(), chunk()).otherwise(chunk(F.pmod(F.hash(F.spark_partition_id()), "parts"))).alias("chunk"), key, text)
+        once = marked.where("parts is not null").groupBy(key, text).agg(F.max("parts").alias("parts"))
+        salted = once.select(key, text, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("salt")).select(chunk(F.col("salt")), key, text)
+        read = marked.where("parts is null").select(chunk(), key, text).unionByName(salted)
+    return placed, read
+
+
 @dataclass
 class Model:
     #: counts of frequent tokens; ``rare`` holds the others as a DataFrame (word, c)
@@ -258,8 +290,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     names = [key, "n_tokens", "known", "logs", "score", "n_bytes", "others"]
     types = [to_arrow_type(docs.schema[key].dataType), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pairs]
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, others array<struct<word: binary, times: int>>"
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    placed = docs.select(F.pmod(F.xxhash64(key, text), F.lit(size // CHUNK + 1)).cast("int").alias("chunk"), key, text)
+    placed, read = deal(docs, key, text)
 
     def texts_of(t: pa.Table, *columns: str) -> Iterator[pa.RecordBatch]:
         return (part for batch in t.select([*columns, text]).to_batches() if batch.num_rows for part in slices(batch, len(columns), SLICE))
@@ -294,7 +325,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names))
         return pa.Table.from_batches(out, pa.schema(list(zip(names, types, strict=True))))
 
-    mine = placed.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
+    mine = read.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
     both = mine.unionByName(model.codes.withColumn("chunk", F.lit(None).cast("int"))).groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
     top = F.shiftright("code", 8).bitwiseAND((1 << 8 * min(ROOT, depth)) - 1).alias("root")
     spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"))

@@ -864,6 +864,23 @@ def test_equal_texts_have_equal_scores(spark: SparkSession) -> None:
     assert len({(r.doc_id % 7, r.score) for r in found}) == 7
 
 
+def test_context_tree_chunks_of_short_texts_and_copies(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Chunks are bounded by rows too, copies of a row are dealt over several, and scores are those of undealt rows."""
+    rows = [(i, None) for i in range(600)] + [(None, None)] * 300 + [(7, "the cat sat on the mat again")] * 400 + [(1000 + i, f"the cat {i} sat") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(16, F.rand(3)).checkpoint()
+    model = ctw.fit(table, depth=3)
+    want = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ctw.score(table, model).collect())
+    monkeypatch.setattr(ctw, "CHUNK", 1500)
+    monkeypatch.setattr(ctw, "CHUNK_ROWS", 100)
+    placed, read = ctw.deal(table, "doc_id", "text")
+    sizes = {r.chunk: r["count"] for r in placed.groupBy("chunk").count().collect()}
+    assert sum(sizes.values()) == len(rows) and len(sizes) >= 6 and max(sizes.values()) < 400
+    assert placed.where("doc_id = 7").where("text is not null").select("chunk").distinct().count() > 2
+    assert placed.select("chunk", "text").subtract(read.select("chunk", "text")).count() == 0
+    assert read.count() < len(rows)
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ctw.score(table, model).collect()) == want
+
+
 DOCUMENT_QUERIES = ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting")
 
 
