@@ -189,7 +189,10 @@ def part_levels(code: np.ndarray, n: np.ndarray, depth: int, root: int) -> Itera
 
 
 def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
-    """(code, log10p, chunks) of all n-grams (root, code, n, chunks), which lie together by root and in its order."""
+    """(code, log10p, chunks) of all n-grams (root, code, n, chunks), which lie together by root and in its order.
+
+    A logarithm travels in single precision, to a relative 1e-7 of itself; sums are made in double precision.
+    """
     root = min(ROOT, depth)
 
     def upwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +229,9 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
                 at = np.searchsorted(keys, level.keys[-1] & ((1 << 8 * (root - 1) + bit) - 1))
                 one = np.clip(descend(level, mixed[at], weight[at])[0], 1e-12, 1 - 1e-7)[where]
                 total += np.log10(np.where((code >> (7 - bit)) & 1, one, 1 - one))
-            yield from pa.table({"code": t.column("code"), "log10p": total, "chunks": t.column("chunks")}).combine_chunks().to_batches(20_000)
+            yield from pa.table({"code": t.column("code"), "log10p": total.astype(np.float32), "chunks": t.column("chunks")}).combine_chunks().to_batches(20_000)
 
-    return spread.mapInArrow(arrow(downwards), "code bigint, log10p double, chunks array<int>")
+    return spread.mapInArrow(arrow(downwards), "code bigint, log10p float, chunks array<int>")
 
 
 def hot_rows(docs: DataFrame, key: str, text: str) -> tuple[int, dict[int, int]]:
@@ -319,7 +322,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             joined = [b" ".join(w) + END for w in split]
             lengths = np.array([len(x) for x in joined])
             distinct, where = np.unique(grams(joined, depth), return_inverse=True)
-            scores = np.add.reduceat(log10p[np.searchsorted(codes, distinct)][where], np.cumsum(lengths) - lengths)
+            scores = np.add.reduceat(log10p[np.searchsorted(codes, distinct)].astype(np.float64)[where], np.cumsum(lengths) - lengths)
             known, logs, others = zip(*(base(w, shared.value) for w in split), strict=True)
             columns = [part.column(0), [len(w) + 1 for w in split], known, logs, scores, lengths, others]
             out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names))
