@@ -16,7 +16,9 @@ the parts at contexts of fewer bytes (at most 255 decisions for each of
 log10 P(byte | context), which is joined back to the chunks of text that have it.
 Chunks are bounded by bytes and by rows.  A row goes to the chunk of its hash;
 copies of a row (same key and text) that would fill a good part of a chunk are
-dealt over several, by the partition they are read from.
+dealt over several, by the partition they are read from.  Each step is written to
+the shared folder, and its shuffles go with its end, so that the disk holds the
+shuffles of one step at a time.
 
 The base score is an add-one unigram over tokens.  Frequent tokens, at most
 ``max_frequent``, are looked up in a broadcast table; all others are joined.
@@ -72,6 +74,12 @@ def grams(joined: list[bytes], depth: int) -> np.ndarray:
     return code[real]
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Distinct codes in order, by a plain sort: np.unique hashes integers, which takes some four times as long here."""
+    codes = np.sort(codes)
+    return codes[np.append(True, codes[1:] != codes[:-1])[: len(codes)]]
+
+
 def summed(codes: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and the sums of their numbers."""
     if not codes:
@@ -237,7 +245,7 @@ def gram_scores(spread: DataFrame, depth: int) -> DataFrame:
 def hot_rows(docs: DataFrame, key: str, text: str) -> tuple[int, dict[int, int]]:
     """The number of chunks, and of rows (by hash) with copies that fill an eighth of a chunk or more the number of chunks for them."""
     row = F.xxhash64(key, text).alias("hash")
-    sizes = cut(docs.select(row, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("size")).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("size")))
+    sizes = cut(docs.select(row, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("size")).groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("size")), release=True)
     size, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     share = F.greatest(F.col("size") / max(CHUNK, 8 * size / MAX_HOT), F.col("copies") / max(CHUNK_ROWS, 8 * rows / MAX_HOT))
     # each takes an eighth of a chunk at least, and an eighth of all rows or bytes over MAX_HOT: so at most 2 * MAX_HOT of them
@@ -277,7 +285,7 @@ def fit(training: DataFrame, depth: int = 5, max_frequent: int = 100_000, text:
     """Counts of tokens and byte n-grams over all training rows; ``depth`` is 1 to 7."""
     if not 1 <= depth <= 7:
         raise ValueError("depth must be 1 to 7")
-    table = cut(counts(training, depth, text))
+    table = cut(counts(training, depth, text), release=True)
     words = table.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = least_count(words, "c", max_frequent)
@@ -299,8 +307,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         return (part for batch in t.select([*columns, text]).to_batches() if batch.num_rows for part in slices(batch, len(columns), SLICE))
 
     def seen_grams(t: pa.Table) -> pa.Table:
-        seen = [np.unique(grams([b" ".join(tokens(x)) + END for x in part.column(1).to_pylist()], depth)) for part in texts_of(t, "chunk")]
-        codes = np.unique(np.concatenate(seen))
+        seen = [distinct(grams([b" ".join(tokens(x)) + END for x in part.column(1).to_pylist()], depth)) for part in texts_of(t, "chunk")]
+        codes = distinct(np.concatenate(seen))
         return pa.table({"code": codes, "chunk": pa.array(np.full(len(codes), t.column("chunk")[0].as_py(), np.int32))})
 
     def base(own: list[bytes], frequent: dict[bytes, int]) -> tuple[int, float, list[dict]]:
@@ -321,8 +329,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             split = [tokens(x) for x in part.column(1).to_pylist()]
             joined = [b" ".join(w) + END for w in split]
             lengths = np.array([len(x) for x in joined])
-            distinct, where = np.unique(grams(joined, depth), return_inverse=True)
-            scores = np.add.reduceat(log10p[np.searchsorted(codes, distinct)].astype(np.float64)[where], np.cumsum(lengths) - lengths)
+            asked, where = np.unique(grams(joined, depth), return_inverse=True)
+            scores = np.add.reduceat(log10p[np.searchsorted(codes, asked)].astype(np.float64)[where], np.cumsum(lengths) - lengths)
             known, logs, others = zip(*(base(w, shared.value) for w in split), strict=True)
             columns = [part.column(0), [len(w) + 1 for w in split], known, logs, scores, lengths, others]
             out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, types, strict=True)], names))
@@ -331,9 +339,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     mine = read.groupBy("chunk").applyInArrow(seen_grams, "code bigint, chunk int").select("code", F.lit(0).cast("bigint").alias("n"), "chunk")
     both = mine.unionByName(model.codes.withColumn("chunk", F.lit(None).cast("int"))).groupBy("code").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
     top = F.shiftright("code", 8).bitwiseAND((1 << 8 * min(ROOT, depth)) - 1).alias("root")
-    spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"))
+    spread = cut(both.select(top, "code", "n", "chunks").repartition("root").sortWithinPartitions("root", "code"), release=True)
     told = gram_scores(spread, depth).select(F.explode("chunks").alias("chunk"), "code", "log10p")
-    walked = cut(placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
+    walked = cut(placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema), release=True).withColumn("row", F.monotonically_increasing_id())
     walked_pairs = walked.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times")
     log: Column = F.log10(F.col("c") + 1)
     more = walked_pairs.join(model.rare, "word").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum("times").alias("also"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rooftide.llm import bpe, ctw, html_extract, jpeg, langid, mixing, neardup, queries, shard, topk, warc
+from rooftide.llm import bpe, common, ctw, html_extract, jpeg, langid, mixing, neardup, queries, shard, topk, warc
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, h int, size string"
@@ -881,6 +881,30 @@ def test_context_tree_chunks_of_short_texts_and_copies(spark: SparkSession, monk
     assert Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in ctw.score(table, model).collect()) == want
 
 
+def shuffle_bytes(spark: SparkSession) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+
+def test_context_tree_lets_go_of_its_shuffles(spark: SparkSession) -> None:
+    """What a step has shuffled goes when it is written: else the texts lie on the disk twice, beside all n-grams, until the last one ends."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefgh ", k=4000)) for _ in range(300)]
+    table = docs(spark, texts).repartition(4, "doc_id").checkpoint()
+    before = shuffle_bytes(spark)
+    ctw.score(table, ctw.fit(table, depth=2))
+    deadline = time.time() + 10  # files go in the background
+    while (left := shuffle_bytes(spark) - before) > 100_000 and time.time() < deadline:
+        time.sleep(0.2)
+    assert left <= 100_000
+    assert spark.conf.get(common.CLEANUP, None) is None
+
+
+def test_distinct_codes() -> None:
+    for codes in ([], [5], [3, 1, 3, 2, 1], [1 << 47, -1, 1 << 47]):
+        assert ctw.distinct(np.array(codes, np.int64)).tolist() == sorted(set(codes))
+
+
 DOCUMENT_QUERIES = ("op1_bpe_speculate_verify", "op5_capped_water_filling", "op6_word_first_backoff", "op7_setsketch_groups", "op8_jpeg_dc_thumbnails", "op9_two_pass_shuffle", "op10_context_tree_weighting")
 
 
