@@ -8,7 +8,8 @@ words with a failing pair go through exact merging, which takes n log n steps
 for a word of n letters.
 
 A task reads the vocabulary once and frees it at its end; decoding reads the
-tokens alone.  What a task remembers of words is bounded in bytes.
+tokens alone.  What a task remembers of words is bounded in bytes; when that is
+full, it forgets what it has met in one batch only.
 
 Cases: null text is the empty text; an empty text has no tokens; texts and words
 of any length are taken whole; repeated rows give repeated results; an empty
@@ -34,7 +35,7 @@ from .common import arrow, slices
 
 END = "\ue000"
 #: Bytes of chunks and words, and number of pairs, that a task remembers before it starts afresh.
-CACHE_BYTES, CACHE_PAIRS = 24 << 20, 300_000
+CACHE_BYTES, CACHE_PAIRS = 64 << 20, 300_000
 #: Bytes that a remembered string takes beside its letters and ids.
 ENTRY = 200
 #: Symbols of a word up to which a plain scan finds the best pair faster than a heap.
@@ -93,6 +94,8 @@ class WordBpe:
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", r"\p{White_Space}"))
         self.known: dict[str, bytes] = {}
         self.ids_of: dict[str, bytes] = {}
+        #: what has been met again, in a later batch than the one that taught it
+        self.again: set[str] = set()
         self.pairs, self.holds = np.empty(0, np.int64), np.empty(0, bool)
         self.alone: dict[int, bool] = {}
         self.merged, self.held = 0, 0
@@ -225,18 +228,26 @@ class WordBpe:
             out += [piece] if i % 2 else cut(piece)
         return out
 
+    def forget(self) -> None:
+        """Keep chunks that were met again, and their words, as long as they take half of the bound at most."""
+        known = {c: self.known[c] for c in self.again if c in self.known}
+        ids_of = {c: self.ids_of[c] for c in known if c in self.ids_of}
+        self.again.clear()
+        self.held = sum(len(s) + len(x) + ENTRY for kept in (known, ids_of) for s, x in kept.items())
+        if self.held > CACHE_BYTES // 2:
+            known, ids_of, self.held = {}, {}, 0
+        self.known, self.ids_of = known, ids_of
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if self.held > CACHE_BYTES:
-            self.known.clear()
-            self.ids_of.clear()
-            self.held = 0
+            self.forget()
         split = [self.chunks(t) for t in texts]
         known = self.known
         known.update({s: np.array([i], "<u4").tobytes() for s, i in self.specials.items()})
-        fresh: set[str] = set()
-        for chunks in split:
-            fresh.update(c for c in set(chunks) if c not in known)
+        met = set().union(*split)
+        fresh = met.difference(known)
+        self.again |= met - fresh
         self.learn(fresh)
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 

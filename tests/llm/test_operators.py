@@ -97,6 +97,18 @@ def test_bpe_memory_is_bounded(monkeypatch: pytest.MonkeyPatch) -> None:
     assert b.held <= 40_000 and len(b.known) < 150
 
 
+def test_bpe_remembers_what_it_meets_again(monkeypatch: pytest.MonkeyPatch) -> None:
+    """A full memory forgets rare words; frequent ones are not learned anew each time, and ids stay those of the library."""
+    b, learned = bpe.WordBpe(bpe.read_spec(PATH)), Counter()
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 40_000)
+    learn = b.learn
+    monkeypatch.setattr(b, "learn", lambda chunks: (learned.update(chunks), learn(chunks)))
+    for i in range(30):
+        text = "the cat sat " + " ".join(f"w{i}x{k}" for k in range(50))
+        assert np.frombuffer(b.encode_batch([text])[0], "<u4").tolist() == reference_cached().encode(text, add_special_tokens=False).ids
+    assert {learned[w] for w in ("the", "cat", "sat")} == {1} and b.held <= 80_000 and len(b.known) < 200
+
+
 def page(body: str) -> str:
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
 
