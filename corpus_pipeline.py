@@ -56,8 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of what they decode to; a null text has none."""
     small_batches(spark)
-    path = public_tokenizers.path("word_bpe_49k.json")
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return back.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 

@@ -9,7 +9,8 @@ for a word of n letters.
 
 A task reads the vocabulary once and frees it at its end; decoding reads the
 tokens alone.  What a task remembers of words is bounded in bytes; when that is
-full, it forgets what it has met in one batch only.
+full, it forgets what it has met in one batch only.  :func:`encode` followed by
+:func:`decode` takes two Python processes a task, :func:`round_trip` takes one.
 
 Cases: null text is the empty text; an empty text has no tokens; texts and words
 of any length are taken whole; repeated rows give repeated results; an empty
@@ -276,3 +277,19 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], [key, ids, "decoded"])
 
     return tokens.select(key, ids).mapInArrow(arrow(run), f"`{key}` {tokens.schema[key].dataType.simpleString()}, `{ids}` binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What :func:`decode` gives for the rows of :func:`encode`: ``key``, ``ids``, ``decoded``, by one Python process a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spec = read_spec(path)
+        bpe, shown = WordBpe(spec), Tokens(spec)
+        del spec
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                ids = bpe.encode_batch([t or "" for t in part.column(1).to_pylist()])
+                texts = [shown.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], [key, "ids", "decoded"])
+
+    return docs.select(key, text).mapInArrow(arrow(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary, decoded binary")

@@ -80,3 +80,21 @@ def test_empty_and_unlabelled_tables(spark: SparkSession, tmp_path) -> None:
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     rows = [(1, "some text", None, None, 1), (2, "12", None, None, 1), (3, None, None, "s", 1)]
     assert [r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, kind), "").collect()] == [1]
+
+
+def test_tokens_take_one_python_process_a_task(spark: SparkSession) -> None:
+    """An encoder and a decoder in a row stay side by side in an executor's memory; one process gives what both gave."""
+    import public_tokenizers
+
+    from rooftide.llm import bpe
+
+    path, schema = public_tokenizers.path("word_bpe_49k.json"), "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["The cat sat, THE CAT SAT.", "", None, " \t\n", "naïve Σίσυφος é 漢字 \U0001f600", "a\x1cb c", "x" * 5000, "word " * 3000, "<unk> and </s>", "The cat sat, THE CAT SAT."]
+    docs = spark.createDataFrame([(None if i == 3 else i, t, None, None, None) for i, t in enumerate(texts)], schema)
+    tokens = dict(corpus_pipeline.STAGES)["tokens"]
+    out = tokens(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = bpe.decode(bpe.encode(docs, path), path)
+    assert Counter(map(tuple, bpe.round_trip(docs, path).collect())) == Counter(map(tuple, both.collect()))
+    assert Counter((r.doc_id, bytes(r.ids)) for r in out.collect()) == Counter((r.doc_id, bytes(r.ids)) for r in both.collect())
+    assert tokens(spark, docs.limit(0), "").count() == 0
