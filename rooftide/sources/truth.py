@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, scalars
 
 BATCH = 200
 CATALOGUE = "struct<cities:array<struct<files:struct<bldg:array<struct<url:string>>>>>>"
@@ -83,7 +83,7 @@ def in_box(truth: DataFrame, box: dict[str, float]) -> DataFrame:
 
 
 def csv_lines(truth: DataFrame) -> DataFrame:
-    return truth.select(F.format_string("%.7f,%.7f,%.2f", "lon", "lat", F.col("measured_height_m").cast("double")).alias("line"))
+    return truth.select(F.concat_ws(",", scalars.fixed(F.col("lon"), 7), scalars.fixed(F.col("lat"), 7), scalars.fixed(F.col("measured_height_m").cast("double"), 2)).alias("line"))
 
 
 def write_csv(truth: DataFrame, path: str) -> None:

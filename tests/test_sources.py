@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from test_tiles import SQUARE, build_archive
 
+from rooftide.functions import scalars
 from rooftide.plans.bindings import encode_tile
-from rooftide.sources import archive, outputs, vector_tiles
+from rooftide.sources import archive, outputs, truth, vector_tiles
 from rooftide.streaming import rerender
 
 TILES = {(5, x, y): f"{x}/{y} ".encode() * (1 + x % 3) for x in range(32) for y in range(32) if (x * 5 + y) % 4}
@@ -157,3 +158,13 @@ def test_a_stream_counts_its_tiles(spark: SparkSession, tmp_path: Path) -> None:
     finally:
         spark.streams.removeListener(listener)
     assert listener.counts == {"tiles": 7, "features": 6, "damaged": 2, "empty": 3}
+
+
+def test_heights_as_text_round_ties_to_the_even_digit(spark: SparkSession) -> None:
+    values = [52.625, 52.375, 0.145, 2.675, 1234567.125, -0.001, 0.0, 3.0, 1e16]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.fixed(F.col("v"), 2).alias("s")).collect()
+    assert {r.v: r.s for r in rows} == {v: f"{v:.2f}" for v in values}
+    odd = spark.createDataFrame([(float("inf"),), (None,)], "v double").select(scalars.fixed(F.col("v"), 2)).collect()
+    assert [r[0] for r in odd] == ["Infinity", None]
+    line = truth.csv_lines(spark.createDataFrame([(139.5, 35.25, 52.625)], "lon double, lat double, measured_height_m float")).first()[0]
+    assert line == "139.5000000,35.2500000,52.62"
